@@ -42,6 +42,12 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(decode(encode(documents(spark, sf_dir), RANKS, PATTERN), RANKS))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join_groups
+
+    return join_groups(documents(spark, sf_dir))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import span_digest
     from .secrets import KINDS, find_secrets
