@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
-MAX_WORDS, MAX_STATES = 200_000, 300_000
+MAX_WORDS, MAX_STATES = 150_000, 250_000
 #: A space that starts a new piece whatever stands around; both neighbours are kept.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space but for space and line feed.
@@ -42,14 +43,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+NEVER = 1 << 40
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The encoding of a short piece by its definition: the pair of the lowest rank merges first."""
     parts = [piece[k : k + 1] for k in range(len(piece))]
-    while len(parts) > 1:
-        best, at = min(((ranks.get(a + b, 1 << 40), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-        if best == 1 << 40:
+    pairs = [ranks.get(piece[k : k + 2], NEVER) for k in range(len(piece) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == NEVER:
             break
+        at = pairs.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], NEVER)
+        if at < len(pairs):
+            pairs[at] = ranks.get(parts[at] + parts[at + 1], NEVER)
     return parts
 
 
@@ -157,17 +168,18 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         self.words = WordTable(self.encode_word)
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> bytes:
         out: list[int] = []
         for piece in (word,) if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) else self.pieces(word):
             out += self.transducer.encode(piece.encode())
-        return out
+        return array("i", out).tobytes()
+
+    def packed(self, text: str) -> bytes:
+        """Ids as packed 32-bit integers."""
+        return b"".join(map(self.words.__getitem__, words_of(text)))
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for ids in map(self.words.__getitem__, words_of(text)):
-            out += ids
-        return out
+        return array("i", self.packed(text)).tolist()
 
 
 # UTF-8 states: 0 between characters; 1, 2, 3 continuation bytes due; 4 to 7 the second byte has bounds; 8 never again.

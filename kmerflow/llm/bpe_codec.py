@@ -26,19 +26,25 @@ def made(kind, *args):
     return _made[key]
 
 
+def _list_of(packed: list[bytes]) -> pa.Array:
+    import numpy as np
+
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def _decoded(decoder: Decoder, ids: list[int], part: int) -> bytes:
+    return b"".join(decoder.stream(ids[k : k + part] for k in range(0, len(ids), part)))
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id, ids array<int>``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         encoder = made(Encoder, ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, 256):
-                ids = [np.array(encoder.encode(t), np.int32) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _list_of([encoder.packed(t) for t in part.column(1).to_pylist()])], names=["doc_id", "ids"])
 
     return texts_of(df).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -50,12 +56,28 @@ def decode(encoded: DataFrame, ranks_path: str, part: int = 4096) -> DataFrame:
         decoder = made(Decoder, ranks_path)
         for batch in batches:
             for rows in slices(batch, 256):
-                out = [b"".join(decoder.stream(ids[k : k + part] for k in range(0, len(ids), part))) for ids in rows.column(1).to_pylist()]
+                out = [_decoded(decoder, ids, part) for ids in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     rows = encoded.select("doc_id", F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, part: int = 4096) -> DataFrame:
+    """``encode``, then ``decode``, in one scan with one Python worker a task: ``doc_id, ids, decoded``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        encoder, decoder = made(Encoder, ranks_path, pattern), made(Decoder, ranks_path)
+        for batch in batches:
+            for rows in slices(batch, 256):
+                packed = [encoder.packed(t) for t in rows.column(1).to_pylist()]
+                out = [_decoded(decoder, np.frombuffer(x, np.int32).tolist(), part) for x in packed]
+                yield pa.RecordBatch.from_arrays([rows.column(0), _list_of(packed), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    return texts_of(df).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def codec_digest(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -107,12 +107,16 @@ def plan(runs: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int,
     return out
 
 
-def with_ranks(rows: DataFrame, key: str, order: list[str], buckets: int) -> DataFrame:
-    """Adds ``rank``, from 0 within each ``key``, without one task per key: windows by (key, bucket) plus offsets."""
+def with_ranks(rows: DataFrame, key: str, keys: int, order: list[str], buckets: int) -> DataFrame:
+    """Adds ``rank``, from 0 within each ``key``, without one task per key: windows by (key, bucket) plus offsets.
+
+    There are at most ``keys`` keys, so at most ``keys * buckets`` offsets; they are broadcast only if these are few.
+    """
     salted = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = salted.groupBy(key, "bucket").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(key).orderBy("bucket")) - F.col("n")).drop("n")
     own = F.row_number().over(Window.partitionBy(key, "bucket").orderBy(*order)) - 1
+    before = F.broadcast(before) if keys * buckets <= 1 << 18 else before
     return salted.withColumn("own", own).join(before, [key, "bucket"]).withColumn("rank", F.col("before") + F.col("own")).drop("bucket", "own", "before")
 
 
@@ -124,7 +128,7 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for length, rank, _, first, offset in plan(runs, capacity):
         by_length.setdefault(length, []).append((rank, first, offset))
     columns = rows.columns
-    ranked = with_ranks(rows, "length", ["doc_id", "piece", "start", "ids_crc32"], parallelism(spark))
+    ranked = with_ranks(rows, "length", capacity, ["doc_id", "piece", "start", "ids_crc32"], parallelism(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

@@ -43,9 +43,9 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe_codec import codec_digest, decode, encode
+    from .bpe_codec import codec_digest, round_trip
 
-    return codec_digest(decode(encode(documents(spark, sf_dir), RANKS, PATTERN), RANKS))
+    return codec_digest(round_trip(documents(spark, sf_dir), RANKS, PATTERN))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
