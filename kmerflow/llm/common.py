@@ -77,9 +77,18 @@ def with_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows go to the shared checkpoint folder and survive lost executors."""
-    with_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage: the rows go to the shared checkpoint folder and survive lost executors.
+
+    The shuffle files that made them are not needed any more and go at once, so that the disk holds one step's.
+    """
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with_checkpoint_dir(spark)
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(clean, before)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -140,6 +140,19 @@ def _by_shard(keys, n: int):
     return [(k, int(at[k]), int(at[k + 1])) for k in np.flatnonzero(np.diff(at))]
 
 
+def _squeezed(low) -> bytes:
+    """Sorted 32-bit integers as differences, a plane for each byte: the upper planes compress well."""
+    import numpy as np
+
+    return np.diff(low, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unsqueezed(packed: bytes):
+    import numpy as np
+
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def common_shingles(df: DataFrame, most: int = COMMON, shards: int = 64):
     """Sorted keys of at most ``most`` shingles: those of the highest document frequency."""
     import numpy as np
@@ -150,12 +163,12 @@ def common_shingles(df: DataFrame, most: int = COMMON, shards: int = 64):
             keys, n = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
             order = np.argsort(keys := _key(keys, shards), kind="stable")
             keys, n = keys[order], n[order]
-            parts = [(k, keys[s:e].astype(np.uint32).tobytes(), np.minimum(n[s:e], 255).astype(np.uint8).tobytes()) for k, s, e in _by_shard(keys, shards)]
+            parts = [(k, _squeezed(keys[s:e].astype(np.uint32)), np.minimum(n[s:e], 255).astype(np.uint8).tobytes()) for k, s, e in _by_shard(keys, shards)]
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], names=["shard", "low", "n"])
 
     def total(part: pa.Table) -> pa.Table:
-        low = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in part["low"]])
+        low = np.concatenate([_unsqueezed(x.as_py()) for x in part["low"]])
         n = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in part["n"]])
         order = np.argsort(low, kind="stable")
         low, n = low[order], n[order].astype(np.int64)
@@ -245,13 +258,13 @@ def flagged(df: DataFrame, common, shards: int) -> DataFrame:
             keys, owner = _key(tokens[~again], shards), owner[~again]
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
-            parts = [(k, keys[s:e].astype(np.uint32).tobytes(), owner[s:e].tobytes(), b"") for k, s, e in _by_shard(keys, shards)]
+            parts = [(k, _squeezed(keys[s:e].astype(np.uint32)), owner[s:e].tobytes(), b"") for k, s, e in _by_shard(keys, shards)]
             parts.append((int(parts[0][0]), b"", b"", shared_here.tobytes()))
             names = ["shard", "low", "doc", "flag"]
             yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in parts], pa.int32()), *(pa.array([p[k] for p in parts], pa.binary()) for k in (1, 2, 3))], names=names)
 
     def shared_by_two(part: pa.Table) -> pa.Table:
-        low = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in part["low"]])
+        low = np.concatenate([_unsqueezed(x.as_py()) for x in part["low"]])
         doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in part["doc"]])
         order = np.argsort(low, kind="stable")
         low, doc = low[order], doc[order]
@@ -264,9 +277,9 @@ def flagged(df: DataFrame, common, shards: int) -> DataFrame:
 
 
 def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id; the ids are broadcast only if they are few, else both sides are shuffled."""
+    """Semi or anti join on the columns of ``ids``; they are broadcast only if few, else both sides are shuffled."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return df.join(F.broadcast(ids) if few else ids, ids.columns, how)
 
 
 def shingle_sets(df: DataFrame) -> DataFrame:
@@ -440,8 +453,12 @@ def near_groups(df: DataFrame) -> DataFrame:
     shards = 4 * parallelism(df.sparkSession)
     marked = flagged(df, common_shingles(df, COMMON, shards), shards)
     sets = cut(shingle_sets(by_ids(texts_of(df), marked, "left_semi")))
-    first = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    reps = cut(sets.join(first, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"]).select(F.col("node").alias("doc_id"), "n", "tokens"))
+    named = sets.groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
+    first = cut(named.groupBy("node").agg(F.min(F.struct("doc_id", "rows")).alias("x")).select("node", "x.*"))
+    reps = by_ids(sets, first.select("node", "doc_id"), "left_semi")
+    if not first.where("rows > 1").isEmpty():  # repeated rows
+        reps = reps.dropDuplicates(["node", "doc_id"])
+    reps = reps.select(F.col("node").alias("doc_id"), "n", "tokens")
     prefixes = cut(rare_prefixes(reps))
     firsts = prefixes.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("held")).where("held > 1").drop("held")
     candidates = components(prefixes.join(firsts, "token").select(F.col("doc_id").alias("a"), "b"))
