@@ -1,8 +1,8 @@
 """N-gram Jaccard join: documents whose sets of word 5-grams have a Jaccard similarity of at least 3/4, and their groups.
 
 1. Count: every text's distinct shingles (64-bit hashes) are counted over the corpus, packed by hash range, each chunk
-   pre-aggregated. The ``COMMON`` most frequent shingles go to all tasks; they only decide the global order (common
-   shingles last), so their bound costs no result.
+   pre-aggregated. Those that repeat set bits in a bitmap of fixed size that goes to all tasks; it only decides the
+   global order (repeated shingles last), so neither its size nor bits set by chance cost results.
 2. Prefixes: two sets that qualify share one of their first ``n - ceil(3n/4) + 1`` shingles in any global order. Documents
    that share such a shingle with another one are flagged; chunks pre-aggregate, so a shingle that a third of all texts
    hold is sent once for each chunk.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import components, cut, parallelism, texts_of, utf8_buffer
 
 WORDS, CHUNK_BYTES = 5, 4 << 20
-COMMON, BLOCK, DEALS, BROADCAST_IDS = 1_000_000, 64, 3, 4_000_000
+BITMAP_BITS, COMMON = 28, 1 << 27
+BLOCK, DEALS, BROADCAST_IDS = 64, 3, 4_000_000
 
 _tables: dict = {}
 
@@ -118,26 +119,19 @@ def sets_of(hashes, bounds):
     return [np.unique(hashes[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _shard(h, n: int):
-    """Range of the hash, 0..n-1, ascending with the hash."""
+def _by_shard(h, bits: int):
+    """(shard, start, end) of sorted hashes; a shard is a value of the upper ``bits`` bits."""
     import numpy as np
 
-    return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    at = np.append(np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(h))
+    return [(int(k), int(at[k]), int(at[k + 1])) for k in np.flatnonzero(np.diff(at))]
 
 
-def _key(h, n: int):
-    """Short key of a hash: its range and its lower half."""
+def _within(h, bits: int):
+    """The 32 bits of a hash below its shard's: with the shard the short key of a shingle."""
     import numpy as np
 
-    return (_shard(h, n) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-
-
-def _by_shard(keys, n: int):
-    """(shard, start, end) of sorted keys."""
-    import numpy as np
-
-    at = np.searchsorted(keys, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
-    return [(k, int(at[k]), int(at[k + 1])) for k in np.flatnonzero(np.diff(at))]
+    return ((h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _squeezed(low) -> bytes:
@@ -153,19 +147,22 @@ def _unsqueezed(packed: bytes):
     return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def common_shingles(df: DataFrame, most: int = COMMON, shards: int = 64):
-    """Sorted keys of at most ``most`` shingles: those of the highest document frequency."""
+def common_shingles(df: DataFrame, shard_bits: int, most: int = COMMON) -> bytes:
+    """A bitmap of ``2 ** BITMAP_BITS`` bits over the hash range: set where a shingle occurs in several texts.
+
+    If more than ``most`` shingles repeat, those of the highest document frequency count, so the map never fills up. The
+    map has the same size for every corpus. It only tells which shingles come late in the order: a bit set by chance
+    costs nothing but a little order.
+    """
     import numpy as np
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, hashes, bounds in chunks(batches):
-            own = sets_of(hashes, bounds)
-            keys, n = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
-            order = np.argsort(keys := _key(keys, shards), kind="stable")
-            keys, n = keys[order], n[order]
-            parts = [(k, _squeezed(keys[s:e].astype(np.uint32)), np.minimum(n[s:e], 255).astype(np.uint8).tobytes()) for k, s, e in _by_shard(keys, shards)]
+            keys, n = np.unique(np.concatenate([*sets_of(hashes, bounds), np.zeros(0, np.uint64)]), return_counts=True)
+            low, n = _within(keys, shard_bits), np.minimum(n, 255).astype(np.uint8)
+            parts = [(k, _squeezed(low[s:e]), n[s:e].tobytes()) for k, s, e in _by_shard(keys, shard_bits)]
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], names=["shard", "low", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], names=["shard", "low", "n"])
 
     def total(part: pa.Table) -> pa.Table:
         low = np.concatenate([_unsqueezed(x.as_py()) for x in part["low"]])
@@ -173,73 +170,63 @@ def common_shingles(df: DataFrame, most: int = COMMON, shards: int = 64):
         order = np.argsort(low, kind="stable")
         low, n = low[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        n = np.minimum(np.add.reduceat(n, first), 2**30)
+        n = np.minimum(np.add.reduceat(n, first), 65535)
         keep = n > 1
-        return pa.table({"shard": pa.array([part["shard"][0].as_py()], pa.int32()), "low": pa.array([low[first][keep].tobytes()], pa.binary()), "n": pa.array([n[keep].astype(np.int32).tobytes()], pa.binary())})
+        return pa.table({"shard": pa.array([part["shard"][0].as_py()], pa.int32()), "low": pa.array([low[first][keep].tobytes()], pa.binary()), "n": pa.array([n[keep].astype(np.uint16).tobytes()], pa.binary())})
 
     spread = cut(texts_of(df).mapInArrow(count, "shard int, low binary, n binary").groupBy("shard").applyInArrow(total, "shard int, low binary, n binary"))
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_n: dict[int, int] = {}
+        all_n = np.zeros(4097, np.int64)
         for batch in batches:
             for x in batch.column(2):
-                for v, c in zip(*np.unique(np.minimum(np.frombuffer(x.as_py(), np.int32), 4096), return_counts=True), strict=True):
-                    all_n[int(v)] = all_n.get(int(v), 0) + int(c)
-        yield pa.RecordBatch.from_arrays([pa.array(list(all_n), pa.int32()), pa.array(list(all_n.values()), pa.int64())], names=["df", "n"])
+                all_n += np.bincount(np.minimum(np.frombuffer(x.as_py(), np.uint16), 4096), minlength=4097)
+        at = np.flatnonzero(all_n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(all_n[at])], names=["df", "n"])
 
-    found = {r["df"]: r["n"] for r in spread.mapInArrow(histogram, "df int, n long").groupBy("df").agg(F.sum("n").alias("n")).collect()}  # at most 4096 rows
+    found = {r["df"]: r["n"] for r in spread.mapInArrow(histogram, "df int, n long").groupBy("df").agg(F.sum("n").alias("n")).collect()}  # at most 4097 rows
     least, kept = 4097, 0
     for v in sorted(found, reverse=True):
         if kept + found[v] > most:
             break
         least, kept = v, kept + found[v]
 
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, low, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keep = np.frombuffer(low, np.uint32)[np.minimum(np.frombuffer(n, np.int32), 4096) >= least].astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([((np.uint64(shard) << np.uint64(32)) | keep).tobytes()], pa.binary())], names=["keys"])
-
-    parts = [bytes(r["keys"]) for r in spread.mapInArrow(select, "keys binary").collect()]  # at most 8 * `most` bytes
-    return np.sort(np.frombuffer(b"".join(parts), np.uint64))
+                own = np.zeros(1 << (BITMAP_BITS - shard_bits), bool)
+                keep = np.minimum(np.frombuffer(n, np.uint16), 4096) >= least
+                own[np.frombuffer(low, np.uint32)[keep] >> np.uint32(32 - BITMAP_BITS + shard_bits)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["shard", "bits"])
 
+    size = 1 << (BITMAP_BITS - shard_bits - 3)
+    out = bytearray(1 << (BITMAP_BITS - 3))
+    for r in spread.mapInArrow(mapped, "shard int, bits binary").toLocalIterator():  # the bitmap's size in all
+        out[r["shard"] * size : (r["shard"] + 1) * size] = r["bits"]
+    return bytes(out)
 
-class Common:
-    """Tells which hashes belong to the common shingles."""
 
-    def __init__(self, keys, shards: int) -> None:
-        import numpy as np
-
-        self.keys, self.shards = keys, shards
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-
-    def has(self, h):
-        import numpy as np
+def in_bitmap(bitmap, h):
+    import numpy as np
 
-        out = self.maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
-        at = np.flatnonzero(out)
-        if len(at):
-            own = _key(h[at], self.shards)
-            place = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-            out[at] = self.keys[place] == own
-        return out
+    slot = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
 
 def prefix_length(n):
     return n - -(-3 * n // 4) + 1
 
 
-def flagged(df: DataFrame, common, shards: int) -> DataFrame:
+def flagged(df: DataFrame, common: bytes, shard_bits: int) -> DataFrame:
     """Distinct ``doc_id`` of the documents that share a prefix shingle with another row."""
     import numpy as np
 
-    shared = df.sparkSession.sparkContext.broadcast(common)  # at most COMMON keys
+    shared = df.sparkSession.sparkContext.broadcast(common)  # of the same size for every corpus
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Common(shared.value, shards) if len(shared.value) else None
+        bitmap = np.frombuffer(shared.value, np.uint8)
         for ids, hashes, bounds in chunks(batches):
-            late = known.has(hashes) if known else np.zeros(len(hashes), bool)
+            late = in_bitmap(bitmap, hashes)
             ordered = (hashes >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
             tokens, owner = [], []
             for k, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -255,13 +242,12 @@ def flagged(df: DataFrame, common, shards: int) -> DataFrame:
             tokens, owner = tokens[order], owner[order]
             again = np.r_[False, tokens[1:] == tokens[:-1]]
             shared_here = np.unique(owner[again | np.r_[again[1:], False]])
-            keys, owner = _key(tokens[~again], shards), owner[~again]
-            order = np.argsort(keys, kind="stable")
-            keys, owner = keys[order], owner[order]
-            parts = [(k, _squeezed(keys[s:e].astype(np.uint32)), owner[s:e].tobytes(), b"") for k, s, e in _by_shard(keys, shards)]
-            parts.append((int(parts[0][0]), b"", b"", shared_here.tobytes()))
+            tokens, owner = tokens[~again], owner[~again]
+            low = _within(tokens, shard_bits)
+            parts = [(k, _squeezed(low[s:e]), owner[s:e].tobytes(), b"") for k, s, e in _by_shard(tokens, shard_bits)]
+            parts.append((parts[0][0], b"", b"", shared_here.tobytes()))
             names = ["shard", "low", "doc", "flag"]
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in parts], pa.int32()), *(pa.array([p[k] for p in parts], pa.binary()) for k in (1, 2, 3))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), *(pa.array([p[k] for p in parts], pa.binary()) for k in (1, 2, 3))], names=names)
 
     def shared_by_two(part: pa.Table) -> pa.Table:
         low = np.concatenate([_unsqueezed(x.as_py()) for x in part["low"]])
@@ -450,8 +436,8 @@ def rest_links(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_groups(df: DataFrame) -> DataFrame:
     """``node, component`` of every document whose group has a smaller id; component = the group's smallest id."""
-    shards = 4 * parallelism(df.sparkSession)
-    marked = flagged(df, common_shingles(df, COMMON, shards), shards)
+    shard_bits = min(16, (4 * parallelism(df.sparkSession) - 1).bit_length())
+    marked = flagged(df, common_shingles(df, shard_bits), shard_bits)
     sets = cut(shingle_sets(by_ids(texts_of(df), marked, "left_semi")))
     named = sets.groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
     first = cut(named.groupBy("node").agg(F.min(F.struct("doc_id", "rows")).alias("x")).select("node", "x.*"))
