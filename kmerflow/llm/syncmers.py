@@ -161,7 +161,7 @@ def with_next(df: DataFrame) -> DataFrame:
     heads = {r["part"]: r["head"] for r in rows.groupBy("part").agg(F.max("place").alias("head")).collect()}  # a row for each part
     order = sorted(heads)
     before = {heads[p]: order[k - 1] for k, p in enumerate(order)}  # the first part's head follows the last part
-    extra = F.create_map(*[F.lit(x) for h, p in before.items() for x in (h, p)])[F.col("place")] if before else F.lit(None).cast("int")
+    extra = F.create_map(*[x for h, p in before.items() for x in (F.lit(h).cast("long"), F.lit(p))])[F.col("place")] if before else F.lit(None).cast("int")
     dealt = rows.withColumn("to", F.array_compact(F.array(F.struct(F.col("part"), F.lit(False).alias("extra")), F.when(extra.isNotNull(), F.struct(extra.cast("int").alias("part"), F.lit(True).alias("extra"))))))
     dealt = dealt.select("doc_id", "text", "place", F.explode("to").alias("to")).select("doc_id", "text", "place", "to.part", "to.extra")
     return dealt.repartition(n, "part").sortWithinPartitions("part", "extra", F.desc("place"), "text").select("doc_id", "text", "part", "extra")
