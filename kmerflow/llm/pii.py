@@ -3,7 +3,7 @@
 Base kinds are found in the text as it stands. Then a small transducer rewrites disguised stretches - homoglyph and
 full-width letters to ASCII, spelled digits to digits, ``(at)``/``[dot]``/`` at `` ... `` dot `` to ``@`` and ``.`` -
 and keeps for every character it writes the source characters it came from. The same detectors run on the rewritten
-stretch and each find is mapped back to source offsets. Finds that overlap a base span of their kind are dropped.
+stretch and each find is mapped back to source offsets. Finds inside a base span of their kind are dropped.
 
 Only stretches around a disguise are rewritten, so clean text costs one search. Everything is linear in the text.
 Defined results: null or empty text has no spans; repeated rows give repeated results; offsets are code points.
@@ -24,7 +24,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 #: No match can start inside a run of digits whose start failed, so the runs are taken whole.
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
-CARD = re.compile(r"[0-9](?:\x20?[0-9])+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -62,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m.group().split(".")):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
-        digits = m.group().replace(" ", "")
+        digits = m.group().replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
             out.append((m.start(), 2, m.end()))
     if "+" in text:
@@ -91,6 +91,8 @@ NAME = r"[A-Za-z0-9._%+-]{1,64}"
 AT_FORM = r"(?:\x20?[\(\[\{<]\x20?(?:at|@)\x20?[\)\]\}>]\x20?|\x20at\x20|\x20?@\x20?)"
 DOT_FORM = r"(?:\x20?[\(\[\{<]\x20?(?:dot|\.)\x20?[\)\]\}>]\x20?|\x20dot\x20|\.)"
 ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])({NAME}(?:\x20dot\x20{NAME}){{0,3}})({AT_FORM})([A-Za-z0-9-]{{1,63}}(?:{DOT_FORM}[A-Za-z0-9-]{{1,63}}){{1,8}})", re.I | re.A)
+#: After a plain word "at", the last label must be one of these.
+ENDINGS = tuple(f"{d}{e}" for d in (" ", ".", ")", "]", "}", ">") for e in ("com", "org", "net", "edu", "gov", "info", "io", "biz", "de", "fr", "es", "it", "uk", "eu", "co", "us", "ru", "ch", "nl"))
 HINT = re.compile(r"\bdot\b|[\(\[\{<]\x20?(?:at|@|\.)\x20?[\)\]\}>]|\x20@|@\x20", re.I | re.A)
 #: How far around an odd character an identifier may reach.
 REACH = 96
@@ -159,8 +161,8 @@ def hidden_spans(text: str) -> list[tuple[int, int, int]]:
         for m in ADDRESS.finditer(text):
             if m.group(2) == "@" and not DOT.search(m.group(3)):
                 continue
-            if re.fullmatch(r"\x20at\x20", m.group(2), re.I) and not DOT.search(text, m.start(3), m.end(3)):
-                continue  # plain words "x at y.z" are prose
+            if m.group(2).lower() == " at " and not (DOT.search(text, m.start(3), m.end(3)) and m.group(3).lower().endswith(ENDINGS)):
+                continue  # plain words "x at y.z", "x at the dot of" are prose
             out += [x for x in address(text, m).found() if x[1] == 0]
     if not text.isascii():
         reached = -1
@@ -179,12 +181,12 @@ def hidden_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str) -> list[tuple[int, int, int, bool]]:
-    """(start, kind number, end, base) sorted; a hidden span that overlaps another of its kind goes."""
+    """(start, kind number, end, base) sorted; a hidden span inside another of its kind goes."""
     base = base_spans(text)
     taken = {k: [(s, e) for s, kind, e in base if kind == k] for k in range(4)}
     out = [(s, k, e, True) for s, k, e in base]
     for s, k, e in sorted(set(hidden_spans(text)), key=lambda x: (x[0], -x[2], x[1])):
-        if all(e <= a or b <= s for a, b in taken[k]):
+        if not any(a <= s and e <= b for a, b in taken[k]):
             taken[k].append((s, e))
             out.append((s, k, e, False))
     return sorted(out)
