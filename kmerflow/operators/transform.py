@@ -86,7 +86,7 @@ class Power:
                 tried = rows.withColumn("lam", F.explode(F.array(*[F.lit(g) for g in grid])))
             else:
                 around = [half * (2 * k / (steps - 1) - 1) for k in range(steps)]
-                tried = rows.join(best, feature).withColumn("lam", F.col("lam") + F.explode(F.array(*[F.lit(a) for a in around])))
+                tried = rows.join(best.select(feature, "lam"), feature).withColumn("step", F.explode(F.array(*[F.lit(a) for a in around]))).withColumn("lam", F.col("lam") + F.col("step")).drop("step")
             y = yeo_johnson(F.col("value"), F.col("lam"))
             sign = F.signum("value") * F.log1p(F.abs("value"))
             stats = tried.withColumn("y", y).groupBy(feature, "lam").agg(F.count("*").alias("n"), F.var_pop("y").alias("var"), F.avg("y").alias("mean"), F.sum(sign).alias("jac"))

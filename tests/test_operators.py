@@ -161,7 +161,7 @@ def test_no_hits_and_melting(spark):
 def test_predictions(spark):
     p = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.5), (2, "a", 0.9)], "id long, label string, p double")
     assert rows(classify.with_threshold(classify.argmax(p), 0.8)) == [(1, "Unknown", 0.5), (2, "a", 0.9)]
-    assert [r[0] for r in spark.createDataFrame([(0.9,), (0.1,), (0.5,)], "p double").select(classify.binary_band("p")).collect()] == ["1", "0", "Unknown"]
+    assert [r[0] for r in spark.createDataFrame([(0.9,), (0.09,), (0.5,)], "p double").select(classify.binary_band("p")).collect()] == ["1", "0", "Unknown"]
     assert spark.range(1).select(classify.binary_round(F.lit(0.5))).first()[0] == 0
 
 
