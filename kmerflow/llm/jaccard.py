@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, parallelism, texts_of, utf8_buffer
 
 WORDS, CHUNK_BYTES = 5, 4 << 20
-BITMAP_BITS, COMMON = 28, 1 << 27
+BITMAP_BITS, COMMON = 27, 1 << 26
 BLOCK, DEALS, BROADCAST_IDS = 64, 3, 4_000_000
 
 _tables: dict = {}
@@ -147,7 +147,7 @@ def _unsqueezed(packed: bytes):
     return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def common_shingles(df: DataFrame, shard_bits: int, most: int = COMMON) -> bytes:
+def common_shingles(df: DataFrame, shard_bits: int, most: int = COMMON) -> bytearray:
     """A bitmap of ``2 ** BITMAP_BITS`` bits over the hash range: set where a shingle occurs in several texts.
 
     If more than ``most`` shingles repeat, those of the highest document frequency count, so the map never fills up. The
@@ -200,10 +200,10 @@ def common_shingles(df: DataFrame, shard_bits: int, most: int = COMMON) -> bytes
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["shard", "bits"])
 
     size = 1 << (BITMAP_BITS - shard_bits - 3)
-    out = bytearray(1 << (BITMAP_BITS - 3))
+    out = bytearray(1 << (BITMAP_BITS - 3))  # 16 MB
     for r in spread.mapInArrow(mapped, "shard int, bits binary").toLocalIterator():  # the bitmap's size in all
         out[r["shard"] * size : (r["shard"] + 1) * size] = r["bits"]
-    return bytes(out)
+    return out
 
 
 def in_bitmap(bitmap, h):
@@ -217,7 +217,7 @@ def prefix_length(n):
     return n - -(-3 * n // 4) + 1
 
 
-def flagged(df: DataFrame, common: bytes, shard_bits: int) -> DataFrame:
+def flagged(df: DataFrame, common: bytearray, shard_bits: int) -> DataFrame:
     """Distinct ``doc_id`` of the documents that share a prefix shingle with another row."""
     import numpy as np
 
@@ -259,7 +259,9 @@ def flagged(df: DataFrame, common: bytes, shard_bits: int) -> DataFrame:
         return pa.table({"doc_id": pa.array(np.unique(np.concatenate([own, *(np.frombuffer(x.as_py(), np.int64) for x in part["flag"])])))})
 
     rows = texts_of(df).mapInArrow(postings, "shard int, low binary, doc binary, flag binary")
-    return cut(rows.groupBy("shard").applyInArrow(shared_by_two, "doc_id long").distinct())
+    found = cut(rows.groupBy("shard").applyInArrow(shared_by_two, "doc_id long").distinct())
+    shared.destroy()  # the checkpoint has what it was for
+    return found
 
 
 def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -457,10 +459,15 @@ def near_groups(df: DataFrame) -> DataFrame:
         links = links.unionByName(block_links(members.where("blocks > 1"), deal))
     links = cut(links.distinct())
     labels = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    labels = components(links.unionByName(rest_links(members, labels)))
-    named = sets.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("label"))
+    more = cut(rest_links(members, labels))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more)).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    named = sets.select("doc_id", "node").join(labels.withColumnRenamed("doc_id", "node"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("b"))
-    return components(named.join(least, "label").select(F.col("doc_id").alias("a"), "b"))  # an id of several rows may join groups
+    stars = cut(named.join(least, "label").select(F.col("doc_id").alias("node"), F.col("b").alias("component")).distinct())
+    if stars.groupBy("node").count().where("count > 1").isEmpty():
+        return stars.where("node <> component")
+    return components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))  # an id of several rows joins groups
 
 
 def sizes(df: DataFrame) -> DataFrame:
