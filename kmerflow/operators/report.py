@@ -58,7 +58,7 @@ def with_lineage(counts: DataFrame, classes: DataFrame, rank: str, ranks: list[s
     return counts.where(F.col("rank") == rank).select(F.col("label").alias(rank), "n").join(known, rank, "left")
 
 
-def krona_table(counts: DataFrame, classes: DataFrame, ranks: list[str]) -> DataFrame:
+def chart_table(counts: DataFrame, classes: DataFrame, ranks: list[str]) -> DataFrame:
     """``n`` and the levels broad to specific for every rank at hand; write it tab-separated (O1)."""
     tables = [with_lineage(counts, classes, r, ranks) for r in ranks]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).select("n", *reversed(ranks))

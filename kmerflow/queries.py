@@ -826,8 +826,8 @@ def abundance_lineage(spark, d):
 
 
 @query(COUNTS + ", g AS (SELECT DISTINCT genus, family, domain FROM classes) SELECT a.n, g.domain, g.family, a.label AS genus FROM ab a LEFT JOIN g ON a.label = g.genus WHERE a.rank = 'genus' UNION ALL SELECT n, label, NULL, NULL FROM ab WHERE rank = 'domain'", "ranked", "classes")
-def krona_table(spark, d):
-    return report.krona_table(report.abundances(view(spark, d, "ranked")), view(spark, d, "classes"), ["genus", "family", "domain"])
+def chart_table(spark, d):
+    return report.chart_table(report.abundances(view(spark, d, "ranked")), view(spark, d, "classes"), ["genus", "family", "domain"])
 
 
 @query(
