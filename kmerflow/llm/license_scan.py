@@ -29,7 +29,7 @@ THRESHOLD, WINDOW = 0.9, 64
 UPPER = {c: c + 32 for c in range(65, 91)}
 
 #: Phrase -> label.
-PHRASES = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 #: Fixed values: (label, notice), the usual wording of public licenses.
 TEMPLATES = [
@@ -108,14 +108,12 @@ def phrase_places(words: list[str]) -> list[tuple[int, str]]:
     places = []
     for phrase, label in PHRASES.items():
         own = phrase.split()
+        rare = min(range(len(own)), key=lambda k: words.count(own[k]))  # look where the rarest of its words stands
         at = -1
-        try:
-            while True:
-                at = words.index(own[0], at + 1)
-                if words[at : at + len(own)] == own:
-                    places.append((at, label))
-        except ValueError:
-            pass
+        for _ in range(words.count(own[rare])):
+            at = words.index(own[rare], at + 1)
+            if at >= rare and words[at - rare : at - rare + len(own)] == own:
+                places.append((at - rare, label))
     return sorted(places)
 
 
@@ -123,12 +121,12 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
     """``doc_id, n_words, places array<struct<word,label>>, found array<struct<label,containment>>`` for every row."""
     counts = word_counts(df, {w for _, t in templates for w in t.split()})
     index = TemplateIndex(templates, counts, threshold)
-    firsts = [p.split()[0] for p in PHRASES]
+    phrases = [p.split() for p in PHRASES]
 
     def row(doc_id, text):
         text = ascii_lower(text)
         words = WORD.findall(text)
-        places = phrase_places(words) if any(f in text for f in firsts) else []
+        places = phrase_places(words) if any(all(w in text for w in p) for p in phrases) else []
         found: dict[str, float] = {}
         if any(w in text for w in index.prefix):
             for block in blocks_of(text):

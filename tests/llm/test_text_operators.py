@@ -8,7 +8,7 @@ import pytest
 
 from kmerflow.llm import license_scan, pii, queries, secrets
 
-ROWS = [(1, None), (2, ""), (3, "Released under the MIT License. mit license"), (3, "Released under the MIT License. mit license"), (4, "x" * 200_000), (None, "cc by-nc"), (5, "mail a.b@c.example.org or joe (at) mail (dot) example (dot) com")]
+ROWS = [(1, None), (2, ""), (3, "Released under the MIT License. mit license, under, the mit LICENSE"), (3, "Released under the MIT License. mit license, under, the mit LICENSE"), (4, "x" * 200_000), (None, "cc by-nc"), (5, "mail a.b@c.example.org or joe (at) mail (dot) example (dot) com")]
 
 
 @pytest.fixture(scope="module")
@@ -24,12 +24,20 @@ def test_licenses(docs):
         by.setdefault(r["doc_id"], []).append(r)
     assert [by[i][0]["n_words"] for i in (1, 2, 4)] == [0, 0, 1]
     assert by[3][0] == by[3][1] and by[3][0]["n_base"] == 2
-    assert (by[3][0]["first_word"], by[3][0]["last_word"]) == (3, 5)
+    assert (by[3][0]["first_word"], by[3][0]["last_word"]) == (1, 7)
     assert by[3][0]["labels"] == "mit" and by[3][0]["score"] == 1.0
     assert by[None][0]["base_labels"] == "cc-by-nc"
     assert by[1][0]["first_word"] is None and by[1][0]["labels"] == "" and by[1][0]["score"] == 0.0
 
 
+def test_places_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        words = [rng.choice("under the mit license apache version 2 cc by nc x".split()) for _ in range(rng.randint(0, 60))]
+        want = sorted((k, label) for p, label in license_scan.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split())
+        assert license_scan.phrase_places(words) == want
+
+
 def test_template_search_equals_brute_force():
     rng = random.Random(3)
     counts = {w: rng.randint(0, 99) for _, t in license_scan.TEMPLATES for w in t.split()}
