@@ -95,16 +95,26 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+EDGES_PER_TASK = 250_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``edges(a long, b long)``: ``(node, component)``, component = smallest node.
+    """Connected components of undirected ``edges(a long, b long)``: ``(node, component)`` of all nodes but the smallest
+    of each component, component = smallest node.
 
-    Alternating large-star and small-star steps on DataFrames. Each step pre-aggregates the smallest neighbour on the
-    map side, so a node with very many edges never meets in one task. Lineage is cut after every round.
+    While there are more than ``EDGES_PER_TASK`` edges, alternating large-star and small-star steps on DataFrames bring
+    every node nearer to its smallest; each step pre-aggregates the smallest neighbour on the map side, so a node with
+    very many edges never meets in one task. What fits a task of that size is united there. Lineage is cut every round.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = cut(e)
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(rounds):
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        if now[0] <= EDGES_PER_TASK:
+            return e.coalesce(1).mapInArrow(united, "node long, component long")
+        before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         # large star: neighbours greater than u point to the smallest in u's neighbourhood
@@ -113,8 +123,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges of one task."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "component"])

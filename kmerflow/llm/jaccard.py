@@ -449,7 +449,7 @@ def near_groups(df: DataFrame) -> DataFrame:
     reps = reps.select(F.col("node").alias("doc_id"), "n", "tokens")
     prefixes = cut(rare_prefixes(reps))
     firsts = prefixes.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("held")).where("held > 1").drop("held")
-    candidates = components(prefixes.join(firsts, "token").select(F.col("doc_id").alias("a"), "b"))
+    candidates = cut(components(prefixes.join(firsts, "token").select(F.col("doc_id").alias("a"), "b")))
     candidates = candidates.unionByName(candidates.select(F.col("component").alias("node"), "component").distinct())
     sized = candidates.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     members = candidates.join(sized, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cand"), "blocks")
@@ -458,10 +458,10 @@ def near_groups(df: DataFrame) -> DataFrame:
     for deal in range(1, DEALS):
         links = links.unionByName(block_links(members.where("blocks > 1"), deal))
     links = cut(links.distinct())
-    labels = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    labels = cut(components(links)).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     more = cut(rest_links(members, labels))
     if not more.isEmpty():
-        labels = components(links.unionByName(more)).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+        labels = cut(components(links.unionByName(more))).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     named = sets.select("doc_id", "node").join(labels.withColumnRenamed("doc_id", "node"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("b"))
     stars = cut(named.join(least, "label").select(F.col("doc_id").alias("node"), F.col("b").alias("component")).distinct())

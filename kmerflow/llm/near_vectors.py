@@ -152,7 +152,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     for number in range(passes_for(total, threshold)):
         found = one_pass(reps, number, dimension["d"], threshold)
         links = found if links is None else links.unionByName(found)
-    parts = components(links)
+    parts = cut(components(links))
     parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
     members = reps.join(parts, "node").select("node", "n", "v", F.col("component").alias("part"))
     counted = count_links(members, threshold)

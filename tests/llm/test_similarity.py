@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from kmerflow.llm import jaccard, near_vectors, syncmers
+from kmerflow.llm import common, jaccard, near_vectors, syncmers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -127,6 +127,7 @@ def near_rows(seed, n=40):
 @pytest.mark.parametrize("block", [4, 64])
 def test_groups_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(common, "EDGES_PER_TASK", 0 if block == 4 else 250_000)
     rows = near_rows(block)
     df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, node int, component string").repartition(5)
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_groups(df).collect()), key=str)
@@ -136,6 +137,14 @@ def test_groups_equal_brute_force(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for i, _, c in got if i is not None})
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "EDGES_PER_TASK", most)
+    edges = [(5, 3), (3, 5), (3, 9), (9, 1), (20, 21), (22, 21), (30, 30), *((100 + k, 101 + k) for k in range(40))]
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {5: 1, 3: 1, 9: 1, 21: 20, 22: 20} | {101 + k: 100 for k in range(40)}
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join_groups(df).count() == 0 and jaccard.keep_one(df).count() == 0
