@@ -1,12 +1,13 @@
 """Embedding near-dedup by sorted projection passes.
 
 1. Vectors are brought to length one in double precision; equal vectors become one row with a count.
-2. A pass draws random hyperplanes, writes each vector's signs as one key, sorts all rows by that key and then by two
-   projections, and compares each row with the ``WINDOW`` rows before it. Links that join parts not joined before are
-   kept, and passes are united by connected components. As many passes are made as bring the chance to miss a pair at
-   the threshold below ``MISS``, reckoned from the number of rows: the sort separates rows by about log2(rows / window)
-   signs, and two vectors at angle t share each with probability 1 - t / pi.
-3. Exact rest: windows see only some links of a dense group. The rows of each part are packed in blocks of ``BLOCK``
+2. A first few passes sort all rows by the signs towards random hyperplanes and compare each with the ``WINDOW`` rows
+   before it. They only bring most linked rows together cheaply; nothing below relies on them.
+3. A bucket pass gives each row the first ``depth_for`` signs of further hyperplanes and compares all rows of equal signs,
+   however many: buckets of up to ``DENSE`` rows in one task, larger ones in blocks of ``BLOCK`` rows, leaving out
+   pairs of rows that are joined already. Two vectors at angle t share each sign with probability 1 - t / pi whatever
+   else the table holds, so as many passes are made as bring the chance to miss a pair at the threshold below ``MISS``.
+4. Exact rest: passes see only some links of a dense group. The rows of each part are packed in blocks of ``BLOCK``
    rows; pairs of blocks are compared whole and every link is counted, none emitted. A pair of rows counts if its cosine
    is at least the threshold, computed in double precision.
 
@@ -18,20 +19,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, parallelism
 
-THRESHOLD, WINDOW, MISS, BITS, BLOCK = 0.95, 24, 1e-4, 48, 64
+THRESHOLD, WINDOW, MISS, BITS, BLOCK = 0.95, 24, 1e-6, 48, 64
+WARM, BUCKET, DENSE, AT_ONCE, FEW = 4, 256, 1024, 4, 100_000
 
 
-def passes_for(rows: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
-    share = 1 - math.acos(threshold) / math.pi
-    found = share ** max(1.0, math.log2(max(2, rows / window)) + 1)
-    return max(4, math.ceil(math.log(miss) / math.log(1 - found)))
+def depth_for(rows: int, bucket: int = BUCKET) -> int:
+    """Signs of a bucket, so that evenly spread rows come to ``bucket`` or fewer in each; 0: all rows in one."""
+    return min(BITS, math.ceil(math.log2(max(1.0, rows / bucket))))
+
+
+def passes_for(rows: int, threshold: float = THRESHOLD, bucket: int = BUCKET, miss: float = MISS) -> int:
+    found = (1 - math.acos(threshold) / math.pi) ** depth_for(rows, bucket)
+    return 1 if found == 1 else max(1, math.ceil(math.log(miss) / math.log(1 - found)))
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -103,6 +110,117 @@ def one_pass(reps: DataFrame, number: int, dimension: int, threshold: float = TH
     return made.select("node", "v").mapInArrow(compared, "a long, b long")
 
 
+def signed(placed: DataFrame, numbers: list[int], depth: int, dimension: int, vectors: bool = True) -> DataFrame:
+    """``bucket, node, part`` and, if wanted, ``v``: each row once for each pass of ``numbers``."""
+    import numpy as np
+
+    names = ["bucket", "node", "part", "v"][: 4 if vectors else 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = [(k, planes(k, dimension)[:, :depth]) for k in numbers]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = matrix(batch.column(2))
+            for k, p in drawn:
+                key = ((rows @ p > 0) @ (1 << np.arange(depth, dtype=np.int64))).astype(np.int64) + (k << BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns[: len(names) - 1]], names=names)
+
+    return placed.select("node", "part", "v").mapInArrow(run, "bucket long, node long, part long" + (", v array<double>" if vectors else ""))
+
+
+def small_buckets(rows: DataFrame, dimension: int, threshold: float) -> DataFrame:
+    """Links ``a, b`` between parts: all rows of a bucket of up to ``DENSE`` rows with each other, in one task."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, parts, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dimension))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(keys)
+            keys, parts = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([parts, batch.column(2).to_numpy()])
+            rows = np.concatenate([rows, matrix(batch.column(3))])
+            starts, out = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), []
+            for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if hi <= old or hi - lo < 2:
+                    continue
+                new = max(lo, old)
+                x, y = np.nonzero(rows[lo:hi] @ rows[new:hi].T >= threshold)
+                x, y = parts[lo + x], parts[new + y]
+                if (apart := x != y).any():
+                    out.append(np.stack([x[apart], y[apart]], 1))
+            start = np.searchsorted(keys, keys[-1])  # keys are sorted: only the last bucket goes on
+            keys, parts, rows = keys[start:], parts[start:], rows[start:]
+            if out:
+                links = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    n = parallelism(rows.sparkSession)
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+
+
+def dense_buckets(rows: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between parts: all rows of larger buckets with each other, in pairs of blocks.
+
+    ``cells``: bucket, part, m of these buckets. A part of ``BLOCK`` rows or more has blocks of its own, which are not
+    compared with each other; the other parts share blocks.
+    """
+    import numpy as np
+
+    big = F.col("m") >= BLOCK
+    cells = cells.withColumn("k", F.when(big, F.ceil(F.col("m") / F.lit(BLOCK))).otherwise(0))
+    shared = cells.groupBy("bucket").agg(F.ceil(F.sum(F.when(~big, F.col("m")).otherwise(0)) / F.lit(BLOCK)).alias("shared"))
+    before = F.sum("k").over(Window.partitionBy("bucket").orderBy("part")) - F.col("k")
+    own = cells.where(big).withColumn("before", before).select("bucket", "part", "k", "before")
+    dealt = rows.join(shared, "bucket").join(own, ["bucket", "part"], "left")
+    first = F.col("shared") + F.col("before")
+    dealt = dealt.select(
+        "bucket",
+        "part",
+        "v",
+        F.when(F.col("k").isNull(), F.pmod(F.xxhash64("part"), F.col("shared"))).otherwise(first + F.pmod(F.xxhash64("node"), F.col("k"))).alias("block"),
+        F.coalesce(first - 1, F.lit(-2)).alias("upto"),  # -2: a shared block
+    )
+    packed = dealt.groupBy("bucket", "block", "upto").agg(F.collect_list(F.struct("part", "v")).alias("rows"))
+    packed = cut(packed.select("bucket", "block", F.when(F.col("upto") == -2, F.col("block")).otherwise(F.col("upto")).alias("upto"), "rows.part", F.flatten("rows.v").alias("v")))
+    left = packed.where("upto >= 0").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("upto")))).select("bucket", F.col("other").alias("with"), F.col("part").alias("pa"), F.col("v").alias("va"))
+    right = packed.select("bucket", F.col("block").alias("with"), F.col("part").alias("pb"), F.col("v").alias("vb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, va, b, vb = (batch.column(c)[k].values.to_numpy() for c in range(4))
+                near = np.argwhere((unit(va, len(a)) @ unit(vb, len(b)).T >= threshold) & (a[:, None] != b[None, :]))
+                if len(near):
+                    links = np.unique(np.stack([a[near[:, 0]], b[near[:, 1]]], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    return left.join(right, ["bucket", "with"]).select("pa", "va", "pb", "vb").mapInArrow(run, "a long, b long")
+
+
+def bucket_passes(placed: DataFrame, numbers: list[int], depth: int, dimension: int, threshold: float) -> DataFrame:
+    """Links ``a, b`` between parts of all pairs of rows that share a bucket in one of the passes; ``placed``: node, part, v."""
+    cells = signed(placed, numbers, depth, dimension, vectors=False).groupBy("bucket", "part").agg(F.count("*").alias("m"))
+    sizes = cells.groupBy("bucket").agg(F.sum("m").alias("n"), F.count("*").alias("parts"))
+    dense = cut(sizes.where(F.col("n") > DENSE))
+    many = dense.count()
+    rows = signed(placed, numbers, depth, dimension)
+    if not many:
+        return cut(small_buckets(rows, dimension, threshold).distinct())
+    sent = F.broadcast if many <= FEW else lambda x: x
+    out = cut(small_buckets(rows.join(sent(dense.select("bucket")), "bucket", "left_anti").select("bucket", "node", "part", "v"), dimension, threshold).distinct())
+    mixed = sent(dense.where("parts > 1").select("bucket"))
+    return out.unionByName(cut(dense_buckets(rows.join(mixed, "bucket", "left_semi"), cells.join(mixed, "bucket", "left_semi"), threshold).distinct()))
+
+
+def unit(v, rows: int):
+    import numpy as np
+
+    m = v.reshape(rows, -1)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
 def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``node, links``: for each row of a part how many rows, by count, of the same part are linked with it."""
     import numpy as np
@@ -129,13 +247,14 @@ def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     out = [(a, linked @ nb), (b, na @ linked)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]).astype(np.int64))], names=["node", "links"])
 
-    def unit(v, rows: int):
-        m = v.reshape(rows, -1)
-        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
-
     return pairs.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def whole(parts: DataFrame) -> DataFrame:
+    """The components with the smallest node of each as well."""
+    return parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
+
+
 def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
     rows = usable(df, id_col, vector_col)
@@ -148,12 +267,15 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     rows = rows.where(F.size("v") == dimension["d"]).withColumn("v", scaled)
     named = rows.withColumn("node", F.xxhash64("v"))
     reps = cut(named.groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.first("v").alias("v")))
-    links, total = None, reps.count()
-    for number in range(passes_for(total, threshold)):
-        found = one_pass(reps, number, dimension["d"], threshold)
-        links = found if links is None else links.unionByName(found)
-    parts = cut(components(links))
-    parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
+    total, d = reps.count(), dimension["d"]
+    links = cut(reduce(DataFrame.unionByName, [one_pass(reps, k, d, threshold) for k in range(WARM)]))
+    placed = reps.select("node", "v").join(whole(cut(components(links))), "node", "left").select("node", F.coalesce("component", "node").alias("part"), "v")
+    placed, depth = cut(placed), depth_for(total)
+    numbers = range(WARM, WARM + passes_for(total, threshold))
+    for k in range(0, len(numbers), AT_ONCE):
+        links = links.unionByName(bucket_passes(placed, list(numbers[k : k + AT_ONCE]), depth, d, threshold))
+    # a link between parts joins their names, which are nodes
+    parts = whole(cut(components(links)))
     members = reps.join(parts, "node").select("node", "n", "v", F.col("component").alias("part"))
     counted = count_links(members, threshold)
     labels = reps.join(parts, "node", "left").select("node", "n", "first", F.coalesce("component", "node").alias("part"))

@@ -196,3 +196,42 @@ def test_vectors_equal_brute_force(spark):
     for i in (503, 504, 505, 506, 507, 508, 509):
         assert got[i] == (0, i, True)
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def brute_links(rows, threshold=0.95):
+    v = np.array([x for _, x in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    linked = v @ v.T >= threshold
+    np.fill_diagonal(linked, False)
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(*np.nonzero(linked), strict=True):
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
+    return {i: (int(linked[k].sum()), rows[top(k)][0]) for k, (i, _) in enumerate(rows)}
+
+
+def pairs_in_a_cone(rng, pairs, others, near, d=64, spread=1 / 3):
+    """Rows at a cosine of about 0.9 with each other, some with a partner at about 0.953."""
+    axis = rng.normal(size=d)
+    axis /= np.linalg.norm(axis)
+    residue = lambda n: rng.normal(size=(n, d)) / math.sqrt(d) * spread
+    own = residue(pairs + others)
+    also = own[:pairs] * near + residue(pairs) * math.sqrt(1 - near * near)
+    return [(k, x.astype(np.float32).tolist()) for k, x in enumerate(rng.permutation(np.concatenate([own, also]) + axis))]
+
+
+def answer(df):
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(df).collect()}
+
+
+def test_pairs_in_a_dense_cone(spark):
+    rows = pairs_in_a_cone(np.random.default_rng(5), 150, 1700, 0.54)
+    want = brute_links(rows)
+    assert sum(n > 0 for n, _ in want.values()) > 150
+    assert answer(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)) == want
