@@ -173,8 +173,17 @@ def random_hit(best: DataFrame, seed: int = 0) -> DataFrame:
     return best.groupBy("query").agg(F.max_by(F.struct("taxon", "score"), F.xxhash64(F.lit(seed), "query", "taxon", "pos")).alias("x")).select("query", "x.*")
 
 
-def members(hits: DataFrame, max_members: int = 10_000) -> DataFrame:
-    """``taxon, members``: query ids at each node, the first ``max_members`` in order."""
+def members(hits: DataFrame, page: int = 10_000) -> DataFrame:
+    """``taxon, page, members``: all query ids at each node in order, in pages numbered from 0 of ``page`` ids.
+
+    Ids are ranked in ranges of the table sorted by taxon and id, so that a taxon of any size is spread over tasks.
+    """
     own = hits.select("taxon", "query").distinct()
-    ranked = own.withColumn("_n", F.row_number().over(Window.partitionBy("taxon").orderBy("query"))).where(F.col("_n") <= max_members)
-    return ranked.groupBy("taxon").agg(F.array_sort(F.collect_list("query")).alias("members"))
+    n = max(1, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = cut(own.repartitionByRange(n, "taxon", "query").withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("taxon", "_range").agg(F.count("*").alias("n"))
+    before = counts.select("taxon", "_range", (F.sum("n").over(Window.partitionBy("taxon").orderBy("_range")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("taxon", "_range").orderBy("query")) - 1
+    ranked = dealt.withColumn("_n", rank).join(before, ["taxon", "_range"])
+    ranked = ranked.select("taxon", "query", F.floor((F.col("_n") + F.col("before")) / F.lit(page)).alias("page"))
+    return ranked.groupBy("taxon", "page").agg(F.array_sort(F.collect_list("query")).alias("members"))

@@ -477,7 +477,10 @@ def taxon_containment(spark, d):
 
 @query("SELECT taxon, string_agg(CAST(query AS VARCHAR), ',' ORDER BY query) AS members FROM (SELECT DISTINCT taxon, query FROM hits) GROUP BY 1", "hits")
 def node_members(spark, d):
-    return taxonomy.members(view(spark, d, "hits"), 1_000_000).select("taxon", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    # one row a taxon, as the SQL has it; the pages themselves have no such row
+    pages = taxonomy.members(view(spark, d, "hits")).select("taxon", "page", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("ids"))
+    whole = pages.groupBy("taxon").agg(F.array_sort(F.collect_list(F.struct("page", "ids"))).alias("pages"))
+    return whole.select("taxon", F.array_join("pages.ids", ",").alias("members"))
 
 
 # set operations, samples, order

@@ -284,3 +284,12 @@ def test_entry_without_the_training_operators(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(__spark_entry__)
+
+
+def test_members_keep_every_query(spark):
+    from kmerflow.operators import taxonomy
+
+    rows = [(7, q) for q in range(12_345)] + [(8, q) for q in (3, 1, 3)]
+    got = taxonomy.members(spark.createDataFrame(rows, "taxon int, query long").repartition(3)).collect()
+    by = {t: [r["members"] for r in sorted(got, key=lambda r: r["page"]) if r["taxon"] == t] for t in (7, 8)}
+    assert [len(m) for m in by[7]] == [10_000, 2_345] and sum(by[7], []) == list(range(12_345)) and by[8] == [[1, 3]]
