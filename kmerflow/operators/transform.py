@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .stats import document_frequency, extremes, label_index, moments
 
 
@@ -69,29 +70,46 @@ def yeo_johnson(x, lam):
 class Power:
     """Yeo-Johnson per feature with the likeliest lambda, then standardized (M4). Takes dense rows, zeros included.
 
-    The likelihood of each lambda of a grid is one aggregate; the grid is refined around the best for ``rounds`` rounds.
+    The likelihood of each lambda of a grid is one aggregate. Where the best lies at an end, the grid goes on beyond it, up
+    to ``widen`` times; then it is refined around the best, so that there are ``rounds`` rounds in all.
     """
 
     fitted: DataFrame
     feature: str
 
     @classmethod
-    def fit(cls, dense: DataFrame, feature: str = "feature_idx", low: float = -2.0, high: float = 4.0, steps: int = 13, rounds: int = 1) -> Power:
+    def fit(cls, dense: DataFrame, feature: str = "feature_idx", low: float = -2.0, high: float = 4.0, steps: int = 13, rounds: int = 4, widen: int = 20) -> Power:
         rows = dense.select(feature, "value")
-        grid = [low + (high - low) * k / (steps - 1) for k in range(steps)]
-        best = None
-        for turn in range(rounds):
-            half = (high - low) / (steps - 1) ** (turn or 1)
-            if best is None:
-                tried = rows.withColumn("lam", F.explode(F.array(*[F.lit(g) for g in grid])))
-            else:
-                around = [half * (2 * k / (steps - 1) - 1) for k in range(steps)]
-                tried = rows.join(best.select(feature, "lam"), feature).withColumn("step", F.explode(F.array(*[F.lit(a) for a in around]))).withColumn("lam", F.col("lam") + F.col("step")).drop("step")
+        step = (high - low) / (steps - 1)
+
+        def likeliest(tried: DataFrame) -> DataFrame:
             y = yeo_johnson(F.col("value"), F.col("lam"))
             sign = F.signum("value") * F.log1p(F.abs("value"))
             stats = tried.withColumn("y", y).groupBy(feature, "lam").agg(F.count("*").alias("n"), F.var_pop("y").alias("var"), F.avg("y").alias("mean"), F.sum(sign).alias("jac"))
-            score = F.when(F.col("var") > 0, -F.col("n") / 2 * F.log("var") + (F.col("lam") - 1) * F.col("jac")).otherwise(F.lit(float("-inf")))
-            best = stats.withColumn("score", score).groupBy(feature).agg(F.max_by(F.struct("lam", "mean", "var"), F.struct("score", -F.abs("lam"))).alias("b")).select(feature, "b.*")
+            usable = (F.col("var") > 0) & ~F.isnan("var") & (F.col("var") < float("inf"))
+            score = F.when(usable, -F.col("n") / 2 * F.log("var") + (F.col("lam") - 1) * F.col("jac")).otherwise(F.lit(float("-inf")))
+            return stats.withColumn("score", score).groupBy(feature).agg(F.max_by(F.struct("lam", "mean", "var"), F.struct("score", -F.abs("lam"))).alias("b")).select(feature, "b.*")
+
+        def beside(best: DataFrame, offsets: list) -> DataFrame:
+            tried = rows.join(best, feature).withColumn("step", F.explode(F.array(*offsets)))
+            return tried.withColumn("lam", F.col("lam") + F.col("step")).drop("step")
+
+        best = likeliest(rows.withColumn("lam", F.explode(F.array(*[F.lit(low + step * k) for k in range(steps)]))))
+        ends = F.when(F.col("lam") <= low, F.lit(-1.0)).when(F.col("lam") >= high, F.lit(1.0))
+        if widen:
+            best = cut(best.withColumn("side", ends))
+        for _ in range(widen):
+            at_end = best.where("side is not null")
+            if at_end.isEmpty():
+                break
+            start = at_end.select(feature, F.col("lam").alias("from"), "side")
+            further = likeliest(beside(at_end.select(feature, "lam", "side"), [F.col("side") * step * k for k in range(steps)])).join(start, feature)
+            still = F.abs(F.col("lam") - F.col("from")) > step * (steps - 1.5)
+            best = cut(best.where("side is null").unionByName(further.withColumn("side", F.when(still, F.col("side"))).drop("from")))
+        best = best.drop("side")
+        for _ in range(rounds - 1):
+            best = likeliest(beside(best.select(feature, "lam"), [F.lit(step * (2 * k / (steps - 1) - 1)) for k in range(steps)]))
+            step *= 2 / (steps - 1)
         return cls(best, feature)
 
     def transform(self, dense: DataFrame) -> DataFrame:

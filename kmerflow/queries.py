@@ -571,7 +571,8 @@ YJ = "CASE WHEN value >= 0 THEN CASE WHEN abs(lam) < 1e-9 THEN ln(1 + value) ELS
     SELECT feature_idx, round(lam, 6) AS lam FROM best"""
 )
 def power_lambdas(spark, d):
-    return transform.Power.fit(dense(spark, d)).fitted.select("feature_idx", *r6("lam"))
+    # the SQL has the first grid only
+    return transform.Power.fit(dense(spark, d), rounds=1, widen=0).fitted.select("feature_idx", *r6("lam"))
 
 
 @query(PROFILE + " SELECT id, CAST(CAST('0x' || substr(md5(kmer), 1, 8) AS BIGINT) % 16 AS BIGINT) AS bucket, sum(value) AS value FROM prof GROUP BY 1, 2", "dna")

@@ -293,3 +293,22 @@ def test_members_keep_every_query(spark):
     got = taxonomy.members(spark.createDataFrame(rows, "taxon int, query long").repartition(3)).collect()
     by = {t: [r["members"] for r in sorted(got, key=lambda r: r["page"]) if r["taxon"] == t] for t in (7, 8)}
     assert [len(m) for m in by[7]] == [10_000, 2_345] and sum(by[7], []) == list(range(12_345)) and by[8] == [[1, 3]]
+
+
+def test_power_is_likeliest(spark):
+    rng = np.random.default_rng(2)
+    own = [rng.exponential(size=200), rng.normal(size=200), 0.02 * rng.exponential(size=200) ** 2, np.ones(200)]
+
+    def score(x, lam):
+        with np.errstate(all="ignore"):
+            up = np.log1p(np.abs(x)) if abs(lam) < 1e-9 else ((np.abs(x) + 1) ** lam - 1) / lam
+            down = -np.log1p(np.abs(x)) if abs(lam - 2) < 1e-9 else -((np.abs(x) + 1) ** (2 - lam) - 1) / (2 - lam)
+        return -len(x) / 2 * np.log(np.where(x >= 0, up, down).var()) + (lam - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+
+    grid = np.arange(-40, 10, 0.002)
+    want = [grid[np.argmax([score(x, lam) for lam in grid])] for x in own[:3]]
+    assert want[2] < -2.5
+    dense = spark.createDataFrame([(k, float(v)) for k, x in enumerate(own) for v in x], "feature_idx int, value double")
+    got = {r["feature_idx"]: r["lam"] for r in transform.Power.fit(dense).fitted.collect()}
+    assert all(abs(got[k] - want[k]) < 0.005 for k in range(3)), (got, want)
+    assert len(got) == 4
