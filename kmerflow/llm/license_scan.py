@@ -1,6 +1,7 @@
 """License scan: exact set-similarity join of text blocks with license templates, plus consecutive phrases.
 
-A block is a line; a line of more than ``WINDOW`` words counts as windows of that many words, each half over the last.
+A block is a line; a line of more than ``WINDOW`` words counts as windows of that many words, each half over the last. So
+does the whole text, across its line breaks, as notices are wrapped.
 A template is found in a block when the block holds at least ``THRESHOLD`` of the template's distinct words. Words are
 ordered by how often the whole corpus uses them, rarest first; a block is compared with a template only if
 
@@ -95,8 +96,8 @@ class TemplateIndex:
 
 
 def blocks_of(text: str, window: int = WINDOW) -> Iterator[list[str]]:
-    for line in text.split("\n"):
-        words = WORD.findall(line)
+    lines = [words for line in text.split("\n") if (words := WORD.findall(line))]
+    for words in [*lines, [w for words in lines for w in words]] if len(lines) > 1 else lines:
         if len(words) <= window:
             yield words
         else:

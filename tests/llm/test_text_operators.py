@@ -127,3 +127,13 @@ def test_queries_cover_whole_tables(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name in ("op2_license_scan", "op5_pii_spans", "op8_secret_scan"):
         assert queries.queries()[name](spark, sf).count() == n
+
+
+def test_wrapped_notice_is_found(spark):
+    gpl = "# You can redistribute it and/or modify it under the\n# terms of the GNU General Public License as\n#   published by the Free Software Foundation\n"
+    bsd = "x = 1\n * Redistribution and use in source and binary forms, with or\r\n * without modification, are permitted provided that\n *\n * the following conditions are met:\n"
+    texts = [gpl, bsd, "word " * 90 + "\n" + gpl + "word\n" * 200, "terms of the\nGNU license\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in license_scan.license_digest(license_scan.scan_licenses(df)).collect()}
+    assert [rows[k]["labels"] for k in range(4)] == ["gpl-3", "bsd", "gpl-3", ""]
+    assert rows[0]["score"] == rows[1]["score"] == rows[2]["score"] == 1.0
