@@ -1,9 +1,10 @@
 """Secret scan: fixed forms, then novelty against a dictionary-primed zstandard compressor.
 
 Fixed forms (assign, access, hex) are the base. For the rest, candidates are unbroken strings of key characters near a
-word of a sensitive context. A candidate's novelty is what it adds to the compressed size of its surroundings, with a
+word of a sensitive context, before or behind it, of any length. A candidate's novelty is what it adds to the compressed size of its surroundings, with a
 dictionary of identifiers and the surrounding text as the compressor's history: names, paths and words compress well,
-random keys do not. A candidate of at least ``MIN_BITS`` added bits a character is reported as kind ``novel``.
+random keys do not. A candidate of at least ``MIN_BITS`` added bits a character, long ones in any of their parts of up to
+``PART`` characters, is reported as kind ``novel``, together with the lines of key characters right before and after it.
 
 Defined results: null or empty text has no spans; repeated rows give repeated results; offsets are code points.
 """
@@ -11,6 +12,8 @@ Defined results: null or empty text has no spans; repeated rows give repeated re
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +27,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words whose neighbourhood may hold a secret.
 CONTEXT = re.compile(r"(?:passw|secret|token|api.?key|credential|private.?key|access.?key|auth|bearer|signature|client.?id|pwd)", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,512}")
-NEAR, AROUND, MIN_BITS = 64, 256, 4.5
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: A line of key characters alone, after or before another; shorter ones only as the end of a block.
+NEXT_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/_=.-]+)(?=[\x20\t]*(?:\r?\n|\Z))")
+LINE = re.compile(r"[\x20\t]*([A-Za-z0-9+/_=.-]{16,})[\x20\t\r]*")
+END_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*-----END")
+NEAR, AROUND, MIN_BITS, PART = 64, 256, 4.5, 512
 #: What code and configuration are full of, as the compressor's history.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_id client_secret credential authorization bearer "
@@ -59,22 +66,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Whole runs of key characters near a context word; a run that holds the word first met is cut before it."""
+    words = [m.span() for m in CONTEXT.finditer(text)]
+    runs = [m.span() for m in CANDIDATE.finditer(text)] if words else []
+    ends, at = [e for _, e in runs], 0
+    for left, right in words:
+        at = max(at, bisect_left(ends, left - NEAR))
+        while at < len(runs) and runs[at][0] <= right + NEAR:
+            s, e = runs[at]
+            at += 1
+            for piece in ((s, left), (left, e)) if s < left < e else ((s, e),):
+                if piece[1] - piece[0] >= 16:
+                    yield piece
+
+
+def mixed(own: str) -> bool:
+    return any(c.isdigit() for c in own) + any(c.islower() for c in own) + any(c.isupper() for c in own) >= 2
+
+
+def is_novel(text: str, s: int, e: int) -> bool:
+    around = (text[max(0, s - AROUND) : s] + text[e : e + AROUND]).encode()
+    size = -(-(e - s) // -(-(e - s) // PART))
+    return any(added_bits(around, text[k : min(e, k + size)].encode()) >= MIN_BITS for k in range(s, e, size))
+
+
+def carried_on(text: str, s: int, e: int) -> tuple[int, int]:
+    """The span with the lines of key characters right before and after it."""
+    while m := NEXT_LINE.match(text, e):
+        own = m.group(1)
+        if not (mixed(own) if len(own) >= 16 else own.endswith("=") or END_LINE.match(text, m.end(1))):
+            break
+        e = m.end(1)
+    while (start := text.rfind("\n", 0, s)) >= 0 and not text[start + 1 : s].strip("\x20\t"):
+        m = LINE.fullmatch(text, text.rfind("\n", 0, start) + 1, start)
+        if not m or not mixed(m.group(1)):
+            break
+        s = m.start(1)
+    return s, e
+
+
 def novel_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out, done = [], -1
-    for word in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, word.start(), 0), min(len(text), word.end() + NEAR + 512)):
-            if m.start() > word.end() + NEAR:
-                break
-            if m.end() <= done:
-                continue
-            done = m.end()
-            own = m.group()
-            kinds = any(c.isdigit() for c in own) + any(c.islower() for c in own) + any(c.isupper() for c in own)
-            if kinds < 2 or not any(c.isdigit() for c in own) or any(s < m.end() and m.start() < e for s, e in taken):
-                continue
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            if added_bits(around.encode(), own.encode()) >= MIN_BITS:
-                out.append((m.start(), m.end()))
+    out: list[tuple[int, int]] = []
+    for s, e in candidates(text):
+        own = text[s:e]
+        if out and s < out[-1][1] or not mixed(own) or not any(c.isdigit() for c in own) or any(x < e and s < y for x, y in taken):
+            continue
+        if is_novel(text, s, e):
+            out.append(carried_on(text, s, e))
     return out
 
 
