@@ -235,3 +235,18 @@ def test_pairs_in_a_dense_cone(spark):
     want = brute_links(rows)
     assert sum(n > 0 for n, _ in want.values()) > 150
     assert answer(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)) == want
+
+
+def test_vectors_of_more_partitions_than_windows(spark):
+    rng = np.random.default_rng(9)
+    own = rng.normal(size=(60, 32))
+    also = own * 0.954 + rng.normal(size=(60, 32)) * math.sqrt(1 - 0.954**2)
+    rows = [(k, x.astype(np.float32).tolist()) for k, x in enumerate(rng.permutation(np.concatenate([own, also])))]
+    want = brute_links(rows)
+    assert sum(n > 0 for n, _ in want.values()) > 40
+    df, before = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        assert answer(df) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
