@@ -65,11 +65,13 @@ def utf8_buffer(column: pa.Array):
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's shared folder; sets a folder only where none is configured, as in tests."""
+    """Keeps the cluster's shared folder. In local mode, as in tests, a folder of its own does; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
@@ -95,6 +97,26 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+SHARE = 64
+
+
+def hot_join(rows: DataFrame, per_key: DataFrame, key: str, weight: str, salt: str, how: str = "inner") -> DataFrame:
+    """``rows.join(per_key, key, how)`` where a key may hold much of ``rows``.
+
+    ``per_key`` has one row for each key and in ``weight`` how many rows have it. Fewer than ``SHARE`` keys can hold more
+    than that part of all rows: these are sent to all tasks, and rows of such a key are dealt over ``SHARE`` tasks by a
+    hash of the column ``salt``.
+    """
+    per_key = cut(per_key)
+    total = per_key.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(per_key.where(F.col(weight) * SHARE > F.lit(total)).select(key, F.lit(True).alias("_hot")))
+    one = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt), F.lit(SHARE)).cast("int")).otherwise(F.lit(0))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SHARE - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, key, "left").withColumn("_salt", one).drop("_hot")
+    right = per_key.drop(weight).join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 EDGES_PER_TASK = 250_000
 
 
@@ -103,27 +125,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     of each component, component = smallest node.
 
     While there are more than ``EDGES_PER_TASK`` edges, alternating large-star and small-star steps on DataFrames bring
-    every node nearer to its smallest; each step pre-aggregates the smallest neighbour on the map side, so a node with
-    very many edges never meets in one task. What fits a task of that size is united there. Lineage is cut every round.
+    every node nearer to its smallest; each step pre-aggregates the smallest neighbour on the map side. What fits a task
+    of that size is united there, with the same result. Lineage is cut every round. The number of rounds grows with the
+    logarithm of the number of nodes; a run that does not end in ``rounds`` rounds raises.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         if now[0] <= EDGES_PER_TASK:
             return e.coalesce(1).mapInArrow(united, "node long, component long")
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("held")).withColumn("m", F.least("m", "u"))
         # large star: neighbours greater than u point to the smallest in u's neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = hot_join(both.where("v > u"), low, "u", "held", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: each node's smaller neighbours and itself point to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,20 @@
 """Embedding near-dedup by sorted projection passes.
 
 1. Vectors are brought to length one in double precision; equal vectors become one row with a count.
-2. A first few passes sort all rows by the signs towards random hyperplanes and compare each with the ``WINDOW`` rows
-   before it. They only bring most linked rows together cheaply; nothing below relies on them.
-3. A bucket pass gives each row the first ``depth_for`` signs of further hyperplanes and compares all rows of equal signs,
-   however many: buckets of up to ``DENSE`` rows in one task, larger ones in blocks of ``BLOCK`` rows, leaving out
-   pairs of rows that are joined already. Two vectors at angle t share each sign with probability 1 - t / pi whatever
-   else the table holds, so as many passes are made as bring the chance to miss a pair at the threshold below ``MISS``.
+2. A pass orders all rows lexicographically by concatenated random hashes (the signs towards random hyperplanes, then
+   projections) and compares neighbours. The first ``WARM`` passes compare each row with the ``WINDOW`` rows before it and
+   hand the last rows of a range on to the next range. They bring most linked rows together cheaply; nothing below relies
+   on them.
+3. A fixed window loses partners where many rows share a hash, so the further passes compare all rows that share the first
+   ``depth_for`` signs, however many: runs of up to ``DENSE`` rows in one task, longer ones in blocks (see 4), leaving out
+   rows joined already. Two vectors at angle t share each sign with probability 1 - t / pi whatever else the table holds,
+   so as many passes are made as bring the chance to miss a pair at the threshold below ``MISS``.
 4. Exact rest: passes see only some links of a dense group. The rows of each part are packed in blocks of ``BLOCK``
-   rows; pairs of blocks are compared whole and every link is counted, none emitted. A pair of rows counts if its cosine
-   is at least the threshold, computed in double precision.
+   neighbours with a pivot and a radius. Where the triangle inequality of angles tells that two blocks are linked whole or
+   not at all, they are not compared; the others are, and every link is counted, none emitted. Pairs of blocks are dealt
+   in tiles, so that no task holds a group.
+
+A pair of rows counts if its cosine is at least the threshold, computed in double precision.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors of another
 dimension than most, link with nothing; a null id keeps its row; rows of equal id are one node whose links add up.
@@ -18,17 +23,18 @@ dimension than most, link with nothing; a null id keeps its row; rows of equal i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, parallelism
+from .common import components, cut, hot_join, parallelism
 
-THRESHOLD, WINDOW, MISS, BITS, BLOCK = 0.95, 24, 1e-6, 48, 64
-WARM, BUCKET, DENSE, AT_ONCE, FEW = 4, 256, 1024, 4, 100_000
+THRESHOLD, WINDOW, MISS, BITS = 0.95, 24, 1e-6, 48
+WARM, BUCKET, DENSE, AT_ONCE = 2, 1024, 4096, 6
+BLOCK, TILE, CHUNK, MARGIN, FEW, ROWS_A_TASK = 256, 8, 64, 1e-6, 100_000, 4000
 
 
 def depth_for(rows: int, bucket: int = BUCKET) -> int:
@@ -57,57 +63,139 @@ def matrix(column: pa.Array):
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than its rows need, so that many small tasks do not wait on Python; no shuffle."""
+    return df.coalesce(max(8, rows // ROWS_A_TASK))
+
+
 def planes(number: int, dimension: int):
     import numpy as np
 
     return np.random.default_rng(1000 + number).normal(size=(dimension, BITS + 2))
 
 
-def one_pass(reps: DataFrame, number: int, dimension: int, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
-    """Links of one sorted pass, ``a, b``: a spanning forest of what the windows of each range of the sort see."""
+def in_order(rows: DataFrame, number: int, dimension: int, group: list[str]) -> DataFrame:
+    """``rows`` dealt by ranges and sorted by ``group``, then by the concatenated hashes of pass ``number``."""
     import numpy as np
 
+    names, at = rows.columns, rows.columns.index("v")
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = planes(number, dimension)
         for batch in batches:
-            made = matrix(batch.column(1)) @ p
-            key = ((made[:, :BITS] > 0) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key), pa.array(made[:, BITS]), pa.array(made[:, BITS + 1])], names=["node", "v", "key", "one", "two"])
+            if batch.num_rows:
+                made = matrix(batch.column(at)) @ p
+                key = ((made[:, :BITS] > 0) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key), pa.array(made[:, BITS]), pa.array(made[:, BITS + 1])], names=[*names, "key", "one", "two"])
+
+    made = rows.mapInArrow(keyed, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", key long, one double, two double")
+    order = [*group, "key", "one", "two", "node"]
+    return made.repartitionByRange(parallelism(rows.sparkSession), *order).sortWithinPartitions(*order).drop("key", "one", "two")
+
+
+class Forest:
+    """Parts joined so far in one task."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.parent[a] = b
+        return a != b
+
+
+def pairs_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+
+def window_links(ids, rows, fresh: int, window: int, threshold: float, forest: Forest) -> list[tuple[int, int]]:
+    """Links of the rows from ``fresh`` on with the ``window`` rows before each, but for those between joined parts."""
+    import numpy as np
+
+    out = []
+    for step in range(1, min(window, len(ids) - 1) + 1):
+        lo = max(0, fresh - step)
+        cos = np.einsum("ij,ij->i", rows[lo : len(rows) - step], rows[lo + step :])
+        for k in np.flatnonzero(cos >= threshold) + lo:
+            if forest.join(int(ids[k]), int(ids[k + step])):
+                out.append((int(ids[k]), int(ids[k + step])))
+    return out
+
+
+def one_pass(reps: DataFrame, number: int, dimension: int, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+    """One sorted pass: links ``a, b`` that the windows see, a spanning forest for each range of the sort; and the first and
+    last ``window`` rows of each range (``a`` alone), for the windows across its bounds."""
+    import numpy as np
+    from pyspark import TaskContext
+
+    names = ["a", "b", "pass", "range", "tail", "at", "v"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.float64())]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
+        forest, ids, rows, head, here = Forest(), np.zeros(0, np.int64), np.zeros((0, dimension)), [], TaskContext.get().partitionId()
 
-        def top(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = parent.get(up, up)
-                x = up
-            return x
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-        before_ids, before = np.zeros(0, np.int64), np.zeros((0, dimension))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = np.concatenate([before_ids, batch.column(0).to_numpy()])
-            rows = np.concatenate([before, matrix(batch.column(1))])
-            fresh, out = len(before_ids), []
-            for step in range(1, min(window, len(ids) - 1) + 1):
-                lo = max(0, fresh - step)
-                cos = np.einsum("ij,ij->i", rows[lo : len(rows) - step], rows[lo + step :])
-                for k in np.flatnonzero(cos >= threshold) + lo:
-                    a, b = top(int(ids[k])), top(int(ids[k + step]))
-                    if a != b:
-                        parent[a] = b
-                        out.append((int(ids[k]), int(ids[k + step])))
-            before_ids, before = ids[-window:], rows[-window:]
-            if len(parent) > 1_000_000:
-                parent.clear()  # only repeats links already given
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            own = matrix(batch.column(1))
+            head += [(int(i), v.tolist()) for i, v in zip(batch.column(0).to_numpy()[: window - len(head)], own, strict=False)]
+            fresh, ids, rows = len(ids), np.concatenate([ids, batch.column(0).to_numpy()]), np.concatenate([rows, own])
+            found = window_links(ids, rows, fresh, window, threshold, forest)
+            ids, rows = ids[-window:], rows[-window:]
+            if len(forest.parent) > 1_000_000:
+                forest.parent.clear()  # only repeats links already given
+            if found:
+                yield made([(x, y, number, here, None, None, None) for x, y in found])
+        if head:
+            yield made([(i, None, number, here, False, k, v) for k, (i, v) in enumerate(head)] + [(int(i), None, number, here, True, k, v.tolist()) for k, (i, v) in enumerate(zip(ids, rows, strict=True))])
+
+    return in_order(reps.select("node", "v"), number, dimension, []).mapInArrow(compared, "a long, b long, pass int, range int, tail boolean, at int, v array<double>")
+
+
+def window_passes(reps: DataFrame, rows: int, numbers: Iterable[int], dimension: int, threshold: float, window: int = WINDOW) -> DataFrame:
+    """Links ``a, b`` of sorted passes, those across the bounds of ranges with them."""
+    import numpy as np
+
+    made = gathered(cut(reduce(DataFrame.unionByName, [one_pass(reps, k, dimension, threshold, window) for k in numbers])), rows)
+    ends = made.where("b is null")
+    place = ends.select("pass", "range").distinct().withColumn("place", F.row_number().over(Window.partitionBy("pass").orderBy("range")))  # a row for each range
+    ends = ends.join(F.broadcast(place), ["pass", "range"]).withColumn("bound", F.col("place") - F.when(F.col("tail"), 0).otherwise(1))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 2):
+            if rows[0][2] and not rows[-1][2]:
+                found = window_links([r[4] for r in rows], np.array([r[5] for r in rows]), sum(r[2] for r in rows), window, threshold, Forest())
+                if found:
+                    yield pairs_of(found)
 
-    made = reps.select("node", "v").mapInArrow(keyed, "node long, v array<double>, key long, one double, two double")
-    n = parallelism(reps.sparkSession)
-    made = made.repartitionByRange(n, "key", "one", "two", "node").sortWithinPartitions("key", "one", "two", "node")
-    return made.select("node", "v").mapInArrow(compared, "a long, b long")
+    ends = ends.repartition(parallelism(reps.sparkSession), "pass", "bound").sortWithinPartitions("pass", "bound", F.desc("tail"), "at")
+    return made.where("b is not null").select("a", "b").unionByName(ends.select("pass", "bound", "tail", "at", "a", "v").mapInArrow(across, "a long, b long"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of equal first columns, as lists, from sorted rows; meant for runs of bounded length."""
+    held, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != held:
+                if rows:
+                    yield rows
+                held, rows = row[:keys], []
+            rows.append(row)
+    if rows:
+        yield rows
 
 
 def signed(placed: DataFrame, numbers: list[int], depth: int, dimension: int, vectors: bool = True) -> DataFrame:
@@ -143,13 +231,12 @@ def small_buckets(rows: DataFrame, dimension: int, threshold: float) -> DataFram
             rows = np.concatenate([rows, matrix(batch.column(3))])
             starts, out = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), []
             for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
-                if hi <= old or hi - lo < 2:
-                    continue
-                new = max(lo, old)
-                x, y = np.nonzero(rows[lo:hi] @ rows[new:hi].T >= threshold)
-                x, y = parts[lo + x], parts[new + y]
-                if (apart := x != y).any():
-                    out.append(np.stack([x[apart], y[apart]], 1))
+                for new in range(max(lo, old), hi if hi - lo > 1 else lo, BLOCK):
+                    end = min(hi, new + BLOCK)
+                    x, y = np.nonzero(rows[lo:end] @ rows[new:end].T >= threshold)
+                    x, y = parts[lo + x], parts[new + y]
+                    if (apart := x != y).any():
+                        out.append(np.stack([x[apart], y[apart]], 1))
             start = np.searchsorted(keys, keys[-1])  # keys are sorted: only the last bucket goes on
             keys, parts, rows = keys[start:], parts[start:], rows[start:]
             if out:
@@ -160,94 +247,213 @@ def small_buckets(rows: DataFrame, dimension: int, threshold: float) -> DataFram
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
-def dense_buckets(rows: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """Links ``a, b`` between parts: all rows of larger buckets with each other, in pairs of blocks.
+PACKED = "grp long, tile long, block long, n int, weight long, part long, pivot array<double>, radius double, node binary, weights binary, parts binary, v binary"
+BOUNDS = ["block", "n", "weight", "part", "pivot", "radius"]
+
 
-    ``cells``: bucket, part, m of these buckets. A part of ``BLOCK`` rows or more has blocks of its own, which are not
-    compared with each other; the other parts share blocks.
+def packed(rows: DataFrame, total: int, number: int, dimension: int, first: list[str]) -> DataFrame:
+    """``rows`` (grp, node, n, part, v) in blocks of up to ``BLOCK`` neighbours of one group, one row each (``PACKED``).
+
+    ``TILE`` blocks that follow one another are a tile. ``part`` is the part of a block whose rows are of one part, else null.
     """
     import numpy as np
+    from pyspark import TaskContext
 
-    big = F.col("m") >= BLOCK
-    cells = cells.withColumn("k", F.when(big, F.ceil(F.col("m") / F.lit(BLOCK))).otherwise(0))
-    shared = cells.groupBy("bucket").agg(F.ceil(F.sum(F.when(~big, F.col("m")).otherwise(0)) / F.lit(BLOCK)).alias("shared"))
-    before = F.sum("k").over(Window.partitionBy("bucket").orderBy("part")) - F.col("k")
-    own = cells.where(big).withColumn("before", before).select("bucket", "part", "k", "before")
-    dealt = rows.join(shared, "bucket").join(own, ["bucket", "part"], "left")
-    first = F.col("shared") + F.col("before")
-    dealt = dealt.select(
-        "bucket",
-        "part",
-        "v",
-        F.when(F.col("k").isNull(), F.pmod(F.xxhash64("part"), F.col("shared"))).otherwise(first + F.pmod(F.xxhash64("node"), F.col("k"))).alias("block"),
-        F.coalesce(first - 1, F.lit(-2)).alias("upto"),  # -2: a shared block
-    )
-    packed = dealt.groupBy("bucket", "block", "upto").agg(F.collect_list(F.struct("part", "v")).alias("rows"))
-    packed = cut(packed.select("bucket", "block", F.when(F.col("upto") == -2, F.col("block")).otherwise(F.col("upto")).alias("upto"), "rows.part", F.flatten("rows.v").alias("v")))
-    left = packed.where("upto >= 0").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("upto")))).select("bucket", F.col("other").alias("with"), F.col("part").alias("pa"), F.col("v").alias("va"))
-    right = packed.select("bucket", F.col("block").alias("with"), F.col("part").alias("pb"), F.col("v").alias("vb"))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), *[pa.binary()] * 4]
+    names = [x.split()[0] for x in PACKED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tile, in_tile, last = TaskContext.get().partitionId() << 32, 0, 0, None
+
+        def block(grp, node, n, part, v) -> tuple:
+            nonlocal at, tile, in_tile, last
+            at += 1
+            if grp != last or in_tile == TILE:
+                tile, in_tile, last = at, 0, grp
+            in_tile += 1
+            mean = v.mean(axis=0)
+            size = np.sqrt((mean * mean).sum())
+            mean = mean / size if size > 1e-6 else v[0]
+            radius = float(np.arccos(np.clip(v @ mean, -1, 1)).max())
+            one = int(part[0]) if (part == part[0]).all() else None
+            return grp, tile, at, len(v), int(n.sum()), one, mean.tolist(), radius, node.tobytes(), n.tobytes(), part.tobytes(), v.tobytes()
+
+        held = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                a, va, b, vb = (batch.column(c)[k].values.to_numpy() for c in range(4))
-                near = np.argwhere((unit(va, len(a)) @ unit(vb, len(b)).T >= threshold) & (a[:, None] != b[None, :]))
-                if len(near):
-                    links = np.unique(np.stack([a[near[:, 0]], b[near[:, 1]]], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            new = [batch.column(k).to_numpy() for k in range(4)] + [matrix(batch.column(4))]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            out, lo = [], 0
+            ends = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1  # where a further group begins
+            for end in [*ends, len(held[0])]:
+                while end - lo >= BLOCK or lo < end < len(held[0]):
+                    hi = min(end, lo + BLOCK)
+                    out.append(block(int(held[0][lo]), *(x[lo:hi] for x in held[1:])))
+                    lo = hi
+            held = [x[lo:] for x in held]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        if held is not None and len(held[0]):
+            row = block(int(held[0][0]), *held[1:])
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names=names)
+
+    return gathered(cut(in_order(rows.select("grp", "node", "n", "part", "v"), number, dimension, first).mapInArrow(run, PACKED)), total)
+
+
+def opened(row: dict, dimension: int) -> tuple:
+    """Nodes, weights, parts, vectors of a block."""
+    import numpy as np
+
+    return (*(np.frombuffer(row[c], np.int64) for c in ("node", "weights", "parts")), np.frombuffer(row["v"], np.float64).reshape(-1, dimension))
+
+
+def decided(blocks: DataFrame, threshold: float, links: bool) -> DataFrame:
+    """Pairs of blocks of a group: ``s, t, a, b`` of those to be compared (tiles, blocks), ``a, more`` of those linked whole.
+
+    Tiles go to cells of a grid for each pair of chunks of about ``CHUNK`` tiles; bounds alone decide there. With ``links``
+    only links between parts matter: blocks of one and the same part are left out, and no pair is taken as linked whole.
+    """
+    import numpy as np
+
+    tiles = blocks.groupBy("grp", "tile").agg(F.collect_list(F.struct(*BOUNDS)).alias("own"))  # at most TILE blocks
+    counts = blocks.groupBy("grp").agg(F.count_distinct("tile").alias("tiles"), F.count("*").alias("blocks")).where("blocks > 1")
+    counts = counts.select("grp", "tiles", F.ceil(F.col("tiles") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    dealt = hot_join(tiles, counts, "grp", "tiles", "tile").withColumn("chunk", F.pmod(F.xxhash64("tile"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("grp", F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"), "chunk", "tile", "own")
+    limit, names = math.acos(threshold), ["s", "t", "a", "b", "more"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 3):
+            flat = sorted((r[3], r[4], *(x[c] for c in BOUNDS)) for r in rows for x in r[5])
+            chunk, tile, block, n, weight = (np.array([x[k] for x in flat], np.int64) for k in range(5))
+            part = [x[5] for x in flat]
+            pivot, radius = np.array([x[6] for x in flat]), np.array([x[7] for x in flat])
+            code = np.array([-1 - k if p is None else 0 for k, p in enumerate(part)], np.int64)  # mixed blocks: each its own
+            known = {p: k + 1 for k, p in enumerate({p for p in part if p is not None})}
+            code = np.array([c if p is None else known[p] for c, p in zip(code, part, strict=True)])
+            wanted = chunk != chunk[:, None] if rows[0][1] != rows[0][2] else np.ones((len(flat), len(flat)), bool)
+            for k in range(len(flat)):
+                own = np.flatnonzero(wanted[k, k + 1 :]) + k + 1
+                if links:
+                    own = own[code[own] != code[k]]
+                if not len(own):
+                    continue
+                angle, reach = np.arccos(np.clip(pivot[own] @ pivot[k], -1, 1)), radius[own] + radius[k]
+                near = own[angle - reach <= limit + MARGIN]
+                sure = np.zeros(0, np.int64)
+                if not links:
+                    all_linked = angle + reach <= limit - MARGIN
+                    sure, near = own[all_linked], own[(angle - reach <= limit + MARGIN) & ~all_linked]
+                out = [(int(tile[k]), int(tile[j]), int(block[k]), int(block[j]), None) for j in near]
+                if len(sure):
+                    out.append((None, None, int(block[k]), None, int(weight[sure].sum())))
+                    out += [(None, None, int(block[j]), None, int(weight[k])) for j in sure]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+    n = parallelism(blocks.sparkSession)
+    return cut(dealt.repartition(n, "grp", "c", "d").sortWithinPartitions("grp", "c", "d", "tile").mapInArrow(run, "s long, t long, a long, b long, more long"))
+
+
+def compared(blocks: DataFrame, pairs: DataFrame, dimension: int, schema: str, pair) -> DataFrame:
+    """``pair(one, two)`` for each pair of blocks to be compared; blocks are sent once for each pair of tiles that needs them."""
+    open_pairs = pairs.where("b is not null")
+    wants = open_pairs.groupBy("s", "t", F.col("a").alias("block")).agg(F.collect_list("b").alias("others"))  # at most TILE blocks
+    wants = wants.unionByName(open_pairs.select("s", "t", F.col("b").alias("block"), F.array().cast("array<long>").alias("others")))
+    wants = wants.groupBy("s", "t", "block").agg(F.flatten(F.collect_list("others")).alias("others"))
+    sent = wants.join(blocks.select("block", "node", "weights", "parts", "v"), "block").select("s", "t", "block", "others", "node", "weights", "parts", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 2):
+            own = {r[2]: opened({"node": r[4], "weights": r[5], "parts": r[6], "v": r[7]}, dimension) for r in rows}
+            for r in rows:
+                for other in r[3]:
+                    yield from pair(own[r[2]], own[other])
 
-    return left.join(right, ["bucket", "with"]).select("pa", "va", "pb", "vb").mapInArrow(run, "a long, b long")
+    n = parallelism(blocks.sparkSession)
+    return sent.repartition(n, "s", "t").sortWithinPartitions("s", "t", "block").mapInArrow(run, schema)
 
 
-def bucket_passes(placed: DataFrame, numbers: list[int], depth: int, dimension: int, threshold: float) -> DataFrame:
+def dense_buckets(rows: DataFrame, total: int, number: int, dimension: int, threshold: float) -> DataFrame:
+    """Links ``a, b`` between parts: all rows of larger buckets (``bucket, node, part, v``) with each other, in pairs of blocks."""
+    import numpy as np
+
+    def pair(one: tuple, two: tuple) -> Iterator[pa.RecordBatch]:
+        x, y = np.nonzero(one[3] @ two[3].T >= threshold)
+        x, y = one[2][x], two[2][y]
+        if (apart := x != y).any():
+            links = np.unique(np.stack([x[apart], y[apart]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] is None:
+                    own = opened(row, dimension)
+                    yield from pair(own, own)
+
+    blocks = packed(rows.select(F.col("bucket").alias("grp"), "node", F.lit(1).cast("long").alias("n"), "part", "v"), total, number, dimension, ["grp", "part"])
+    inside = blocks.select("part", "node", "weights", "parts", "v").mapInArrow(within, "a long, b long")
+    return inside.unionByName(compared(blocks, decided(blocks, threshold, links=True), dimension, "a long, b long", pair))
+
+
+def bucket_passes(placed: DataFrame, total: int, numbers: list[int], depth: int, dimension: int, threshold: float) -> DataFrame:
     """Links ``a, b`` between parts of all pairs of rows that share a bucket in one of the passes; ``placed``: node, part, v."""
     cells = signed(placed, numbers, depth, dimension, vectors=False).groupBy("bucket", "part").agg(F.count("*").alias("m"))
     sizes = cells.groupBy("bucket").agg(F.sum("m").alias("n"), F.count("*").alias("parts"))
-    dense = cut(sizes.where(F.col("n") > DENSE))
-    many = dense.count()
-    rows = signed(placed, numbers, depth, dimension)
-    if not many:
-        return cut(small_buckets(rows, dimension, threshold).distinct())
-    sent = F.broadcast if many <= FEW else lambda x: x
-    out = cut(small_buckets(rows.join(sent(dense.select("bucket")), "bucket", "left_anti").select("bucket", "node", "part", "v"), dimension, threshold).distinct())
-    mixed = sent(dense.where("parts > 1").select("bucket"))
-    return out.unionByName(cut(dense_buckets(rows.join(mixed, "bucket", "left_semi"), cells.join(mixed, "bucket", "left_semi"), threshold).distinct()))
-
-
-def unit(v, rows: int):
-    import numpy as np
+    dense = cut(sizes.where(F.col("n") > DENSE).select("bucket", "n", (F.col("parts") > 1).alias("mixed")))
+    many = dense.count()  # at most rows / DENSE for each pass
 
-    m = v.reshape(rows, -1)
-    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    def marked(own: list[int]) -> DataFrame:
+        rows = signed(placed, own, depth, dimension)
+        return rows.join(F.broadcast(dense.drop("n")), "bucket", "left") if many <= FEW else hot_join(rows, dense, "bucket", "n", "node", "left")
+
+    columns, out = ["bucket", "node", "part", "v"], []
+    for k in range(0, len(numbers), AT_ONCE):
+        own = numbers[k : k + AT_ONCE]
+        rows = marked(own).where("mixed is null") if many else signed(placed, own, depth, dimension)
+        out.append(gathered(cut(small_buckets(rows.select(*columns), dimension, threshold).distinct()), total))
+    if many and not dense.where("mixed").isEmpty():
+        out.append(cut(dense_buckets(marked(numbers).where("mixed").select(*columns), len(numbers) * total, numbers[0], dimension, threshold).distinct()))
+    return reduce(DataFrame.unionByName, out)
 
 
-def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``node, links``: for each row of a part how many rows, by count, of the same part are linked with it."""
+def count_links(members: DataFrame, total: int, dimension: int, threshold: float = THRESHOLD) -> DataFrame:
+    """``node, links``: for each row of a part (``part, node, n, v``) how many rows, by count, of the same part are linked with it."""
     import numpy as np
 
-    sized = members.groupBy("part").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(sized, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    packed = dealt.groupBy("part", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "v")).alias("rows"))  # about BLOCK rows
-    packed = packed.select("part", "blocks", "block", "rows.node", "rows.n", F.flatten("rows.v").alias("v"))
-    packed = cut(packed)
-    left = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select("part", "block", F.col("other").alias("with"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
-    right = packed.select("part", F.col("block").alias("with"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
-    pairs = left.join(right, ["part", "with"]).select("block", "with", "a", "na", "va", "b", "nb", "vb")
+    blocks = packed(members.select(F.col("part").alias("grp"), "node", "n", "part", "v"), total, 0, dimension, ["grp"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(*found) -> Iterator[pa.RecordBatch]:
+        for node, links in found:
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64))], names=["node", "links"])
+
+    def pair(one: tuple, two: tuple) -> Iterator[pa.RecordBatch]:
+        linked = one[3] @ two[3].T >= threshold
+        yield from counts((one[0], linked @ two[1]), (two[0], one[1] @ linked))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                node, n, _, v = opened(row, dimension)
+                linked = v @ v.T >= threshold
+                np.fill_diagonal(linked, False)
+                yield from counts((node, linked @ n))
+
+    def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block, other = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(batch.num_rows):
-                (a, na, va), (b, nb, vb) = ([batch.column(c)[k].values.to_numpy() for c in cs] for cs in ((2, 3, 4), (5, 6, 7)))
-                linked = unit(va, len(a)) @ unit(vb, len(b)).T >= threshold
-                if block[k] == other[k]:
-                    linked &= a[:, None] != b[None, :]
-                    out = [(a, linked @ nb)]
-                else:
-                    out = [(a, linked @ nb), (b, na @ linked)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]).astype(np.int64))], names=["node", "links"])
+            for node, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(node, np.int64)
+                yield from counts((own, np.full(len(own), more)))
 
-    return pairs.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    pairs = decided(blocks, threshold, links=False)
+    sure = pairs.where("b is null").groupBy(F.col("a").alias("block")).agg(F.sum("more").alias("more"))
+    out = blocks.select("node", "weights", "parts", "v").mapInArrow(within, "node long, links long")
+    out = out.unionByName(blocks.select("block", "node").join(sure, "block").select("node", "more").mapInArrow(whole_blocks, "node long, links long"))
+    out = out.unionByName(compared(blocks, pairs, dimension, "node long, links long", pair))
+    return out.groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def whole(parts: DataFrame) -> DataFrame:
@@ -268,20 +474,19 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     named = rows.withColumn("node", F.xxhash64("v"))
     reps = cut(named.groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.first("v").alias("v")))
     total, d = reps.count(), dimension["d"]
-    links = cut(reduce(DataFrame.unionByName, [one_pass(reps, k, d, threshold) for k in range(WARM)]))
+    reps = gathered(reps, total)
+    links = gathered(cut(window_passes(reps, total, range(WARM), d, threshold)), total)
     placed = reps.select("node", "v").join(whole(cut(components(links))), "node", "left").select("node", F.coalesce("component", "node").alias("part"), "v")
-    placed, depth = cut(placed), depth_for(total)
-    numbers = range(WARM, WARM + passes_for(total, threshold))
-    for k in range(0, len(numbers), AT_ONCE):
-        links = links.unionByName(bucket_passes(placed, list(numbers[k : k + AT_ONCE]), depth, d, threshold))
+    placed, depth = gathered(cut(placed), total), depth_for(total)
+    links = links.unionByName(bucket_passes(placed, total, list(range(WARM, WARM + passes_for(total, threshold))), depth, d, threshold))
     # a link between parts joins their names, which are nodes
     parts = whole(cut(components(links)))
-    members = reps.join(parts, "node").select("node", "n", "v", F.col("component").alias("part"))
-    counted = count_links(members, threshold)
-    labels = reps.join(parts, "node", "left").select("node", "n", "first", F.coalesce("component", "node").alias("part"))
-    least = labels.groupBy("part").agg(F.min("first").alias("component_id"))
-    made = labels.join(least, "part").join(counted, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    own = named.select("vec_id", "node").join(made, "node").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    members = gathered(cut(reps.join(parts, "node").select("node", "n", "v", F.col("component").alias("part"))), total)
+    counted = count_links(members, total, d, threshold)
+    labels = cut(reps.join(parts, "node", "left").select("node", "n", "first", F.coalesce("component", "node").alias("part")))
+    least = labels.groupBy("part").agg(F.min("first").alias("component_id"), F.count("*").alias("held"))
+    made = hot_join(labels, least, "part", "held", "node").join(counted, "node", "left").select("node", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    own = hot_join(named.select("vec_id", "node"), made, "node", "n", "vec_id").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     return every.join(own, "vec_id", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

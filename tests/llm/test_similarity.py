@@ -250,3 +250,45 @@ def test_vectors_of_more_partitions_than_windows(spark):
         assert answer(df) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("cosine", [0.5, 0.79, 0.88])
+def test_clustered_vectors_equal_brute_force(spark, monkeypatch, cosine):
+    """Vectors about one direction, pairs at a cosine of about 0.955, one tight group of copies, dense buckets in blocks."""
+    for name, value in (("DENSE", 96), ("BUCKET", 64), ("BLOCK", 16), ("TILE", 2), ("CHUNK", 2), ("AT_ONCE", 40)):
+        monkeypatch.setattr(near_vectors, name, value)
+    rng, d = np.random.default_rng(7), 32
+    spread = math.sqrt(1 / cosine - 1)
+    near = 1 - (1 / 0.955 - 1) / (1 / cosine - 1)
+    axis = rng.normal(size=d)
+    axis /= np.linalg.norm(axis)
+    residue = lambda n: rng.normal(size=(n, d)) / math.sqrt(d) * spread
+    own = residue(500)
+    also = own * near + residue(500) * math.sqrt(1 - near * near)
+    tight = own[:1] + rng.normal(size=(150, d)) * 0.02
+    made = rng.permutation(np.concatenate([own, also, tight]) + axis)
+    rows = [(k, x.astype(np.float32).tolist()) for k, x in enumerate(made)]
+    want = brute_links(rows)
+    assert sum(n > 0 for n, _ in want.values()) > 400
+    assert answer(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)) == want
+
+
+def test_windows_reach_across_ranges(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, (rng.normal(size=8) * 0.01 + 1).tolist()) for k in range(64)]
+    reps = spark.createDataFrame(rows, "node long, v array<double>").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        links = near_vectors.window_passes(reps, 64, [0], 8, 0.95)
+        assert len({r["component"] for r in common.components(links).collect()}) == 1  # all rows are one chain
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_join_equals_join(spark, how):
+    rows = spark.createDataFrame([(7 if k % 3 else k, k) for k in range(900)], "key long, x long")
+    small = rows.groupBy("key").count().where("key <> 9").selectExpr("key", "count as held", "key * 2 as y")
+    got = sorted(map(str, common.hot_join(rows, small, "key", "held", "x", how).select("key", "x", "y").collect()))
+    assert got == sorted(map(str, rows.join(small, "key", how).select("key", "x", "y").collect()))
