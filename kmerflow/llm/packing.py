@@ -1,23 +1,30 @@
-"""Best-fit packing of token sequences, in bulk-synchronous rounds over runs of equal sizes.
-
-Pieces are ordered by length, longest first, and kept as runs: (length, how many). Open sequences are kept as runs too:
-(gap, from which number, how many). A round takes the longest pieces not yet placed and their successor among the gaps,
-the smallest gap that holds them. The r-th piece of the run goes to the r-th sequence of the gap's run, so no two pieces
-want the same place; the gaps shrink, and the next round begins. If no gap suffices, as many sequences are opened as the
-run fills. This is best-fit decreasing, yet lengths are at most the capacity, so runs and rounds are bounded by the
-capacity and not by the corpus; the plan is a small table of (length, ranks) -> (sequences, offset).
-
-Spark does the rest: it encodes (one scan), ranks pieces within their length by salted windows with pre-aggregated
-offsets (a length that a third of all pieces share is spread over many windows), and looks each piece up in the plan.
-
-Defined results: null or empty text has only the end id; repeated rows are packed once each; no row is dropped.
+"""Best-fit packing of token sequences by bulk-synchronous rounds of successor sweeps.
+
+Pieces of one length are a run ``(length, first rank, how many)``, sequences of one gap are a run ``(gap, first number, how
+many)``: there are at most as many lengths and gaps as the capacity, however large the corpus. The runs are a DataFrame that
+each round replaces by a checkpointed one; the driver only asks whether runs are left. A round
+
+1. opens sequences, if the longest pieces find no gap: as many as their tokens fill at least, or one for each that is
+   longer than half a sequence. Where one length outnumbers the gaps, several pieces of it go together as a unit;
+2. sorts gaps and units by size, largest first, and sweeps over them: each unit goes to its successor, the smallest gap
+   not yet taken that holds it. The r-th unit of a run takes the r-th sequence of the gaps it meets, so ranks decide
+   between units that want the same gap and none gets two;
+3. updates the gaps and goes on with what was not placed.
+
+A sequence takes one unit in a round, so there are about as many rounds as a sequence holds units. The placements are a
+small table, (length, ranks) -> (sequences, offset). As runs are that few, one task sweeps over them; the work that grows
+with the corpus is spread: encoding, ranking pieces within their length by salted windows with pre-aggregated offsets (a
+length that a third of all pieces share is spread over many windows), and looking each piece up.
+
+Defined results: null or empty text has only the end id; repeated rows are packed once each; no row is dropped; an empty
+table gives an empty table; further columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -72,41 +79,78 @@ def pieces(df: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACIT
     return made_rows if with_ids else made_rows.drop("ids")
 
 
-def plan(runs: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Rounds over runs: (length, first rank, how many, first sequence, offset). ``runs``: length -> how many pieces."""
-    sizes: list[int] = []  # of gaps, ascending
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    opened, out = 0, []
-
-    def add(size: int, first: int, n: int) -> None:
-        if size:
-            if size not in gaps:
-                bisect.insort(sizes, size)
-            gaps.setdefault(size, []).append((first, n))
-
-    for length in sorted(runs, reverse=True):
-        rank, left = 0, runs[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):
-                n = -(-left // (capacity // length))
-                add(capacity, opened, n)
-                opened += n
-                continue
-            size = sizes[at]
-            first, n = gaps[size].pop()
-            if not gaps[size]:
-                del gaps[size]
-                sizes.pop(at)
-            m = min(n, left)
-            out.append((length, rank, m, first, capacity - size))
-            add(size - length, first, m)
-            if m < n:
-                add(size, first + m, n - m)
-            rank, left = rank + m, left - m
+PLACED = ["length", "rank", "together", "units", "first", "offset"]
+#: Runs: gaps (size, first, n), pieces left (size = length, first = rank, n), the number of sequences opened (n).
+GAP, LEFT, OPENED = 0, 1, 2
+RUNS = "kind int, size long, first long, n long, placed struct<length:long,rank:long,together:long,units:long,first:long,offset:long>"
+
+
+def units_of(left: list[tuple[int, int, int]], open_gaps: int, capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """(size, length, rank, together, units) of runs (length, rank, n): pieces go together where a run outnumbers the gaps."""
+    out = []
+    for length, rank, n in left:
+        together = min(capacity // length, -(-n // max(1, open_gaps)))
+        units, over = divmod(n, together)
+        out.append((together * length, length, rank, together, units))
+        if over:
+            out.append((over * length, length, rank + units * together, over, 1))
     return out
 
 
+def one_round(gaps: list[tuple[int, int, int]], left: list[tuple[int, int, int]], opened: int, capacity: int):
+    """The gaps, the runs left, the number of sequences opened and the placements (``PLACED``) after one round."""
+    tokens = sum(length * n for length, _, n in left)
+    units = units_of(left, sum(n for _, _, n in gaps) or -(-tokens // capacity), capacity)
+    without = [u for u in units if u[0] > max((g[0] for g in gaps), default=0)]
+    if without:
+        more = max(-(-sum(u[0] * u[4] for u in without) // capacity), sum(u[4] for u in without if 2 * u[0] > capacity))
+        gaps, opened = [*gaps, (capacity, opened, more)], opened + more
+    events = sorted([(-size, GAP, first, n, 0, 0) for size, first, n in gaps] + [(-size, LEFT, rank, n, length, together) for size, length, rank, together, n in units])
+    stack: list[list[int]] = []  # gaps that hold what comes, the smallest last
+    after, rest, placed = [], [], []
+    for size, kind, first, n, length, together in events:
+        if kind == GAP:
+            stack.append([-size, first, n])
+            continue
+        while n and stack:
+            gap = stack[-1]
+            m = min(n, gap[2])
+            placed.append((length, first, together, m, gap[1], capacity - gap[0]))
+            if gap[0] > -size:
+                after.append((gap[0] + size, gap[1], m))
+            gap[1], gap[2], first, n = gap[1] + m, gap[2] - m, first + m * together, n - m
+            if not gap[2]:
+                stack.pop()
+        if n:
+            rest.append((length, first, n * together))
+    return [*after, *map(tuple, stack)], rest, opened, placed
+
+
+def plan(runs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Rounds over ``length long, n long``: placements ``PLACED``, (length, ranks) -> (sequences, offset).
+
+    Units ``rank, rank + together, ...`` of ``together`` pieces go to sequences ``first, first + 1, ...``, side by side from
+    ``offset`` on. The number of rows depends on lengths and capacity, not on how many pieces there are.
+    """
+
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)]
+        own = {kind: sorted(r[1:] for r in rows if r[0] == kind) for kind in (GAP, LEFT, OPENED)}
+        gaps, left, opened, placed = one_round(own[GAP], own[LEFT], own[OPENED][0][2] if own[OPENED] else 0, capacity)
+        out = [(GAP, *g, None) for g in gaps] + [(LEFT, *x, None) for x in left] + [(OPENED, 0, 0, opened, None)]
+        out += [(None, None, None, None, dict(zip(PLACED, x, strict=True))) for x in placed]
+        types = [pa.int32(), *[pa.int64()] * 3, pa.struct([(c, pa.int64()) for c in PLACED])]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["kind", "size", "first", "n", "placed"])
+
+    none = F.lit(None).cast("struct<" + ",".join(f"{c}:long" for c in PLACED) + ">")
+    state = cut(runs.select(F.lit(LEFT).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), "n", none.alias("placed")).coalesce(1))
+    done = [state.where("placed is not null")]
+    while not state.where(F.col("kind") == LEFT).isEmpty():
+        state = cut(state.where("placed is null").mapInArrow(swept, RUNS))
+        done.append(state.where("placed is not null"))
+    return reduce(DataFrame.unionByName, done).select("placed.*")
+
+
 def with_ranks(rows: DataFrame, key: str, keys: int, order: list[str], buckets: int) -> DataFrame:
     """Adds ``rank``, from 0 within each ``key``, without one task per key: windows by (key, bucket) plus offsets.
 
@@ -122,31 +166,14 @@ def with_ranks(rows: DataFrame, key: str, keys: int, order: list[str], buckets:
 
 def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces of at most ``capacity`` tokens."""
-    spark = rows.sparkSession
-    runs = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    by_length: dict[int, list[tuple[int, int, int]]] = {}
-    for length, rank, _, first, offset in plan(runs, capacity):
-        by_length.setdefault(length, []).append((rank, first, offset))
-    columns = rows.columns
-    ranked = with_ranks(rows, "length", capacity, ["doc_id", "piece", "start", "ids_crc32"], parallelism(spark))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        tables = {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in by_length.items()}
-        for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for k in np.unique(length):
-                own = length == k
-                ranks, first, offset = tables[int(k)]
-                at = np.searchsorted(ranks, rank[own], "right") - 1
-                seq[own], off[own] = first[at] + rank[own] - ranks[at], offset[at]
-            out = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(seq), pa.array(off)], names=[*columns, "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", sequence_id long, offset long"
-    return ranked.select(*columns, "rank").mapInArrow(run, schema)
+    placed = plan(rows.groupBy("length").agg(F.count("*").alias("n")), capacity)
+    by_length = placed.groupBy("length").agg(F.sort_array(F.collect_list(F.struct(*PLACED[1:]))).alias("placed"))
+    ranked = with_ranks(rows, "length", capacity, ["doc_id", "piece", "start", "ids_crc32"], parallelism(rows.sparkSession))
+    found = ranked.join(F.broadcast(by_length), "length")  # a row for each length, its placements bounded by the rounds
+    found = found.withColumn("own", F.element_at(F.expr("filter(placed, x -> x.rank <= rank)"), -1))
+    ahead = F.col("rank") - F.col("own.rank")
+    unit, within = F.floor(ahead / F.col("own.together")), F.pmod(ahead, F.col("own.together"))
+    return found.select(*rows.columns, (F.col("own.first") + unit).alias("sequence_id"), (F.col("own.offset") + within * F.col("length")).alias("offset"))
 
 
 def pack(df: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -131,19 +131,54 @@ def test_packing_edges(spark):
     assert packing.pack(docs.limit(0), RANKS, PATTERN).count() == 0
 
 
-def test_plan_places_every_piece_once():
+def places_of(placed, runs, capacity):
+    """Every piece is placed once, sequences have no gaps and do not run over; how many sequences there are."""
+    seen, used = {}, {}
+    for length, rank, together, units, first, offset in placed:
+        for u in range(units):
+            for k in range(together):
+                seen.setdefault(length, []).append(rank + u * together + k)
+                used.setdefault(first + u, []).append((offset + k * length, length))
+    assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(n)) for k, n in runs.items()}
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(used)
+
+
+def test_rounds_place_every_piece_once():
     rng = random.Random(4)
     for _ in range(50):
-        runs = {rng.randint(1, 64): rng.randint(1, 40) for _ in range(rng.randint(1, 30))}
-        seen, used = {}, {}
-        for length, rank, n, first, offset in packing.plan(runs, 64):
-            for k in range(n):
-                seen.setdefault(length, set()).add(rank + k)
-                used.setdefault(first + k, []).append((offset, length))
-        assert {k: len(v) for k, v in seen.items()} == runs
-        for places in used.values():
-            at = 0
-            for offset, length in sorted(places):
-                assert offset == at
-                at += length
-            assert at <= 64
+        runs = {rng.randint(1, 64): rng.randint(1, 400) for _ in range(rng.randint(1, 30))}
+        gaps, left, opened, out = [], [(k, 0, n) for k, n in sorted(runs.items())], 0, []
+        while left:
+            gaps, left, opened, placed = packing.one_round(sorted(gaps), sorted(left), opened, 64)
+            out += placed
+        assert places_of(out, runs, 64) == opened
+
+
+def test_plan_is_small_and_tight(spark):
+    """Many pieces make no more placements than few; best fit one after the other opens as many sequences, about."""
+    rng, few = random.Random(5), {}
+    for _ in range(3000):
+        n = min(1024, int(rng.lognormvariate(5, 1)) + 1)
+        few[n] = few.get(n, 0) + 1
+    many = {k: 40 * n for k, n in few.items()}
+    rows = {}
+    for name, runs in (("few", few), ("many", many)):
+        rows[name] = packing.plan(spark.createDataFrame(list(runs.items()), "length long, n long")).collect()
+        opened = places_of(rows[name], runs, 1024)
+        gaps, count = [], 0  # best-fit decreasing, piece by piece
+        if name == "few":
+            for length in sorted((k for k, n in runs.items() for _ in range(n)), reverse=True):
+                fit = min((g for g in gaps if g >= length), default=None)
+                if fit is None:
+                    count, fit = count + 1, 1024
+                else:
+                    gaps.remove(fit)
+                gaps.append(fit - length)
+            assert opened <= 1.02 * count + 2
+    assert len(rows["many"]) <= 2 * len(rows["few"]) + 100
