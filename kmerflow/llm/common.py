@@ -100,16 +100,17 @@ def parallelism(spark: SparkSession) -> int:
 SHARE = 64
 
 
-def hot_join(rows: DataFrame, per_key: DataFrame, key: str, weight: str, salt: str, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, per_key: DataFrame, key: str, weight: str, salt: str, how: str = "inner", limit: int | None = None) -> DataFrame:
     """``rows.join(per_key, key, how)`` where a key may hold much of ``rows``.
 
     ``per_key`` has one row for each key and in ``weight`` how many rows have it. Fewer than ``SHARE`` keys can hold more
     than that part of all rows: these are sent to all tasks, and rows of such a key are dealt over ``SHARE`` tasks by a
-    hash of the column ``salt``.
+    hash of the column ``salt``. With ``limit``, keys of more rows than that are hot, and ``per_key`` is not checkpointed.
     """
-    per_key = cut(per_key)
-    total = per_key.agg(F.sum(weight)).first()[0] or 0
-    hot = F.broadcast(per_key.where(F.col(weight) * SHARE > F.lit(total)).select(key, F.lit(True).alias("_hot")))
+    if limit is None:
+        per_key = cut(per_key)
+        limit = (per_key.agg(F.sum(weight)).first()[0] or 0) // SHARE
+    hot = F.broadcast(per_key.where(F.col(weight) > F.lit(limit)).select(key, F.lit(True).alias("_hot")))
     one = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt), F.lit(SHARE)).cast("int")).otherwise(F.lit(0))
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SHARE - 1))).otherwise(F.array(F.lit(0)))
     left = rows.join(hot, key, "left").withColumn("_salt", one).drop("_hot")

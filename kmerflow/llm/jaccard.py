@@ -11,7 +11,10 @@
 4. Trie join within candidate groups, in blocks of bounded size: sets are stored in a trie of globally ordered shingles
    (most frequent first, so that near copies share their paths); a probe walks it once, sharing partial overlaps, and
    leaves a subtree when the lengths that remain cannot reach the threshold. Groups of more than one block are dealt
-   anew at random a few times and joined; then what still stands apart is compared with all the rest of its group.
+   anew at random a few times and joined. Then only prefix shingles that sets of different parts share can hide a link:
+   the sets that have one form new groups, in which all outside the largest part are compared with the whole group.
+
+Joins on a key that much of the rows may share (a shingle, a group, a set of copies) deal hot keys over many tasks.
 
 No pairs within a group are emitted: only links that join two parts not joined before. Shingle hashes are taken as the
 shingles. Defined results: fewer than five words: the whole sequence is one shingle; no words, or null or empty text:
@@ -26,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, parallelism, texts_of, utf8_buffer
+from .common import SHARE, components, cut, hot_join, parallelism, texts_of, utf8_buffer
 
 WORDS, CHUNK_BYTES = 5, 4 << 20
 BITMAP_BITS, COMMON = 27, 1 << 26
-BLOCK, DEALS, BROADCAST_IDS = 64, 3, 4_000_000
+BLOCK, DEALS, BROADCAST_IDS = 64, 3, 1_000_000
 
 _tables: dict = {}
 
@@ -265,28 +268,70 @@ def flagged(df: DataFrame, common: bytearray, shard_bits: int) -> DataFrame:
 
 
 def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on the columns of ``ids``; they are broadcast only if few, else both sides are shuffled."""
+    """Semi or anti join on the columns of ``ids``, rows of 64-bit integers: broadcast if their size allows, else both sides
+    are shuffled; the result is the same."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, ids.columns, how)
 
 
-def shingle_sets(df: DataFrame) -> DataFrame:
+def _slot(ids):
+    """The bit of each id in a bitmap of ``2 ** BITMAP_BITS`` bits."""
+    import numpy as np
+
+    return (_mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def id_bitmap(ids: DataFrame) -> bytearray:
+    """The bits of all ``doc_id``; of the same size for every corpus. Ids that are not there may share a bit."""
+    import numpy as np
+
+    page_bits = 17
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(_slot(batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> page_bits).astype(np.int32)), pa.array((slot & ((1 << page_bits) - 1)).astype(np.int32))], names=["page", "slot"])
+
+    def page(part: pa.Table) -> pa.Table:
+        own = np.zeros(1 << page_bits, bool)
+        own[part["slot"].to_numpy()] = True
+        return pa.table({"page": pa.array([part["page"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    size, out = 1 << (page_bits - 3), bytearray(1 << (BITMAP_BITS - 3))  # 16 MB
+    pages = ids.select("doc_id").mapInArrow(slots, "page int, slot int").distinct().groupBy("page").applyInArrow(page, "page int, bits binary")
+    for r in pages.toLocalIterator():  # the bitmap's size in all
+        out[r["page"] * size : (r["page"] + 1) * size] = r["bits"]
+    return out
+
+
+def shingle_sets(df: DataFrame, ids: bytearray) -> DataFrame:
     """``doc_id, n, node, tokens``: distinct shingle hashes as packed 64-bit integers, and a 64-bit hash of the set.
 
-    Empty sets are left out.
+    Of the documents whose bit is set in ``ids``; a bit set for another id only adds a document. Empty sets are left out.
     """
     import hashlib
 
+    shared = df.sparkSession.sparkContext.broadcast(ids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, hashes, bounds in chunks(batches):
-            rows = [(i, len(own), int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True), own.tobytes()) for i, own in zip(ids, sets_of(hashes, bounds), strict=True) if len(own)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n", "node", "tokens"])
+        import numpy as np
+
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            slot = _slot(batch.column(0).to_numpy())
+            batch = batch.filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+            for doc, hashes, bounds in chunks([batch] if batch.num_rows else []):
+                rows = [(i, len(own), int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True), own.tobytes()) for i, own in zip(doc, sets_of(hashes, bounds), strict=True) if len(own)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n", "node", "tokens"])
 
-    return texts_of(df).mapInArrow(run, "doc_id long, n long, node long, tokens binary")
+    out = cut(texts_of(df).mapInArrow(run, "doc_id long, n long, node long, tokens binary"))
+    shared.destroy()  # the checkpoint has what it was for
+    return out
 
 
-def rare_prefixes(sets: DataFrame) -> DataFrame:
+def rare_prefixes(sets: DataFrame, documents: int) -> DataFrame:
     """``token, doc_id``: prefixes in the order of exact frequency, without shingles that only one set holds."""
     import numpy as np
 
@@ -298,12 +343,24 @@ def rare_prefixes(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.repeat(np.array(n, np.int64), n)), pa.array(np.concatenate(own))], names=["doc_id", "n", "token"])
 
     held = sets.select("doc_id", "n", "tokens").mapInArrow(explode, "doc_id long, n long, token long")
-    often = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = held.join(often, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))  # bounded by the document
+    often = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumn("held", F.col("df"))
+    # tokens of more than documents / SHARE sets: at most SHARE times the mean size of a set
+    ranked = hot_join(held, often, "token", "held", "doc_id", limit=max(1000, documents // SHARE))
+    ranked = ranked.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))  # bounded by the document
     ranked = ranked.withColumn("take", F.expr("n - cast(ceil(3 * n / 4) as long) + 1 - (n - size(own))").cast("int")).where("take > 0")
     return ranked.select("doc_id", F.explode(F.slice("own", F.lit(1), F.col("take"))).alias("x")).select("doc_id", "x.token")
 
 
+def candidate_groups(prefixes: DataFrame, documents: int) -> DataFrame:
+    """``doc_id, cand, blocks`` of the documents that share a token with another: components over shared tokens."""
+    firsts = prefixes.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("held")).where("held > 1")
+    edges = hot_join(prefixes, firsts, "token", "held", "doc_id", limit=max(1000, documents // SHARE))
+    groups = components(edges.select(F.col("doc_id").alias("a"), "b"))
+    groups = cut(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()))
+    sized = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"), F.count("*").alias("held"))
+    return hot_join(groups, sized, "component", "held", "node").select(F.col("node").alias("doc_id"), F.col("component").alias("cand"), "blocks")
+
+
 class Trie:
     """Sets of small integers in a trie, unary paths as one node; the integers ascend from the most frequent."""
 
@@ -409,20 +466,31 @@ def block_links(members: DataFrame, deal: int) -> DataFrame:
     return dealt.repartition(n, "cand", "block").sortWithinPartitions("cand", "block", "doc_id").mapInArrow(run, "a long, b long")
 
 
-def rest_links(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """In candidate groups of several blocks: all outside the group's largest part against the whole group."""
+def rest_links(prefixes: DataFrame, members: DataFrame, labels: DataFrame, documents: int) -> DataFrame:
+    """Links that the deals did not see: ``a, b``.
+
+    Two sets that qualify share a prefix token. So only tokens whose sets, in groups of several blocks, have different labels
+    are left: their sets form new, smaller groups. In each, all outside the group's largest label are compared with the
+    whole group, in cells of about ``BLOCK`` by ``BLOCK`` sets.
+    """
     import numpy as np
 
-    own = members.where("blocks > 1").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    sizes = own.groupBy("cand", "label").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("cand").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    own = own.join(largest, "cand")
-    apart = own.where("label <> main")
-    parts = apart.groupBy("cand").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
-    probes = apart.join(parts, "cand").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).select("cand", "part", "block", F.lit(True).alias("probe"), "doc_id", "label", "tokens")
-    held = own.join(parts, "cand").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.col("blocks")).cast("int"))
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cand", "part", "block", F.lit(False).alias("probe"), "doc_id", "label", "tokens")
+    own = members.where("blocks > 1").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
+    placed = prefixes.join(cut(own), "doc_id")
+    mixed = placed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("held")).where("x <> y").select("token", "held")
+    left = cut(hot_join(prefixes, mixed, "token", "held", "doc_id", limit=max(1000, documents // SHARE)).join(own.select("doc_id"), "doc_id", "left_semi"))
+    if left.isEmpty():
+        return left.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    groups = candidate_groups(left, documents).drop("blocks").join(own, "doc_id")
+    labelled = groups.groupBy("cand", "label").agg(F.count("*").alias("size"))
+    per = labelled.groupBy("cand").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("held"))
+    count = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    per = per.where("held > most").select("cand", "main", "held", count(F.col("held")).alias("blocks"), count(F.col("held") - F.col("most")).alias("parts"))
+    dealt = cut(hot_join(groups, per, "cand", "held", "doc_id").join(members.select("doc_id", "tokens"), "doc_id"))
+    part, block = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.col("blocks")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probes = dealt.where("label <> main").select("cand", part.alias("part"), every("blocks").alias("block"), F.lit(True).alias("probe"), "doc_id", "label", "tokens")
+    held = dealt.select("cand", every("parts").alias("part"), block.alias("block"), F.lit(False).alias("probe"), "doc_id", "label", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 3):
@@ -439,32 +507,28 @@ def rest_links(members: DataFrame, labels: DataFrame) -> DataFrame:
 def near_groups(df: DataFrame) -> DataFrame:
     """``node, component`` of every document whose group has a smaller id; component = the group's smallest id."""
     shard_bits = min(16, (4 * parallelism(df.sparkSession) - 1).bit_length())
-    marked = flagged(df, common_shingles(df, shard_bits), shard_bits)
-    sets = cut(shingle_sets(by_ids(texts_of(df), marked, "left_semi")))
+    sets = shingle_sets(df, id_bitmap(flagged(df, common_shingles(df, shard_bits), shard_bits)))
     named = sets.groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
-    first = cut(named.groupBy("node").agg(F.min(F.struct("doc_id", "rows")).alias("x")).select("node", "x.*"))
+    first = cut(named.groupBy("node").agg(F.min(F.struct("doc_id", "rows")).alias("x"), F.sum("rows").alias("held")).select("node", "x.*", "held"))
+    documents = first.count()
     reps = by_ids(sets, first.select("node", "doc_id"), "left_semi")
     if not first.where("rows > 1").isEmpty():  # repeated rows
         reps = reps.dropDuplicates(["node", "doc_id"])
     reps = reps.select(F.col("node").alias("doc_id"), "n", "tokens")
-    prefixes = cut(rare_prefixes(reps))
-    firsts = prefixes.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("held")).where("held > 1").drop("held")
-    candidates = cut(components(prefixes.join(firsts, "token").select(F.col("doc_id").alias("a"), "b")))
-    candidates = candidates.unionByName(candidates.select(F.col("component").alias("node"), "component").distinct())
-    sized = candidates.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    members = candidates.join(sized, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cand"), "blocks")
-    members = cut(reps.join(members, "doc_id").select("doc_id", "cand", "blocks", "tokens"))
+    prefixes = cut(rare_prefixes(reps, documents))
+    members = cut(reps.join(candidate_groups(prefixes, documents), "doc_id").select("doc_id", "cand", "blocks", "tokens"))
     links = block_links(members, 0)
     for deal in range(1, DEALS):
         links = links.unionByName(block_links(members.where("blocks > 1"), deal))
     links = cut(links.distinct())
     labels = cut(components(links)).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    more = cut(rest_links(members, labels))
+    more = cut(rest_links(prefixes, members, labels, documents))
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more))).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    named = sets.select("doc_id", "node").join(labels.withColumnRenamed("doc_id", "node"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("b"))
-    stars = cut(named.join(least, "label").select(F.col("doc_id").alias("node"), F.col("b").alias("component")).distinct())
+    per_node = first.select("node", "held").join(labels.withColumnRenamed("doc_id", "node"), "node", "left").select("node", "held", F.coalesce("label", "node").alias("label"))
+    named = cut(hot_join(sets.select("doc_id", "node"), per_node, "node", "held", "doc_id").select("doc_id", "label"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("b"), F.count("*").alias("held"))
+    stars = cut(hot_join(named, least, "label", "held", "doc_id").select(F.col("doc_id").alias("node"), F.col("b").alias("component")).distinct())
     if stars.groupBy("node").count().where("count > 1").isEmpty():
         return stars.where("node <> component")
     return components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))  # an id of several rows joins groups
