@@ -1,17 +1,25 @@
 """Personal data with offset-preserving deobfuscation.
 
-Base kinds are found in the text as it stands. Then a small transducer rewrites disguised stretches - homoglyph and
-full-width letters to ASCII, spelled digits to digits, ``(at)``/``[dot]``/`` at `` ... `` dot `` to ``@`` and ``.`` -
-and keeps for every character it writes the source characters it came from. The same detectors run on the rewritten
-stretch and each find is mapped back to source offsets. Finds inside a base span of their kind are dropped.
+Base kinds are found in the text as it stands. Then three transducers rewrite the whole text, each the output of the one
+before, and keep for every stretch they write the stretch it came from:
 
-Only stretches around a disguise are rewritten, so clean text costs one search. Everything is linear in the text.
-Defined results: null or empty text has no spans; repeated rows give repeated results; offsets are code points.
+1. letters: homoglyphs, full-width forms and digits of other scripts to ASCII; characters without width go;
+2. digits: spelled digits of four languages to digits, also next to numerals, and spelled dots between numbers;
+3. addresses: ``(at)``, ``[dot]``, `` at `` ... `` dot `` and the like to ``@`` and ``.``.
+
+The detectors run once on what comes out, and each find is mapped back through the three to source offsets. Finds inside a
+base span of their kind are dropped. No length is bounded; everything is linear in the text, and a text without any
+disguise costs a few searches.
+
+Defined results: null or empty text has no spans; repeated rows give repeated results; offsets are code points; an empty
+table gives an empty table; further columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,109 +82,175 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Look-alikes of ASCII letters in Greek and Cyrillic.
 HOMOGLYPHS = dict(zip("АВСЕНІЈКМОРЅТХаеорсухіјѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABCEHIJKMOPSTXaeopcyxijsABEZHIKMNOPTYXo", strict=True))
-#: Full-width forms of ! to ~ lie at a fixed distance from ASCII.
+#: Full-width forms of ! to ~ lie at a fixed distance from ASCII; digits of some scripts follow one another.
 HOMOGLYPHS |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
+HOMOGLYPHS |= {chr(zero + k): str(k) for zero in (0x660, 0x6F0, 0x966) for k in range(10)}
 #: Characters without width, dropped inside identifiers.
 INVISIBLE = "​‌‍⁠﻿­"
-#: Spelled digits.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "plus": "+"}
-
+#: Spelled digits in English, German, French and Spanish.
+DIGITS = {
+    w: str(k)
+    for words in (
+        "zero one two three four five six seven eight nine",
+        "null eins zwei drei vier fünf sechs sieben acht neun",
+        "zéro un deux trois quatre cinq six sept huit neuf",
+        "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for k, w in enumerate(words.split())
+} | {"oh": "0"}
+#: Spelled marks.
+DOTS, ATS, PLUS = ("dot", "punkt", "point", "punto"), ("at", "arroba", "arobase", "klammeraffe"), ("plus", "más")
+#: After a plain word for at, the last label must be one of these.
+ENDINGS = frozenset("com org net edu gov info io biz de fr es it uk eu co us ru ch nl".split())
+
+LETTERS = {ord(a): b for a, b in HOMOGLYPHS.items()}
+HIDDEN = re.compile("[" + INVISIBLE + "]")
+_END = r"(?![^\W\d_])"
+_WORD, _DOT = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")" + _END, "(?:" + "|".join(DOTS) + ")" + _END
+STRETCH = re.compile(rf"(?<!\w)(?:\+|(?:{'|'.join(PLUS)})[\x20-]+)?(?:{_WORD}|[0-9]++)(?:[\x20\t,.-]*(?:{_DOT}\x20+)?(?:{_WORD}|[0-9]++))+", re.I)
+TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\+|[\x20\t,.-]+")
+_OPEN, _CLOSE = r"[(\[{<]\x20*", r"\x20*[)\]}>]"
+AT = re.compile(rf"{_OPEN}(?:{'|'.join(ATS)}|@){_CLOSE}|(?<=\x20)(?:{'|'.join(ATS)})(?=\x20)|@", re.I)
+DOT = re.compile(rf"\x20*{_OPEN}(?:{'|'.join(DOTS)}|\.){_CLOSE}\x20*|\x20+(?:{'|'.join(DOTS)})\x20+|\.", re.I)
+DOT_BEFORE = re.compile(rf"(?:{_OPEN}(?:{'|'.join(DOTS)}|\.){_CLOSE}|\x20(?:{'|'.join(DOTS)}))\Z", re.I)
+LABEL = re.compile(r"[A-Za-z0-9-]+")
 ODD = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + INVISIBLE + "]")
-DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[\x20-]+)?{DIGIT_WORD}(?:[\x20,.-]*(?:dot\x20)?(?:{DIGIT_WORD}|[0-9]))+(?![A-Za-z])", re.I | re.A)
-AT = re.compile(r"\x20?[\(\[\{<]\x20?at\x20?[\)\]\}>]\x20?|\x20at\x20", re.I | re.A)
-DOT = re.compile(r"\x20?[\(\[\{<]\x20?(?:dot|\.)\x20?[\)\]\}>]\x20?|\x20dot\x20", re.I | re.A)
-#: A disguised address: name, at, labels parted by dots of either form, the last one a label of letters.
-NAME = r"[A-Za-z0-9._%+-]{1,64}"
-AT_FORM = r"(?:\x20?[\(\[\{<]\x20?(?:at|@)\x20?[\)\]\}>]\x20?|\x20at\x20|\x20?@\x20?)"
-DOT_FORM = r"(?:\x20?[\(\[\{<]\x20?(?:dot|\.)\x20?[\)\]\}>]\x20?|\x20dot\x20|\.)"
-ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])({NAME}(?:\x20dot\x20{NAME}){{0,3}})({AT_FORM})([A-Za-z0-9-]{{1,63}}(?:{DOT_FORM}[A-Za-z0-9-]{{1,63}}){{1,8}})", re.I | re.A)
-#: After a plain word "at", the last label must be one of these.
-ENDINGS = tuple(f"{d}{e}" for d in (" ", ".", ")", "]", "}", ">") for e in ("com", "org", "net", "edu", "gov", "info", "io", "biz", "de", "fr", "es", "it", "uk", "eu", "co", "us", "ru", "ch", "nl"))
-HINT = re.compile(r"\bdot\b|[\(\[\{<]\x20?(?:at|@|\.)\x20?[\)\]\}>]|\x20@|@\x20", re.I | re.A)
-#: How far around an odd character an identifier may reach.
-REACH = 96
+SPELLING = frozenset(DIGITS) | frozenset(DOTS)
 
 
-class Rewritten:
-    """A rewritten stretch with the source span of each character written."""
-
-    def __init__(self) -> None:
-        self.text: list[str] = []
-        self.spans: list[tuple[int, int]] = []
-
-    def put(self, written: str, start: int, end: int) -> None:
-        for c in written:
-            self.text.append(c)
-            self.spans.append((start, end))
-
-    def found(self) -> list[tuple[int, int, int]]:
-        out = []
-        for s, kind, e in base_spans("".join(self.text)):
-            out.append((self.spans[s][0], kind, self.spans[e - 1][1]))
-        return out
-
-
-def letters(text: str, start: int, end: int) -> Rewritten:
-    """Homoglyphs to ASCII; characters without width go."""
-    out = Rewritten()
-    for k in range(start, end):
-        c = text[k]
-        if c not in INVISIBLE:
-            out.put(HOMOGLYPHS.get(c, c), k, k + 1)
-    return out
+def may_spell(text: str) -> bool:
+    """Whether a spelled digit or dot stands beside a number; a cheap test that most texts fail."""
+    words = text.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()
+    if SPELLING.isdisjoint(words):
+        return False
+    number = [w in DIGITS or w.isdigit() for w in words]
+    return any(w in SPELLING and (k > 0 and number[k - 1] or k + 1 < len(words) and number[k + 1]) for k, w in enumerate(words))
 
 
-def digits(text: str, start: int, end: int) -> Rewritten:
-    """Spelled digits to digits; what stands between them goes, but for a dot."""
-    out = Rewritten()
-    for m in re.finditer(r"[A-Za-z]+|[0-9]|\.", text[start:end]):
-        word, s, e = m.group().lower(), start + m.start(), start + m.end()
-        out.put("." if word == "dot" else DIGITS.get(word, word), s, e)
-    return out
+def may_address(text: str) -> bool:
+    """Whether an at or a dot is disguised; a cheap test that most texts fail."""
+    low = text.lower()
+    dots = any(w in low for w in DOTS) or any(o + "." in low for o in "([{<") or ". )" in low
+    if "@" in low:
+        return dots or " @" in low or "@ " in low or any(o + "@" in low for o in "([{<")
+    return dots and any(f" {w} " in low for w in ATS) or any(f"{w}{c}" in low or f"{w} {c}" in low for w in ATS for c in ")]}>")
 
 
-def address(text: str, m: re.Match) -> Rewritten:
-    out = Rewritten()
-    for group in (1, 2, 3):
-        start, end = m.span(group)
-        if group == 2:
-            out.put("@", start, end)
+class Rewritten:
+    """``text`` with pieces ``(start, end, new)`` replaced, ascending and apart, and the way back."""
+
+    def __init__(self, text: str, pieces: list[tuple[int, int, str]]) -> None:
+        out, at, self.starts, self.marks, size = [], 0, [], [], 0
+        for start, end, new in pieces:
+            out += [text[at:start], new]
+            size += start - at
+            self.starts.append(size)
+            self.marks.append((size + len(new), start, end))
+            size, at = size + len(new), end
+        out.append(text[at:])
+        self.text = "".join(out)
+
+    def back(self, start: int, end: int) -> tuple[int, int]:
+        """The source of what stands from ``start`` to ``end``; a replaced piece counts whole."""
+        out = []
+        for at in (start, end - 1):
+            k = bisect_right(self.starts, at) - 1
+            if k < 0:
+                out.append((at, at + 1))
+                continue
+            stop, s, e = self.marks[k]
+            out.append((s, e) if at < stop else (at - stop + e, at - stop + e + 1))
+        return out[0][0], out[1][1]
+
+
+def letters(text: str) -> list[tuple[int, int, str]]:
+    """Characters without width; what keeps its place is translated before."""
+    return [] if text.isascii() else [(m.start(), m.end(), "") for m in HIDDEN.finditer(text)]
+
+
+def digits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spelled digits and dots of stretches of numbers; what stands beside a spelled digit goes, but for a dot."""
+    if not may_spell(text):
+        return
+    for m in STRETCH.finditer(text):
+        tokens = [(t.start(), t.end(), t.group()) for t in TOKEN.finditer(text, m.start(), m.end())]
+        words = [t.lower() for _, _, t in tokens if t[0].isalpha()]
+        if sum(w in DIGITS for w in words) < 2 and not any(w in DOTS for w in words):
+            continue  # one word beside numerals is prose: "... 1373 un ..."
+        number = [t.isdigit() for _, _, t in tokens]
+        for k, (s, e, t) in enumerate(tokens):
+            word = t.lower()
+            if word in DIGITS:
+                yield s, e, DIGITS[word]
+            elif word in DOTS:
+                yield s, e, "."
+            elif word in PLUS:
+                yield s, e, "+"
+            elif not t[0].isalnum() and t != "+" and not (0 < k < len(tokens) - 1 and number[k - 1] and number[k + 1]):
+                yield s, e, "." if "." in t else ""
+
+
+def addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    """At and dot disguises of an address: name, at, labels parted by dots of any form."""
+    done = 0
+    for m in AT.finditer(text) if may_address(text) else ():
+        start, end = m.span()
+        while end < len(text) and text[end] == " ":
+            end += 1
+        label = LABEL.match(text, end)
+        if not label:
             continue
-        at = start
-        for d in DOT.finditer(text, start, end):
-            for k in range(at, d.start()):
-                out.put(text[k], k, k + 1)
-            out.put(".", d.start(), d.end())
-            at = d.end()
-        for k in range(at, end):
-            out.put(text[k], k, k + 1)
-    return out
+        dots, last = [], label
+        while (dot := DOT.match(text, last.end())) and (nxt := LABEL.match(text, dot.end())):
+            dots.append(dot.span())
+            last = nxt
+        hidden = [(s, e) for s, e in dots if e - s > 1]
+        if not dots or m.group()[0].isalpha() and not (hidden and last.group().lower() in ENDINGS):
+            continue  # plain words "x at y.z", "x at the dot of" are prose
+        while start > done and text[start - 1] == " ":
+            start -= 1
+        names, at = [], start
+        while True:
+            name = at
+            while name > done and text[name - 1] in LOCAL_CHARS:
+                name -= 1
+            if name == at:
+                break
+            at = name
+            while name > done and text[name - 1] == " ":
+                name -= 1
+            before = DOT_BEFORE.search(text, max(done, name - 16), name)
+            if not before or before.start() <= done:
+                break
+            begin = before.start()
+            while begin > done and text[begin - 1] == " ":
+                begin -= 1
+            if begin == done or text[begin - 1] not in LOCAL_CHARS:
+                break
+            names.append((begin, at))
+            at = begin
+        yield from ((s, e, ".") for s, e in reversed(names))
+        if end - start > 1:
+            yield start, end, "@"
+        yield from ((s, e, ".") for s, e in hidden)
+        done = last.end()
 
 
 def hidden_spans(text: str) -> list[tuple[int, int, int]]:
-    """What the detectors find only after rewriting."""
-    out: list[tuple[int, int, int]] = []
-    if HINT.search(text):
-        for m in ADDRESS.finditer(text):
-            if m.group(2) == "@" and not DOT.search(m.group(3)):
-                continue
-            if m.group(2).lower() == " at " and not (DOT.search(text, m.start(3), m.end(3)) and m.group(3).lower().endswith(ENDINGS)):
-                continue  # plain words "x at y.z", "x at the dot of" are prose
-            out += [x for x in address(text, m).found() if x[1] == 0]
-    if not text.isascii():
-        reached = -1
-        for m in ODD.finditer(text):
-            if m.start() < reached:
-                continue
-            start = max(0, m.start() - REACH)
-            end = m.end()
-            while (nxt := ODD.search(text, end, min(len(text), end + REACH))) is not None:
-                end = nxt.end()
-            reached = end
-            out += [x for x in letters(text, start, min(len(text), end + REACH)).found() if ODD.search(text, x[0], x[2])]
-    for m in SPELLED.finditer(text):
-        out += digits(text, m.start(), m.end()).found()
+    """What the detectors find after rewriting, at source offsets."""
+    plain, chain = text.translate(LETTERS) if not text.isascii() and ODD.search(text) else text, []
+    for rule in (letters, digits, addresses):
+        pieces = list(rule(plain))
+        if pieces:
+            chain.append(Rewritten(plain, pieces))
+            plain = chain[-1].text
+    if plain == text:
+        return []
+    out = []
+    for s, kind, e in base_spans(plain):
+        for step in reversed(chain):
+            s, e = step.back(s, e)
+        out.append((s, kind, e))
     return out
 
 

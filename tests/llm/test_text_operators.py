@@ -82,6 +82,17 @@ def test_base_pii_equals_plain_patterns():
         ("ip one nine two dot one six eight dot one dot one ok", "ip", "one nine two dot one six eight dot one dot one"),
         ("card four one one one one one one one one one one one one one one one end", "card", "four one one one one one one one one one one one one one one one"),
         ("ｊｏｅ＠ｍａｉｌ．ｃｏｍ", "email", "ｊｏｅ＠ｍａｉｌ．ｃｏｍ"),
+        ("jane dot doe＠example dot com", "email", "jane dot doe＠example dot com"),
+        ("to jоe (at) mail (dot) com", "email", "jоe (at) mail (dot) com"),
+        ("ip 192 dot 168 dot 1 dot 7 ok", "ip", "192 dot 168 dot 1 dot 7"),
+        ("card 4111 1111 1111 one one one one.", "card", "4111 1111 1111 one one one one"),
+        ("tel +1 four one five five five five zero one zero zero!", "phone", "+1 four one five five five five zero one zero zero"),
+        ("nummer plus vier neun drei null eins zwei drei vier fünf sechs", "phone", "plus vier neun drei null eins zwei drei vier fünf sechs"),
+        ("correo ana arroba correo punto es", "email", "ana arroba correo punto es"),
+        ("ip ٢٥.10.0.1", "ip", "٢٥.10.0.1"),
+        ("zero width jo\u200be@mail.com", "email", "jo\u200be@mail.com"),
+        ("m " + "a" * 200 + "о@mail.example.com", "email", "a" * 200 + "о@mail.example.com"),
+        ("x" * 90 + ".y dot z [at] " + "l-" * 60 + "l [dot] com", "email", "x" * 90 + ".y dot z [at] " + "l-" * 60 + "l [dot] com"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, found):
@@ -90,10 +101,55 @@ def test_disguises_map_back_to_the_source(text, kind, found):
 
 
 def test_clean_text_has_no_spans():
-    for text in ("We met at the dot of noon. One two three, go!", "Ouvioi à la fin dé l'été; être", "a at b.c", "und@ oder @x"):
+    for text in ("We met at the dot of noon. One two three, go!", "un deux, 3 at x.y 1 2 one", "42 Un", "sold at point dot, one at a time", "x @ y", "Ouvioi à la fin dé l'été; être", "a at b.c", "und@ oder @x"):
         assert pii.all_spans(text) == []
 
 
+def test_way_back_equals_brute_force():
+    rng = random.Random(12)
+    for _ in range(400):
+        text, source, out, pieces = "".join(rng.choice("abcdef") for _ in range(30)), [], [], []
+        at = 0
+        while at < 30:
+            n = rng.randint(1, 4)
+            if rng.random() < 0.4:
+                new = "X" * rng.randint(0, 3)
+                pieces.append((at, min(30, at + n), new))
+                source += [(at, min(30, at + n))] * len(new)
+                out.append(new)
+            else:
+                out.append(text[at : at + n])
+                source += [(k, k + 1) for k in range(at, min(30, at + n))]
+            at += n
+        made = pii.Rewritten(text, pieces)
+        assert made.text == "".join(out)
+        for s in range(len(source)):
+            e = rng.randint(s + 1, len(source))
+            assert made.back(s, e) == (source[s][0], source[e - 1][1])
+
+
+def test_disguises_planted_in_prose_are_found():
+    rng, found = random.Random(3), 0
+    cyrillic = str.maketrans("aeocp", "аеоср")
+    for k in range(300):
+        name, host = "".join(rng.choice("abcdeopq") for _ in range(6)), "".join(rng.choice("abcdeopq") for _ in range(7))
+        digits = "".join(str(rng.randint(0, 9)) for _ in range(11))
+        spelled = " ".join("zero one two three four five six seven eight nine".split()[int(c)] for c in digits)
+        kind, own = [("email", f"{name}1@{host}.com".translate(cyrillic)), ("email", f"{name} (at) {host} [dot] org"), ("email", f"{name} at {host} dot net"), ("phone", f"plus {spelled}"), ("ip", "ten".replace("ten", "one zero") + " dot two dot three dot nine")][k % 5]
+        text = f"Some words at the start, one or two: {own} and then more words at the end."
+        found += any(pii.KINDS[kd] == kind and text[s:e] == own for s, kd, e, _ in pii.all_spans(text))
+    assert found >= 0.99 * 300
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    for text in ("dot " * 200_000, "a dot " * 100_000, " " * 500_000, "one " * 200_000, "x at " * 200_000, "1, " * 300_000, "(at) (dot) " * 50_000, "a" * 500_000 + "о", "(" * 300_000, "@ " * 200_000, "1" * 300_000):
+        began = time.time()
+        pii.all_spans(text)
+        assert time.time() - began < 10, text[:20]
+
+
 def test_pii_digest(docs):
     rows = {r["doc_id"]: r for r in pii.span_digest(pii.find_pii(docs), pii.KINDS).collect()}
     assert rows[1]["spans"] == "" and rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
