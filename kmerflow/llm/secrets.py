@@ -1,12 +1,16 @@
 """Secret scan: fixed forms, then novelty against a dictionary-primed zstandard compressor.
 
-Fixed forms (assign, access, hex) are the base. For the rest, candidates are unbroken strings of key characters near a
-word of a sensitive context, before or behind it, of any length. A candidate's novelty is what it adds to the compressed size of its surroundings, with a
-dictionary of identifiers and the surrounding text as the compressor's history: names, paths and words compress well,
-random keys do not. A candidate of at least ``MIN_BITS`` added bits a character, long ones in any of their parts of up to
-``PART`` characters, is reported as kind ``novel``, together with the lines of key characters right before and after it.
-
-Defined results: null or empty text has no spans; repeated rows give repeated results; offsets are code points.
+Fixed forms (assign, access, hex) are the base. For the rest, candidates are unbroken runs of key characters near a word of a
+sensitive context, before or behind it, of any length. A candidate's novelty is what it adds to the compressed size of its
+surroundings, with a dictionary of identifiers and the surrounding text as the compressor's history: names, paths and words
+compress well, random keys do not. A candidate of at least ``MIN_BITS`` added bits a character, long ones in any of their
+parts of up to ``PART`` characters, is reported as kind ``novel``, together with the lines of key characters right before
+and after it. A run needs ``MIN_OPAQUE`` characters in segments that are neither numbers nor like words: short runs cost
+some bits more than they hold, so dates, versions and paths of words would pass by novelty alone.
+
+Defined results: null or empty text has no spans; repeated rows give repeated results; offsets are code points; an empty
+table gives an empty table; further columns are not looked at. A candidate inside a base span is not repeated; one that
+reaches beyond it is reported whole.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 NEXT_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/_=.-]+)(?=[\x20\t]*(?:\r?\n|\Z))")
 LINE = re.compile(r"[\x20\t]*([A-Za-z0-9+/_=.-]{16,})[\x20\t\r]*")
 END_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*-----END")
-NEAR, AROUND, MIN_BITS, PART = 64, 256, 4.5, 512
+NEAR, AROUND, WIDE, MIN_BITS, MIN_OPAQUE, PART = 64, 256, 2048, 4.5, 12, 512
 #: What code and configuration are full of, as the compressor's history.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_id client_secret credential authorization bearer "
@@ -67,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Whole runs of key characters near a context word; a run that holds the word first met is cut before it."""
+    """Whole runs of key characters near a context word; of a run ``word=...`` what follows the sign, if that is long enough."""
     words = [m.span() for m in CONTEXT.finditer(text)]
     runs = [m.span() for m in CANDIDATE.finditer(text)] if words else []
     ends, at = [e for _, e in runs], 0
@@ -76,9 +80,50 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         while at < len(runs) and runs[at][0] <= right + NEAR:
             s, e = runs[at]
             at += 1
-            for piece in ((s, left), (left, e)) if s < left < e else ((s, e),):
-                if piece[1] - piece[0] >= 16:
-                    yield piece
+            if s <= left < e and (sign := text.find("=", right, e - 16)) >= 0:
+                s = sign + 1
+            yield s, e
+
+
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+#: Numbers, and words or single letters with a short number beside them, as in versions, hosts and times.
+NUMBERED = re.compile(r"[0-9]+|([A-Za-z]+)[0-9]{1,4}|[0-9]{1,4}[A-Za-z]{1,2}[0-9]{0,2}")
+HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]+")
+
+
+def pairs_in(text: str) -> set[str]:
+    low = text.lower()
+    return {low[k : k + 2] for k in range(len(low) - 1) if low[k : k + 2].isalpha() and low[k : k + 2].isascii()}
+
+
+def like_words(letters: str, known: set[str]) -> bool:
+    """Letters in humps of a fair length, most of whose pairs the surroundings know, without long runs of consonants."""
+    humps = HUMP.findall(letters)
+    if len(letters) >= 8 and 4 * len(humps) > len(letters) and not letters.isupper():
+        return False
+    low = letters.lower()
+    pairs = [h[k : k + 2].lower() for h in humps for k in range(len(h) - 1)]
+    share = sum(x in known for x in pairs) / max(1, len(pairs))
+    run = max(map(len, CONSONANTS.findall(low)), default=0)
+    vowels = 1 - sum(map(len, CONSONANTS.findall(low))) / len(low)
+    chance = len(known) / 676 + 0.2  # what random letters hardly reach
+    return len(low) < 4 or run <= 6 and 0.25 <= vowels <= 0.65 and share >= min(0.85, chance) or run <= 7 and share >= 0.85 >= chance
+
+
+def opaque(own: str, around: str) -> int:
+    """Characters of ``own`` in segments that are neither numbers nor like words."""
+    known, n = None, 0
+    for m in SEGMENT.finditer(own):
+        part = m.group()
+        if part.isalpha() or (numbered := NUMBERED.fullmatch(part)) and numbered.group(1):
+            known = pairs_in(IDENTIFIERS.decode().replace("abcdefghijklmnopqrstuvwxyz", "") + " " + around) if known is None else known
+            if like_words(part if part.isalpha() else numbered.group(1), known):
+                continue
+        elif numbered:
+            continue
+        n += len(part)
+    return n
 
 
 def mixed(own: str) -> bool:
@@ -109,10 +154,9 @@ def carried_on(text: str, s: int, e: int) -> tuple[int, int]:
 def novel_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in candidates(text):
-        own = text[s:e]
-        if out and s < out[-1][1] or not mixed(own) or not any(c.isdigit() for c in own) or any(x < e and s < y for x, y in taken):
+        if out and s < out[-1][1] or any(x <= s and e <= y for x, y in taken):
             continue
-        if is_novel(text, s, e):
+        if opaque(text[s:e], text[max(0, s - WIDE) : s] + " " + text[e : e + WIDE]) >= MIN_OPAQUE and is_novel(text, s, e):
             out.append(carried_on(text, s, e))
     return out
 

@@ -200,6 +200,49 @@ def key_characters(n, seed=1):
     return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
 
 
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+
+
+def plain_secrets(t):
+    want = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m.group(2)) >= 12]
+    want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m.group()) >= 18]
+    return sorted(want + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m.group()) >= 16])
+
+
+def test_base_secrets_equal_plain_patterns(spark):
+    rng = random.Random(6)
+    for _ in range(2000):
+        t = "".join(rng.choice(["password", "Token", "api_key", "apikey", "=", ": ", '"', "'", " ", "AKIA", "ABCDEFGH12", "0123456789abcdef", "xyz+/_.=-", "K", "ſ", "q"]) for _ in range(rng.randint(0, 14)))
+        assert secrets.base_spans(t) == plain_secrets(t), t
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        assert secrets.base_spans(r["text"] or "") == plain_secrets(r["text"] or "")
+
+
+def test_secret_precision_and_recall():
+    rng = random.Random(1)
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    mixed, prose = digits + lower + lower.upper(), "The service reads its settings when it starts and writes a line for every request that it cannot answer. "
+    make = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    kinds = [lambda: make(mixed, rng.randint(20, 64)), lambda: make(lower, 40), lambda: make(lower + lower.upper(), 40), lambda: make(mixed + "+/", 44) + "=", lambda: make(mixed, 36) + "." + make(mixed + "_-", 120)]
+    for kind in kinds:
+        keys = [kind() for _ in range(60)]
+        found = sum("[secret]" in (red := secrets.redact(f"{prose}the access key is {key} {prose}")) and key[4:] not in red and key[:-4] not in red for key in keys)
+        assert found >= 0.97 * len(keys)
+    for own in ("author 2024-11-28T10-22-33.456", "auth /var/log/app2/server-01/file.log", "token v1.2.3-rc4.build.20240101", "token getUserAuthenticationTokenFromRequest", "credential thirtythousandwordswithoutdigits",
+                "authorization org.springframework.security.oauth2.client", "api key documentation/getting-started/authentication.html", "secret Donaudampfschifffahrtsgesellschaft", "pwd /home/user/projects/website/modules/package"):
+        assert secrets.all_spans(f"{prose}{own} {prose}") == [], own
+
+
+def test_candidate_beyond_a_base_span_goes_whole():
+    key = "0123456789abcdef" + key_characters(40)
+    assert secrets.redact(f"bearer {key} end") == "bearer [secret] end"
+
+
+def test_no_rows(docs):
+    for f in (license_scan.scan_licenses, pii.find_pii, secrets.find_secrets):
+        assert f(docs.limit(0)).count() == 0
+
+
 def test_secret_before_its_word():
     key = key_characters(32)
     assert secrets.redact(f"{key} # api key") == "[secret] # api key"
