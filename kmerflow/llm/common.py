@@ -142,7 +142,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("held")).withColumn("m", F.least("m", "u"))
         # large star: neighbours greater than u point to the smallest in u's neighbourhood
-        large = hot_join(both.where("v > u"), low, "u", "held", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = hot_join(both.where("v > u"), low, "u", "held", "v", limit=max(1000, now[0] // SHARE)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: each node's smaller neighbours and itself point to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")

@@ -51,18 +51,43 @@ def test_anchors_are_context_free():
 
 def test_chunks_do_not_change_a_sketch(monkeypatch):
     t = "".join(random.Random(3).choices("abcdefgh ", k=5000))
-    whole = syncmers.sketch(t)
+    whole = syncmers.written(syncmers.sketch(t))
     monkeypatch.setattr(syncmers, "CHUNK", 333)
-    assert syncmers.sketch(t) == whole
+    assert syncmers.written(syncmers.sketch(t)) == whole
 
 
 def test_likeness():
     t = "".join(random.Random(4).choices("abcdefgh ", k=4000))
     a = syncmers.sketch(t)
-    assert syncmers.likeness(a, a) == 1.0 and syncmers.likeness([], []) == 1.0 and syncmers.likeness(a, []) == 0.0
+    empty = syncmers.sketch("")
+    assert syncmers.likeness(a, a) == 1.0 and syncmers.likeness(empty, empty) == 1.0 and syncmers.likeness(a, empty) == 0.0
     assert syncmers.likeness(a, syncmers.sketch(t[:2000])) > 0.3
     assert syncmers.likeness(a, syncmers.sketch(t[::-1])) < 0.1
-    assert syncmers.parsed(syncmers.written(a)) == a
+    assert all((x == y).all() for x, y in zip(syncmers.parsed(syncmers.written(a)), a, strict=True))
+
+
+def test_likeness_equals_brute_force():
+    rng = random.Random(14)
+    for _ in range(300):
+        one, two = ([rng.randint(0, 9) for _ in range(rng.randint(1, 12))] for _ in range(2))
+        nth = lambda own: [(h, own[:k].count(h)) for k, h in enumerate(own)]
+        a, b = nth(one), nth(two)
+        places = [b.index(x) for x in a if x in b]
+        best = [1] * len(places)
+        for k in range(len(places)):
+            best[k] = 1 + max((best[j] for j in range(k) if places[j] < places[k]), default=0)
+        want = 1.0 if one == two else max(best, default=0) / (len(a) + len(b) - len(places))
+        arrays = [(np.array(x, np.uint32), np.arange(len(x), dtype=np.uint32)) for x in (one, two)]
+        assert abs(syncmers.likeness(*arrays) - want) < 1e-12
+
+
+def test_parts_hold_about_as_many_characters(spark):
+    rows = [(k, "x" * (2000 if k < 100 else 20)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = syncmers.with_next(df)
+    assert dealt.rdd.getNumPartitions() == 4
+    sizes = [sum(len(r["text"]) + 200 for r in p) for p in dealt.rdd.glom().collect()]
+    assert max(sizes) < 1.5 * sum(sizes) / len(sizes)
 
 
 def test_next_row_and_edit(spark):
