@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -79,18 +80,21 @@ def with_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows go to the shared checkpoint folder and survive lost executors.
+    """Cuts the lineage: the rows are written as a table in the shared checkpoint folder and survive lost executors.
 
-    The shuffle files that made them are not needed any more and go at once, so that the disk holds one step's.
+    Unlike a checkpoint, a table has its true size: estimates carried on from step to step multiply in each join of a loop,
+    until planning takes longer than the work. The shuffle files that made the rows go at once, so that the disk holds one
+    step's.
     """
     spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     with_checkpoint_dir(spark)
-    before = spark.conf.get(clean, "false")
+    path, before = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}", spark.conf.get(clean, "false")
     spark.conf.set(clean, "true")
     try:
-        return df.select("*").checkpoint(eager=True)
+        df.write.parquet(path)
     finally:
         spark.conf.set(clean, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:

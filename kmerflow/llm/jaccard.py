@@ -475,13 +475,13 @@ def rest_links(prefixes: DataFrame, members: DataFrame, labels: DataFrame, docum
     """
     import numpy as np
 
-    own = members.where("blocks > 1").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
-    placed = prefixes.join(cut(own), "doc_id")
+    own = cut(members.where("blocks > 1").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")))
+    placed = prefixes.join(own, "doc_id")
     mixed = placed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("held")).where("x <> y").select("token", "held")
     left = cut(hot_join(prefixes, mixed, "token", "held", "doc_id", limit=max(1000, documents // SHARE)).join(own.select("doc_id"), "doc_id", "left_semi"))
     if left.isEmpty():
         return left.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    groups = candidate_groups(left, documents).drop("blocks").join(own, "doc_id")
+    groups = cut(candidate_groups(left, documents).select("doc_id", "cand").join(own, "doc_id"))
     labelled = groups.groupBy("cand", "label").agg(F.count("*").alias("size"))
     per = labelled.groupBy("cand").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("held"))
     count = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")

@@ -146,7 +146,7 @@ def plan(runs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     state = cut(runs.select(F.lit(LEFT).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), "n", none.alias("placed")).coalesce(1))
     done = [state.where("placed is not null")]
     while not state.where(F.col("kind") == LEFT).isEmpty():
-        state = cut(state.where("placed is null").mapInArrow(swept, RUNS))
+        state = cut(state.where("placed is null").coalesce(1).mapInArrow(swept, RUNS))
         done.append(state.where("placed is not null"))
     return reduce(DataFrame.unionByName, done).select("placed.*")
 
