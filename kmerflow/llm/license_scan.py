@@ -1,15 +1,18 @@
 """License scan: exact set-similarity join of text blocks with license templates, plus consecutive phrases.
 
-A block is a line; a line of more than ``WINDOW`` words counts as windows of that many words, each half over the last. So
-does the whole text, across its line breaks, as notices are wrapped.
-A template is found in a block when the block holds at least ``THRESHOLD`` of the template's distinct words. Words are
-ordered by how often the whole corpus uses them, rarest first; a block is compared with a template only if
+Blocks are windows over the words of the whole text, across its line breaks, as notices are wrapped. A template of L words
+is compared with the windows of 2 L words that begin at every L-th word, so each stretch of L words lies whole in one of them.
+A template is found in a block when the block holds at least ``THRESHOLD`` of the template's distinct words, its numbers
+(of a version) among them. Words are ordered by how often the whole corpus uses them, rarest first; a block is compared with a template only if
 
 * prefix: one of the template's first ``|T| - need + 1`` words is in the block (a block that meets the threshold has one),
 * length: the block has at least ``need`` words,
 * position: the template words after the first shared one still suffice.
 
-Defined results: null or empty text has no words, no places and no labels; repeated rows give repeated results.
+Only windows around a prefix word are looked at, so texts without license words cost one search.
+
+Defined results: null or empty text has no words, no places and no labels; repeated rows give repeated results; an empty
+table gives an empty table; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,24 +29,36 @@ from pyspark.sql import functions as F
 from .common import scan, texts_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-THRESHOLD, WINDOW = 0.9, 64
+THRESHOLD = 0.9
 UPPER = {c: c + 32 for c in range(65, 91)}
 
 #: Phrase -> label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Fixed values: (label, notice), the usual wording of public licenses.
+#: Fixed values: (label, notice or paragraph), the usual wording of public licenses.
 TEMPLATES = [
     ("mit", "released under the mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+            "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-]
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+]
 
 
 def ascii_lower(text: str) -> str:
@@ -72,37 +87,32 @@ class TemplateIndex:
     """Templates as word lists ordered rarest first, with an index of their prefixes."""
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[str, int], threshold: float = THRESHOLD) -> None:
-        self.sets: list[tuple[str, list[str], int]] = []
+        self.sets: list[tuple[str, list[str], int, int]] = []
         self.prefix: dict[str, list[tuple[int, int]]] = {}
         for label, text in templates:
-            words = sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w))
+            own = text.split()
+            words = sorted(set(own), key=lambda w: (counts.get(w, 0), w))
             need = math.ceil(threshold * len(words) - 1e-9)
             for at, w in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.sets), at))
-            self.sets.append((label, words, need))
-
-    def search(self, block: list[str]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of every template that meets the threshold in this block."""
-        words, done = set(block), set()
-        for w in words & self.prefix.keys():
-            for k, at in self.prefix[w]:
-                label, own, need = self.sets[k]
-                if k in done or len(words) < need or len(own) - at < need:
-                    continue
-                done.add(k)
-                shared = sum(x in words for x in own)
-                if shared >= need:
-                    yield label, shared / len(own)
-
-
-def blocks_of(text: str, window: int = WINDOW) -> Iterator[list[str]]:
-    lines = [words for line in text.split("\n") if (words := WORD.findall(line))]
-    for words in [*lines, [w for words in lines for w in words]] if len(lines) > 1 else lines:
-        if len(words) <= window:
-            yield words
-        else:
-            for k in range(0, len(words) - window // 2, window // 2):
-                yield words[k : k + window]
+            self.sets.append((label, words, need, len(own)))
+
+    def search(self, words: list[str]) -> Iterator[tuple[str, float]]:
+        """(label, containment) for each template and window of the text that meets the threshold."""
+        done, sets = set(), {}
+        for place, w in enumerate(words):
+            for k, at in self.prefix.get(w, ()):
+                label, own, need, step = self.sets[k]
+                for start in {max(0, place // step - 1) * step, place // step * step}:
+                    if (k, start) in done or min(2 * step, len(words) - start) < need or len(own) - at < need:
+                        continue
+                    done.add((k, start))
+                    block = sets.get((step, start))
+                    if block is None:
+                        block = sets[step, start] = set(words[start : start + 2 * step])
+                    shared = sum(x in block for x in own)
+                    if shared >= need and all(x in block for x in own if x.isdigit()):
+                        yield label, shared / len(own)
 
 
 def phrase_places(words: list[str]) -> list[tuple[int, str]]:
@@ -130,9 +140,8 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
         places = phrase_places(words) if any(all(w in text for w in p) for p in phrases) else []
         found: dict[str, float] = {}
         if any(w in text for w in index.prefix):
-            for block in blocks_of(text):
-                for label, c in index.search(block):
-                    found[label] = max(c, found.get(label, 0.0))
+            for label, c in index.search(words):
+                found[label] = max(c, found.get(label, 0.0))
         return doc_id, len(words), [{"word": w, "label": x} for w, x in places], [{"label": x, "containment": c} for x, c in sorted(found.items())]
 
     types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())])), pa.list_(pa.struct([("label", pa.string()), ("containment", pa.float64())]))]
