@@ -7,7 +7,8 @@ in characters and lines - each as one of ``STEPS`` levels. The score is
     sigmoid(w0 + w.x + 1/2 sum_f ((V_f . x)^2 - V_f^2 . x^2))
 
 which is linear in the number of features. It is fitted by Adam on a bounded sample: the ``SAMPLE`` labelled rows of
-each class with the smallest hash of doc_id, from rows whose crc32(doc_id) mod 4 is not 2. Scoring covers all rows.
+each class with the smallest hash of doc_id, from rows whose crc32(doc_id) mod 4 is not 2; of rows of equal id the smallest
+text counts. Scoring covers all rows.
 Labels, lang, source and doc_id are never inputs of a score.
 
 Defined results: null or empty text gets a score from the empty text's features; without labelled rows of both classes
@@ -131,11 +132,12 @@ def sample(df: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFra
     known = known.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("low")).where("quality = low").drop("low")
     known = known.where(~F.coalesce(held_out(), F.lit(True)))
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
-    return texts_of(df).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 2 * per_class rows
+    rows = texts_of(df).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 2 * per_class ids
+    return rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # of rows of equal id the first text
 
 
 def fit(df: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> FactorisationMachine:
-    """Features of the sample are made on the executors; the fit itself is small and bounded."""
+    """Features of the sample, at most ``2 * per_class`` rows, are made on the executors; the fit itself is small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,8 +147,7 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Factorisat
 
     picked = sample(df, labels, per_class).select("doc_id", "text", "quality")
     rows = picked.mapInArrow(run, "doc_id long, quality int, at array<int>, value array<float>").toArrow().to_pandas()
-    rows["key"] = [(a.tobytes(), v.tobytes()) for a, v in zip(rows["at"], rows["value"], strict=True)]
-    rows = rows.sort_values(["doc_id", "key"]).head(4 * per_class)  # the order of rows must not matter; repeated ids stay bounded
+    rows = rows.sort_values("doc_id")  # the order of rows must not matter
     return FactorisationMachine.fit(list(zip(rows["at"], rows["value"], strict=True)), rows["quality"].tolist())
 
 
