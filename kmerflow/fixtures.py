@@ -13,6 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 VIEWS = {
     "seqs": "SELECT doc_id AS id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS sequence, source, lang FROM documents",
+    "letters": """SELECT doc_id AS id, translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,',
+        'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTACGTA') AS sequence, source AS species FROM documents""",
     "classes": """SELECT doc_id AS id, source AS species,
         concat('genus', CAST(CAST(substr(source, 4) AS INT) % 10 AS STRING)) AS genus,
         concat('family', CAST(CAST(substr(source, 4) AS INT) % 5 AS STRING)) AS family,

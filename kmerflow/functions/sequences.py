@@ -31,7 +31,13 @@ def kmers_of_chunk(chunk: Column, last: Column, k: int, include_last: bool = Fal
 
 def is_valid(col: Column | str, alphabet: str = "ATCG") -> Column:
     """Whether every character is in the alphabet."""
-    return (F.col(col) if isinstance(col, str) else col).rlike(f"^[{alphabet}]+$")
+    return (F.col(col) if isinstance(col, str) else col).rlike(f"^[{alphabet}]+\\z")
+
+
+def seeded_hash(seed: int, *cols):
+    """A number from 0 to 2^32 - 1 that depends on the seed and the columns alone, the same in every engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def canonical_domain(col: Column | str) -> Column:

@@ -96,13 +96,15 @@ class NaiveBayes:
     def predict(self, long: DataFrame) -> DataFrame:
         """``id, cluster, label, p``. A feature a class never had adds the smoothed floor, so only gains are joined."""
         totals = long.groupBy("id").agg(F.sum("value").alias("x"))
+        models = self.priors.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("label", "prior", "low"))).alias("classes"))  # a row for each cluster
         gains = long.join(self.weights, "kmer").groupBy("id", "cluster", "label").agg(F.sum(F.col("value") * F.col("gain")).alias("g"))
-        each = totals.crossJoin(F.broadcast(self.priors)).join(gains, ["id", "cluster", "label"], "left")  # classes for every row: the classifier's output
-        z = each.select("id", "cluster", "label", (F.col("prior") + F.col("x") * F.col("low") + F.coalesce("g", F.lit(0.0))).alias("z"))
-        top = z.groupBy("id", "cluster").agg(F.max("z").alias("top"))
-        e = z.join(top, ["id", "cluster"]).withColumn("e", F.exp(F.col("z") - F.col("top")))
-        total = e.groupBy("id", "cluster").agg(F.sum("e").alias("all"))
-        return e.join(total, ["id", "cluster"]).select("id", "cluster", "label", (F.col("e") / F.col("all")).alias("p"))
+        by_id = gains.groupBy("id", "cluster").agg(F.map_from_entries(F.collect_list(F.struct("label", "g"))).alias("gains"))
+        each = totals.crossJoin(F.broadcast(models)).join(by_id, ["id", "cluster"], "left")  # at most ``clusters`` members for every row
+        z = F.transform("classes", lambda c: c["prior"] + F.col("x") * c["low"] + F.coalesce(F.try_element_at("gains", c["label"]), F.lit(0.0)))
+        e = F.transform("z", lambda v: F.exp(v - F.array_max("z")))
+        each = each.withColumn("z", z).withColumn("e", e).withColumn("all", F.aggregate("e", F.lit(0.0), lambda s, v: s + v))
+        rows = F.explode(F.zip_with("classes", "e", lambda c, v: F.struct(c["label"].alias("label"), (v / F.col("all")).alias("p"))))
+        return each.select("id", "cluster", rows.alias("r")).select("id", "cluster", "r.label", "r.p")
 
 
 def linear_svm(vectors: DataFrame, weights: DataFrame | None = None, rounds: int = 20, reg: float = 0.01):

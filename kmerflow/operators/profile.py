@@ -8,7 +8,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import canonical_domain
+from ..functions import canonical_domain, seeded_hash
+from .lineage import with_position
 
 
 def keep_columns(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -69,13 +70,17 @@ def reads_to_genomes(reads: DataFrame, classes: DataFrame, by_prefix: bool = Tru
     """Classes of the genome whose id a read's id holds; of several the last class row wins.
 
     ``reads``: read_id; ``classes``: id, pos and ranks. With ``by_prefix`` a read id is ``<genome>_<anything>`` and the
-    join is an equi-join; otherwise any substring counts and the class table should be small.
+    join is an equi-join; otherwise any substring counts, and reads are joined by all their substrings of the lengths that
+    genome ids have.
     """
     named = classes.withColumnRenamed("id", "genome_id")
     if by_prefix:
         joined = reads.withColumn("genome_id", F.regexp_extract("read_id", r"^(.*)_[^_]*$", 1)).join(named, "genome_id", "left")
     else:
-        joined = reads.join(named, F.contains(F.col("read_id"), F.col("genome_id")), "left")
+        sizes = [r[0] for r in classes.select(F.length("id")).distinct().collect() if r[0]]  # a row for each length
+        part = [F.expr(f"transform(sequence(1, greatest(1, length(read_id) - {n - 1})), i -> substring(read_id, i, {n}))") for n in sizes]
+        every = F.array_distinct(F.concat(*part)) if part else F.array(F.lit(None).cast("string"))
+        joined = reads.withColumn("genome_id", F.explode_outer(every)).join(named, "genome_id", "left")
     last = Window.partitionBy("read_id").orderBy(F.desc_nulls_last("pos"))
     won = joined.withColumn("_n", F.row_number().over(last)).where("_n = 1")
     return won.drop("_n", "genome_id", "pos").withColumnRenamed("read_id", "id")
@@ -88,13 +93,6 @@ def zip_rows(left: DataFrame, right: DataFrame, order_left: list[str], order_rig
     return with_position(left, order_left).join(with_position(right, order_right), "_pos").drop("_pos")
 
 
-def with_position(df: DataFrame, order: list[str]) -> DataFrame:
-    """Global position by ``order``: sorted by ranges, numbered by partition, so no task holds all rows."""
-    spark = df.sparkSession
-    placed = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(placed, df.schema.add("_pos", "long"))
-
-
 def merge_classifications(old: DataFrame, new: DataFrame) -> DataFrame:
     """Earlier and new classifications on id, all ids once; where both have a column the new value wins."""
     shared = [c for c in old.columns if c in new.columns and c != "id"]
@@ -159,23 +157,36 @@ def union_ragged(one: DataFrame, two: DataFrame) -> DataFrame:
     return one.unionByName(two, allowMissingColumns=True)
 
 
+def split_by_parent(classes: DataFrame, rank: str, parent: str) -> DataFrame:
+    """``parent, rows, labels``: the classes in the parts that each label of the parent rank trains on."""
+    return classes.groupBy(F.col(parent).alias("parent")).agg(F.count("*").alias("rows"), F.count_distinct(rank).alias("labels"))
+
+
+def distinct_ids(*tables: DataFrame, id_col: str = "id") -> DataFrame:
+    """``id``: each id of any of the tables once."""
+    return reduce(lambda a, b: a.unionByName(b), [t.select(F.col(id_col).alias("id")) for t in tables]).distinct()
+
+
 def sample_share(df: DataFrame, share: float = 0.1, seed: int = 0, id_col: str = "id") -> DataFrame:
     """A share of the rows by hash of id: the same rows however dealt (X1); never empty unless the table is.
 
     If the hash takes none, the row of the smallest hash is taken (T2).
     """
-    picked = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1000)) < int(1000 * share))
+    picked = df.where(F.pmod(seeded_hash(seed, id_col), F.lit(1000)) < int(1000 * share))
     return picked if not picked.isEmpty() else random_rows(df, 1, seed, id_col)
 
 
 def random_rows(df: DataFrame, n: int, seed: int = 0, id_col: str = "id") -> DataFrame:
     """``n`` rows in random but reproducible order."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    return df.orderBy(seeded_hash(seed, id_col), id_col).limit(n)
 
 
-def clusters(df: DataFrame, batch_size: int, id_col: str = "id") -> DataFrame:
-    """Adds ``cluster``: about ``batch_size`` rows each, dealt by hash of id, at least one cluster."""
-    n = max(1, df.count() // batch_size)
+def clusters(df: DataFrame, batch_size: int, id_col: str = "id", most: int = 64) -> DataFrame:
+    """Adds ``cluster``: about ``batch_size`` rows each, dealt by hash of id, at least one cluster.
+
+    At most ``most`` clusters, larger ones then: each is a member of an ensemble that scores every row.
+    """
+    n = max(1, min(most, df.count() // batch_size))
     bucket = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long")
     return df.withColumn("cluster", F.pmod(bucket, F.lit(n)))
 

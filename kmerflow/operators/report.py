@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import write_csv
+from .profile import merge_classifications
+
 
 def abundances(predictions: DataFrame) -> DataFrame:
     """``rank, label, n, total``: counts of each label and the rank's total, Unknown left out."""
@@ -51,10 +54,25 @@ def taxonomic_strings(lineages: DataFrame, ranks: list[str]) -> DataFrame:
     return counts.join(F.broadcast(total), F.lit(True)).select("string", "n", (F.col("n") / F.col("all")).alias("share"))  # one row
 
 
+def one_lineage(classes: DataFrame, rank: str, ranks: list[str]) -> DataFrame:
+    """Each label of a rank with its broader ranks; of several lineages the first by these."""
+    broader = ranks[ranks.index(rank) + 1 :]
+    own = classes.select(rank, *broader)
+    if not broader:
+        return own.distinct()
+    return own.groupBy(rank).agg(F.min(F.struct(*broader)).alias("_x")).select(rank, *[F.col(f"_x.{r}").alias(r) for r in broader])
+
+
+def save_classification(old: DataFrame | None, new: DataFrame, path: str) -> DataFrame:
+    """Earlier and new classifications merged on id and written as a tab-separated table."""
+    merged = new if old is None else merge_classifications(old, new)
+    write_csv(merged, path, sep="\t")
+    return merged
+
+
 def with_lineage(counts: DataFrame, classes: DataFrame, rank: str, ranks: list[str]) -> DataFrame:
     """Abundances of one rank with all broader ranks of their label (J8). ``ranks`` specific to broad."""
-    broader = ranks[ranks.index(rank) :]
-    known = classes.select(*broader).dropDuplicates([rank])
+    known = one_lineage(classes, rank, ranks)
     return counts.where(F.col("rank") == rank).select(F.col("label").alias(rank), "n").join(known, rank, "left")
 
 
@@ -73,5 +91,5 @@ def full_report(predictions: DataFrame, classes: DataFrame, ranks: list[str]) ->
         if done is not None:
             own = own.join(done, "id", "left_anti")
         done = own.select("id") if done is None else done.unionByName(own.select("id"))
-        tables.append(own.join(classes.select(*ranks[ranks.index(rank) :]).dropDuplicates([rank]), rank, "left"))
+        tables.append(own.join(one_lineage(classes, rank, ranks), rank, "left"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).select("id", *ranks)

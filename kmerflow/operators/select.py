@@ -33,14 +33,14 @@ def least_occurring(long: DataFrame, exclude: int) -> DataFrame:
 
 def by_variance(long: DataFrame, n: int, threshold: float = 0.05) -> DataFrame:
     """Features whose variance exceeds that quantile of all variances (M8)."""
-    stats = moments(long, n)
+    stats = cut(moments(long, n))
     limit = quantile(stats, "variance", threshold)
     return _or_all(stats.where(F.col("variance") > F.lit(limit)), stats)
 
 
 def by_chi_square(long: DataFrame, classes: DataFrame, threshold: float = 0.75, batches: int | None = None) -> DataFrame:
     """Features whose chi-square exceeds that quantile."""
-    stats = chi_square(long, classes, batches=batches)
+    stats = cut(chi_square(long, classes, batches=batches))
     limit = quantile(stats, "chi", threshold)
     return _or_all(stats.where(F.col("chi") > F.lit(limit)), stats)
 

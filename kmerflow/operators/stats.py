@@ -5,10 +5,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical_domain
+from .lineage import with_position
+
+BUFFERED = 1_000_000
 
 
 def document_frequency(long: DataFrame, feature: str = "kmer", vocabulary: DataFrame | None = None) -> DataFrame:
@@ -54,8 +59,19 @@ def chi_square(long: DataFrame, classes: DataFrame, feature: str = "kmer", batch
 
 
 def quantile(stats: DataFrame, col: str, q: float) -> float | None:
-    """Linear quantile of a statistic over all features, NaN and null ignored."""
-    return stats.where(F.col(col).isNotNull() & ~F.isnan(col)).agg(F.percentile(col, q)).first()[0]
+    """Linear quantile of a statistic over all features, NaN and null ignored.
+
+    Up to ``BUFFERED`` features are sorted in one aggregate; more are sorted by ranges and the two values about the
+    quantile's position are picked, with the same result.
+    """
+    known = stats.where(F.col(col).isNotNull() & ~F.isnan(col)).select(F.col(col).cast("double").alias("x"))
+    n = known.count()
+    if n <= BUFFERED:
+        return known.agg(F.percentile("x", q)).first()[0]
+    at = q * (n - 1)
+    low = math.floor(at)
+    pair = [r["x"] for r in with_position(known, ["x"]).where(F.col("_pos").isin(low, low + 1)).orderBy("_pos").select("x").collect()]  # two rows
+    return pair[0] + (pair[-1] - pair[0]) * (at - low)
 
 
 def class_weights(classes: DataFrame, rank: str, hosts: DataFrame | None = None) -> DataFrame:

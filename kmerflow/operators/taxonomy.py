@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import seeded_hash
 from .lineage import cut
 
 ROOT, CELLULAR = 1, 131567
@@ -20,12 +21,14 @@ def closure(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     """
     up = nodes.select("id", "parent").where("id <> parent")
     reach = cut(nodes.select("id", F.col("id").alias("ancestor")).unionByName(up.select("id", F.col("parent").alias("ancestor"))))
-    for _ in range(max(1, max_depth.bit_length())):
+    for _ in range(max_depth.bit_length() + 1):
         longer = reach.join(reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor")
         grown = cut(longer.select("id", F.col("far").alias("ancestor")).distinct())
         if grown.count() == reach.count():
             break
         reach = grown
+    else:
+        raise ValueError(f"paths are still growing at a depth of more than {max_depth}; the table may have a cycle")
     return reach.join(nodes.select(F.col("id").alias("ancestor"), "depth"), "ancestor").select("id", "ancestor", "depth")
 
 
@@ -84,8 +87,11 @@ def log_score(col, floor: float):
 
 
 def leaf_values(lineages: DataFrame) -> DataFrame:
-    """``path, magnitude``: values set at leaves; a node without a value of its own is the sum of its children."""
-    own = lineages.groupBy("path").agg(F.last("magnitude").alias("own"))
+    """``path, magnitude``: values set at leaves; a node without a value of its own is the sum of its children.
+
+    Of several values of a path the one of the largest ``pos`` counts, or the largest where there is no such column.
+    """
+    own = lineages.groupBy("path").agg(F.max_by("magnitude", "pos" if "pos" in lineages.columns else "magnitude").alias("own"))
     nodes = lineages.select(F.explode(_prefixes()).alias("path")).distinct().join(own, "path", "left")
     depth = nodes.agg(F.max(F.size("path"))).first()[0] or 0
     done = nodes.where(F.size("path") == depth).select("path", F.coalesce("own", F.lit(0.0)).alias("magnitude"))
@@ -170,7 +176,7 @@ def blast_best(hits: DataFrame, nodes: DataFrame, threshold: float = 3.0, factor
 
 def random_hit(best: DataFrame, seed: int = 0) -> DataFrame:
     """One of the best hits of each query, by a seeded hash instead of chance."""
-    return best.groupBy("query").agg(F.max_by(F.struct("taxon", "score"), F.xxhash64(F.lit(seed), "query", "taxon", "pos")).alias("x")).select("query", "x.*")
+    return best.groupBy("query").agg(F.max_by(F.struct("taxon", "score"), F.struct(seeded_hash(seed, "query", "taxon", "pos"), "taxon", "pos", "score")).alias("x")).select("query", "x.*")
 
 
 def members(hits: DataFrame, page: int = 10_000) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.classify import NaiveBayes, top_down
 from ..operators.counting import count_profile, index_vocabulary
+from ..operators.lineage import cut
 from ..operators.select import reduce_features
 from ..operators.transform import TfIdf
 
@@ -31,7 +32,8 @@ def reduce_profile(long: DataFrame, classes: DataFrame, n: int, **options) -> Da
 
 def classify_metagenome(reads: DataFrame, db: DataFrame, classes: DataFrame, ranks: list[str], k: int, threshold: float = 0.8) -> DataFrame:
     """Top-down classification of reads by naive Bayes fitted per rank; ``ranks`` broad to specific."""
-    train, test = count_profile(db, k), count_profile(reads, k)
+    train = cut(count_profile(db, k))
+    test = train if reads is db else cut(count_profile(reads, k))
     features = 4**k
     scorers = {}
     for rank in ranks:

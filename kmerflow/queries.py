@@ -15,7 +15,7 @@ from . import sources
 from .fixtures import table, view, with_views
 from .functions import accession, canonical_domain, is_valid, kmers, lineage_path, one_class_truth
 from .operators import classify, counting, decompose, profile, report, select, stats, taxonomy, transform
-from .operators.lineage import cut
+from .operators.lineage import cut, shared_folder
 from .plans import classify_metagenome, top_features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,7 @@ RANKS = ["species", "genus", "family", "domain"]
 PROFILE = """WITH tok AS (SELECT id, substr(sequence, CAST(p AS INT), 3) AS kmer FROM dna, unnest(range(1, length(sequence) - 2)) t(p)),
 prof AS (SELECT id, kmer, CAST(count(*) AS DOUBLE) AS value FROM tok GROUP BY 1, 2), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM dna)"""
 #: Embeddings as a long table.
+HASH = "CAST('0x' || substr(md5('{}:' || {}), 1, 8) AS BIGINT)"
 DENSE = "WITH dense AS (SELECT vec_id AS id, CAST(p - 1 AS INT) AS feature_idx, CAST(embedding[CAST(p AS INT)] AS DOUBLE) AS value, label FROM embeddings, unnest(range(1, len(embedding) + 1)) t(p))"
 
 
@@ -45,8 +46,7 @@ def r6(*cols: str):
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder."""
-    cut(spark.range(1))  # sets a folder where none is configured
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def dna_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +71,7 @@ def fasta_round_trip(spark, d):
 @query("SELECT read_no, concat('r', CAST(read_no AS STRING), '/1') AS id, sequence, repeat('I', 20) AS quality FROM pair_r1", "pair_r1")
 def fastq_round_trip(spark, d):
     path = scratch(spark, "fastq")
-    rows = view(spark, d, "pair_r1").orderBy("read_no").coalesce(1)
+    rows = view(spark, d, "pair_r1")
     rows.select(F.format_string("@%s\n%s\n+\n%s", "id", "sequence", F.lit("I" * 20)).alias("value")).write.text(path)
     made = sources.read_fastq(spark, path)
     return made.select(F.regexp_extract("id", r"(\d+)", 1).cast("long").alias("read_no"), "id", "sequence", "quality")
@@ -300,7 +300,7 @@ def query_magnitudes(spark, d):
     "seqs",
 )
 def kmer_counts(spark, d):
-    return counting.discover_vocabulary(view(spark, d, "seqs").repartition("id"), 3)
+    return counting.discover_vocabulary(view(spark, d, "seqs"), 3)
 
 
 @query(PROFILE + " SELECT id, kmer, value FROM prof", "dna")
@@ -343,7 +343,7 @@ def chi_square(spark, d):
 @query(PROFILE + ", v AS (SELECT kmer, sum(value * value) / n - (sum(value) / n) * (sum(value) / n) AS x FROM prof, n GROUP BY kmer, n) SELECT round(quantile_cont(x, 0.25), 6) AS q FROM v", "dna")
 def statistic_quantile(spark, d):
     m = stats.moments(dna_profile(spark, d), view(spark, d, "dna").count())
-    return m.where(~F.isnan("variance")).agg(F.round(F.percentile("variance", 0.25), 6).alias("q"))
+    return spark.createDataFrame([(round(stats.quantile(m, "variance", 0.25), 6),)], "q double")
 
 
 @query(
@@ -369,12 +369,44 @@ def parent_rank(spark, d):
 
 @query("SELECT genus, count(*) AS n, count(DISTINCT species) AS species FROM classes GROUP BY 1", "classes")
 def split_by_parent(spark, d):
-    return view(spark, d, "classes").groupBy("genus").agg(F.count("*").alias("n"), F.count_distinct("species").alias("species"))
+    return profile.split_by_parent(view(spark, d, "classes"), "species", "genus").select(F.col("parent").alias("genus"), F.col("rows").alias("n"), F.col("labels").alias("species"))
 
 
 @query("SELECT DISTINCT id FROM (SELECT id FROM predictions UNION ALL SELECT id FROM seqs)", "predictions", "seqs")
 def distinct_ids(spark, d):
-    return view(spark, d, "predictions").select("id").unionByName(view(spark, d, "seqs").select("id")).distinct()
+    return profile.distinct_ids(view(spark, d, "predictions"), view(spark, d, "seqs"))
+
+
+# long features of whole texts: letters, spaces and marks as one of four letters, k = 8
+
+TEXT = """WITH chars AS (SELECT id, string_split(sequence, '') AS l FROM letters), tok AS (SELECT id, unnest(list_transform(range(1, len(l) - 7), lambda p: l[p] || l[p + 1] || l[p + 2] || l[p + 3] || l[p + 4] || l[p + 5] || l[p + 6] || l[p + 7])) AS kmer FROM chars),
+prof AS (SELECT id, kmer, CAST(count(*) AS DOUBLE) AS value FROM tok WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY 1, 2), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM letters)"""
+
+
+def text_profile(spark: SparkSession, d: str) -> DataFrame:
+    return counting.count_profile(view(spark, d, "letters"), 8)
+
+
+@query(TEXT + " SELECT kmer, count(*) AS df, sum(value) AS total, round(sum(value * value) / n - (sum(value) / n) * (sum(value) / n), 6) AS variance FROM prof, n GROUP BY kmer, n", "letters")
+def text_kmer_moments(spark, d):
+    long = cut(text_profile(spark, d))
+    return stats.document_frequency(long).join(stats.moments(long, view(spark, d, "letters").count()), "kmer").select("kmer", "df", "total", *r6("variance"))
+
+
+@query(
+    TEXT + """, idf AS (SELECT kmer, ln(n / count(*)) + 1 AS idf FROM prof, n GROUP BY kmer, n), w AS (SELECT id, kmer, value * idf AS value FROM prof JOIN idf USING (kmer)),
+    u AS (SELECT id, kmer, value / sqrt(sum(value * value) OVER (PARTITION BY id)) AS value FROM w) SELECT id, count(*) AS features, round(max(value), 6) AS most, round(sum(value), 4) AS total FROM u GROUP BY 1""",
+    "letters",
+)
+def text_tf_idf(spark, d):
+    long = cut(text_profile(spark, d))
+    weighted = transform.TfIdf.fit(long, view(spark, d, "letters").count()).transform(long)
+    return weighted.groupBy("id").agg(F.count("*").alias("features"), F.round(F.max("value"), 6).alias("most"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(TEXT + ", v AS (SELECT kmer, sum(value * value) / n - (sum(value) / n) * (sum(value) / n) AS x FROM prof, n GROUP BY kmer, n) SELECT kmer FROM v WHERE x > (SELECT quantile_cont(x, 0.95) FROM v)", "letters")
+def text_variance_selection(spark, d):
+    return select.by_variance(text_profile(spark, d), view(spark, d, "letters").count(), 0.95)
 
 
 # lineage and taxonomy
@@ -464,7 +496,11 @@ def top_hits(spark, d):
     return taxonomy.best_hits(view(spark, d, "hits")).select("query", "taxon", "pos", "score")
 
 
-@query()
+@query(
+    f"SELECT query, taxon, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {HASH.format(7, "CAST(query AS VARCHAR) || ':' || CAST(taxon AS VARCHAR) || ':' || CAST(pos AS VARCHAR)")} DESC, taxon DESC, pos DESC, score DESC) AS n FROM"
+    " (SELECT *, first(score) OVER (PARTITION BY query ORDER BY pos, score DESC, taxon) AS top FROM hits) WHERE score >= top - 10) WHERE n = 1",
+    "hits",
+)
 def random_best_hit(spark, d):
     return taxonomy.random_hit(taxonomy.best_hits(view(spark, d, "hits"), 10.0), 7)
 
@@ -506,17 +542,17 @@ def union_ragged_columns(spark, d):
     return profile.union_ragged(view(spark, d, "classes"), view(spark, d, "host_dna").select("id", "domain"))
 
 
-@query("SELECT id, CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % greatest(1, n // 100) AS BIGINT) AS cluster FROM seqs, (SELECT count(*) AS n FROM seqs)", "seqs")
+@query("SELECT id, CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % greatest(1, least(64, n // 100)) AS BIGINT) AS cluster FROM seqs, (SELECT count(*) AS n FROM seqs)", "seqs")
 def sample_clusters(spark, d):
     return profile.clusters(view(spark, d, "seqs").select("id"), 100).select("id", "cluster")
 
 
-@query()
+@query(f"SELECT id, source FROM seqs WHERE {HASH.format(3, 'CAST(id AS VARCHAR)')} % 1000 < 100", "seqs")
 def sample_tenth(spark, d):
     return profile.sample_share(view(spark, d, "seqs").select("id", "source"), 0.1, 3)
 
 
-@query()
+@query(f"SELECT id, source FROM (SELECT id, source, row_number() OVER (ORDER BY {HASH.format(5, 'CAST(id AS VARCHAR)')}, id) AS n, count(*) OVER () AS total FROM seqs) WHERE n <= total // 10", "seqs")
 def random_sample_rows(spark, d):
     s = view(spark, d, "seqs").select("id", "source")
     return profile.random_rows(s, s.count() // 10, 5)
@@ -580,12 +616,9 @@ def hashed_features(spark, d):
     return transform.hash_features(dna_profile(spark, d), 16, "md5")
 
 
-@query(PROFILE + " SELECT kmer FROM prof, n GROUP BY kmer, n HAVING count(*) < floor(0.03 * n)", "dna")
+@query(PROFILE.replace(", 3) AS kmer", ", 5) AS kmer").replace("length(sequence) - 2", "length(sequence) - 4") + " SELECT kmer FROM prof, n GROUP BY kmer, n HAVING count(*) < floor(0.3 * n) AND count(*) >= 0.1 * n", "dna")
 def occurrence_selection(spark, d):
-    # five-letter windows would be rarer; three-letter ones mostly occur everywhere, so all may stay
-    long, n = dna_profile(spark, d), view(spark, d, "dna").count()
-    df = stats.document_frequency(long)
-    return df.where(F.col("df") < int(0.03 * n)).select("kmer")
+    return select.by_occurrence(counting.count_profile(view(spark, d, "dna"), 5), view(spark, d, "dna").count(), 0.7, low=0.1)
 
 
 @query(PROFILE + ", v AS (SELECT kmer, sum(value * value) / n - (sum(value) / n) * (sum(value) / n) AS x FROM prof, n GROUP BY kmer, n) SELECT kmer FROM v WHERE x > (SELECT quantile_cont(x, 0.3) FROM v)", "dna")
@@ -598,10 +631,19 @@ def chi_square_selection(spark, d):
     return select.by_chi_square(dna_profile(spark, d), view(spark, d, "dna").select("id", F.col("species").alias("label")))
 
 
-@query()
+REDUCED = """, idf AS (SELECT kmer, ln(n / count(*)) + 1 AS idf FROM prof, n GROUP BY kmer, n), w AS (SELECT id, kmer, value * idf AS value FROM prof JOIN idf USING (kmer)),
+w0 AS (SELECT id, kmer, value / sqrt(sum(value * value) OVER (PARTITION BY id)) AS value FROM w), d0 AS (SELECT kmer, count(*) AS df FROM w0 WHERE value <> 0 GROUP BY 1), k0 AS (SELECT kmer FROM d0, n WHERE df < floor(0.5 * n)),
+w1 AS (SELECT * FROM w0 WHERE kmer IN (SELECT kmer FROM k0) OR NOT EXISTS (SELECT 1 FROM k0)), v AS (SELECT kmer, greatest(0, sum(value * value) / n - (sum(value) / n) * (sum(value) / n)) AS x FROM w1, n GROUP BY kmer, n),
+k1 AS (SELECT kmer FROM v WHERE x > (SELECT quantile_cont(x, 0.05) FROM v)), w2 AS (SELECT * FROM w1 WHERE kmer IN (SELECT kmer FROM k1) OR NOT EXISTS (SELECT 1 FROM k1)),
+lab AS (SELECT id, species AS label FROM dna), share AS (SELECT label, count(*) / (SELECT n FROM n) AS share FROM lab GROUP BY 1), tot AS (SELECT kmer, sum(value) AS total FROM w2 GROUP BY 1), obs AS (SELECT kmer, label, sum(value) AS o FROM w2 JOIN lab USING (id) GROUP BY 1, 2),
+chi AS (SELECT t.kmer, sum((coalesce(o.o, 0) - s.share * t.total) * (coalesce(o.o, 0) - s.share * t.total) / (s.share * t.total)) AS chi FROM tot t CROSS JOIN share s LEFT JOIN obs o ON o.kmer = t.kmer AND o.label = s.label GROUP BY 1),
+k2 AS (SELECT kmer FROM chi WHERE chi > (SELECT quantile_cont(chi, 0.75) FROM chi)) SELECT id, kmer, value FROM prof WHERE kmer IN (SELECT kmer FROM w2 WHERE kmer IN (SELECT kmer FROM k2) OR NOT EXISTS (SELECT 1 FROM k2))"""
+
+
+@query(PROFILE.replace(", 3) AS kmer", ", 5) AS kmer").replace("length(sequence) - 2", "length(sequence) - 4") + REDUCED, "dna")
 def feature_reduction(spark, d):
     dna = view(spark, d, "dna")
-    return select.reduce_features(dna_profile(spark, d), dna.select("id", F.col("species").alias("label")), dna.count())
+    return select.reduce_features(counting.count_profile(dna, 5), dna.select("id", F.col("species").alias("label")), dna.count())
 
 
 @query()
@@ -683,12 +725,20 @@ def naive_bayes(spark, d):
     return model.predict(long).select("id", "label", *r6("p"))
 
 
-@query()
+@query(
+    PROFILE + """, nn AS (SELECT greatest(1, least(64, CAST(n AS BIGINT) // 250)) AS c FROM n), cl AS (SELECT id, species AS label, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % c AS cluster FROM dna, nn),
+    s AS (SELECT cluster, label, kmer, sum(value) AS s FROM prof JOIN cl USING (id) GROUP BY 1, 2, 3), t AS (SELECT cluster, label, sum(s) AS total FROM s GROUP BY 1, 2), h AS (SELECT cluster, label, CAST(count(*) AS DOUBLE) AS h FROM cl GROUP BY 1, 2),
+    base AS (SELECT cluster, h.label, ln(h / sum(h) OVER (PARTITION BY cluster)) AS prior, -ln(total + 64.0) AS low FROM h JOIN t USING (cluster, label)), g AS (SELECT id, cluster, label, sum(value * ln(s + 1.0)) AS g FROM prof JOIN s USING (kmer) GROUP BY 1, 2, 3),
+    x AS (SELECT id, sum(value) AS x FROM prof GROUP BY 1), z AS (SELECT x.id, b.cluster, b.label, prior + x * low + coalesce(g, 0) AS z FROM x CROSS JOIN base b LEFT JOIN g ON g.id = x.id AND g.label = b.label AND g.cluster = b.cluster),
+    e AS (SELECT id, cluster, label, exp(z - max(z) OVER (PARTITION BY id, cluster)) AS e FROM z), p AS (SELECT id, cluster, label, e / sum(e) OVER (PARTITION BY id, cluster) AS p FROM e), m AS (SELECT id, label, sum(p) / c AS p FROM p, nn GROUP BY 1, 2, c)
+    SELECT id, label, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, label) AS r FROM m) WHERE r = 1""",
+    "dna",
+)
 def naive_bayes_clusters(spark, d):
     dna, long = view(spark, d, "dna"), dna_profile(spark, d)
     rows = profile.clusters(dna.select("id", F.col("species").alias("label")), 250)
     n = rows.select("cluster").distinct().count()
-    return classify.argmax(classify.ensemble(classify.NaiveBayes.fit(long, rows, 64).predict(long), n))
+    return classify.argmax(classify.ensemble(classify.NaiveBayes.fit(long, rows, 64).predict(long), n)).select("id", "label", *r6("p"))
 
 
 @query()

@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import numbered_lines
+
 FORM = r"(?s)^@?(\S*)[^\n]*\n([^\n]*)\n\+[^\n]*\n([^\n]*)\n?$"
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, read_no, id, sequence, quality`` of four-line records.
 
-    The text source cannot split at every fourth line, so lines are numbered per file: positions come from the order
-    of the file's splits, which Spark keeps, by one cheap counting pass (``zipWithIndex``).
+    The text source cannot split at every fourth line, so lines are numbered per file.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[0]["file"], x[1], x[0]["value"]))
-    rows = spark.createDataFrame(numbered, "file string, line long, value string")
-    first = rows.groupBy("file").agg(F.min("line").alias("first"))
-    rows = rows.join(F.broadcast(first), "file").withColumn("at", F.col("line") - F.col("first"))  # a row per file
-    part = lambda k: F.max(F.when(F.col("at") % 4 == k, F.col("value")))
-    whole = rows.withColumn("read_no", F.expr("at div 4")).groupBy("file", "read_no")
+    rows = numbered_lines(spark, path)
+    part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
+    whole = rows.withColumn("read_no", F.expr("line div 4")).groupBy("file", "read_no")
     made = whole.agg(part(0).alias("header"), part(1).alias("sequence"), part(3).alias("quality")).where("header like '@%'")
     return made.select("file", "read_no", F.regexp_extract("header", r"^@(\S*)", 1).alias("id"), "sequence", "quality")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lineage_path
+from .lines import numbered_lines
 
 
 def read_classes(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
@@ -19,8 +20,7 @@ def read_classes(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
 
 def read_vocab(spark: SparkSession, path: str, k: int | None = None) -> tuple[DataFrame, int]:
     """``feature_idx, kmer`` in file order, and k, taken from the first line; another k given only warns."""
-    lines = spark.read.text(path).select(F.rtrim("value").alias("kmer")).where("kmer <> ''")
-    rows = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0]["kmer"])), "feature_idx long, kmer string")
+    rows = numbered_lines(spark, path, per_file=False).select(F.col("line").alias("feature_idx"), F.rtrim("value").alias("kmer"))
     first = rows.where("feature_idx = 0").first()
     found = len(first["kmer"]) if first else 0
     if k is not None and k != found:
@@ -29,8 +29,8 @@ def read_vocab(spark: SparkSession, path: str, k: int | None = None) -> tuple[Da
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
-    """One k-mer a line, in the order of ``feature_idx``."""
-    vocab.orderBy("feature_idx").select("kmer").coalesce(1).write.mode("overwrite").text(path)
+    """One k-mer a line, in the order of ``feature_idx`` (S9); files follow one another by name."""
+    vocab.orderBy("feature_idx").select("kmer").write.mode("overwrite").text(path)
 
 
 def load_profile(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -312,3 +312,71 @@ def test_power_is_likeliest(spark):
     got = {r["feature_idx"]: r["lam"] for r in transform.Power.fit(dense).fitted.collect()}
     assert all(abs(got[k] - want[k]) < 0.005 for k in range(3)), (got, want)
     assert len(got) == 4
+
+
+def test_quantile_by_position(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=57)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
+    for q in (0.0, 0.25, 0.5, 0.95, 1.0):
+        monkeypatch.setattr(stats, "BUFFERED", 1_000_000)
+        assert abs(stats.quantile(df, "v", q) - np.quantile(x, q)) < 1e-12
+        monkeypatch.setattr(stats, "BUFFERED", 0)
+        assert abs(stats.quantile(df, "v", q) - np.quantile(x, q)) < 1e-12
+
+
+def test_several_fastq_files_and_splits(spark, tmp_path):
+    for f in "ab":
+        (tmp_path / f"{f}.fq").write_text("".join(f"@{f}{k}/1 x\n{'ACGT' * 5}\n+\n{'I' * 20}\n" for k in range(200)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+        got = sources.read_fastq(spark, [str(tmp_path / "a.fq"), str(tmp_path / "b.fq")])
+        assert rows(got.select("id", "read_no")) == sorted((f"{f}{k}/1", k) for f in "ab" for k in range(200))
+        vocab = counting.index_vocabulary(spark.createDataFrame([(f"{a}{b}{c}",) for a in "ACGT" for b in "ACGT" for c in "ACGT"], "kmer string"))
+        sources.write_vocab(vocab, str(tmp_path / "v"))
+        assert rows(sources.read_vocab(spark, str(tmp_path / "v"))[0]) == rows(vocab)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_chain_equals_one_by_one(spark):
+    long = spark.createDataFrame([(1, "x", 2.0), (2, "x", 4.0), (1, "y", 3.0), (3, "y", 1.0)], "id long, kmer string, value double")
+    chain = transform.Chain.fit(long, 3, [transform.TfIdf.fit, transform.MaxAbs.fit])
+    one = transform.TfIdf.fit(long, 3).transform(long)
+    two = transform.MaxAbs.fit(one, 3).transform(one)
+    assert rows(chain.transform(long).select("id", "kmer", "value")) == rows(two.select("id", "kmer", "value"))
+
+
+def test_merged_classification_is_written(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, domain string")
+    new = spark.createDataFrame([(2, "c"), (3, "d")], "id long, domain string")
+    report.save_classification(old, new, str(tmp_path / "m"))
+    got = spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "m"))
+    assert rows(got.select("id", "domain")) == [("1", "a"), ("2", "c"), ("3", "d")]
+
+
+def test_cycles_raise(spark):
+    nodes = spark.createDataFrame([(k, 0, (k + 1) % 9 + 1, "r", "n") for k in range(1, 10)], "id int, depth int, parent int, rank string, name string")
+    with pytest.raises(ValueError):
+        taxonomy.closure(nodes, 1)
+
+
+def test_power_equals_formula(spark):
+    x = np.random.default_rng(3).gamma(2, size=80) - 1
+    dense = spark.createDataFrame([(i, 0, float(v)) for i, v in enumerate(x)], "id long, feature_idx int, value double")
+    model = transform.Power.fit(dense)
+    lam = model.fitted.first()["lam"]
+    y = np.where(x >= 0, ((np.abs(x) + 1) ** lam - 1) / lam, -((np.abs(x) + 1) ** (2 - lam) - 1) / (2 - lam))
+    got = np.array([r["value"] for r in model.transform(dense).orderBy("id").collect()])
+    assert np.allclose(got, (y - y.mean()) / y.std(), atol=1e-6)
+
+
+def test_alphabet_at_a_line_end(spark):
+    from kmerflow.functions import is_valid
+
+    assert [r[0] for r in spark.createDataFrame([("ACG",), ("ACG\n",), ("AC\nG",)], "k string").select(is_valid("k")).collect()] == [True, False, False]
+
+
+def test_lineage_of_a_label_is_the_first(spark):
+    classes = spark.createDataFrame([(1, "s", "g2", "d"), (2, "s", "g1", "e"), (3, "s", "g1", "d")], "id long, species string, genus string, domain string")
+    assert rows(report.one_lineage(classes, "species", ["species", "genus", "domain"])) == [("s", "g1", "d")]
