@@ -182,3 +182,17 @@ def test_plan_is_small_and_tight(spark):
                 gaps.append(fit - length)
             assert opened <= 1.02 * count + 2
     assert len(rows["many"]) <= 2 * len(rows["few"]) + 100
+
+
+def test_edges_of_scans(spark):
+    """Null, empty, very long and repeated rows, an empty table and columns whose names clash."""
+    texts = [(1, None), (2, ""), (3, "a b " * 30_000), (3, "a b " * 30_000), (None, "x y")]
+    docs = spark.createDataFrame([(i, t, "n", 7, 1.5) for i, t in texts], "doc_id long, text string, ids string, piece int, score double")
+    counts = sorted(map(str, token_tree.count_edits(docs, RANKS, PATTERN).collect()))
+    assert len(counts) == 5 and len(set(counts)) == 4
+    by = {r["doc_id"]: r for r in token_tree.count_edits(docs, RANKS, PATTERN).collect()}
+    assert by[1]["n_tokens"] == by[2]["n_tokens"] == 0 and by[1]["n_words"] == 0 and by[3]["n_reencoded"] < 30
+    assert bpe_codec.codec_digest(bpe_codec.round_trip(docs, RANKS, PATTERN)).count() == 5
+    assert {r["doc_id"] for r in packing.pack(docs, RANKS, PATTERN).collect()} == {1, 2, 3, None}
+    for f in (lambda d: token_tree.count_edits(d, RANKS, PATTERN), lambda d: bpe_codec.round_trip(d, RANKS, PATTERN), lambda d: packing.pack(d, RANKS, PATTERN)):
+        assert f(docs.limit(0)).count() == 0
