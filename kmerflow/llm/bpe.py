@@ -11,6 +11,9 @@ spaces is encoded alone and its ids are kept in a bounded table: the transducer
 
 **Decoding.** Ids turn to bytes; a state machine over bytes, stepped a token at a time with remembered steps, tells
 where the complete characters end, so that a stream can be shown while it grows.
+
+Defined results: an empty text has no ids; no ids give no bytes; bytes that are not UTF-8 pass unchanged; a pattern that does
+not start a piece at every space between words raises.
 """
 
 from __future__ import annotations
@@ -38,6 +41,20 @@ def words_of(text: str) -> list[str]:
     return parts
 
 
+PROBES = ("it's a b  c\n d\te 12 345é! -x ?? y\r\n\n z", " a", "a ", "漢 字 \xa0x", "don't STOP we'll __a== b", "1 2 a1 1a")
+
+
+def check_pattern(pattern: str) -> str:
+    """The pattern, if its pieces are those of the words that are encoded alone; else raises."""
+    import regex
+
+    pieces = regex.compile(pattern).findall
+    for text in PROBES:
+        if pieces(text) != [p for w in words_of(text) for p in pieces(w)] or pieces("word") != ["word"] or pieces(" word") != [" word"]:
+            raise ValueError("the pattern does not start a piece at every space between words")
+    return pattern
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -165,7 +182,7 @@ class Encoder:
         import regex
 
         self.transducer = Transducer(load_ranks(ranks_path))
-        self.pieces = regex.compile(pattern).findall
+        self.pieces = regex.compile(check_pattern(pattern)).findall
         self.words = WordTable(self.encode_word)
 
     def encode_word(self, word: str) -> bytes:

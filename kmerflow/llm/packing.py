@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import WordTable, load_ranks, words_of
+from .bpe import WordTable, check_pattern, load_ranks, words_of
 from .bpe_codec import made
 from .common import cut, parallelism, slices, texts_of
 
@@ -44,7 +44,7 @@ class IdBytes:
         import numpy as np
         import tiktoken
 
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
+        encoding = tiktoken.Encoding("ranks", pat_str=check_pattern(pattern), mergeable_ranks=load_ranks(ranks_path), special_tokens={})
         self.words = WordTable(lambda word: np.array(encoding.encode_ordinary(word), "<u4").tobytes())
 
     def __call__(self, text: str) -> bytes:

@@ -1,4 +1,8 @@
-"""The stages of the corpus pipeline. Each keeps the columns of ``documents`` but for the last."""
+"""The stages of the corpus pipeline. Each keeps the columns of ``documents``, further ones too, but for the last.
+
+Defined results: null texts count as empty and stay null; rows without an id stay (they are no near duplicates of any);
+of rows of equal id one goes on past the near duplicates; an empty table stays empty.
+"""
 
 from __future__ import annotations
 

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import WordTable, load_ranks, words_of
+from .bpe import WordTable, check_pattern, load_ranks, words_of
 from .bpe_codec import made
 from .common import scan
 
@@ -29,7 +29,7 @@ class Counter:
     def __init__(self, ranks_path: str, pattern: str) -> None:
         import tiktoken
 
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
+        encoding = tiktoken.Encoding("ranks", pat_str=check_pattern(pattern), mergeable_ranks=load_ranks(ranks_path), special_tokens={})
         self.words = WordTable(lambda word: len(encoding.encode_ordinary(word)))
 
     def __call__(self, word: str) -> int:
