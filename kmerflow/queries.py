@@ -842,10 +842,26 @@ def profile_array(col: str):
     return vector_to_array(col)
 
 
-@query()
+def naive_bayes_sql(tag: str, rank: str) -> str:
+    """CTEs that end in ``best_<tag>``: id, label, p of naive Bayes over ``prof`` at one rank, Unknown below 0.6."""
+    t = tag
+    return f""", s_{t} AS (SELECT {rank} AS label, kmer, sum(value) AS s FROM prof JOIN classes USING (id) GROUP BY 1, 2), t_{t} AS (SELECT label, sum(s) AS total FROM s_{t} GROUP BY 1),
+    h_{t} AS (SELECT {rank} AS label, CAST(count(*) AS DOUBLE) AS h FROM classes GROUP BY 1), b_{t} AS (SELECT label, ln(h / n) AS prior, -ln(total + 64.0) AS low FROM h_{t} JOIN t_{t} USING (label), n),
+    g_{t} AS (SELECT id, label, sum(value * ln(s + 1.0)) AS g FROM prof JOIN s_{t} USING (kmer) GROUP BY 1, 2), x_{t} AS (SELECT id, sum(value) AS x FROM prof GROUP BY 1),
+    z_{t} AS (SELECT x.id, b.label, prior + x * low + coalesce(g, 0) AS z FROM x_{t} x CROSS JOIN b_{t} b LEFT JOIN g_{t} g ON g.id = x.id AND g.label = b.label),
+    e_{t} AS (SELECT id, label, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM z_{t}), p_{t} AS (SELECT id, label, e / sum(e) OVER (PARTITION BY id) AS p FROM e_{t}),
+    r_{t} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, label) AS r FROM p_{t}), best_{t} AS (SELECT id, CASE WHEN p < 0.6 THEN 'Unknown' ELSE label END AS label, p FROM r_{t} WHERE r = 1)"""
+
+
+@query(
+    PROFILE + naive_bayes_sql("d", "domain") + naive_bayes_sql("f", "family") + """ SELECT id, 'domain' AS rank, label, round(p, 6) AS p FROM best_d
+    UNION ALL SELECT id, 'family', label, round(p, 6) FROM best_f WHERE id IN (SELECT id FROM best_d WHERE label <> 'Unknown')""",
+    "dna",
+    "classes",
+)
 def metagenome_classification(spark, d):
     dna = view(spark, d, "dna")
-    return classify_metagenome(dna, dna, view(spark, d, "classes"), ["domain", "family"], 3, 0.6)
+    return classify_metagenome(dna, dna, view(spark, d, "classes"), ["domain", "family"], 3, 0.6).select("id", "rank", "label", *r6("p"))
 
 
 # reports
