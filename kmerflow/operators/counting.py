@@ -11,6 +11,12 @@ from ..functions import is_valid, kmers_of_chunk, upper_ascii
 CHUNK = 65_536
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew only if it comes in fewer splits than there are cores, as one small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tokens(seqs: DataFrame, k: int, include_last: bool = False, id_col: str = "id", sequence_col: str = "sequence") -> DataFrame:
     """``id, kmer``: one row per window (P1, P3). Short sequences and null give none."""
     rows = seqs.select(F.col(id_col).alias("id"), upper_ascii(sequence_col).alias("s")).where(F.length("s") >= k + (not include_last))

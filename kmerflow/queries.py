@@ -300,7 +300,7 @@ def query_magnitudes(spark, d):
     "seqs",
 )
 def kmer_counts(spark, d):
-    return counting.discover_vocabulary(view(spark, d, "seqs"), 3)
+    return counting.discover_vocabulary(counting.spread(view(spark, d, "seqs")), 3)
 
 
 @query(PROFILE + " SELECT id, kmer, value FROM prof", "dna")
@@ -384,7 +384,7 @@ prof AS (SELECT id, kmer, CAST(count(*) AS DOUBLE) AS value FROM tok WHERE regex
 
 
 def text_profile(spark: SparkSession, d: str) -> DataFrame:
-    return counting.count_profile(view(spark, d, "letters"), 8)
+    return counting.count_profile(counting.spread(view(spark, d, "letters")), 8)
 
 
 @query(TEXT + " SELECT kmer, count(*) AS df, sum(value) AS total, round(sum(value * value) / n - (sum(value) / n) * (sum(value) / n), 6) AS variance FROM prof, n GROUP BY kmer, n", "letters")
