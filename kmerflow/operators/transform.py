@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .stats import document_frequency, extremes, label_index, moments
+from .stats import document_frequency, extremes, label_index
 
 
 @dataclass(frozen=True)
@@ -158,8 +158,3 @@ class Chain:
         for model in self.fitted:
             long = model.transform(long)
         return long
-
-
-def standard_moments(long: DataFrame, n: int, feature: str = "kmer") -> DataFrame:
-    """Mean and standard deviation of each feature."""
-    return moments(long, n, feature).select(feature, "mean", F.sqrt("variance").alias("std"))
