@@ -9,7 +9,7 @@ Likeness of two fingerprints: anchors are matched by hash, the r-th of a hash wi
 in both (the longest increasing run of positions) over all anchors of either, matched ones once. Equal fingerprints have
 likeness 1.
 
-Defined results: a text shorter than ``K`` has one anchor, its own hash; null or empty text has an empty fingerprint,
+Rows of one id stay in one task. Defined results: a text shorter than ``K`` has one anchor, its own hash; null or empty text has an empty fingerprint,
 like only to another empty one; equal texts have equal fingerprints; rows of equal id are ordered by text; an empty table
 gives an empty table; further columns of the input are not looked at.
 """
