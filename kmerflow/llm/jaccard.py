@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import SHARE, components, cut, hot_join, parallelism, texts_of, utf8_buffer
 
-WORDS, CHUNK_BYTES = 5, 4 << 20
+WORDS, CHUNK_BYTES = 5, 2 << 20
 BITMAP_BITS, COMMON = 27, 1 << 26
 BLOCK, DEALS, BROADCAST_IDS = 64, 3, 1_000_000
 
