@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -94,7 +95,25 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(clean, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._steps = [path]
+    atexit.register(removed, spark, path)  # what a result still reads goes when the session ends
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the checkpoint folder, wherever that is; a session that has ended deletes nothing more."""
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*steps: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote, once nothing reads them any more."""
+    for df in steps:
+        for path in getattr(df, "_steps", []):
+            removed(df.sparkSession, path)
+        df._steps = []
 
 
 def parallelism(spark: SparkSession) -> int:

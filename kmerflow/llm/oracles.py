@@ -33,5 +33,37 @@ WITH RECURSIVE w AS (
     SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1
 )
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op13_importance_resampling": r"""
+WITH RECURSIVE tab AS MATERIALIZED (
+    SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(i))
+), texts AS (
+    SELECT doc_id, true AS own, text FROM documents UNION ALL SELECT NULL, false, text FROM benchmark
+), w AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), g AS MATERIALIZED (
+    SELECT r, own, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w
+), d AS (
+    SELECT DISTINCT g FROM g
+), hex AS (
+    SELECT g, list_transform(range(0, strlen(g)), lambda i: CAST('0x' || substr(hex(encode(g)), 2 * i + 1, 2) AS BIGINT)) AS b FROM d
+), bucket AS MATERIALIZED (
+    SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM hex, tab
+), n AS (
+    SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM g JOIN bucket USING (g) GROUP BY 1
+), total AS (
+    SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM n
+), gain AS MATERIALIZED (
+    SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM n, total
+), weight AS (
+    SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM g JOIN bucket USING (g) JOIN gain USING (bucket) WHERE own GROUP BY 1
+), scored AS MATERIALIZED (
+    SELECT doc_id, len(w) AS n_words, greatest(2 * len(w) - 1, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM w LEFT JOIN weight USING (r) WHERE own
+), ranks AS (
+    SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS place, count(*) FILTER (n_words >= 20) OVER () * 25 // 100 AS draw FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= draw THEN place END AS rank FROM ranks
 """,
 }

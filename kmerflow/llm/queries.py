@@ -73,6 +73,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
