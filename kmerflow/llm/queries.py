@@ -73,6 +73,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import digest, mix
+
+    return digest(mix(documents(spark, sf_dir)))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resample import resample
 
