@@ -33,6 +33,49 @@ WITH RECURSIVE w AS (
     SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1
 )
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE tab AS MATERIALIZED (
+    SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(i))
+), a AS (
+    SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), b AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))), lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1])), 4294967295::BIGINT) % 20 AS act
+    FROM a, tab
+), d AS (
+    SELECT conv_id, turn, CASE act WHEN 4 THEN 'user' ELSE role END AS role, CASE act WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE act WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM b
+), o AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i, regexp_extract_all(text, '[^\x20\x09-\x0D]') AS c FROM d
+), f AS MATERIALIZED (
+    SELECT *, CASE WHEN len(c) = 0 THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT c[-1] IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        substr(role, 1, 1) AS r, substr(role, 1, 1) || lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pair, count(*) OVER (PARTITION BY conv_id) AS n
+    FROM o
+), ids AS (
+    SELECT DISTINCT conv_id FROM conversations
+), counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM f GROUP BY 1
+), go AS (
+    SELECT conv_id, n AS i, {'c': 0, 'e': '', 't': ['']} AS s0, {'c': 6, 'e': 'II', 't': ['user:', 'assistant:', '']} AS s1, {'c': 3, 'e': 'I', 't': ['assistant:', '']} AS s2, {'c': 0, 'e': '', 't': ['']} AS s3 FROM counts
+    UNION ALL
+    SELECT conv_id, i - 1, least(b0, {'c': 3 + b2.c, 'e': 'I' || b2.e, 't': list_prepend('user:', b2.t)}, {'c': 6 + b3.c, 'e': 'II' || b3.e, 't': list_concat(['user:', 'assistant:'], b3.t)}),
+        least(b1, {'c': 3 + b2.c, 'e': 'I' || b2.e, 't': list_prepend('user:', b2.t)}, {'c': 6 + b3.c, 'e': 'II' || b3.e, 't': list_concat(['user:', 'assistant:'], b3.t)}),
+        least(b2, {'c': 3 + b3.c, 'e': 'I' || b3.e, 't': list_prepend('assistant:', b3.t)}), least(b3, {'c': 3 + b2.c, 'e': 'I' || b2.e, 't': list_prepend('user:', b2.t)})
+    FROM (
+        SELECT conv_id, i,
+            least({'c': 4 + s0.c, 'e': 'D' || s0.e, 't': s0.t}, {'c': CASE WHEN stay AND r = 's' THEN 0 ELSE 10000000 END + more + s1.c, 'e': 'K' || s1.e, 't': list_prepend(line, s1.t)}, {'c': CASE WHEN stay AND r = 'u' THEN 0 ELSE 10000000 END + more + s2.c, 'e': 'K' || s2.e, 't': list_prepend(line, s2.t)}, {'c': CASE WHEN stay THEN 3 ELSE 10000000 END + more + s2.c, 'e': 'R' || s2.e, 't': list_prepend('user:' || text, s2.t)}) AS b0,
+            least({'c': 4 + s1.c, 'e': 'D' || s1.e, 't': s1.t}, {'c': CASE WHEN stay AND r = 'u' THEN 0 ELSE 10000000 END + more + s2.c, 'e': 'K' || s2.e, 't': list_prepend(line, s2.t)}, {'c': CASE WHEN stay THEN 3 ELSE 10000000 END + more + s2.c, 'e': 'R' || s2.e, 't': list_prepend('user:' || text, s2.t)}) AS b1,
+            least({'c': 4 + s2.c, 'e': 'D' || s2.e, 't': s2.t}, {'c': CASE WHEN stay AND r = 'a' THEN 0 ELSE 10000000 END + more + s3.c, 'e': 'K' || s3.e, 't': list_prepend(line, s3.t)}, {'c': CASE WHEN stay THEN 3 ELSE 10000000 END + more + s3.c, 'e': 'R' || s3.e, 't': list_prepend('assistant:' || text, s3.t)}) AS b2,
+            least({'c': 4 + s3.c, 'e': 'D' || s3.e, 't': s3.t}, {'c': CASE WHEN stay AND r = 'u' THEN 0 ELSE 10000000 END + more + s2.c, 'e': 'K' || s2.e, 't': list_prepend(line, s2.t)}, {'c': CASE WHEN stay THEN 3 ELSE 10000000 END + more + s2.c, 'e': 'R' || s2.e, 't': list_prepend('user:' || text, s2.t)}) AS b3
+        FROM (SELECT g.conv_id, g.i, s0, s1, s2, s3, r, text, role || ':' || text AS line, fault IN ('', 'truncated') AS stay, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more FROM go g JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = g.i)
+    )
+), best AS (
+    SELECT conv_id, s0 FROM go WHERE i = 0
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.e, '') AS audit, sha256(coalesce(array_to_string(s0.t[1:-2], chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
 """,
     "op13_importance_resampling": r"""
 WITH RECURSIVE tab AS MATERIALIZED (

@@ -79,6 +79,13 @@ def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(mix(documents(spark, sf_dir)))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, digest
+
+    rows = table(spark, sf_dir, "conversations")
+    return digest(damaged(rows), rows)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resample import resample
 
