@@ -1,20 +1,22 @@
 """Best-fit packing of token sequences by bulk-synchronous rounds of successor sweeps.
 
-Pieces of one length are a run ``(length, first rank, how many)``, sequences of one gap are a run ``(gap, first number, how
-many)``: there are at most as many lengths and gaps as the capacity, however large the corpus. The runs are a DataFrame that
-each round replaces by a checkpointed one; the driver only asks whether runs are left. A round
-
-1. opens sequences, if the longest pieces find no gap: as many as their tokens fill at least, or one for each that is
-   longer than half a sequence. Where one length outnumbers the gaps, several pieces of it go together as a unit;
-2. sorts gaps and units by size, largest first, and sweeps over them: each unit goes to its successor, the smallest gap
-   not yet taken that holds it. The r-th unit of a run takes the r-th sequence of the gaps it meets, so ranks decide
-   between units that want the same gap and none gets two;
-3. updates the gaps and goes on with what was not placed.
-
-A sequence takes one unit in a round, so there are about as many rounds as a sequence holds units. The placements are a
-small table, (length, ranks) -> (sequences, offset). As runs are that few, one task sweeps over them; the work that grows
-with the corpus is spread: encoding, ranking pieces within their length by salted windows with pre-aggregated offsets (a
-length that a third of all pieces share is spread over many windows), and looking each piece up.
+Pieces of one length are a run ``(length, first rank, how many)``, sequences of one gap are runs ``(gap, first number, how
+many)``. The runs are a DataFrame that each round replaces by a written one; the driver only asks whether runs are left. A
+round takes the pieces longer than half of the longest left, sorts them and the gaps by size, largest pieces first, and
+
+1. sends each piece to its successor, the smallest gap that holds it. What it leaves is smaller still, so equal pieces go on
+   to the same sequence while they fit; the r-th of them takes the (r / q)-th sequence of a run whose gap holds q, so ranks
+   decide between pieces that want the same gap and none is taken twice;
+2. opens sequences for pieces that no gap holds, as many as these fill;
+3. updates the gaps.
+
+This is best fit decreasing, piece for piece, whatever the lengths (tested against a plain loop over pieces). Halving ends
+after at most ``1 + log2(capacity)`` rounds. A length leaves at most one run partly filled and splits at most one in two, so
+there are fewer than ``4 * capacity`` runs, however large the corpus; what a piece leaves of a gap is less than half of it,
+so a run is filled at most ``log2(capacity)`` times. A sweep over so few rows is one task. Its placements are a small table,
+(length, ranks) -> (sequences, offset). The work that grows with the corpus is spread: encoding, ranking pieces within
+their length by salted windows with pre-aggregated offsets (a length that a third of all pieces share is spread over many
+windows), and looking each piece up.
 
 Defined results: null or empty text has only the end id; repeated rows are packed once each; no row is dropped; an empty
 table gives an empty table; further columns of the input are not looked at.
@@ -23,8 +25,8 @@ table gives an empty table; further columns of the input are not looked at.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .bpe import WordTable, check_pattern, load_ranks, words_of
 from .bpe_codec import made
-from .common import cut, parallelism, slices, texts_of
+from .common import cut, dropped, parallelism, slices, texts_of
 
 CAPACITY, END_ID = 1024, 2
 
@@ -85,45 +87,38 @@ GAP, LEFT, OPENED = 0, 1, 2
 RUNS = "kind int, size long, first long, n long, placed struct<length:long,rank:long,together:long,units:long,first:long,offset:long>"
 
 
-def units_of(left: list[tuple[int, int, int]], open_gaps: int, capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(size, length, rank, together, units) of runs (length, rank, n): pieces go together where a run outnumbers the gaps."""
-    out = []
-    for length, rank, n in left:
-        together = min(capacity // length, -(-n // max(1, open_gaps)))
-        units, over = divmod(n, together)
-        out.append((together * length, length, rank, together, units))
-        if over:
-            out.append((over * length, length, rank + units * together, over, 1))
-    return out
-
-
 def one_round(gaps: list[tuple[int, int, int]], left: list[tuple[int, int, int]], opened: int, capacity: int):
     """The gaps, the runs left, the number of sequences opened and the placements (``PLACED``) after one round."""
-    tokens = sum(length * n for length, _, n in left)
-    units = units_of(left, sum(n for _, _, n in gaps) or -(-tokens // capacity), capacity)
-    without = [u for u in units if u[0] > max((g[0] for g in gaps), default=0)]
-    if without:
-        more = max(-(-sum(u[0] * u[4] for u in without) // capacity), sum(u[4] for u in without if 2 * u[0] > capacity))
-        gaps, opened = [*gaps, (capacity, opened, more)], opened + more
-    events = sorted([(-size, GAP, first, n, 0, 0) for size, first, n in gaps] + [(-size, LEFT, rank, n, length, together) for size, length, rank, together, n in units])
-    stack: list[list[int]] = []  # gaps that hold what comes, the smallest last
-    after, rest, placed = [], [], []
-    for size, kind, first, n, length, together in events:
-        if kind == GAP:
-            stack.append([-size, first, n])
-            continue
-        while n and stack:
-            gap = stack[-1]
-            m = min(n, gap[2])
-            placed.append((length, first, together, m, gap[1], capacity - gap[0]))
-            if gap[0] > -size:
-                after.append((gap[0] + size, gap[1], m))
-            gap[1], gap[2], first, n = gap[1] + m, gap[2] - m, first + m * together, n - m
-            if not gap[2]:
-                stack.pop()
-        if n:
-            rest.append((length, first, n * together))
-    return [*after, *map(tuple, stack)], rest, opened, placed
+    runs: dict[int, list[tuple[int, int]]] = {}
+    for size, first, n in gaps:
+        runs.setdefault(size, []).append((first, n))
+    sizes, placed, half = sorted(runs), [], max((x[0] for x in left), default=0) // 2
+
+    def put(size: int, first: int, n: int) -> None:
+        if size and n:
+            if size not in runs:
+                insort(sizes, size)
+            runs.setdefault(size, []).append((first, n))
+
+    for length, rank, n in sorted((x for x in left if x[0] > half), reverse=True):
+        while n:
+            at = bisect_left(sizes, length)
+            if at == len(sizes):
+                more = -(-n // (capacity // length))
+                put(capacity, opened, more)
+                opened += more
+                continue
+            size = sizes[at]
+            first, m = runs[size].pop()
+            if not runs[size]:
+                del runs[size], sizes[at]
+            together = min(n, size // length)
+            units = min(m, n // together)
+            placed.append((length, rank, together, units, first, capacity - size))
+            put(size - together * length, first, units)
+            put(size, first + units, m - units)
+            rank, n = rank + units * together, n - units * together
+    return [(size, *run) for size, own in runs.items() for run in own], [x for x in left if x[0] <= half], opened, placed
 
 
 def plan(runs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -134,21 +129,22 @@ def plan(runs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
 
     def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)]
-        own = {kind: sorted(r[1:] for r in rows if r[0] == kind) for kind in (GAP, LEFT, OPENED)}
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        own = {kind: sorted(r[1:4] for r in rows if r[0] == kind) for kind in (GAP, LEFT, OPENED)}
+        before = [r[4] for r in rows if r[4] is not None]
         gaps, left, opened, placed = one_round(own[GAP], own[LEFT], own[OPENED][0][2] if own[OPENED] else 0, capacity)
         out = [(GAP, *g, None) for g in gaps] + [(LEFT, *x, None) for x in left] + [(OPENED, 0, 0, opened, None)]
-        out += [(None, None, None, None, dict(zip(PLACED, x, strict=True))) for x in placed]
+        out += [(None, None, None, None, x) for x in [*before, *(dict(zip(PLACED, x, strict=True)) for x in placed)]]
         types = [pa.int32(), *[pa.int64()] * 3, pa.struct([(c, pa.int64()) for c in PLACED])]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["kind", "size", "first", "n", "placed"])
 
     none = F.lit(None).cast("struct<" + ",".join(f"{c}:long" for c in PLACED) + ">")
     state = cut(runs.select(F.lit(LEFT).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), "n", none.alias("placed")).coalesce(1))
-    done = [state.where("placed is not null")]
     while not state.where(F.col("kind") == LEFT).isEmpty():
-        state = cut(state.where("placed is null").coalesce(1).mapInArrow(swept, RUNS))
-        done.append(state.where("placed is not null"))
-    return reduce(DataFrame.unionByName, done).select("placed.*")
+        now = cut(state.coalesce(1).mapInArrow(swept, RUNS))
+        dropped(state)
+        state = now
+    return state.where("placed is not null").select("placed.*")
 
 
 def with_ranks(rows: DataFrame, key: str, keys: int, order: list[str], buckets: int) -> DataFrame:

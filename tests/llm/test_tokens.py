@@ -149,15 +149,51 @@ def places_of(placed, runs, capacity):
     return len(used)
 
 
-def test_rounds_place_every_piece_once():
-    rng = random.Random(4)
-    for _ in range(50):
-        runs = {rng.randint(1, 64): rng.randint(1, 400) for _ in range(rng.randint(1, 30))}
-        gaps, left, opened, out = [], [(k, 0, n) for k, n in sorted(runs.items())], 0, []
-        while left:
-            gaps, left, opened, placed = packing.one_round(sorted(gaps), sorted(left), opened, 64)
-            out += placed
-        assert places_of(out, runs, 64) == opened
+def plain_best_fit(runs, capacity):
+    """Best fit decreasing, one piece after the other: how many sequences it opens."""
+    gaps, count = [], 0
+    for length in sorted((k for k, n in runs.items() for _ in range(n)), reverse=True):
+        fit = min((g for g in gaps if g >= length), default=None)
+        if fit is None:
+            count, fit = count + 1, capacity
+        else:
+            gaps.remove(fit)
+        gaps.append(fit - length)
+    return count
+
+
+def in_rounds(runs, capacity):
+    gaps, left, opened, out, rounds, most = [], [(k, 0, n) for k, n in sorted(runs.items())], 0, [], 0, 0
+    while left:
+        gaps, left, opened, placed = packing.one_round(gaps, left, opened, capacity)
+        out, rounds, most = out + placed, rounds + 1, max(most, len(gaps))
+    assert rounds <= 1 + capacity.bit_length() and most <= 4 * capacity
+    return out, opened
+
+
+@pytest.mark.parametrize("capacity", [64, 1024])
+def test_rounds_equal_best_fit_decreasing(capacity):
+    rng = random.Random(capacity)
+    for k in range(60):
+        runs = {rng.randint(1, capacity): rng.randint(1, 60) for _ in range(rng.randint(1, 30))}
+        if k % 2:  # lengths in clumps
+            middle = [rng.randint(1, capacity) for _ in range(3)]
+            runs = {max(1, min(capacity, m + rng.randint(-2, 2))): rng.choice([1, 10, 300]) for m in middle for _ in range(3)}
+        out, opened = in_rounds(runs, capacity)
+        assert places_of(out, runs, capacity) == opened == plain_best_fit(runs, capacity)
+
+
+@pytest.mark.parametrize("runs,best", [({600: 10, 300: 10}, 10), ({600: 1000, 300: 1000, 100: 1000, 7: 1000}, 1000), ({513: 1000, 255: 3000, 1: 1000}, 1250), ({700: 500, 320: 500}, 500)])
+def test_clumped_lengths(spark, runs, best):
+    placed = packing.plan(spark.createDataFrame(list(runs.items()), "length long, n long")).collect()
+    assert places_of(placed, runs, 1024) == plain_best_fit(runs, 1024) == best
+
+
+def test_few_rounds_for_very_many_pieces():
+    for most, n in ((400, 10**5), (200, 10**9), (64, 10**6), (1024, 10**12)):
+        out, opened = in_rounds({k: n for k in range(1, most + 1)}, 1024)
+        tokens = n * most * (most + 1) // 2
+        assert len(out) <= 40_000 and opened * 1024 <= 1.001 * tokens + 1024 * 1024
 
 
 def test_plan_is_small_and_tight(spark):
@@ -171,16 +207,8 @@ def test_plan_is_small_and_tight(spark):
     for name, runs in (("few", few), ("many", many)):
         rows[name] = packing.plan(spark.createDataFrame(list(runs.items()), "length long, n long")).collect()
         opened = places_of(rows[name], runs, 1024)
-        gaps, count = [], 0  # best-fit decreasing, piece by piece
         if name == "few":
-            for length in sorted((k for k, n in runs.items() for _ in range(n)), reverse=True):
-                fit = min((g for g in gaps if g >= length), default=None)
-                if fit is None:
-                    count, fit = count + 1, 1024
-                else:
-                    gaps.remove(fit)
-                gaps.append(fit - length)
-            assert opened <= 1.02 * count + 2
+            assert opened == plain_best_fit(runs, 1024)
     assert len(rows["many"]) <= 2 * len(rows["few"]) + 100
 
 
