@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,9 +24,27 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, read again. A table has its true size, where the estimates that a checkpoint
     hands on would multiply in every join of a loop."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._steps = [path]
+    atexit.register(removed, spark, path)  # what a result still reads goes when the session ends
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder, wherever that is; a session that has ended deletes nothing more."""
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*steps: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote, once nothing reads them any more."""
+    for df in steps:
+        for path in getattr(df, "_steps", []):
+            removed(df.sparkSession, path)
+        df._steps = []
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "_pos") -> DataFrame:

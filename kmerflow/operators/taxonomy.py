@@ -1,4 +1,4 @@
-"""Taxonomy and lineage operators: closures, roll-ups, lowest common ancestors.
+"""Taxonomy and lineage operators: tours, roll-ups, lowest common ancestors.
 
 ``nodes``: id, depth, parent, rank, name; the root is its own parent. Lineages are arrays of names, broad to specific.
 """
@@ -9,27 +9,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seeded_hash
-from .lineage import cut
+from .lineage import cut, dropped, with_position
 
 ROOT, CELLULAR = 1, 131567
 
 
-def closure(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``id, ancestor, depth``: every node with itself and all its ancestors (J11); depth is the ancestor's.
+def tour(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+    """``id, parent, depth, entry, exit, path``: the tree in the order of a walk from the root, every node before those
+    below it (J11). ``path`` leads from the root to the node.
 
-    Paths double in each round, so a tree of depth d takes log2(d) joins.
+    A node lies below another if its entry lies in that one's ``entry .. exit``, and what several nodes share is what the
+    one of the smallest and the one of the largest entry share. Paths double in each round, so depth d takes log2(d) joins;
+    entries are positions in the order of the paths, counted by ranges and moved by what stands before. The table depends on
+    the taxonomy alone: write it once, hand it to every operator below. A cycle, or a depth over ``max_depth``, raises. A
+    parent that the table lacks makes its child a root.
     """
-    up = nodes.select("id", "parent").where("id <> parent")
-    reach = cut(nodes.select("id", F.col("id").alias("ancestor")).unionByName(up.select("id", F.col("parent").alias("ancestor"))))
+    up = nodes.select("id", "parent").where("id <> parent").join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi")
+    paths = cut(nodes.select("id").join(up, "id", "left").select("id", F.col("parent").alias("far"), F.array("id").alias("path")))
     for _ in range(max_depth.bit_length() + 1):
-        longer = reach.join(reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor")
-        grown = cut(longer.select("id", F.col("far").alias("ancestor")).distinct())
-        if grown.count() == reach.count():
+        if paths.where("far is not null").isEmpty():
             break
-        reach = grown
+        above = paths.select(F.col("id").alias("far"), F.col("far").alias("_far"), F.col("path").alias("_path"))
+        longer = paths.join(above, "far", "left").select("id", F.col("_far").alias("far"), F.concat(F.coalesce("_path", F.array().cast(paths.schema["path"].dataType)), "path").alias("path"))
+        grown = cut(longer)
+        dropped(paths)
+        paths = grown
     else:
         raise ValueError(f"paths are still growing at a depth of more than {max_depth}; the table may have a cycle")
-    return reach.join(nodes.select(F.col("id").alias("ancestor"), "depth"), "ancestor").select("id", "ancestor", "depth")
+    placed = with_position(paths.select("id", "path"), ["path"], "entry")
+    below = paths.select(F.explode("path").alias("id")).groupBy("id").agg(F.count("*").alias("_size"))
+    return placed.join(below, "id").join(nodes.select("id", "parent", "depth"), "id").select("id", "parent", "depth", "entry", (F.col("entry") + F.col("_size") - 1).alias("exit"), "path")
+
+
+def closure(toured: DataFrame) -> DataFrame:
+    """``id, ancestor, depth``: every node of a tour with itself and all its ancestors (J11); depth is the ancestor's."""
+    pairs = toured.select("id", F.explode("path").alias("ancestor"))
+    return pairs.join(toured.select(F.col("id").alias("ancestor"), "depth"), "ancestor").select("id", "ancestor", "depth")
 
 
 def to_taxa(hits: DataFrame, accessions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,9 +64,11 @@ def with_magnitudes(queries: DataFrame, magnitudes: DataFrame) -> DataFrame:
     return queries.join(magnitudes, "id", "left").withColumn("magnitude", F.coalesce("magnitude", F.lit(1.0)))
 
 
-def taxon_contains(pairs: DataFrame, reach: DataFrame) -> DataFrame:
-    """Pairs ``parent, child`` whose parent is the child or above it."""
-    return pairs.join(reach.select(F.col("ancestor").alias("parent"), F.col("id").alias("child")), ["parent", "child"], "left_semi")
+def taxon_contains(pairs: DataFrame, toured: DataFrame) -> DataFrame:
+    """Pairs ``parent, child`` whose parent is the child or above it (A25): the child's entry lies in the parent's interval."""
+    above = toured.select(F.col("id").alias("parent"), F.col("entry").alias("_from"), F.col("exit").alias("_to"))
+    own = toured.select(F.col("id").alias("child"), F.col("entry").alias("_at"))
+    return pairs.join(own, "child").join(above, "parent").where("_at between _from and _to").select(*pairs.columns)
 
 
 def _prefixes(path: str = "path"):
@@ -115,25 +132,25 @@ def collapsed(nodes: DataFrame, no_rank: bool = False, cellular: bool = False) -
     return nodes.where(melt)
 
 
-def taxon_roll_up(hits: DataFrame, nodes: DataFrame, reach: DataFrame, max_depth: int | None = None, no_rank: bool = False, cellular: bool = False) -> DataFrame:
+def taxon_roll_up(hits: DataFrame, nodes: DataFrame, toured: DataFrame, max_depth: int | None = None, no_rank: bool = False, cellular: bool = False) -> DataFrame:
     """``taxon, magnitude, count, unassigned, score`` of every ancestor of a hit (A21). ``hits``: taxon, magnitude, score.
 
     Taxon 0 is ``No hits`` and stays alone; unknown taxa count as root; melted nodes count for their nearest ancestor that
-    stays. The mean score leaves the root without one.
+    stays. The mean score leaves the root without one. Hits are summed by taxon before they meet ancestors, so what is
+    carried up the tree has the size of the taxonomy.
     """
+    m, score = F.col("magnitude"), F.col("score")
+    own = known_or_root(hits, nodes).groupBy("taxon").agg(F.sum(m).alias("m"), F.count("*").alias("n"), F.sum(score * m).alias("scored"), F.sum(F.when(score.isNotNull(), m)).alias("weight"))
     melted = collapsed(nodes, no_rank, cellular).select(F.col("id").alias("ancestor"))
-    stays = reach.join(melted, "ancestor", "left_anti")
+    stays = closure(toured).join(melted, "ancestor", "left_anti")
     if max_depth is not None:
         stays = stays.where(F.col("depth") <= max_depth)
-    own = known_or_root(hits, nodes)
     deepest = stays.groupBy("id").agg(F.max("depth").alias("last"))
     up = own.join(stays.join(deepest, "id").withColumnRenamed("id", "taxon"), "taxon", "left")
     node = F.coalesce("ancestor", F.lit(0))
     ends = F.col("ancestor").isNull() | (F.col("depth") == F.col("last"))
-    m = F.col("magnitude")
-    score = F.when(node != ROOT, F.col("score"))
     return up.groupBy(node.alias("taxon")).agg(
-        F.sum(m).alias("magnitude"), F.count("*").alias("count"), F.sum(F.when(ends, m).otherwise(0.0)).alias("unassigned"), F.try_divide(F.sum(score * m), F.sum(F.when(score.isNotNull(), m))).alias("score")
+        F.sum("m").alias("magnitude"), F.sum("n").alias("count"), F.sum(F.when(ends, F.col("m")).otherwise(0.0)).alias("unassigned"), F.try_divide(F.sum(F.when(node != ROOT, F.col("scored"))), F.sum(F.when(node != ROOT, F.col("weight")))).alias("score")
     )
 
 
@@ -147,18 +164,20 @@ def best_hits(hits: DataFrame, threshold: float = 0.0, true_max: bool = False) -
     return hits.withColumn("_top", top).where(F.col("score") >= F.col("_top") - threshold).drop("_top")
 
 
-def lca(best: DataFrame, reach: DataFrame) -> DataFrame:
+def lca(best: DataFrame, toured: DataFrame) -> DataFrame:
     """``query, taxon, score``: deepest ancestor that all best hits share, mean score over them.
 
-    ``best``: query, taxon, score. Taxa that the closure does not have are not looked at; a query without any gets -1.
+    ``best``: query, taxon, score. Taxa that the tour does not have are not looked at; a query without any gets -1. One
+    aggregate finds the smallest and largest entry of a query: their paths share what all of its hits share.
     """
-    taxa = best.select("query", "taxon").distinct()
-    known = taxa.join(reach.withColumnRenamed("id", "taxon"), "taxon")
-    n = known.select("query", "taxon").distinct().groupBy("query").agg(F.count("*").alias("n"))
-    shared = known.groupBy("query", "ancestor", "depth").agg(F.count_distinct("taxon").alias("held")).join(n, "query").where("held = n")
-    found = shared.groupBy("query").agg(F.max_by("ancestor", "depth").alias("taxon"))
-    means = best.groupBy("query").agg(F.avg("score").alias("score"))
-    return means.join(found, "query", "left").select("query", F.coalesce("taxon", F.lit(-1)).alias("taxon"), "score")
+    own = best.select("query", "taxon", "score").join(toured.select(F.col("id").alias("taxon"), "entry"), "taxon", "left")
+    ends = own.groupBy("query").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi"), F.avg("score").alias("score"))
+    low = toured.select(F.col("entry").alias("lo"), F.col("id").alias("_id"), F.col("exit").alias("_exit"), F.col("path").alias("_low"))
+    both = ends.join(low, "lo", "left").join(toured.select(F.col("entry").alias("hi"), F.col("path").alias("_high")), "hi", "left")
+    level = F.sequence(F.lit(1), F.least(F.size("_low"), F.size("_high")))
+    same = F.array_max(F.transform(level, lambda k: F.when(F.element_at("_low", k) == F.element_at("_high", k), k)))
+    shared = F.when(F.col("hi") <= F.col("_exit"), F.col("_id")).when(same.isNotNull(), F.element_at("_low", same))
+    return both.select("query", F.coalesce(shared, F.lit(-1)).alias("taxon"), "score")
 
 
 def blast_best(hits: DataFrame, nodes: DataFrame, threshold: float = 3.0, factor: float | None = None, score: str = "bits", floor: float = -300.0, include_unknown: bool = False) -> DataFrame:

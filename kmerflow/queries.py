@@ -277,7 +277,7 @@ CLOSURE = "reach AS (SELECT id, id AS ancestor FROM taxonomy UNION SELECT t.id,
 
 @query(f"WITH {CLOSURE} SELECT id, ancestor, depth FROM up", "taxonomy")
 def ancestors(spark, d):
-    return taxonomy.closure(view(spark, d, "taxonomy"), 4)
+    return taxonomy.closure(taxonomy.tour(view(spark, d, "taxonomy")))
 
 
 @query("SELECT query, pos, CASE WHEN taxon % 9 = 0 THEN 1 ELSE taxon END AS taxon FROM hits", "hits")
@@ -469,7 +469,7 @@ def taxon_roll_up(spark, d):
     nodes = view(spark, d, "taxonomy")
     t = F.col("taxon")
     hits = view(spark, d, "hits").select(F.when(t % 50 == 0, 0).when(t % 49 == 0, 987654).otherwise(t).alias("taxon"), F.lit(1.0).alias("magnitude"), "score")
-    return taxonomy.taxon_roll_up(hits, nodes, taxonomy.closure(nodes, 4), no_rank=True).select("taxon", "magnitude", "count", "unassigned", *r6("score"))
+    return taxonomy.taxon_roll_up(hits, nodes, taxonomy.tour(nodes), no_rank=True).select("taxon", "magnitude", "count", "unassigned", *r6("score"))
 
 
 LCA = """, best AS (SELECT query, taxon, score FROM (SELECT *, first(score) OVER (PARTITION BY query ORDER BY pos, score DESC, taxon) AS top FROM hits) WHERE score >= top - {t}), taxa AS (SELECT DISTINCT query, taxon FROM best),
@@ -480,15 +480,15 @@ SELECT b.query, f.taxon, round(avg(b.score), 6) AS score FROM best b JOIN found
 
 @query(f"WITH {CLOSURE}" + LCA.format(t=10), "taxonomy", "hits")
 def lowest_common_ancestor(spark, d):
-    reach = taxonomy.closure(view(spark, d, "taxonomy"), 4)
-    return taxonomy.lca(taxonomy.best_hits(view(spark, d, "hits"), 10.0), reach).select("query", "taxon", *r6("score"))
+    toured = taxonomy.tour(view(spark, d, "taxonomy"))
+    return taxonomy.lca(taxonomy.best_hits(view(spark, d, "hits"), 10.0), toured).select("query", "taxon", *r6("score"))
 
 
 @query(f"WITH {CLOSURE}" + LCA.format(t=3), "taxonomy", "hits")
 def blast_lowest_common_ancestor(spark, d):
     nodes = view(spark, d, "taxonomy")
     best = taxonomy.blast_best(view(spark, d, "hits").withColumnRenamed("score", "bits").withColumn("identity", F.lit(1.0)), nodes)
-    return taxonomy.lca(best, taxonomy.closure(nodes, 4)).select("query", "taxon", *r6("score"))
+    return taxonomy.lca(best, taxonomy.tour(nodes)).select("query", "taxon", *r6("score"))
 
 
 @query("SELECT query, taxon, pos, score FROM (SELECT *, first(score) OVER (PARTITION BY query ORDER BY pos, score DESC, taxon) AS top FROM hits) WHERE score >= top", "hits")
@@ -508,7 +508,7 @@ def random_best_hit(spark, d):
 @query(f"WITH {CLOSURE} SELECT DISTINCT h.query, 10 + h.pos % 5 AS parent, h.taxon AS child FROM hits h JOIN up u ON u.id = h.taxon AND u.ancestor = 10 + h.pos % 5", "taxonomy", "hits")
 def taxon_containment(spark, d):
     pairs = view(spark, d, "hits").select("query", (10 + F.col("pos") % 5).cast("int").alias("parent"), F.col("taxon").alias("child")).distinct()
-    return taxonomy.taxon_contains(pairs, taxonomy.closure(view(spark, d, "taxonomy"), 4)).select("query", "parent", "child")
+    return taxonomy.taxon_contains(pairs, taxonomy.tour(view(spark, d, "taxonomy"))).select("query", "parent", "child")
 
 
 @query("SELECT taxon, string_agg(CAST(query AS VARCHAR), ',' ORDER BY query) AS members FROM (SELECT DISTINCT taxon, query FROM hits) GROUP BY 1", "hits")

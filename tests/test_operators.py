@@ -138,7 +138,7 @@ NODES = [(1, 0, 1, "no rank", "root"), (2, 1, 1, "domain", "A"), (3, 2, 2, "no r
 
 def test_lowest_common_ancestor(spark):
     nodes = spark.createDataFrame(NODES, "id int, depth int, parent int, rank string, name string")
-    reach = taxonomy.closure(nodes)
+    reach = taxonomy.tour(nodes)
     hits = spark.createDataFrame([("q", 4, 1, 9.0), ("q", 5, 2, 8.5), ("r", 4, 1, 9.0), ("r", 6, 2, 9.0), ("s", 4, 1, 9.0), ("t", 99, 1, 3.0)], "query string, taxon int, pos int, score double")
     got = {r["query"]: (r["taxon"], r["score"]) for r in taxonomy.lca(taxonomy.best_hits(hits, 1.0), reach).collect()}
     assert got == {"q": (3, 8.75), "r": (1, 9.0), "s": (4, 9.0), "t": (-1, 3.0)}
@@ -154,7 +154,7 @@ def test_roll_up_root_is_the_sum(spark):
 def test_no_hits_and_melting(spark):
     nodes = spark.createDataFrame(NODES, "id int, depth int, parent int, rank string, name string")
     hits = spark.createDataFrame([(0, 1.0, 5.0), (4, 1.0, 5.0), (3, 2.0, 1.0), (77, 1.0, 1.0)], "taxon int, magnitude double, score double")
-    got = {r["taxon"]: (r["magnitude"], r["unassigned"]) for r in taxonomy.taxon_roll_up(hits, nodes, taxonomy.closure(nodes), no_rank=True).collect()}
+    got = {r["taxon"]: (r["magnitude"], r["unassigned"]) for r in taxonomy.taxon_roll_up(hits, nodes, taxonomy.tour(nodes), no_rank=True).collect()}
     assert got[0] == (1.0, 1.0) and got[1] == (4.0, 1.0) and 3 not in got and got[2] == (3.0, 2.0) and got[4] == (1.0, 1.0)
 
 
@@ -358,7 +358,7 @@ def test_merged_classification_is_written(spark, tmp_path):
 def test_cycles_raise(spark):
     nodes = spark.createDataFrame([(k, 0, (k + 1) % 9 + 1, "r", "n") for k in range(1, 10)], "id int, depth int, parent int, rank string, name string")
     with pytest.raises(ValueError):
-        taxonomy.closure(nodes, 1)
+        taxonomy.tour(nodes, 1)
 
 
 def test_power_equals_formula(spark):
@@ -380,3 +380,66 @@ def test_alphabet_at_a_line_end(spark):
 def test_lineage_of_a_label_is_the_first(spark):
     classes = spark.createDataFrame([(1, "s", "g2", "d"), (2, "s", "g1", "e"), (3, "s", "g1", "d")], "id long, species string, genus string, domain string")
     assert rows(report.one_lineage(classes, "species", ["species", "genus", "domain"])) == [("s", "g1", "d")]
+
+
+def plain_shared(up, taxa):
+    """Deepest node above all of ``taxa``; -1 if there is none."""
+    paths = []
+    for t in taxa:
+        path = [t]
+        while up[path[-1]] != path[-1] and up[path[-1]] in up:
+            path.append(up[path[-1]])
+        paths.append(path[::-1])
+    shared = -1
+    for level in zip(*paths):
+        if len(set(level)) > 1:
+            break
+        shared = level[0]
+    return shared
+
+
+def test_tour_of_random_trees(spark):
+    """Intervals, containment, roll-up and shared ancestors against plain loops; several roots, a deep chain, gaps in ids."""
+    rng = np.random.default_rng(8)
+    up = {1: 1, 5000: 5000, 70: 999_999}  # 70 names a parent that the table lacks
+    for k in range(2, 60):
+        up[k] = k - 1  # a chain
+    for k in range(100, 400):
+        up[k] = int(rng.choice([n for n in up]))
+    depth = {}
+    for k in up:
+        d, at = 0, k
+        while up[at] != at and up[at] in up:
+            d, at = d + 1, up[at]
+        depth[k] = d
+    nodes = spark.createDataFrame([(k, depth[k], p, "r", "n") for k, p in up.items()], "id int, depth int, parent int, rank string, name string").repartition(3)
+    toured = taxonomy.tour(nodes, 90)
+    got = {r["id"]: r for r in toured.collect()}
+    assert sorted(r["entry"] for r in got.values()) == list(range(len(up)))
+    above = {k: set() for k in up}
+    for k in up:
+        at = k
+        while True:
+            above[k].add(at)
+            if up[at] == at or up[at] not in up:
+                break
+            at = up[at]
+    for a in up:
+        for b in up:
+            assert (a in above[b]) == (got[a]["entry"] <= got[b]["entry"] <= got[a]["exit"])
+    ids = list(up)
+    pairs = [(i, int(rng.choice(ids)), int(rng.choice(ids))) for i in range(500)] + [(500, 1, 123_456), (501, 123_456, 1)]
+    held = taxonomy.taxon_contains(spark.createDataFrame(pairs, "q int, parent int, child int"), toured).collect()
+    assert sorted(r["q"] for r in held) == [q for q, p, c in pairs if c in above and p in above[c]]
+    hits = [(q, int(rng.choice([*ids, 123_456])), float(rng.integers(1, 9))) for q in range(200) for _ in range(int(rng.integers(1, 5)))]
+    found = {r["query"]: r["taxon"] for r in taxonomy.lca(spark.createDataFrame(hits, "query int, taxon int, score double"), toured).collect()}
+    for q in range(200):
+        taxa = [t for p, t, _ in hits if p == q and t in up]
+        assert found[q] == (plain_shared(up, taxa) if taxa else -1)
+    rolled = {r["taxon"]: r for r in taxonomy.taxon_roll_up(spark.createDataFrame([(t, s, s) for _, t, s in hits], "taxon int, magnitude double, score double"), nodes, toured).collect()}
+    for t in rolled:
+        own = [(x if x in up else 1, s) for _, x, s in hits]
+        own = [(x, s) for x, s in own if t in above[x]]
+        assert rolled[t]["count"] == len(own) and rolled[t]["magnitude"] == pytest.approx(sum(s for _, s in own))
+        assert rolled[t]["unassigned"] == pytest.approx(sum(s for x, s in own if x == t))
+        assert t == 1 or rolled[t]["score"] == pytest.approx(sum(s * s for _, s in own) / sum(s for _, s in own))
