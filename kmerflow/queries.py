@@ -82,6 +82,28 @@ def interleave_pairs(spark, d):
     return sources.interleave_pairs(view(spark, d, "pair_r1"), view(spark, d, "pair_r2"))
 
 
+SHARDS = "SELECT read_no, read_no % 3 AS shard, id, CASE WHEN read_no % 7 = 0 THEN '' ELSE sequence END AS sequence FROM {}"
+
+
+@query(
+    f"SELECT read_no // 3 AS read_no, shard, 1 AS mate, replace(id, '/', '_') AS id, sequence FROM ({SHARDS.format('pair_r1')}) UNION ALL SELECT read_no // 3, shard, 2, replace(id, '/', '_'), sequence FROM ({SHARDS.format('pair_r2')})",
+    "pair_r1",
+    "pair_r2",
+)
+def paired_shards(spark, d):
+    """Both sides written in three shards, reads of length 0 and qualities that begin with ``@`` among them, and read in pairs."""
+    sides = []
+    for side in ("pair_r1", "pair_r2"):
+        path = scratch(spark, side)
+        view(spark, d, side).createOrReplaceTempView(f"_{side}")
+        rows = spark.sql(SHARDS.format(f"_{side}"))
+        quality = F.when(F.col("sequence") == "", "").when(F.col("read_no") % 5 == 0, F.lit("@" + "I" * 19)).otherwise(F.lit("I" * 20))
+        line = F.format_string("@%s x\n%s\n+\n%s", "id", "sequence", quality)
+        rows.repartition(3, "shard").sortWithinPartitions("shard", "read_no").select("shard", line.alias("value")).write.partitionBy("shard").text(path)
+        sides.append(sources.read_fastq(spark, path).select("shard", "read_no", "id", "sequence"))
+    return sources.interleave_pairs(*sides).select("read_no", F.col("shard").cast("long").alias("shard"), "mate", "id", "sequence")
+
+
 @query("SELECT CAST(id AS VARCHAR) AS id, species, genus, family, domain FROM classes", "classes")
 def class_table_round_trip(spark, d):
     path = scratch(spark, "classes")
