@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import is_valid, kmers_of_chunk, upper_ascii
+from . import packed
+from .lineage import cut, with_position
 
 #: Sequences longer than this are cut into overlapping chunks, so that no row holds millions of windows.
 CHUNK = 65_536
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt anew only if it comes in fewer splits than there are cores, as one small file does."""
+#: Inputs of fewer bytes a core than this may be dealt anew.
+SMALL = 4 << 20
+#: Up to so many ids that come in several rows are sent to all tasks.
+SENT = 100_000
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt over ``partitions``, or, if it is small, as one file of a few megabytes is, over all cores. Larger inputs
+    come in splits enough and are left as they are; their size is what the plan reckons, nothing is run for it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if partitions is None and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SMALL:
+        return df
+    return df.repartition(partitions or cores)
 
 
 def tokens(seqs: DataFrame, k: int, include_last: bool = False, id_col: str = "id", sequence_col: str = "sequence") -> DataFrame:
@@ -27,8 +38,18 @@ def tokens(seqs: DataFrame, k: int, include_last: bool = False, id_col: str = "i
     return cut.select("id", F.explode(kmers_of_chunk(chunk, last, k, include_last)).alias("kmer"))
 
 
+def fits(k: int, alphabet: str | None) -> bool:
+    return bool(alphabet) and set(alphabet.encode()) == set(packed.LETTERS) and k <= packed.MOST
+
+
 def discover_vocabulary(seqs: DataFrame, k: int, alphabet: str | None = "ATCG", include_last: bool = False) -> DataFrame:
-    """``kmer, n``: the k-mers that occur, within the alphabet (A1, P2). Counts are combined before the shuffle."""
+    """``kmer, n``: the k-mers that occur, within the alphabet (A1, P2). Counts are combined before the shuffle.
+
+    The four letters are packed, for k up to 64; other alphabets, and none, go by strings.
+    """
+    if fits(k, alphabet):
+        one, many = packed.chunks(seqs, k, include_last, CHUNK)
+        return packed.total_counts(one.unionByName(many), k)
     found = tokens(seqs, k, include_last)
     if alphabet:
         found = found.where(is_valid("kmer", alphabet))
@@ -36,21 +57,37 @@ def discover_vocabulary(seqs: DataFrame, k: int, alphabet: str | None = "ATCG",
 
 
 def index_vocabulary(vocab: DataFrame) -> DataFrame:
-    """``feature_idx, kmer``: positions by k-mer, the same however the data are dealt.
-
-    The global position comes from positions within first letters plus offsets, not from one task.
-    """
-    head = vocab.select("kmer").distinct().withColumn("head", F.substring("kmer", 1, 4))
-    before = head.groupBy("head").agg(F.count("*").alias("n"))
-    offsets = before.withColumn("before", F.sum("n").over(Window.orderBy("head")) - F.col("n")).drop("n")
-    own = F.row_number().over(Window.partitionBy("head").orderBy("kmer")) - 1
-    return head.withColumn("own", own).join(offsets, "head").select((F.col("before") + F.col("own")).alias("feature_idx"), "kmer")
+    """``feature_idx, kmer``: positions by k-mer, the same however the data are dealt."""
+    return with_position(vocab.select("kmer").distinct(), ["kmer"], "feature_idx").select("feature_idx", "kmer")
 
 
 def count_profile(seqs: DataFrame, k: int, alphabet: str | None = "ATCG", vocabulary: DataFrame | None = None, include_last: bool = False) -> DataFrame:
-    """``id, kmer, value`` of k-mers that occur (A2); with ``vocabulary`` only its k-mers count, unfiltered (A3)."""
-    found = tokens(seqs, k, include_last)
-    if vocabulary is None:
+    """``id, kmer, value`` of k-mers that occur (A2); with ``vocabulary`` only its k-mers count, unfiltered (A3).
+
+    K-mers of the four letters are counted within the row that holds the sequence, and nothing is shuffled but ids; only
+    sequences cut in chunks, and ids that come in several rows, are merged. Other alphabets, or a vocabulary that goes
+    beyond the four letters, go by strings, one row a window.
+    """
+    if vocabulary is not None:
+        vocabulary = vocabulary.select("kmer").distinct()
+        alphabet = "ATCG" if vocabulary.where((F.length("kmer") != k) | ~is_valid("kmer", "ATCG")).isEmpty() else None
+    if fits(k, alphabet):
+        counts = packed_profile(seqs, k, include_last)
+    else:
+        found = tokens(seqs, k, include_last)
         found = found.where(is_valid("kmer", alphabet)) if alphabet else found
-    counts = found.groupBy("id", "kmer").agg(F.count("*").cast("double").alias("value"))
-    return counts if vocabulary is None else counts.join(vocabulary.select("kmer").distinct(), "kmer", "left_semi").select("id", "kmer", "value")
+        counts = found.groupBy("id", "kmer").agg(F.count("*").cast("double").alias("value"))
+    return counts if vocabulary is None else counts.join(vocabulary, "kmer", "left_semi").select("id", "kmer", "value")
+
+
+def packed_profile(seqs: DataFrame, k: int, include_last: bool = False) -> DataFrame:
+    one, many = packed.chunks(seqs, k, include_last, CHUNK)
+    again = cut(seqs.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("id").alias("_id")))
+    n = again.count()
+    if n:
+        same = F.col("id").eqNullSafe(F.col("_id"))
+        again = F.broadcast(again) if n <= SENT else again
+        many = many.unionByName(one.join(again, same, "left_semi"))
+        one = one.join(again, same, "left_anti")
+    merged = packed.row_counts(many, k).groupBy("id", "kmer").agg(F.sum("value").alias("value"))
+    return packed.row_counts(one, k).unionByName(merged)

@@ -431,6 +431,24 @@ def text_variance_selection(spark, d):
     return select.by_variance(text_profile(spark, d), view(spark, d, "letters").count(), 0.95)
 
 
+def long_sql(k: int) -> str:
+    window = " || ".join(f"l[p + {j}]" for j in range(k))
+    return f"""WITH chars AS (SELECT id, string_split(sequence, '') AS l FROM letters), tok AS (SELECT id, unnest(list_transform(range(1, len(l) - {k} + 1), lambda p: {window})) AS kmer FROM chars),
+prof AS (SELECT id, kmer, CAST(count(*) AS DOUBLE) AS value FROM tok WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY 1, 2)"""
+
+
+@query(long_sql(21) + " SELECT id, count(*) AS features, sum(value) AS windows, max(value) AS most, min(kmer) AS first, max(kmer) AS last FROM prof GROUP BY 1", "letters")
+def text_profile_21(spark, d):
+    long = counting.count_profile(counting.spread(view(spark, d, "letters")), 21)
+    return long.groupBy("id").agg(F.count("*").alias("features"), F.sum("value").alias("windows"), F.max("value").alias("most"), F.min("kmer").alias("first"), F.max("kmer").alias("last"))
+
+
+@query(long_sql(35) + " SELECT substr(kmer, 1, 3) AS head, count(*) AS kmers, CAST(sum(n) AS BIGINT) AS windows, max(n) AS most FROM (SELECT kmer, CAST(sum(value) AS BIGINT) AS n FROM prof GROUP BY 1) GROUP BY 1", "letters")
+def text_vocabulary_35(spark, d):
+    found = counting.discover_vocabulary(counting.spread(view(spark, d, "letters")), 35)
+    return found.groupBy(F.substring("kmer", 1, 3).alias("head")).agg(F.count("*").alias("kmers"), F.sum("n").alias("windows"), F.max("n").alias("most"))
+
+
 # lineage and taxonomy
 
 PATHS = "WITH paths AS (SELECT id, magnitude, list_filter([level1, level2, level3], lambda x: x <> '') AS path FROM lineages), spread AS (SELECT *, path[1:CAST(k AS INT)] AS node, CAST(k AS INT) AS k FROM paths, unnest(range(0, len(path) + 1)) t(k))"
