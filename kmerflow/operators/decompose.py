@@ -6,28 +6,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut, dropped
+
+
+def _products(rows: DataFrame, key: str, left: list[str], right: list[str]) -> np.ndarray:
+    """Sum over rows of the products of the columns ``left`` and ``right``: a matrix of their numbers, added up in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(left), len(right)))
+        for batch in batches:
+            both = [np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols]) for cols in (left, right)]
+            out += both[0] @ both[1].T
+        i, j = np.indices(out.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(out.ravel())], names=["i", "j", "v"])
+
+    out = np.zeros((len(left), len(right)))
+    for r in rows.select(*dict.fromkeys(left + right)).mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # a cell for each pair of columns
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
+def _turned(m: DataFrame, key: str, columns: list[str], matrix: np.ndarray, names: list[str]) -> DataFrame:
+    """The thin matrix ``columns`` times a small ``matrix``."""
+    kind = m.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1) @ matrix
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=[key, *names])
+
+    return m.select(key, *columns).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} double" for c in names))
 
-def truncated_svd(long: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
-    """The ``n`` leading right singular vectors (M9), each with its largest weight positive.
 
-    One global decomposition over sparse rows; ``vocab``: feature_idx, kmer. Not needed if there are at most ``n``
-    features: then each is its own component. The result has n weights for each feature of a reduced vocabulary.
+def svd(long: DataFrame, vocab: DataFrame, n: int, more: int = 16, rounds: int = 60, tol: float = 1e-10, seed: int = 1) -> tuple[list[float], DataFrame]:
+    """The ``n`` largest singular values, and ``component, kmer, weight`` of their right vectors (M9).
+
+    Subspace iteration with ``2 n + more`` columns: a table (kmer, weights) is multiplied by the profile and by its
+    transpose, each a join and a sum, and made orthonormal by the small matrix of its products. The driver sees matrices of
+    columns by columns, never a vocabulary. Ends when no value changes by more than ``tol``; raises after ``rounds``.
     """
     width = vocab.count()
-    spark = long.sparkSession
-    if width <= n:
+    size = min(width, 2 * n + more)
+    w, z = [f"w{k}" for k in range(size)], [f"z{k}" for k in range(size)]
+    unit = lambda k: (F.pmod(F.xxhash64("kmer", F.lit(k), F.lit(seed)), F.lit(1 << 20)) + 0.5) / (1 << 19) - 1.0
+    long = long.select("id", "kmer", "value")
+    basis, before, value = cut(vocab.select("kmer", *[unit(k).alias(c) for k, c in enumerate(w)])), None, F.col("value")
+    rotate = np.linalg.pinv(np.linalg.cholesky(_products(basis, "kmer", w, w) + 1e-12 * np.eye(size))).T if width else None
+    for _ in range(rounds):
+        here = _turned(basis, "kmer", w, rotate, w)
+        by_id = long.join(here, "kmer").groupBy("id").agg(*[F.sum(value * F.col(c)).alias(c) for c in w])
+        far = long.join(by_id, "id").groupBy("kmer").agg(*[F.sum(value * F.col(c)).alias(d) for c, d in zip(w, z, strict=True)])
+        both = cut(here.join(far, "kmer", "left").na.fill(0.0))
+        cells = _products(both, "kmer", [*w, *z], z)
+        inner, gram = (cells[:size] + cells[:size].T) / 2, cells[size:]
+        values, vectors = np.linalg.eigh(inner)
+        values, vectors = values[::-1], vectors[:, ::-1]
+        found = np.sqrt(np.maximum(values[:n], 0))
+        if before is not None and np.all(np.abs(found - before) <= tol * max(found[0], 1e-300)) or size == width:
+            parts = _turned(both, "kmer", w, vectors[:, :n], w[:n])
+            dropped(basis)
+            return found.tolist(), _signed(cut(parts), w[: min(n, size)])
+        before = found
+        own = vectors.T @ gram @ vectors  # in the directions found, columns differ in length rather than direction
+        scale = np.sqrt(np.maximum(np.diag(own), 1e-300))
+        spread, axes = np.linalg.eigh(own / np.outer(scale, scale))
+        rotate = (vectors / scale) @ (axes / np.sqrt(np.maximum(spread, 1e-14)))
+        dropped(basis)
+        basis = cut(both.select("kmer", *[F.col(d).alias(c) for c, d in zip(w, z, strict=True)]))
+        dropped(both)
+    raise RuntimeError(f"singular values still change after {rounds} rounds")
+
+
+def _signed(parts: DataFrame, columns: list[str]) -> DataFrame:
+    """Components in long form, each with its largest weight positive."""
+    peaks = parts.agg(*[F.max_by(F.col(c), F.struct(F.abs(c), "kmer")).alias(c) for c in columns]).first()  # a number for each component
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("component"), (F.col(c) * (-1.0 if (peaks[c] or 0) < 0 else 1.0)).alias("weight")) for k, c in enumerate(columns)]))
+    return parts.select("kmer", rows.alias("r")).select("r.component", "kmer", "r.weight")
+
+
+def truncated_svd(long: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
+    """The ``n`` leading right singular vectors (M9), each with its largest weight positive. ``vocab``: feature_idx, kmer.
+
+    Not needed if there are at most ``n`` features: then each is its own component.
+    """
+    if vocab.count() <= n:
         return vocab.select(F.col("feature_idx").alias("component"), "kmer", F.lit(1.0).alias("weight"))
-    rows = long.join(vocab, "kmer").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("feature_idx", "value"))).alias("x"))
-    sparse = rows.rdd.map(lambda r: Vectors.sparse(width, [int(e[0]) for e in r["x"]], [float(e[1]) for e in r["x"]]))
-    v = RowMatrix(sparse).computeSVD(n).V.toArray()  # vocabulary by n
-    v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
-    flat = pd.DataFrame({"component": np.repeat(np.arange(v.shape[1]), width), "feature_idx": np.tile(np.arange(width), v.shape[1]), "weight": v.T.ravel()})
-    return spark.createDataFrame(flat).join(vocab, "feature_idx").select("component", "kmer", "weight")
+    return svd(long, vocab, n)[1]
 
 
 def _seeded(vocab: DataFrame, n: int, seed: int) -> DataFrame:
@@ -42,8 +110,6 @@ def nmf(long: DataFrame, vocab: DataFrame, n: int, rounds: int = 10, seed: int =
     X is sparse (id, kmer, value); W and H are long tables. Each half-round is two joins on keys and small n by n
     products; lineage is cut after every round.
     """
-    from .lineage import cut
-
     h = _seeded(vocab, n, seed)
     ids = long.select("id").distinct()
     w = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("component")).withColumn("weight", 0.1 + F.pmod(F.xxhash64("id", "component", F.lit(seed + 1)), F.lit(1000)) / 1000.0)

@@ -30,7 +30,8 @@ class TfIdf:
 
 @dataclass(frozen=True)
 class MinMax:
-    """``(x - min) / (max - min)``; a constant feature is divided by 1 (M2). Needs dense rows where min is not 0."""
+    """``(x - min) / (max - min)``; a constant feature is divided by 1 (M2). Absent entries are zeros: where a min is not 0
+    they become what ``zeros`` says, and need no rows."""
 
     bounds: DataFrame
     feature: str
@@ -40,8 +41,15 @@ class MinMax:
         return cls(extremes(long, n, feature), feature)
 
     def transform(self, long: DataFrame) -> DataFrame:
-        width = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
-        return long.join(self.bounds, self.feature).withColumn("value", (F.col("value") - F.col("low")) / width).drop("low", "high", "peak")
+        return long.join(self.bounds, self.feature).withColumn("value", self._scaled(F.col("value"))).drop("low", "high", "peak")
+
+    def zeros(self) -> DataFrame:
+        """``feature, value`` of entries that are absent."""
+        return self.bounds.select(self.feature, self._scaled(F.lit(0.0)).alias("value"))
+
+    @staticmethod
+    def _scaled(x):
+        return (x - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
 
 
 @dataclass(frozen=True)
@@ -68,24 +76,31 @@ def yeo_johnson(x, lam):
 
 @dataclass(frozen=True)
 class Power:
-    """Yeo-Johnson per feature with the likeliest lambda, then standardized (M4). Takes dense rows, zeros included.
-
-    The likelihood of each lambda of a grid is one aggregate. Where the best lies at an end, the grid goes on beyond it, up
-    to ``widen`` times; then it is refined around the best, so that there are ``rounds`` rounds in all.
+    """Yeo-Johnson per feature with the likeliest lambda, then standardized (M4).
+
+    Takes dense rows, or with ``n``, the number of samples, a long profile whose absent entries are zeros. The transform of
+    0 is 0 and adds nothing to the Jacobian, so mean, variance and likelihood follow from the other entries and ``n``; what
+    absent entries become is said by ``zeros``. The likelihood of each lambda of a grid is one aggregate. Where the best
+    lies at an end, the grid goes on beyond it, up to ``widen`` times; then it is refined around the best, so that there are
+    ``rounds`` rounds in all; five leave steps of 0.0004. A feature that is constant has no likeliest lambda and gets the
+    one of the grid nearest to 0.
     """
 
     fitted: DataFrame
     feature: str
 
     @classmethod
-    def fit(cls, dense: DataFrame, feature: str = "feature_idx", low: float = -2.0, high: float = 4.0, steps: int = 13, rounds: int = 4, widen: int = 20) -> Power:
-        rows = dense.select(feature, "value")
+    def fit(cls, dense: DataFrame, feature: str = "feature_idx", low: float = -2.0, high: float = 4.0, steps: int = 13, rounds: int = 5, widen: int = 20, n: int | None = None) -> Power:
+        rows = dense.select(feature, "value") if n is None else dense.where("value <> 0").select(feature, "value")
         step = (high - low) / (steps - 1)
 
         def likeliest(tried: DataFrame) -> DataFrame:
             y = yeo_johnson(F.col("value"), F.col("lam"))
             sign = F.signum("value") * F.log1p(F.abs("value"))
             stats = tried.withColumn("y", y).groupBy(feature, "lam").agg(F.count("*").alias("n"), F.var_pop("y").alias("var"), F.avg("y").alias("mean"), F.sum(sign).alias("jac"))
+            if n is not None:  # m of n entries are not 0
+                m = F.col("n") / float(n)
+                stats = stats.select(feature, "lam", F.lit(n).alias("n"), (m * F.col("var") + m * (1 - m) * F.col("mean") * F.col("mean")).alias("var"), (m * F.col("mean")).alias("mean"), "jac")
             usable = (F.col("var") > 0) & ~F.isnan("var") & (F.col("var") < float("inf"))
             score = F.when(usable, -F.col("n") / 2 * F.log("var") + (F.col("lam") - 1) * F.col("jac")).otherwise(F.lit(float("-inf")))
             return stats.withColumn("score", score).groupBy(feature).agg(F.max_by(F.struct("lam", "mean", "var"), F.struct("score", -F.abs("lam"))).alias("b")).select(feature, "b.*")
@@ -113,8 +128,15 @@ class Power:
         return cls(best, feature)
 
     def transform(self, dense: DataFrame) -> DataFrame:
-        y = yeo_johnson(F.col("value"), F.col("lam"))
-        return dense.join(self.fitted, self.feature).withColumn("value", (y - F.col("mean")) / F.when(F.col("var") > 0, F.sqrt("var")).otherwise(1.0)).drop("lam", "mean", "var")
+        return dense.join(self.fitted, self.feature).withColumn("value", self._standard(yeo_johnson(F.col("value"), F.col("lam")))).drop("lam", "mean", "var")
+
+    def zeros(self) -> DataFrame:
+        """``feature, value`` of entries that are absent."""
+        return self.fitted.select(self.feature, self._standard(F.lit(0.0)).alias("value"))
+
+    @staticmethod
+    def _standard(y):
+        return (y - F.col("mean")) / F.when(F.col("var") > 0, F.sqrt("var")).otherwise(1.0)
 
 
 def hash_features(long: DataFrame, buckets: int = 1000, how: str = "xxhash64") -> DataFrame:

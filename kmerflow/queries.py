@@ -640,15 +640,40 @@ def max_abs_scale(spark, d):
 YJ = "CASE WHEN value >= 0 THEN CASE WHEN abs(lam) < 1e-9 THEN ln(1 + value) ELSE (pow(value + 1, lam) - 1) / lam END ELSE CASE WHEN abs(lam - 2) < 1e-9 THEN -ln(1 - value) ELSE -(pow(1 - value, 2 - lam) - 1) / (2 - lam) END END"
 
 
+def likeliest_sql(rows: str, feature: str, rounds: int = 5) -> str:
+    """CTEs ``best0 .. best``: the likeliest lambda of dense ``rows``, by the grid and the refinements around its best."""
+    out, step, grid = "", 0.5, f"SELECT d.{feature}, d.value, CAST(g AS DOUBLE) * 0.5 - 2.0 AS lam FROM {rows} d, unnest(range(0, 13)) t(g)"
+    for k in range(rounds):
+        score = "CASE WHEN v > 0 THEN -n / 2.0 * ln(v) + (lam - 1) * jac END"
+        out += f""", tried{k} AS MATERIALIZED ({grid}), s{k} AS MATERIALIZED (SELECT {feature}, lam, count(*) AS n, avg(y) AS m, var_pop(y) AS v, sum(sign(value) * ln(1 + abs(value))) AS jac FROM (SELECT *, {YJ} AS y FROM tried{k}) GROUP BY 1, 2),
+        best{k} AS MATERIALIZED (SELECT {feature}, arg_max(lam, {score}) AS lam, arg_max(m, {score}) AS m, arg_max(v, {score}) AS v FROM s{k} GROUP BY 1)"""
+        grid = f"SELECT d.{feature}, d.value, b.lam + {step!r} * (2 * g / 12.0::DOUBLE - 1) AS lam FROM {rows} d JOIN best{k} b USING ({feature}), unnest(range(0, 13)) t(g)"
+        step *= 2 / 12
+    return out + f", best AS (SELECT * FROM best{rounds - 1})"
+
+
+@query(DENSE + likeliest_sql("dense", "feature_idx") + " SELECT feature_idx, round(lam, 5) AS lam, round(m, 5) AS mean, round(v, 5) AS var FROM best")
+def power_lambdas(spark, d):
+    return transform.Power.fit(dense(spark, d)).fitted.select("feature_idx", *[F.round(c, 5).alias(c) for c in ("lam", "mean", "var")])
+
+
 @query(
-    DENSE + f""", tried AS (SELECT d.feature_idx, d.value, CAST(g AS DOUBLE) * 0.5 - 2.0 AS lam FROM dense d, unnest(range(0, 13)) t(g)),
-    s AS (SELECT feature_idx, lam, count(*) AS n, var_pop(y) AS v, sum(sign(value) * ln(1 + abs(value))) AS jac FROM (SELECT *, {YJ} AS y FROM tried) GROUP BY 1, 2),
-    best AS (SELECT feature_idx, arg_max(lam, CASE WHEN v > 0 THEN -n / 2.0 * ln(v) + (lam - 1) * jac END) AS lam FROM s GROUP BY 1)
-    SELECT feature_idx, round(lam, 6) AS lam FROM best"""
+    PROFILE + ", every AS (SELECT kmer, id, coalesce(value, 0.0) AS value FROM (SELECT DISTINCT kmer FROM prof) CROSS JOIN (SELECT id FROM dna) LEFT JOIN prof USING (kmer, id))" + likeliest_sql("every", "kmer")
+    + f""", y AS (SELECT id, kmer, value, ({YJ} - m) / sqrt(v) AS y FROM every JOIN best USING (kmer))
+    SELECT kmer, round(any_value(b.lam), 5) AS lam, round(sum(y), 4) AS total, round(sum(y * y), 3) AS squares, round(max(CASE WHEN value = 0 THEN y END), 4) AS zero FROM y JOIN best b USING (kmer) GROUP BY 1""",
+    "dna",
 )
-def power_lambdas(spark, d):
-    # the SQL has the first grid only
-    return transform.Power.fit(dense(spark, d), rounds=1, widen=0).fitted.select("feature_idx", *r6("lam"))
+def power_profile(spark, d):
+    """The power transform of a profile with implicit zeros; the SQL has them as rows."""
+    long, n = cut(dna_profile(spark, d)), view(spark, d, "dna").count()
+    model = transform.Power.fit(long, "kmer", n=n)
+    model = transform.Power(cut(model.fitted), "kmer")
+    y = F.col("value")
+    present = model.transform(long).groupBy("kmer").agg(F.sum(y).alias("t"), F.sum(y * y).alias("s"), F.count("*").alias("m"))
+    zero, absent = F.col("zero"), F.lit(n) - F.col("m")
+    both = present.join(model.zeros().withColumnRenamed("value", "zero"), "kmer").join(model.fitted.select("kmer", "lam"), "kmer")
+    total, squares = F.col("t") + absent * zero, F.col("s") + absent * zero * zero
+    return both.select("kmer", F.round("lam", 5).alias("lam"), F.round(total, 4).alias("total"), F.round(squares, 3).alias("squares"), F.round(F.when(absent > 0, zero), 4).alias("zero"))
 
 
 @query(PROFILE + " SELECT id, CAST(CAST('0x' || substr(md5(kmer), 1, 8) AS BIGINT) % 16 AS BIGINT) AS bucket, sum(value) AS value FROM prof GROUP BY 1, 2", "dna")
@@ -680,7 +705,7 @@ chi AS (SELECT t.kmer, sum((coalesce(o.o, 0) - s.share * t.total) * (coalesce(o.
 k2 AS (SELECT kmer FROM chi WHERE chi > (SELECT quantile_cont(chi, 0.75) FROM chi)) SELECT id, kmer, value FROM prof WHERE kmer IN (SELECT kmer FROM w2 WHERE kmer IN (SELECT kmer FROM k2) OR NOT EXISTS (SELECT 1 FROM k2))"""
 
 
-@query(PROFILE.replace(", 3) AS kmer", ", 5) AS kmer").replace("length(sequence) - 2", "length(sequence) - 4") + REDUCED, "dna")
+@query(PROFILE.replace(", 3) AS kmer", ", 5) AS kmer").replace("length(sequence) - 2", "length(sequence) - 4").replace(" AS (", " AS MATERIALIZED (") + REDUCED.replace(" AS (", " AS MATERIALIZED ("), "dna")
 def feature_reduction(spark, d):
     dna = view(spark, d, "dna")
     return select.reduce_features(counting.count_profile(dna, 5), dna.select("id", F.col("species").alias("label")), dna.count())

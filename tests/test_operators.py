@@ -443,3 +443,33 @@ def test_tour_of_random_trees(spark):
         assert rolled[t]["count"] == len(own) and rolled[t]["magnitude"] == pytest.approx(sum(s for _, s in own))
         assert rolled[t]["unassigned"] == pytest.approx(sum(s for x, s in own if x == t))
         assert t == 1 or rolled[t]["score"] == pytest.approx(sum(s * s for _, s in own) / sum(s for _, s in own))
+
+
+def test_power_of_implicit_zeros(spark):
+    """Lambda, mean and variance from the entries that are there, against the likelihood of dense columns."""
+    rng, n = np.random.default_rng(9), 400
+    x = np.where(rng.random((n, 6)) < [0.05, 0.2, 0.5, 0.9, 0.3, 1.0], rng.poisson([2, 9, 4, 30, 1, 3], (n, 6)) * [1.0, 1.0, 0.5, 1.0, -1.0, 1.0], 0.0)
+    long = spark.createDataFrame([(int(i), f"f{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "id long, kmer string, value double")
+    model = transform.Power.fit(long, "kmer", n=n)
+    got = {r["kmer"]: r for r in model.fitted.collect()}
+    zeros = {r["kmer"]: r["value"] for r in model.zeros().collect()}
+
+    def yj(v, lam):
+        up = np.log1p(np.maximum(v, 0)) if abs(lam) < 1e-9 else ((np.maximum(v, 0) + 1) ** lam - 1) / lam
+        down = -np.log1p(np.maximum(-v, 0)) if abs(lam - 2) < 1e-9 else -((np.maximum(-v, 0) + 1) ** (2 - lam) - 1) / (2 - lam)
+        return np.where(v >= 0, up, down)
+
+    def score(v, lam):
+        return -n / 2 * np.log(yj(v, lam).var()) + (lam - 1) * (np.sign(v) * np.log1p(np.abs(v))).sum()
+
+    for j in range(6):
+        low, high = got[f"f{j}"]["lam"] - 1, got[f"f{j}"]["lam"] + 1
+        for _ in range(60):  # the likelihood has one peak
+            a, b = low + (high - low) / 3, high - (high - low) / 3
+            low, high = (a, high) if score(x[:, j], a) < score(x[:, j], b) else (low, b)
+        assert got[f"f{j}"]["lam"] == pytest.approx(low, abs=1e-3)
+        y = yj(x[:, j], got[f"f{j}"]["lam"])
+        assert got[f"f{j}"]["mean"] == pytest.approx(y.mean()) and got[f"f{j}"]["var"] == pytest.approx(y.var())
+        assert zeros[f"f{j}"] == pytest.approx(-y.mean() / y.std())
+    low = transform.MinMax.fit(long, n)
+    assert {r["kmer"]: r["value"] for r in low.zeros().collect()}["f4"] == pytest.approx(-x[:, 4].min() / (x[:, 4].max() - x[:, 4].min()))
