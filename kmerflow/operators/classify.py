@@ -12,6 +12,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import linear
 from .lineage import cut
 from .profile import remove_unknown
 
@@ -57,16 +58,20 @@ def top_down(data: DataFrame, ranks: list[str], scorers: dict[str, Callable[[Dat
     return out
 
 
-def cross_scores(predictions: DataFrame) -> DataFrame:
-    """``precision, recall, f``: weighted by support, undefined classes left out (C13). ``predictions``: y_true, y_pred."""
-    both = predictions.groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
-    true = both.groupBy(F.col("y_true").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("hit"))
-    pred = both.groupBy(F.col("y_pred").alias("label")).agg(F.sum("n").alias("named"))
-    each = true.join(pred, "label", "left")
+def cross_scores(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``precision, recall, f``: weighted by support, undefined classes left out (C13). ``predictions``: y_true, y_pred.
+
+    With ``by`` one row for each value of these columns, as trials and folds are.
+    """
+    by = by or []
+    both = predictions.groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n"))
+    true = both.groupBy(*by, F.col("y_true").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("hit"))
+    pred = both.groupBy(*by, F.col("y_pred").alias("label")).agg(F.sum("n").alias("named"))
+    each = true.join(pred, [*by, "label"], "left")
     p, r = F.try_divide("hit", "named"), F.try_divide("hit", "support")
-    each = each.select("support", p.alias("p"), r.alias("r")).withColumn("f", F.when(F.col("p").isNotNull() & (F.col("p") + F.col("r") > 0), 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))))
+    each = each.select(*by, "support", p.alias("p"), r.alias("r")).withColumn("f", F.when(F.col("p").isNotNull() & (F.col("p") + F.col("r") > 0), 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))))
     mean = lambda c, name: F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum(F.when(F.col(c).isNotNull(), F.col("support")))).alias(name)
-    return each.agg(mean("p", "precision"), mean("r", "recall"), mean("f", "f"))
+    return each.groupBy(*by).agg(mean("p", "precision"), mean("r", "recall"), mean("f", "f"))
 
 
 def mean_score(predictions: DataFrame) -> DataFrame:
@@ -114,75 +119,22 @@ def linear_svm(vectors: DataFrame, weights: DataFrame | None = None, rounds: int
 
 
 class OneClassSvm:
-    """Linear one-class SVM by sub-gradients (C2); each round is one aggregate of bounded size over all rows."""
+    """Linear one-class SVM (C2): weights as a table, the radius that of the constant feature."""
 
-    def __init__(self, w: np.ndarray, rho: float) -> None:
-        self.w, self.rho = w, rho
+    def __init__(self, weights: DataFrame) -> None:
+        self.weights = weights
 
     @classmethod
-    def fit(cls, arrays: DataFrame, width: int, nu: float = 0.5, rounds: int = 20, rate: float = 0.5) -> OneClassSvm:
-        """``arrays``: id, features array<double> of the one class."""
-        w, rho, n = np.zeros(width), 0.0, arrays.count()
-        for turn in range(1, rounds + 1 if n else 1):
-
-            def gradient(batches: Iterator[pd.DataFrame], w: np.ndarray = w, rho: float = rho) -> Iterator[pd.DataFrame]:
-                g, short = np.zeros(width), 0
-                for batch in batches:
-                    x = np.array(batch["features"].tolist()).reshape(-1, width)
-                    inside = x @ w < rho
-                    g, short = g + x[inside].sum(axis=0), short + int(inside.sum())
-                yield pd.DataFrame({"k": range(width + 1), "v": [*g, float(short)]})
-
-            sums = arrays.select("features").mapInPandas(gradient, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().set_index("k")["v"]  # width + 1 rows
-            g, short = sums.reindex(range(width)).to_numpy(), sums[width]
-            step = rate / turn
-            w = w - step * (w - g / (nu * n)) if short or turn > 1 else w + step * arrays_mean(arrays, width)
-            rho = rho - step * (short / (nu * n) - 1)
-        return cls(w, rho)
-
-    def predict(self, arrays: DataFrame) -> DataFrame:
+    def fit(cls, long: DataFrame, nu: float = 0.5, rounds: int = 20, rate: float = 0.5) -> OneClassSvm:
+        """``long``: id, kmer, value of the one class."""
+        own = linear.with_bias(long, -1.0)
+        targets = own.select(F.lit("one").alias("model"), "id").distinct()
+        settings = long.sparkSession.createDataFrame([("one", float(rate), float(nu))], "model string, rate double, nu double")
+        return cls(linear.train_one_class(own, targets, settings, rounds))
+
+    def predict(self, long: DataFrame) -> DataFrame:
         """``id, label``: 1 inside, -1 outside."""
-        weights = F.array(*[F.lit(float(x)) for x in self.w])
-        dot = F.aggregate(F.zip_with("features", weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return arrays.select("id", F.when(dot >= self.rho, 1).otherwise(-1).alias("label"))
-
-
-def arrays_mean(arrays: DataFrame, width: int) -> np.ndarray:
-    rows = arrays.select(F.posexplode("features").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v")).toPandas().set_index("k")["v"]  # width rows
-    return rows.reindex(range(width)).fillna(0.0).to_numpy()
-
-
-def sgd_clusters(rows: DataFrame, labels: int, rounds: int = 30, rate: float = 0.1) -> DataFrame:
-    """A linear classifier for each cluster (C4): ``cluster, label, weights``. Modified Huber loss, one against the rest,
-    balanced weights. ``rows``: cluster, idx, features array<double>; clusters are of bounded size (see ``clusters``)."""
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(part["features"].tolist())
-        x = np.hstack([x, np.ones((len(x), 1))])
-        scale = np.maximum(np.abs(x).max(axis=0), 1e-12)
-        x, idx = x / scale, part["idx"].to_numpy()
-        out = []
-        for label in np.unique(idx):
-            y = np.where(idx == label, 1.0, -1.0)
-            weight = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * max(1, (y < 0).sum())))
-            w = np.zeros(x.shape[1])
-            for turn in range(rounds):
-                z = y * (x @ w)
-                slope = np.where(z >= 1, 0.0, np.where(z >= -1, -2 * (1 - z), -4.0)) * y * weight
-                w -= rate / (1 + 0.1 * turn) * (x.T @ slope / len(y) + 1e-4 * w)
-            out.append((int(part["cluster"].iloc[0]), int(label), (w / scale).tolist()))
-        return pd.DataFrame(out, columns=["cluster", "idx", "weights"])
-
-    return rows.select("cluster", "idx", "features").groupBy("cluster").applyInPandas(fit, "cluster long, idx int, weights array<double>")
-
-
-def sgd_predict(arrays: DataFrame, models: DataFrame) -> DataFrame:
-    """``id, cluster, label, p`` of every member: clipped margins, scaled to sum to one."""
-    dot = F.aggregate(F.zip_with(F.concat("features", F.array(F.lit(1.0))), "weights", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot + 1) / 2))
-    each = arrays.crossJoin(F.broadcast(models)).select("id", "cluster", F.col("idx").alias("label"), p.alias("p"))  # classes for every row: the classifier's output
-    total = each.groupBy("id", "cluster").agg(F.sum("p").alias("all"), F.count("*").alias("n"))
-    return each.join(total, ["id", "cluster"]).select("id", "cluster", "label", F.when(F.col("all") > 0, F.col("p") / F.col("all")).otherwise(1.0 / F.col("n")).alias("p"))
+        return linear.margins(linear.with_bias(long, -1.0), self.weights).select("id", F.when(F.col("margin") >= 0, 1).otherwise(-1).alias("label"))
 
 
 def perceptron(vectors: DataFrame, width: int, labels: int, hidden: int = 16, rounds: int = 60, seed: int = 1):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import sources
 from .fixtures import table, view, with_views
 from .functions import accession, canonical_domain, is_valid, kmers, lineage_path, one_class_truth
-from .operators import classify, counting, decompose, profile, report, select, stats, taxonomy, transform
+from .operators import classify, counting, decompose, linear, profile, report, select, stats, taxonomy, transform, tune
 from .operators.lineage import cut, shared_folder
 from .plans import classify_metagenome, top_features
 
@@ -58,6 +58,11 @@ def dense(spark: SparkSession, d: str) -> DataFrame:
     return profile.to_long(e, "vec_id", "embedding", zeros=True).withColumn("value", F.col("value").cast("double"))
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """Entries of dense rows with the place of a feature as its name; zeros need no rows."""
+    return rows.where("value <> 0").withColumn("kmer", F.format_string("f%03d", "feature_idx")).drop("feature_idx")
+
+
 # sources and sinks
 
 
@@ -773,8 +778,9 @@ def linear_svm(spark, d):
 
 @query()
 def one_class_svm(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), "label")
-    return classify.OneClassSvm.fit(e.where("label = 0"), 64, rounds=8).predict(e)
+    long = named(dense(spark, d))
+    own = table(spark, d, "embeddings").where("label = 0").select(F.col("vec_id").alias("id"))
+    return classify.OneClassSvm.fit(long.join(own, "id", "left_semi")).predict(long)
 
 
 @query(
@@ -808,10 +814,11 @@ def naive_bayes_clusters(spark, d):
 
 @query()
 def sgd_classifier(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").alias("idx"))
-    rows = profile.clusters(e, 250)
-    models = classify.sgd_clusters(rows, 10)
-    return classify.argmax(classify.ensemble(classify.sgd_predict(e.select("id", "features"), models), rows.select("cluster").distinct().count()))
+    long = transform.MaxAbs.fit(named(dense(spark, d)), 1).transform(named(dense(spark, d)))
+    rows = profile.clusters(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), 250)
+    long = cut(long)
+    models = linear.train_clusters(long, rows)
+    return classify.argmax(classify.ensemble(linear.predict_clusters(long, models), rows.select("cluster").distinct().count()))
 
 
 ENSEMBLE = "WITH ens AS (SELECT id, label, sum(p) / 3 AS p FROM member_probs GROUP BY 1, 2), best AS (SELECT id, max(p) AS p, arg_max(label, p) AS label FROM ens GROUP BY 1)"
@@ -873,6 +880,37 @@ def hyper_parameter_search(spark, d):
     return classify.search(vectors(spark, d).select("features", "label"), LogisticRegression(maxIter=5), {"regParam": [0.0, 0.1]})[1]
 
 
+TUNED = HASH.format(3, "CAST(id AS VARCHAR)")
+
+
+@query(
+    PROFILE + f""", lab AS (SELECT id, species AS label, {TUNED} % 3 AS fold FROM dna), f AS (SELECT CAST(f AS BIGINT) AS fold FROM range(0, 3) t(f)), al AS (SELECT unnest([0.01, 1.0, 20.0]) AS alpha),
+    s AS (SELECT fold, label, kmer, sum(value) AS s FROM prof JOIN lab USING (id) GROUP BY 1, 2, 3), tr AS (SELECT f.fold, label, kmer, sum(s) AS s FROM s JOIN f ON s.fold <> f.fold GROUP BY 1, 2, 3), st AS (SELECT fold, label, sum(s) AS total FROM tr GROUP BY 1, 2),
+    pr AS (SELECT f.fold, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY f.fold) AS al FROM lab JOIN f ON lab.fold <> f.fold GROUP BY 1, 2),
+    z AS (SELECT l.id, l.fold, l.label AS y_true, pr.label AS y_pred, alpha, ln(any_value(n / pr.al)) + sum(value * (ln(coalesce(tr.s, 0) + alpha) - ln(coalesce(total, 0) + alpha * 64))) AS z
+        FROM lab l JOIN prof p USING (id) JOIN pr ON pr.fold = l.fold LEFT JOIN st ON st.fold = l.fold AND st.label = pr.label CROSS JOIN al LEFT JOIN tr ON tr.fold = l.fold AND tr.label = pr.label AND tr.kmer = p.kmer GROUP BY 1, 2, 3, 4, 5),
+    predictions AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, alpha ORDER BY round(z, 9) DESC, y_pred) AS r FROM z) WHERE r = 1),
+    b AS (SELECT alpha, fold, y_true, y_pred, count(*) AS n FROM predictions GROUP BY 1, 2, 3, 4), t AS (SELECT alpha, fold, y_true AS label, CAST(sum(n) AS DOUBLE) AS support, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) AS hit FROM b GROUP BY 1, 2, 3),
+    q AS (SELECT alpha, fold, y_pred AS label, sum(n) AS named FROM b GROUP BY 1, 2, 3), e AS (SELECT alpha, fold, support, hit / named AS p, hit / support AS r FROM t LEFT JOIN q USING (alpha, fold, label)),
+    g AS (SELECT *, CASE WHEN p IS NOT NULL AND p + r > 0 THEN 2 * p * r / (p + r) END AS f FROM e)
+    SELECT CAST(alpha AS DOUBLE) AS alpha, fold, round(sum(p * support) / sum(CASE WHEN p IS NOT NULL THEN support END), 6) AS precision, round(sum(r * support) / sum(support), 6) AS recall, round(sum(f * support) / sum(CASE WHEN f IS NOT NULL THEN support END), 6) AS f FROM g GROUP BY 1, 2""",
+    "dna",
+)
+def naive_bayes_search(spark, d):
+    """All settings of the smoothing over all folds, from one set of sums."""
+    dna = view(spark, d, "dna").select("id", F.col("species").alias("label"))
+    return tune.naive_bayes_search(dna_profile(spark, d), dna, 64, [{"alpha": a} for a in (0.01, 1.0, 20.0)], folds=3, seed=3).select("alpha", "fold", *r6("precision", "recall", "f"))
+
+
+@query()
+def linear_search(spark, d):
+    """Random settings of linear models over folds, trained side by side."""
+    long = transform.MaxAbs.fit(named(dense(spark, d)), 1).transform(named(dense(spark, d)))
+    classes = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"))
+    space = {"rate": ("log", 0.02, 0.5), "penalty": ("log", 1e-5, 1e-1)}
+    return tune.linear_search(long, classes, tune.draws(space, 4, seed=1), folds=3, seed=1, rounds=10)
+
+
 @query()
 def perceptron_classifier(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))

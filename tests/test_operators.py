@@ -201,25 +201,6 @@ def test_factors_are_not_negative(spark, fit):
     assert profile.project(long, h).count() == 40
 
 
-def test_one_class(spark):
-    rng = np.random.default_rng(4)
-    inside = [(i, (rng.normal(size=4) * 0.1 + 2).tolist()) for i in range(60)]
-    outside = [(100 + i, (rng.normal(size=4) * 0.1 - 2).tolist()) for i in range(20)]
-    arrays = spark.createDataFrame(inside, "id long, features array<double>")
-    model = classify.OneClassSvm.fit(arrays, 4, nu=0.2)
-    got = {r["id"]: r["label"] for r in model.predict(spark.createDataFrame(inside + outside, "id long, features array<double>")).collect()}
-    assert all(got[i] == -1 for i, _ in outside) and sum(got[i] == 1 for i, _ in inside) >= 30
-
-
-def test_clusters_learn(spark):
-    rng = np.random.default_rng(5)
-    made = [(i, i % 2, (rng.normal(size=3) + 3 * (i % 2)).tolist()) for i in range(120)]
-    df = profile.clusters(spark.createDataFrame(made, "id long, idx int, features array<double>"), 60)
-    models = classify.sgd_clusters(df, 2)
-    best = classify.argmax(classify.ensemble(classify.sgd_predict(df.select("id", "features"), models), 2))
-    assert np.mean([r["label"] == r["id"] % 2 for r in best.collect()]) > 0.85
-
-
 def test_metagenome(spark):
     block = {"A": "ACGGT", "B": "TTTAC"}
     db = spark.createDataFrame([(i, (block["AB"[i % 2]] * 20)) for i in range(6)], "id long, sequence string")
