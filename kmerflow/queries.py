@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import sources
 from .fixtures import table, view, with_views
 from .functions import accession, canonical_domain, is_valid, kmers, lineage_path, one_class_truth
-from .operators import classify, counting, decompose, linear, profile, report, select, stats, taxonomy, transform, tune
+from .operators import classify, counting, decompose, linear, profile, registry, report, select, stats, taxonomy, transform, tune
 from .operators.lineage import cut, shared_folder
 from .plans import classify_metagenome, top_features
 
@@ -932,11 +932,11 @@ def external_scorer(spark, d):
 def model_registry(spark, d):
     path, rows = scratch(spark, "models"), vectors(spark, d)
     counts = rows.withColumn("features", array_to_vector(F.transform(profile_array("features"), lambda x: F.abs(x))))
-    registry = classify.Registry(spark, path)
-    registry.fit(["domain"], lambda rank: MlNaiveBayes().fit(counts))
+    models = classify.Registry(spark, path)
+    models.fit(["domain"], lambda rank: MlNaiveBayes().fit(counts))
     from pyspark.ml.classification import NaiveBayesModel
 
-    return registry.load(["domain"], NaiveBayesModel)["domain"].transform(counts).select("id", "prediction")
+    return models.load(["domain"], NaiveBayesModel)["domain"].transform(counts).select("id", "prediction")
 
 
 def profile_array(col: str):
@@ -967,6 +967,23 @@ def metagenome_classification(spark, d):
     return classify_metagenome(dna, dna, view(spark, d, "classes"), ["domain", "family"], 3, 0.6).select("id", "rank", "label", *r6("p"))
 
 
+@query(
+    PROFILE + naive_bayes_sql("f", "family") + " SELECT id, 'family' AS rank, label, round(p, 6) AS p FROM best_f",
+    "dna",
+    "classes",
+)
+def rank_models(spark, d):
+    """A chain of two ranks: both trained, one dropped, only that one trained again, its answers as before."""
+    path, long, classes = scratch(spark, "ranks"), cut(dna_profile(spark, d)), view(spark, d, "classes")
+    models = registry.RankModels(spark, path)
+    known = classes.select("id", "domain", "family")
+    assert models.fit(["domain", "family"], long, known, 64, domain={"negative": "Archaea", "rounds": 2}) == ["domain", "family"]
+    models.drop("family")
+    assert models.fit(["domain", "family"], long, known, 64) == ["family"]
+    best = classify.with_threshold(classify.argmax(models.scorers(["domain", "family"], long)["family"](classes.select("id"))), 0.6)
+    return best.select("id", F.lit("family").alias("rank"), "label", *r6("p"))
+
+
 # reports
 
 COUNTS = "WITH cnt AS (SELECT rank, label, count(*) AS n FROM ranked WHERE label <> 'Unknown' GROUP BY 1, 2), ab AS (SELECT *, CAST(sum(n) OVER (PARTITION BY rank) AS BIGINT) AS total FROM cnt), dom AS (SELECT * FROM ranked WHERE rank = 'domain'), rc AS (SELECT 'total' AS item, count(DISTINCT id) AS n FROM dom UNION ALL SELECT 'classified', count(*) FROM dom WHERE label <> 'Unknown' UNION ALL SELECT 'bacteria', count(*) FROM dom WHERE lower(label) IN ('bacteria', 'bact') UNION ALL SELECT 'host', count(*) FROM dom WHERE lower(label) = 'host' UNION ALL SELECT 'unknown', count(*) FROM dom WHERE label = 'Unknown')"
