@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import linear
@@ -82,6 +82,8 @@ def mean_score(predictions: DataFrame) -> DataFrame:
 class NaiveBayes:
     """Multinomial naive Bayes per cluster as joins and sums (C3): smoothing alpha, class priors from counts."""
 
+    BLOCK = 64
+
     def __init__(self, weights: DataFrame, priors: DataFrame, features: int, alpha: float) -> None:
         self.weights, self.priors, self.features, self.alpha = weights, priors, features, alpha
 
@@ -99,13 +101,31 @@ class NaiveBayes:
         return cls(weights, priors, features, alpha)
 
     def predict(self, long: DataFrame) -> DataFrame:
-        """``id, cluster, label, p``. A feature a class never had adds the smoothed floor, so only gains are joined."""
-        totals = long.groupBy("id").agg(F.sum("value").alias("x"))
-        models = self.priors.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("label", "prior", "low"))).alias("classes"))  # a row for each cluster
-        gains = long.join(self.weights, "kmer").groupBy("id", "cluster", "label").agg(F.sum(F.col("value") * F.col("gain")).alias("g"))
-        by_id = gains.groupBy("id", "cluster").agg(F.map_from_entries(F.collect_list(F.struct("label", "g"))).alias("gains"))
-        each = totals.crossJoin(F.broadcast(models)).join(by_id, ["id", "cluster"], "left")  # at most ``clusters`` members for every row
-        z = F.transform("classes", lambda c: c["prior"] + F.col("x") * c["low"] + F.coalesce(F.try_element_at("gains", c["label"]), F.lit(0.0)))
+        """``id, cluster, label, p``. A feature a class never had adds the smoothed floor, so only gains are joined.
+
+        Weights are one array a feature and block of ``BLOCK`` labels, so an entry meets a row for each block, not one for
+        each label, and its products go into one aggregate of as many sums.
+        """
+        at = F.row_number().over(Window.partitionBy("cluster").orderBy("label")) - 1  # a row for each label of a cluster
+        priors = cut(self.priors.select("cluster", "label", "prior", "low", at.alias("at")))
+        clusters, most = priors.agg(F.collect_set("cluster"), F.max("at")).first()  # at most as many as ``clusters`` deals
+        blocks = 0 if most is None else most // self.BLOCK + 1
+        width = min(self.BLOCK, (most or 0) + 1)
+        models = priors.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "label", "prior", "low"))), lambda c: F.struct(c["label"].alias("label"), c["prior"].alias("prior"), c["low"].alias("low"))).alias("classes"))
+        placed = self.weights.join(priors.select("cluster", "label", "at"), ["cluster", "label"])
+        by_label = F.map_from_entries(F.collect_list(F.struct((F.col("at") % self.BLOCK).alias("k"), "gain")))
+        gain = placed.groupBy("cluster", "kmer", F.floor(F.col("at") / self.BLOCK).alias("block")).agg(by_label.alias("m"))
+        gain = gain.select("cluster", "kmer", "block", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("gains"))
+        sums = long.join(gain, "kmer").groupBy("id", "cluster", "block").agg(*[F.sum(F.col("value") * F.get("gains", F.lit(k))).alias(f"g{k}") for k in range(width)])
+        sums = sums.select("id", "cluster", "block", F.array(*[f"g{k}" for k in range(width)]).alias("gains"))
+        if blocks > 1:  # blocks that no entry met are absent
+            every = F.map_from_entries(F.collect_list(F.struct("block", "gains")))
+            none = F.array_repeat(F.lit(0.0), width)
+            sums = sums.groupBy("id", "cluster").agg(every.alias("m")).select("id", "cluster", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), none))).alias("gains"))
+        totals = long.groupBy("id").agg(F.sum("value").alias("x")).withColumn("cluster", F.explode(F.array(*[F.lit(c) for c in clusters]).cast(f"array<{priors.schema['cluster'].dataType.simpleString()}>")))
+        each = totals.join(models, "cluster").join(sums.select("id", "cluster", "gains"), ["id", "cluster"], "left")
+        z = F.zip_with("classes", F.coalesce("gains", F.array().cast("array<double>")), lambda c, g: F.when(c["label"].isNotNull(), c["prior"] + F.col("x") * c["low"] + F.coalesce(g, F.lit(0.0))))
+        z = F.slice(z, 1, F.size("classes"))
         e = F.transform("z", lambda v: F.exp(v - F.array_max("z")))
         each = each.withColumn("z", z).withColumn("e", e).withColumn("all", F.aggregate("e", F.lit(0.0), lambda s, v: s + v))
         rows = F.explode(F.zip_with("classes", "e", lambda c, v: F.struct(c["label"].alias("label"), (v / F.col("all")).alias("p"))))

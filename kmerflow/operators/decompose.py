@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,41 +130,75 @@ def nmf(long: DataFrame, vocab: DataFrame, n: int, rounds: int = 10, seed: int =
     return h.select("component", "kmer", "weight")
 
 
+def _codes(target: np.ndarray, gram: np.ndarray, alpha: float, sweeps: int = 20) -> np.ndarray:
+    """Non-negative sparse codes of rows by coordinate descent on their products with the atoms."""
+    c = np.zeros_like(target)
+    for _ in range(sweeps):
+        for j in range(len(gram)):
+            c[:, j] = np.maximum(0, c[:, j] + (target[:, j] - c @ gram[:, j] - alpha) / max(gram[j, j], 1e-12))
+    return c
+
+
+def _moved(d: np.ndarray, b: np.ndarray, a: np.ndarray, scales: list[float]) -> np.ndarray:
+    """The first atoms, as many as there are ``scales`` and the next, moved one after the other and divided by their scales.
+    A column is an atom, a row a feature: features move on their own."""
+    d = d.copy()
+    for j in range(min(len(scales) + 1, d.shape[1])):
+        if a[j, j] > 1e-12:
+            d[:, j] = np.maximum(0, d[:, j] + (b[:, j] - d @ a[j]) / a[j, j])
+        if j < len(scales):
+            d[:, j] /= scales[j]
+    return d
+
+
 def dictionary(long: DataFrame, vocab: DataFrame, n: int, rounds: int = 5, alpha: float = 0.1, seed: int = 1) -> DataFrame:
-    """Non-negative dictionary learning (M11): sparse codes per row in batches, atoms from summed products.
+    """Non-negative dictionary learning (M11): sparse codes of rows and atoms of at most length one, in turns.
 
-    Codes come from projected coordinate descent with the atoms as a matrix (n by vocabulary, for reduced vocabularies)
-    sent to the tasks; A = sum of code products and B = sum of value times code are Spark aggregates.
+    Atoms are a table (kmer, n weights), spread over tasks by feature; products with the rows are joins and sums. Codes come
+    from coordinate descent on those and the n by n products of the atoms. An atom moves by what the codes left of it, atom
+    after atom: each needs the length of the one before, a sum over the table that gives one number. The driver sees n by n
+    matrices.
     """
-    width = vocab.count()
-    rows = long.join(vocab, "kmer").groupBy("id").agg(F.collect_list(F.struct("feature_idx", "value")).alias("x")).select("id", F.col("x.feature_idx").alias("at"), F.col("x.value").alias("value"))
-    atoms = np.random.default_rng(seed).uniform(0.1, 1.0, (n, width))
-    atoms /= np.linalg.norm(atoms, axis=1, keepdims=True)
+    d, t, b = ([f"{x}{k}" for k in range(n)] for x in "dtb")
+    long = long.select("id", "kmer", "value")
+    start = lambda k: 0.1 + 0.9 * (F.pmod(F.xxhash64("kmer", F.lit(k), F.lit(seed)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    atoms = cut(vocab.select("kmer", *[start(k).alias(c) for k, c in enumerate(d)]))
+    lengths = np.sqrt(np.maximum(np.diag(_products(atoms, "kmer", d, d)), 1e-300)) if n else np.zeros(0)
+    atoms = cut(_turned(atoms, "kmer", d, np.diag(1 / lengths), d))
     for _ in range(rounds):
-        d = atoms
+        gram = _products(atoms, "kmer", d, d)
+        target = long.join(atoms, "kmer").groupBy("id").agg(*[F.sum(F.col("value") * F.col(c)).alias(x) for c, x in zip(d, t, strict=True)])
 
-        def coded(batches: Iterator[pd.DataFrame], d: np.ndarray = d) -> Iterator[pd.DataFrame]:
-            a, b = np.zeros((n, n)), np.zeros((n, width))
-            g = d @ d.T
+        def coded(batches: Iterator[pa.RecordBatch], gram: np.ndarray = gram) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.zeros((len(batch), width))
-                for i, (at, value) in enumerate(zip(batch["at"], batch["value"], strict=True)):
-                    x[i, np.asarray(at, int)] = value
-                c, target = np.zeros((len(batch), n)), x @ d.T
-                for _ in range(20):
-                    for j in range(n):
-                        c[:, j] = np.maximum(0, c[:, j] + (target[:, j] - c @ g[:, j] - alpha) / max(g[j, j], 1e-12))
-                a, b = a + c.T @ c, b + c.T @ x
-            yield pd.DataFrame({"i": np.repeat(np.arange(n), n + width), "j": np.tile(np.arange(n + width), n), "v": np.hstack([a, b]).ravel()})
-
-        sums = rows.mapInPandas(coded, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()  # n * (n + width) cells
-        both = np.zeros((n, n + width))
-        both[sums["i"], sums["j"]] = sums["v"]
-        a, b = both[:, :n], both[:, n:]
-        atoms = atoms.copy()
+                c = _codes(np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in t], axis=1), gram, alpha)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c[:, k]) for k in range(n))], names=["id", *t])
+
+        kind = long.schema["id"].dataType.simpleString()
+        codes = cut(target.mapInArrow(coded, f"id {kind}, " + ", ".join(f"{x} double" for x in t)))
+        a = _products(codes, "id", t, t)
+        held = long.join(codes, "id").groupBy("kmer").agg(*[F.sum(F.col("value") * F.col(x)).alias(y) for x, y in zip(t, b, strict=True)])
+        both = cut(atoms.join(held, "kmer", "left").na.fill(0.0))
+        dropped(codes, atoms)
+        scales: list[float] = []
         for j in range(n):
-            if a[j, j] > 1e-12:
-                atoms[j] = np.maximum(0, atoms[j] + (b[j] - a[j] @ atoms) / a[j, j])
-                atoms[j] /= max(1.0, np.linalg.norm(atoms[j]))
-    flat = pd.DataFrame({"component": np.repeat(np.arange(n), width), "feature_idx": np.tile(np.arange(width), n), "weight": atoms.ravel()})
-    return long.sparkSession.createDataFrame(flat).join(vocab, "feature_idx").select("component", "kmer", "weight")
+
+            def squares(batches: Iterator[pa.RecordBatch], known: tuple = tuple(scales), j: int = j) -> Iterator[pa.RecordBatch]:
+                total = 0.0
+                for batch in batches:
+                    x, y = (np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1) for cols in (d, b))
+                    total += float((_moved(x, y, a, list(known))[:, j] ** 2).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([total])], names=["v"])
+
+            scales.append(max(1.0, both.mapInArrow(squares, "v double").agg(F.sum("v")).first()[0] ** 0.5))
+
+        def stepped(batches: Iterator[pa.RecordBatch], scales: tuple = tuple(scales)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1) for cols in (d, b))
+                out = _moved(x, y, a, list(scales))
+                yield pa.RecordBatch.from_arrays([batch.column("kmer"), *(pa.array(out[:, k]) for k in range(n))], names=["kmer", *d])
+
+        atoms = cut(both.mapInArrow(stepped, "kmer string, " + ", ".join(f"{c} double" for c in d)))
+        dropped(both)
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("component"), F.col(c).alias("weight")) for k, c in enumerate(d)]))
+    return atoms.select("kmer", rows.alias("r")).select("r.component", "kmer", "r.weight")

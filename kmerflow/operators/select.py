@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .forest import importances
 from .lineage import cut
-from .profile import select_features, to_vectors
+from .profile import select_features
 from .stats import chi_square, document_frequency, moments, quantile
 from .transform import TfIdf
 
@@ -46,12 +46,8 @@ def by_chi_square(long: DataFrame, classes: DataFrame, threshold: float = 0.75,
 
 
 def by_forest(long: DataFrame, classes: DataFrame, vocab: DataFrame, trees: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
-    """Features a random forest uses (M8c). ``classes``: id, idx; ``vocab``: feature_idx, kmer of moderate width."""
-    rows = to_vectors(long, vocab, classes).join(classes, "id")
-    model = RandomForestClassifier(labelCol="idx", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
-    importance = model.featureImportances
-    used = [int(i) for i, v in zip(importance.indices, importance.values, strict=True) if v > 0]
-    return _or_all(vocab.where(F.col("feature_idx").isin(used)), vocab)
+    """Features that a random forest uses (M8c). ``classes``: id, idx; ``vocab``: kmer, of any width."""
+    return _or_all(importances(long, classes, trees, depth, seed=seed), vocab)
 
 
 def reduce_features(long: DataFrame, classes: DataFrame, n: int, percent: float = 0.5, variance: float = 0.05, chi: float = 0.75) -> DataFrame:

@@ -31,3 +31,29 @@ def test_svd_equals_numpy(spark, shape, n):
 def test_few_features_are_their_own_components(spark):
     long, vocab = long_of(spark, np.eye(3))
     assert decompose.truncated_svd(long, vocab, 3).count() == 3
+
+
+def test_dictionary_equals_the_dense_one(spark):
+    """Atoms after each round against dense matrices; what the codes leave falls from round to round."""
+    rng, n, alpha = np.random.default_rng(7), 3, 0.05
+    x = rng.gamma(1.0, 1.0, (50, 3)) @ (rng.random((3, 20)) * (rng.random((3, 20)) < 0.4))
+    long, vocab = long_of(spark, x)
+    before, d = None, None
+    for rounds in range(4):
+        got = np.zeros((n, 20))
+        for r in decompose.dictionary(long, vocab, n, rounds, alpha).collect():
+            got[r["component"], int(r["kmer"][1:])] = r["weight"]
+        if d is not None:
+            c = decompose._codes(x @ d.T, d @ d.T, alpha)
+            a, b = c.T @ c, c.T @ x
+            for j in range(n):
+                if a[j, j] > 1e-12:
+                    d[j] = np.maximum(0, d[j] + (b[j] - a[j] @ d) / a[j, j])
+                d[j] /= max(1.0, np.linalg.norm(d[j]))
+            assert np.allclose(got, d, atol=1e-8)
+        d = got.copy()
+        assert (got >= 0).all() and (np.linalg.norm(got, axis=1) <= 1 + 1e-9).all()
+        c = decompose._codes(x @ d.T, d @ d.T, alpha)
+        left = 0.5 * ((x - c @ d) ** 2).sum() + alpha * c.sum()
+        assert before is None or left <= before + 1e-9
+        before = left

@@ -454,3 +454,15 @@ def test_power_of_implicit_zeros(spark):
         assert zeros[f"f{j}"] == pytest.approx(-y.mean() / y.std())
     low = transform.MinMax.fit(long, n)
     assert {r["kmer"]: r["value"] for r in low.zeros().collect()}["f4"] == pytest.approx(-x[:, 4].min() / (x[:, 4].max() - x[:, 4].min()))
+
+
+def test_naive_bayes_in_blocks_of_labels(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    long = spark.createDataFrame([(i, f"k{j}", float(rng.integers(1, 5))) for i in range(40) for j in range(6) if rng.random() < 0.6] + [(99, "new", 2.0)], "id long, kmer string, value double")
+    classes = spark.createDataFrame([(i, f"c{i % 5}", i % 2) for i in range(40)], "id long, label string, cluster long")
+    model = classify.NaiveBayes.fit(long, classes, 6)
+    whole = {tuple(r)[:3]: r["p"] for r in model.predict(long).collect()}
+    monkeypatch.setattr(classify.NaiveBayes, "BLOCK", 2)
+    parts = {tuple(r)[:3]: r["p"] for r in model.predict(long).collect()}
+    assert whole.keys() == parts.keys() and all(whole[k] == pytest.approx(parts[k]) for k in whole)
+    assert len(whole) == 2 * 5 * (long.select("id").distinct().count())
