@@ -6,10 +6,12 @@ A template is found in a block when the block holds at least ``THRESHOLD`` of th
 (of a version) among them. Words are ordered by how often the whole corpus uses them, rarest first; a block is compared with a template only if
 
 * prefix: one of the template's first ``|T| - need + 1`` words is in the block (a block that meets the threshold has one),
-* length: the block has at least ``need`` words,
-* position: the template words after the first shared one still suffice.
+* length: the block has at least ``need`` different words of the templates,
+* position: with the shared word at place i of the template and at place j of the block, both in that order, what can be
+  shared is at most ``min(i, j) + 1 + min(|T| - i - 1, |B| - j - 1)``, which must reach ``need``.
 
-Only windows around a prefix word are looked at, so texts without license words cost one search.
+Only windows around a prefix word are looked at, so texts without license words cost one search. A template's numbers and
+its deciding words (``noncommercial``, ``lesser``, ...) must all be in the block, whatever the threshold.
 
 Defined results: null or empty text has no words, no places and no labels; repeated rows give repeated results; an empty
 table gives an empty table; further columns are not looked at.
@@ -57,10 +59,21 @@ TEMPLATES = [
     ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "distributed under the boost software license version 1 0 see accompanying file license 1 0 txt or copy at"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
 ]
 
 
+#: Words that tell one license from another of like wording.
+DECIDING = {"noncommercial", "sharealike", "lesser", "affero", "eclipse", "boost"}
+
+
 def ascii_lower(text: str) -> str:
     """A-Z in lower case, all else as it is."""
     return text.lower() if text.isascii() else text.translate(UPPER)
@@ -84,34 +97,46 @@ def word_counts(df: DataFrame, vocabulary: set[str]) -> dict[str, int]:
 
 
 class TemplateIndex:
-    """Templates as word lists ordered rarest first, with an index of their prefixes."""
+    """Templates as word lists ordered rarest first, with an index of their prefixes. ``tried`` counts what each filter met."""
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[str, int], threshold: float = THRESHOLD) -> None:
-        self.sets: list[tuple[str, list[str], int, int]] = []
+        self.order = {w: k for k, w in enumerate(sorted({w for _, t in templates for w in t.split()}, key=lambda w: (counts.get(w, 0), w)))}
+        self.sets: list[tuple[str, list[str], int, int, set[str]]] = []
         self.prefix: dict[str, list[tuple[int, int]]] = {}
+        self.tried: Counter = Counter()
         for label, text in templates:
             own = text.split()
-            words = sorted(set(own), key=lambda w: (counts.get(w, 0), w))
+            words = sorted(set(own), key=self.order.__getitem__)
             need = math.ceil(threshold * len(words) - 1e-9)
             for at, w in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.sets), at))
-            self.sets.append((label, words, need, len(own)))
+            self.sets.append((label, words, need, len(own), {w for w in words if w.isdigit() or w in DECIDING}))
 
     def search(self, words: list[str]) -> Iterator[tuple[str, float]]:
         """(label, containment) for each template and window of the text that meets the threshold."""
-        done, sets = set(), {}
+        done, blocks = set(), {}
         for place, w in enumerate(words):
-            for k, at in self.prefix.get(w, ()):
-                label, own, need, step = self.sets[k]
+            for k, i in self.prefix.get(w, ()):
+                label, own, need, step, must = self.sets[k]
                 for start in {max(0, place // step - 1) * step, place // step * step}:
-                    if (k, start) in done or min(2 * step, len(words) - start) < need or len(own) - at < need:
+                    if (k, start) in done:
                         continue
                     done.add((k, start))
-                    block = sets.get((step, start))
-                    if block is None:
-                        block = sets[step, start] = set(words[start : start + 2 * step])
+                    self.tried["prefix"] += 1
+                    block = blocks.get((step, start))
+                    if block is None:  # the block's template words by place in the order
+                        held = sorted({x for x in words[start : start + 2 * step] if x in self.order}, key=self.order.__getitem__)
+                        block = blocks[step, start] = {x: j for j, x in enumerate(held)}
+                    if len(block) < need:
+                        self.tried["length"] += 1
+                        continue
+                    j = block[w]
+                    if min(i, j) + 1 + min(len(own) - i - 1, len(block) - j - 1) < need:
+                        self.tried["position"] += 1
+                        continue
+                    self.tried["compared"] += 1
                     shared = sum(x in block for x in own)
-                    if shared >= need and all(x in block for x in own if x.isdigit()):
+                    if shared >= need and all(x in block for x in must):
                         yield label, shared / len(own)
 
 

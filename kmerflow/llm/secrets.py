@@ -70,14 +70,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Whole runs of key characters near a context word; of a run ``word=...`` what follows the sign, if that is long enough."""
+def candidates(text: str, near: int | None = NEAR) -> Iterator[tuple[int, int]]:
+    """Whole runs of key characters up to ``near`` characters from a context word (None: anywhere in a text that has one);
+    of a run ``word=...`` what follows the sign, if that is long enough."""
+    near = len(text) if near is None else near
     words = [m.span() for m in CONTEXT.finditer(text)]
     runs = [m.span() for m in CANDIDATE.finditer(text)] if words else []
     ends, at = [e for _, e in runs], 0
     for left, right in words:
-        at = max(at, bisect_left(ends, left - NEAR))
-        while at < len(runs) and runs[at][0] <= right + NEAR:
+        at = max(at, bisect_left(ends, left - near))
+        while at < len(runs) and runs[at][0] <= right + near:
             s, e = runs[at]
             at += 1
             if s <= left < e and (sign := text.find("=", right, e - 16)) >= 0:
@@ -151,9 +153,9 @@ def carried_on(text: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
-def novel_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def novel_spans(text: str, taken: list[tuple[int, int]], near: int | None = NEAR) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for s, e in candidates(text):
+    for s, e in candidates(text, near):
         if out and s < out[-1][1] or any(x <= s and e <= y for x, y in taken):
             continue
         if opaque(text[s:e], text[max(0, s - WIDE) : s] + " " + text[e : e + WIDE]) >= MIN_OPAQUE and is_novel(text, s, e):
@@ -161,16 +163,19 @@ def novel_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]
     return out
 
 
-def all_spans(text: str) -> list[tuple[int, int, int]]:
+def all_spans(text: str, near: int | None = NEAR) -> list[tuple[int, int, int]]:
     base = base_spans(text)
-    return sorted(base + [(s, 3, e) for s, e in novel_spans(text, [(s, e) for s, _, e in base])])
+    return sorted(base + [(s, 3, e) for s, e in novel_spans(text, [(s, e) for s, _, e in base], near)])
 
 
-def find_secrets(df: DataFrame) -> DataFrame:
-    """``doc_id, spans array<struct<kind,start,end,base>>`` for every row, spans by start, then kind."""
+def find_secrets(df: DataFrame, near: int | None = NEAR) -> DataFrame:
+    """``doc_id, spans array<struct<kind,start,end,base>>`` for every row, spans by start, then kind.
+
+    ``near``: how far from a context word a key may stand; None looks at every run of a text that has such a word.
+    """
 
     def row(doc_id, text):
-        return doc_id, [{"kind": KINDS[k], "start": s, "end": e, "base": k < 3} for s, k, e in all_spans(text)]
+        return doc_id, [{"kind": KINDS[k], "start": s, "end": e, "base": k < 3} for s, k, e in all_spans(text, near)]
 
     return scan(df, row, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>", ["doc_id", "spans"], [pa.int64(), SPANS])
 

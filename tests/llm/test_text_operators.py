@@ -45,7 +45,7 @@ def plain_labels(words, templates=license_scan.TEMPLATES):
         for start in range(0, max(1, len(words)), step):
             block = set(words[start : start + 2 * step])
             c = len(own & block) / len(own)
-            if c >= 0.9 - 1e-9 and {w for w in own if w.isdigit()} <= block:
+            if c >= 0.9 - 1e-9 and {w for w in own if w.isdigit() or w in license_scan.DECIDING} <= block:
                 found[label] = max(c, found.get(label, 0.0))
     return found
 
@@ -63,6 +63,9 @@ def test_template_search_equals_brute_force():
         for label, c in index.search(text):
             got[label] = max(c, got.get(label, 0.0))
         assert got == plain_labels(text)
+    tried = index.tried  # each filter turns some away
+    assert tried["length"] > 0 and tried["position"] > 0 and tried["compared"] > 0
+    assert tried["prefix"] == tried["length"] + tried["position"] + tried["compared"]
 
 
 def test_licenses_of_whole_texts_equal_brute_force(spark, sf):
@@ -265,6 +268,21 @@ def test_no_rows(docs):
         assert f(docs.limit(0)).count() == 0
 
 
+def test_secret_far_from_its_word():
+    text = "the api key " + "is kept here " * 16 + key_characters(40) + " as said"
+    assert not [x for x in secrets.all_spans(text) if x[1] == 3]
+    at = text.index(key_characters(40))
+    for near in (300, None):
+        assert [(s, e) for s, k, e in secrets.all_spans(text, near) if k == 3] == [(at, at + 40)]
+
+
+def test_licenses_of_like_wording_are_told_apart():
+    find = lambda text: set(dict(license_scan.TemplateIndex(license_scan.TEMPLATES, {}).search(text.split())))
+    by = dict(license_scan.TEMPLATES)["cc-by"]
+    assert "cc-by" in find(by) and not {"cc-by-nc", "cc-by-sa"} & find(by)
+    assert {"lgpl", "gpl"} == find(dict(license_scan.TEMPLATES)["lgpl"]) and "lgpl" not in find(dict(license_scan.TEMPLATES)["agpl"])
+
+
 def test_secret_before_its_word():
     key = key_characters(32)
     assert secrets.redact(f"{key} # api key") == "[secret] # api key"
