@@ -1,6 +1,48 @@
 """DuckDB SQL for the queries that SQL can express in full. The others are tested against brute force."""
 
+from __future__ import annotations
+
+from .license_scan import DECIDING, PHRASES, TEMPLATES, THRESHOLD
+
+
+def license_sql() -> str:
+    """Every block of every text that holds enough of a template's words, by lists."""
+    values = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(TEMPLATES))
+    deciding = ", ".join(f"'{w}'" for w in sorted(DECIDING))
+    def places(phrase):
+        own = phrase.split()
+        same = " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(own))
+        return f"list_filter(range(1, len(w) - {len(own)} + 2), lambda i: {same})"
+    base = ", ".join(f"{places(p)} AS p{k}" for k, p in enumerate(PHRASES))
+    every = "list_concat(list_concat(p0, p1), p2)"
+    named = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES.values()))
+    return rf"""
+WITH tpl AS MATERIALIZED (
+    SELECT label, len(t) AS step, own, list_filter(own, lambda x: regexp_full_match(x, '[0-9]+') OR x IN ({deciding})) AS must, CAST(ceil({THRESHOLD} * len(own) - 1e-9) AS BIGINT) AS need
+    FROM (SELECT label, string_split(text, ' ') AS t, list_distinct(string_split(text, ' ')) AS own FROM (VALUES {values}) v(k, label, text))
+), d AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), near AS MATERIALIZED (
+    SELECT r, w, label, step, own, must, need FROM d CROSS JOIN tpl WHERE len(list_intersect(own, w)) >= need
+), blocks AS (
+    SELECT r, label, own, must, need, w[lo + 1 : lo + 2 * step] AS b FROM (SELECT *, unnest(range(0, len(w), step)) AS lo FROM near)
+), hits AS MATERIALIZED (
+    SELECT r, label, CAST(len(list_intersect(own, b)) AS DOUBLE) / len(own) AS c FROM blocks WHERE len(list_intersect(own, b)) >= need AND len(list_intersect(must, b)) = len(must)
+), found AS (
+    SELECT r, list(DISTINCT label) AS labels, max(c) AS c FROM hits GROUP BY 1
+), base AS (
+    SELECT r, doc_id, w, {base} FROM d
+), named AS (
+    SELECT r, doc_id, len(w) AS n, {every} AS p, list_filter([{named}], lambda x: x IS NOT NULL) AS labels FROM base
+)
+SELECT doc_id, n AS n_words, len(p) AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word, array_to_string(list_sort(list_distinct(named.labels)), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(named.labels, coalesce(found.labels, [])))), ',') AS labels, greatest(CASE WHEN len(p) > 0 THEN 1.0 ELSE 0.0 END, coalesce(c, 0))::DOUBLE AS score
+FROM named LEFT JOIN found USING (r)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_license_scan": license_sql(),
     "op1_near_vectors": """
 WITH RECURSIVE v AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
