@@ -1,7 +1,8 @@
 """Spark side of byte-level BPE encoding and decoding. Both are scans: no shuffle, each row on its own.
 
 Defined results: null or empty text has no ids and decodes to no bytes; an empty table gives an empty table; null ids
-decode to no bytes; repeated rows give repeated results. A text of any length is handled whole.
+decode to no bytes; repeated rows give repeated results. A text of any length is handled whole; further
+columns are not looked at.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Joins on a key that much of the rows may share (a shingle, a group, a set of cop
 
 No pairs within a group are emitted: only links that join two parts not joined before. Shingle hashes are taken as the
 shingles. Defined results: fewer than five words: the whole sequence is one shingle; no words, or null or empty text:
-an empty set, linked with nothing; a null id keeps its row, with no component; rows of equal id are one node.
+an empty set, linked with nothing; a null id keeps its row, with no component; rows of equal id are one node; an
+empty table gives an empty table; further columns are not looked at.
 """
 
 from __future__ import annotations

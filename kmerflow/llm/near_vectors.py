@@ -17,7 +17,8 @@
 A pair of rows counts if its cosine is at least the threshold, computed in double precision.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors of another
-dimension than most, link with nothing; a null id keeps its row; rows of equal id are one node whose links add up.
+dimension than most, link with nothing; a null id keeps its row; rows of equal id are one node whose links add up;
+an empty table gives an empty table; further columns are not looked at.
 """
 
 from __future__ import annotations

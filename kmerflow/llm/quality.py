@@ -12,7 +12,8 @@ text counts. Scoring covers all rows.
 Labels, lang, source and doc_id are never inputs of a score.
 
 Defined results: null or empty text gets a score from the empty text's features; without labelled rows of both classes
-every score is 0.5; repeated rows give repeated results.
+every score is 0.5; repeated rows give repeated results; an empty table gives an empty table; further columns are not looked
+at.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ hold sums of characters and tokens. An edit re-encodes only the leaves it touche
 the sums above; a leaf block that grew too long is split and the tree above rebuilt from block sums.
 
 Defined results: null or empty text counts 0 tokens; offsets beyond the text are cut to it; repeated rows give repeated
-results.
+results; an empty table gives an empty table; further columns are not looked at.
 """
 
 from __future__ import annotations
