@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,13 +26,28 @@ def select_features(long: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 def to_arrays(long: DataFrame, vocab: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """``id, features array<double>``: dense rows in the order of ``feature_idx`` (P8); meant for small vocabularies."""
-    width = vocab.agg(F.max("feature_idx") + 1).first()[0] or 0
-    placed = long.join(vocab, "kmer").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature_idx", "value"))).alias("m"))
+    """``id, features array<double>``: dense rows in the order of ``feature_idx`` (P8); meant for small vocabularies.
+
+    The entries of a batch of rows are set at once in one block of zeros.
+    """
+    width = int(vocab.agg(F.max("feature_idx") + 1).first()[0] or 0)
+    placed = long.join(vocab.select("kmer", F.col("feature_idx").cast("long").alias("feature_idx")), "kmer").groupBy("id").agg(F.collect_list(F.struct("feature_idx", "value")).alias("e"))
     if ids is not None:
         placed = ids.select("id").join(placed, "id", "left")
-    at = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return placed.select("id", (at if width else F.array().cast("array<double>")).alias("features"))
+    packed = placed.select("id", F.coalesce("e.feature_idx", F.array().cast("array<long>")).alias("at"), F.coalesce("e.value", F.array().cast("array<double>")).alias("value"))
+    rows_at_once = max(1, (1 << 20) // max(1, width))
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), rows_at_once):
+                part = batch.slice(k, rows_at_once)
+                out = np.zeros((len(part), width))
+                sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                out[np.repeat(np.arange(len(part)), sizes), part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                offsets = pa.array(np.arange(0, (len(part) + 1) * width, width) if width else np.zeros(len(part) + 1), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["id", "features"])
+
+    return packed.mapInArrow(filled, f"id {placed.schema['id'].dataType.simpleString()}, features array<double>")
 
 
 def to_vectors(long: DataFrame, vocab: DataFrame, ids: DataFrame | None = None) -> DataFrame:
