@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,7 @@ def discover_vocabulary(seqs: DataFrame, k: int, alphabet: str | None = "ATCG",
     The four letters are packed, for k up to 64; other alphabets, and none, go by strings.
     """
     if fits(k, alphabet):
-        one, many = packed.chunks(seqs, k, include_last, CHUNK)
-        return packed.total_counts(one.unionByName(many), k)
+        return packed.total_counts(packed.chunks(seqs, k, include_last, CHUNK), k)
     found = tokens(seqs, k, include_last)
     if alphabet:
         found = found.where(is_valid("kmer", alphabet))
@@ -80,14 +81,46 @@ def count_profile(seqs: DataFrame, k: int, alphabet: str | None = "ATCG", vocabu
     return counts if vocabulary is None else counts.join(vocabulary, "kmer", "left_semi").select("id", "kmer", "value")
 
 
+def count_sums(seqs: DataFrame, k: int, alphabet: str | None = "ATCG", include_last: bool = False) -> DataFrame:
+    """``kmer, df, total, squares`` of the profile that ``count_profile`` makes, without making it (A1, A2, A4, A5).
+
+    ``df`` samples hold the k-mer, ``total`` times in all; ``squares`` is the sum of squared counts. Samples of one row are
+    counted and summed in the tasks that read them, so what is shuffled has at most a row a k-mer for each megabyte of
+    sequences; samples of several chunks or rows are merged first. ``stats.moments_of`` makes mean and variance.
+    """
+    if fits(k, alphabet):
+        one, merged = _packed_parts(seqs, k, include_last)
+        found = [packed.row_sums(one, k)]
+    else:
+        found, merged = [], count_profile(seqs, k, alphabet, include_last=include_last)
+    if merged is not None:
+        v = F.col("value")
+        found.append(merged.select("kmer", F.lit(1).cast("long").alias("df"), v.alias("total"), (v * v).alias("squares")))
+    return reduce(DataFrame.unionByName, found).groupBy("kmer").agg(*[F.sum(c).alias(c) for c in ("df", "total", "squares")])
+
+
 def packed_profile(seqs: DataFrame, k: int, include_last: bool = False) -> DataFrame:
-    one, many = packed.chunks(seqs, k, include_last, CHUNK)
-    again = cut(seqs.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("id").alias("_id")))
-    n = again.count()
-    if n:
+    one, merged = _packed_parts(seqs, k, include_last)
+    counts = packed.row_counts(one, k)
+    return counts if merged is None else counts.unionByName(merged)
+
+
+def _packed_parts(seqs: DataFrame, k: int, include_last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Rows that are whole samples, and the merged profile of samples that come in several chunks or rows, if there are any.
+
+    One aggregate by id tells which there are; most inputs have none, and are then read once more and shuffled nowhere.
+    """
+    length, limit = F.length("sequence"), CHUNK + k
+    facts = cut(seqs.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n"), F.max(length).alias("_most")).where((F.col("_n") > 1) | (F.col("_most") >= limit)))
+    again = facts.where("_n > 1").select("_id")
+    repeated, any_long = again.count(), not facts.where(F.col("_most") >= limit).isEmpty()
+    one = packed.whole(seqs.where(length.isNull() | (length < limit)) if any_long else seqs, include_last)
+    parts = [packed.chunks(seqs.where(length >= limit), k, include_last, CHUNK)] if any_long else []
+    if repeated:
         same = F.col("id").eqNullSafe(F.col("_id"))
-        again = F.broadcast(again) if n <= SENT else again
-        many = many.unionByName(one.join(again, same, "left_semi"))
+        again = F.broadcast(again) if repeated <= SENT else again
+        parts.append(one.join(again, same, "left_semi"))
         one = one.join(again, same, "left_anti")
-    merged = packed.row_counts(many, k).groupBy("id", "kmer").agg(F.sum("value").alias("value"))
-    return packed.row_counts(one, k).unionByName(merged)
+    if not parts:
+        return one, None
+    return one, packed.row_counts(reduce(DataFrame.unionByName, parts), k).groupBy("id", "kmer").agg(F.sum("value").alias("value"))

@@ -58,7 +58,8 @@ def windows(codes: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
 def letters_of(words: list[np.ndarray], k: int) -> pa.Array:
     """The k-mers of packed codes as Arrow strings."""
     n = len(words[0])
-    parts = [eight_letters()[(w >> np.uint64(shift)) & np.uint64(0xFFFF)] for w in words for shift in (48, 32, 16, 0)]
+    places = [(w, shift) for w in words for shift in (48, 32, 16, 0)][-(-(-k // 8)) :]
+    parts = [eight_letters()[(w >> np.uint64(shift)) & np.uint64(0xFFFF)] for w, shift in places]
     bytes_ = np.stack(parts, axis=1).view(np.uint8).reshape(n, -1)[:, len(parts) * 8 - k :]
     return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(bytes_)))
 
@@ -103,15 +104,28 @@ def runs(part: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [w[keep] for w in words], np.diff(np.searchsorted(keep, at))
 
 
+def whole(seqs: DataFrame, include_last: bool, id_col: str = "id", sequence_col: str = "sequence") -> DataFrame:
+    """``id, s, short`` of sequences as they are. No filter by length: pushed down, it would make derived sequences twice."""
+    return seqs.select(F.col(id_col).alias("id"), F.col(sequence_col).alias("s"), F.lit(int(not include_last)).alias("short"))
+
+
 def chunks(seqs: DataFrame, k: int, include_last: bool, chunk: int, id_col: str = "id", sequence_col: str = "sequence") -> DataFrame:
-    """``id, s, short, parts``: sequences cut so that no row is longer than about ``chunk``; parts overlap by k - 1."""
-    rows = seqs.select(F.col(id_col).alias("id"), F.col(sequence_col).alias("s")).where(F.length("s") >= k + (not include_last))
-    parts = F.expr(f"cast((length(s) - {k}) div {chunk} as int)")
-    own = rows.select("id", "s", parts.alias("parts"))
-    one = own.where("parts = 0").select("id", "s", F.lit(int(not include_last)).alias("short"), "parts")
-    cut = own.where("parts > 0").select("id", "s", "parts", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("c"))
-    many = cut.select("id", F.expr(f"substring(s, c * {chunk} + 1, {chunk + k - 1})").alias("s"), F.when(F.col("c") == F.col("parts"), int(not include_last)).otherwise(0).alias("short"), "parts")
-    return one, many
+    """``id, s, short``: sequences cut so that no row is longer than about ``chunk``; parts overlap by k - 1."""
+    rows = seqs.select(F.col(id_col).alias("id"), F.col(sequence_col).alias("s"))
+    last = F.coalesce(F.expr(f"greatest(0, cast((length(s) - {k}) div {chunk} as int))"), F.lit(0))
+    cut = rows.select("id", "s", F.explode_outer(F.sequence(F.lit(0), last)).alias("c"))
+    ends = F.expr(f"c * {chunk} + {chunk + k} > length(s)")  # no window begins behind this part
+    return cut.select("id", F.expr(f"substring(s, c * {chunk} + 1, {chunk + k - 1})").alias("s"), F.when(ends, int(not include_last)).otherwise(0).alias("short"))
+
+
+def counted_rows(part: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], np.ndarray, list[int]]:
+    """Codes and counts of each row of ``id, s, short``, one row after the other, and how many each row has."""
+    words, sizes = runs(part, k)
+    found, at = [], 0
+    for n in sizes.tolist():
+        found.append(counted([w[at : at + n] for w in words]) if n else ([w[:0] for w in words], np.zeros(0, np.int64)))
+        at += n
+    return [np.concatenate(w) for w in zip(*(x[0] for x in found), strict=True)], np.concatenate([x[1] for x in found]), [len(x[1]) for x in found]
 
 
 def row_counts(rows: DataFrame, k: int) -> DataFrame:
@@ -121,13 +135,7 @@ def row_counts(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts_of(batch):
-                words, sizes = runs(part, k)
-                found, at = [], 0
-                for n in sizes.tolist():
-                    found.append(counted([w[at : at + n] for w in words]) if n else ([w[:0] for w in words], np.zeros(0, np.int64)))
-                    at += n
-                lengths = [len(x[1]) for x in found]
-                codes, counts = [np.concatenate(w) for w in zip(*(x[0] for x in found), strict=True)], np.concatenate([x[1] for x in found])
+                codes, counts, lengths = counted_rows(part, k)
                 owner = np.repeat(np.arange(len(part)), lengths)
                 for k0 in range(0, len(counts), OUT):
                     own = slice(k0, k0 + OUT)
@@ -136,6 +144,27 @@ def row_counts(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("id", "s", "short").mapInArrow(run, f"id {kind}, kmer string, value double")
 
 
+def row_sums(rows: DataFrame, k: int) -> DataFrame:
+    """``kmer, df, total, squares`` of rows of ``id, s, short`` that are whole samples, summed within each part only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts_of(batch):
+                codes, counts, _ = counted_rows(part, k)
+                if not len(counts):
+                    continue
+                order = np.lexsort(codes[::-1]) if len(codes) > 1 else np.argsort(codes[0])
+                codes, counts = [w[order] for w in codes], counts[order].astype(float)
+                start = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([w[1:] != w[:-1] for w in codes])]))
+                held = np.diff(np.append(start, len(counts)))
+                total, squares = np.add.reduceat(counts, start), np.add.reduceat(counts * counts, start)
+                for k0 in range(0, len(start), OUT):
+                    own = slice(k0, k0 + OUT)
+                    yield pa.RecordBatch.from_arrays([letters_of([w[start[own]] for w in codes], k), *(pa.array(x[own]) for x in (held, total, squares))], names=["kmer", "df", "total", "squares"])
+
+    return rows.select("id", "s", "short").mapInArrow(run, "kmer string, df long, total double, squares double")
+
+
 def total_counts(rows: DataFrame, k: int) -> DataFrame:
     """``kmer, n`` over all rows: counted part by part, then by packed code, and spelled at the end."""
     names = ["hi", "lo"][-1 - (k > WORD) :]

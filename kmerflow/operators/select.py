@@ -33,16 +33,19 @@ def least_occurring(long: DataFrame, exclude: int) -> DataFrame:
 
 def by_variance(long: DataFrame, n: int, threshold: float = 0.05) -> DataFrame:
     """Features whose variance exceeds that quantile of all variances (M8)."""
-    stats = cut(moments(long, n))
-    limit = quantile(stats, "variance", threshold)
-    return _or_all(stats.where(F.col("variance") > F.lit(limit)), stats)
+    return above_quantile(moments(long, n), "variance", threshold)
+
+
+def above_quantile(stats: DataFrame, column: str, threshold: float) -> DataFrame:
+    """``kmer`` of the rows whose statistic exceeds that quantile of all; all features if none does."""
+    stats = cut(stats)
+    limit = quantile(stats, column, threshold)
+    return _or_all(stats.where(F.col(column) > F.lit(limit)), stats)
 
 
 def by_chi_square(long: DataFrame, classes: DataFrame, threshold: float = 0.75, batches: int | None = None) -> DataFrame:
     """Features whose chi-square exceeds that quantile."""
-    stats = cut(chi_square(long, classes, batches=batches))
-    limit = quantile(stats, "chi", threshold)
-    return _or_all(stats.where(F.col("chi") > F.lit(limit)), stats)
+    return above_quantile(chi_square(long, classes, batches=batches), "chi", threshold)
 
 
 def by_forest(long: DataFrame, classes: DataFrame, vocab: DataFrame, trees: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:

@@ -25,8 +25,14 @@ def document_frequency(long: DataFrame, feature: str = "kmer", vocabulary: DataF
 def moments(long: DataFrame, n: int, feature: str = "kmer") -> DataFrame:
     """``feature, total, mean, variance`` (population) in one pass (A5)."""
     sums = long.groupBy(feature).agg(F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"))
+    return moments_of(sums, n, feature)
+
+
+def moments_of(sums: DataFrame, n: int, feature: str = "kmer") -> DataFrame:
+    """``feature, total, mean, variance`` from ``feature, total, squares``; further columns of the sums stay in front."""
     mean = F.col("total") / F.lit(n)
-    return sums.select(feature, "total", mean.alias("mean"), F.greatest(F.lit(0.0), F.col("squares") / F.lit(n) - mean * mean).alias("variance"))
+    kept = [c for c in sums.columns if c not in (feature, "total", "squares")]
+    return sums.select(feature, *kept, "total", mean.alias("mean"), F.greatest(F.lit(0.0), F.col("squares") / F.lit(n) - mean * mean).alias("variance"))
 
 
 def extremes(long: DataFrame, n: int, feature: str = "kmer") -> DataFrame:

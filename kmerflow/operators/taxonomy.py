@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import seeded_hash
@@ -19,26 +19,40 @@ def tour(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     below it (J11). ``path`` leads from the root to the node.
 
     A node lies below another if its entry lies in that one's ``entry .. exit``, and what several nodes share is what the
-    one of the smallest and the one of the largest entry share. Paths double in each round, so depth d takes log2(d) joins;
-    entries are positions in the order of the paths, counted by ranges and moved by what stands before. The table depends on
-    the taxonomy alone: write it once, hand it to every operator below. A cycle, or a depth over ``max_depth``, raises. A
+    one of the smallest and the one of the largest entry share. Paths grow fourfold in each round, so depth d takes log4(d)
+    tables; entries are positions in the order of the paths, counted by ranges and moved by what stands before. The result is
+    a table that depends on the taxonomy alone: make it once, hand it to every operator below. A cycle, or a depth over ``max_depth``, raises. A
     parent that the table lacks makes its child a root.
     """
     up = nodes.select("id", "parent").where("id <> parent").join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi")
-    paths = cut(nodes.select("id").join(up, "id", "left").select("id", F.col("parent").alias("far"), F.array("id").alias("path")))
-    for _ in range(max_depth.bit_length() + 1):
-        if paths.where("far is not null").isEmpty():
+    paths, growing = _watched(nodes.select("id").join(up, "id", "left").select("id", F.col("parent").alias("far"), F.array("id").alias("path")))
+    for _ in range(max_depth.bit_length() // 2 + 1):
+        if not growing:
             break
-        above = paths.select(F.col("id").alias("far"), F.col("far").alias("_far"), F.col("path").alias("_path"))
-        longer = paths.join(above, "far", "left").select("id", F.col("_far").alias("far"), F.concat(F.coalesce("_path", F.array().cast(paths.schema["path"].dataType)), "path").alias("path"))
-        grown = cut(longer)
+        grown, growing = _watched(_doubled(_doubled(paths)))
         dropped(paths)
         paths = grown
-    else:
+    if growing:
         raise ValueError(f"paths are still growing at a depth of more than {max_depth}; the table may have a cycle")
     placed = with_position(paths.select("id", "path"), ["path"], "entry")
     below = paths.select(F.explode("path").alias("id")).groupBy("id").agg(F.count("*").alias("_size"))
-    return placed.join(below, "id").join(nodes.select("id", "parent", "depth"), "id").select("id", "parent", "depth", "entry", (F.col("entry") + F.col("_size") - 1).alias("exit"), "path")
+    toured = placed.join(below, "id").join(nodes.select("id", "parent", "depth"), "id").select("id", "parent", "depth", "entry", (F.col("entry") + F.col("_size") - 1).alias("exit"), "path")
+    whole = cut(toured)
+    dropped(paths)
+    return whole
+
+
+def _watched(paths: DataFrame) -> tuple[DataFrame, int]:
+    """The paths as a table, and how many of them still grow, counted as they are written."""
+    seen = Observation()
+    table = cut(paths.observe(seen, F.count_if(F.col("far").isNotNull()).alias("growing")))
+    return table, seen.get["growing"]
+
+
+def _doubled(paths: DataFrame) -> DataFrame:
+    """Each path with that of the node above its first one in front."""
+    above = paths.select(F.col("id").alias("far"), F.col("far").alias("_far"), F.col("path").alias("_path"))
+    return paths.join(above, "far", "left").select("id", F.col("_far").alias("far"), F.concat(F.coalesce("_path", F.array().cast(paths.schema["path"].dataType)), "path").alias("path"))
 
 
 def closure(toured: DataFrame) -> DataFrame:

@@ -19,7 +19,19 @@ class TfIdf:
 
     @classmethod
     def fit(cls, long: DataFrame, n: int, vocabulary: DataFrame | None = None) -> TfIdf:
-        df = document_frequency(long, vocabulary=vocabulary)
+        return cls._of(document_frequency(long, vocabulary=vocabulary), n)
+
+    @classmethod
+    def of_frequencies(cls, df: DataFrame, n: int) -> TfIdf:
+        """From ``kmer, df``, as ``counting.count_sums`` gives them without a profile.
+
+        They are written as a table: its true size decides how the profile meets it, where a profile that is made on the way
+        has the size of its sequences by the plan's reckoning and would be taken for the smaller side.
+        """
+        return cls._of(cut(df.select("kmer", "df")), n)
+
+    @classmethod
+    def _of(cls, df: DataFrame, n: int) -> TfIdf:
         return cls(df.select("kmer", F.when(F.col("df") > 0, F.log(F.lit(float(n)) / F.col("df")) + 1).otherwise(0.0).alias("idf")))
 
     def transform(self, long: DataFrame) -> DataFrame:

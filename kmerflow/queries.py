@@ -410,14 +410,15 @@ TEXT = """WITH chars AS (SELECT id, string_split(sequence, '') AS l FROM letters
 prof AS (SELECT id, kmer, CAST(count(*) AS DOUBLE) AS value FROM tok WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY 1, 2), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM letters)"""
 
 
-def text_profile(spark: SparkSession, d: str) -> DataFrame:
-    return counting.count_profile(counting.spread(view(spark, d, "letters")), 8)
+def text_letters(spark: SparkSession, d: str) -> DataFrame:
+    """The texts as letters, dealt and written once, as every profile reads them several times."""
+    return cut(counting.spread(view(spark, d, "letters")))
 
 
 @query(TEXT + " SELECT kmer, count(*) AS df, sum(value) AS total, round(sum(value * value) / n - (sum(value) / n) * (sum(value) / n), 6) AS variance FROM prof, n GROUP BY kmer, n", "letters")
 def text_kmer_moments(spark, d):
-    long = cut(text_profile(spark, d))
-    return stats.document_frequency(long).join(stats.moments(long, view(spark, d, "letters").count()), "kmer").select("kmer", "df", "total", *r6("variance"))
+    letters = text_letters(spark, d)
+    return stats.moments_of(counting.count_sums(letters, 8), letters.count()).select("kmer", "df", "total", *r6("variance"))
 
 
 @query(
@@ -426,14 +427,15 @@ def text_kmer_moments(spark, d):
     "letters",
 )
 def text_tf_idf(spark, d):
-    long = cut(text_profile(spark, d))
-    weighted = transform.TfIdf.fit(long, view(spark, d, "letters").count()).transform(long)
+    letters = text_letters(spark, d)
+    weighted = transform.TfIdf.of_frequencies(counting.count_sums(letters, 8), letters.count()).transform(counting.count_profile(letters, 8))
     return weighted.groupBy("id").agg(F.count("*").alias("features"), F.round(F.max("value"), 6).alias("most"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query(TEXT + ", v AS (SELECT kmer, sum(value * value) / n - (sum(value) / n) * (sum(value) / n) AS x FROM prof, n GROUP BY kmer, n) SELECT kmer FROM v WHERE x > (SELECT quantile_cont(x, 0.95) FROM v)", "letters")
 def text_variance_selection(spark, d):
-    return select.by_variance(text_profile(spark, d), view(spark, d, "letters").count(), 0.95)
+    letters = text_letters(spark, d)
+    return select.above_quantile(stats.moments_of(counting.count_sums(letters, 8), letters.count()), "variance", 0.95)
 
 
 def long_sql(k: int) -> str:
@@ -444,7 +446,7 @@ prof AS (SELECT id, kmer, CAST(count(*) AS DOUBLE) AS value FROM tok WHERE regex
 
 @query(long_sql(21) + " SELECT id, count(*) AS features, sum(value) AS windows, max(value) AS most, min(kmer) AS first, max(kmer) AS last FROM prof GROUP BY 1", "letters")
 def text_profile_21(spark, d):
-    long = counting.count_profile(counting.spread(view(spark, d, "letters")), 21)
+    long = counting.count_profile(text_letters(spark, d), 21)
     return long.groupBy("id").agg(F.count("*").alias("features"), F.sum("value").alias("windows"), F.max("value").alias("most"), F.min("kmer").alias("first"), F.max("kmer").alias("last"))
 
 

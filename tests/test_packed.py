@@ -54,6 +54,18 @@ def test_profile_and_vocabulary(spark, monkeypatch, k, last):
     for (_, w), n in want.items():
         total[w] += n
     assert {r["kmer"]: r["n"] for r in counting.discover_vocabulary(df, k, include_last=last).collect()} == total
+    sums = {}
+    for (_, w), n in want.items():
+        df_, total_, squares = sums.get(w, (0, 0, 0))
+        sums[w] = (df_ + 1, total_ + n, squares + n * n)
+    found = counting.count_sums(df, k, include_last=last).collect()
+    assert len(found) == len(sums) and {r["kmer"]: (r["df"], r["total"], r["squares"]) for r in found} == sums
+
+
+def test_sums_without_long_or_repeated_samples(spark):
+    df = spark.createDataFrame([(1, "ACGTACGTA"), (2, None), (3, "AC"), (None, "ACGTNACGT")], SCHEMA)
+    assert sorted(map(tuple, counting.count_sums(df, 3, include_last=True).collect())) == [("ACG", 2, 4.0, 8.0), ("CGT", 2, 4.0, 8.0), ("GTA", 1, 2.0, 4.0), ("TAC", 1, 1.0, 1.0)]
+    assert sorted(map(tuple, counting.count_sums(df, 3, alphabet="ACGTN").where("kmer like '%N%'").collect())) == [("GTN", 1, 1.0, 1.0), ("NAC", 1, 1.0, 1.0), ("TNA", 1, 1.0, 1.0)]
 
 
 def test_vocabularies_beyond_the_letters(spark):
@@ -66,3 +78,4 @@ def test_vocabularies_beyond_the_letters(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert counting.count_profile(df, 21).count() == 0 and counting.discover_vocabulary(df, 21).count() == 0
+    assert counting.count_sums(df, 21).count() == 0
