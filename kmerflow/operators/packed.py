@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 LETTERS, OTHER, WORD, MOST = b"ACGT", 4, 32, 64
 #: Bytes of sequences, and k-mers, that are worked on at once.
 PART, OUT = 1 << 20, 1 << 18
+#: Batches for Python hold at most so many rows and bytes; by the session's 10,000 rows, one of long chunks has 650 MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 @cache
@@ -104,14 +106,23 @@ def runs(part: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [w[keep] for w in words], np.diff(np.searchsorted(keep, at))
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows``, with the session's batches for Python lowered to ``BATCH_ROWS`` and ``BATCH_BYTES``."""
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows
+
+
 def whole(seqs: DataFrame, include_last: bool, id_col: str = "id", sequence_col: str = "sequence") -> DataFrame:
     """``id, s, short`` of sequences as they are. No filter by length: pushed down, it would make derived sequences twice."""
-    return seqs.select(F.col(id_col).alias("id"), F.col(sequence_col).alias("s"), F.lit(int(not include_last)).alias("short"))
+    return bounded(seqs.select(F.col(id_col).alias("id"), F.col(sequence_col).alias("s"), F.lit(int(not include_last)).alias("short")))
 
 
 def chunks(seqs: DataFrame, k: int, include_last: bool, chunk: int, id_col: str = "id", sequence_col: str = "sequence") -> DataFrame:
     """``id, s, short``: sequences cut so that no row is longer than about ``chunk``; parts overlap by k - 1."""
-    rows = seqs.select(F.col(id_col).alias("id"), F.col(sequence_col).alias("s"))
+    rows = bounded(seqs.select(F.col(id_col).alias("id"), F.col(sequence_col).alias("s")))
     last = F.coalesce(F.expr(f"greatest(0, cast((length(s) - {k}) div {chunk} as int))"), F.lit(0))
     cut = rows.select("id", "s", F.explode_outer(F.sequence(F.lit(0), last)).alias("c"))
     ends = F.expr(f"c * {chunk} + {chunk + k} > length(s)")  # no window begins behind this part
