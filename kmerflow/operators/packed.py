@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 LETTERS, OTHER, WORD, MOST = b"ACGT", 4, 32, 64
 #: Bytes of sequences, and k-mers, that are worked on at once.
-PART, OUT = 1 << 20, 1 << 18
+PART, OUT = 1 << 18, 1 << 17
 #: Batches for Python hold at most so many rows and bytes; by the session's 10,000 rows, one of long chunks has 650 MB.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
