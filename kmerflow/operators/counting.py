@@ -85,8 +85,8 @@ def count_sums(seqs: DataFrame, k: int, alphabet: str | None = "ATCG", include_l
     """``kmer, df, total, squares`` of the profile that ``count_profile`` makes, without making it (A1, A2, A4, A5).
 
     ``df`` samples hold the k-mer, ``total`` times in all; ``squares`` is the sum of squared counts. Samples of one row are
-    counted and summed in the tasks that read them, so what is shuffled has at most a row a k-mer for each megabyte of
-    sequences; samples of several chunks or rows are merged first. ``stats.moments_of`` makes mean and variance.
+    counted and summed in the tasks that read them, so what is shuffled has at most a row a k-mer for each task; samples of
+    several chunks or rows are merged first. ``stats.moments_of`` makes mean and variance.
     """
     if fits(k, alphabet):
         one, merged = _packed_parts(seqs, k, include_last)
