@@ -1,6 +1,8 @@
 """Packed k-mers against windows of strings: every width, chunks, repeated ids, odd texts."""
 
+import gc
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -79,3 +81,22 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert counting.count_profile(df, 21).count() == 0 and counting.discover_vocabulary(df, 21).count() == 0
     assert counting.count_sums(df, 21).count() == 0
+
+
+@pytest.mark.parametrize("k", [3, 8, 21, 35])
+def test_windows_leave_nothing_to_the_collector(k):
+    """A worker that counts part after part holds one part's arrays, however rarely cycles are collected."""
+    codes = np.random.default_rng(k).integers(0, 4, packed.PART).astype(np.uint8)
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        packed.windows(codes, k)
+        once = tracemalloc.get_traced_memory()[0]
+        for _ in range(5):
+            packed.windows(codes, k)
+        assert tracemalloc.get_traced_memory()[0] - once < packed.PART
+        assert once < packed.PART
+    finally:
+        tracemalloc.stop()
+        gc.enable()
