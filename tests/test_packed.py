@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kmerflow.operators import counting, packed
+from kmerflow.operators import counting, packed, transform
 
 SCHEMA = "id long, sequence string"
 
@@ -100,3 +100,21 @@ def test_windows_leave_nothing_to_the_collector(k):
     finally:
         tracemalloc.stop()
         gc.enable()
+
+
+@pytest.mark.parametrize("factors", [1 << 18, 0])
+def test_tf_idf_of_sequences_equals_that_of_their_profile(spark, monkeypatch, factors):
+    monkeypatch.setattr(counting, "FACTORS", factors)
+    seqs = spark.createDataFrame(made(7, 60), SCHEMA)
+    long = counting.count_profile(seqs, 5)
+    want = {(r["id"], r["kmer"]): r["value"] for r in transform.TfIdf.fit(long, 64).transform(long).collect()}
+    got = {(r["id"], r["kmer"]): r["value"] for r in counting.tf_idf(seqs, 5, 64).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
+def test_tf_idf_shuffles_no_profile(spark):
+    seqs = spark.createDataFrame([(i, "ACGTTGCA" * 9 + "ACGT"[i % 4] * 9) for i in range(20)], SCHEMA)
+    plan = counting.tf_idf(seqs, 5, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert "Window" not in plan
