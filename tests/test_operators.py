@@ -466,3 +466,21 @@ def test_naive_bayes_in_blocks_of_labels(spark, monkeypatch):
     parts = {tuple(r)[:3]: r["p"] for r in model.predict(long).collect()}
     assert whole.keys() == parts.keys() and all(whole[k] == pytest.approx(parts[k]) for k in whole)
     assert len(whole) == 2 * 5 * (long.select("id").distinct().count())
+
+
+def test_naive_bayes_sent_to_tasks_equals_the_joined_model(spark, monkeypatch):
+    """Clusters that lack a label, entries the model never saw, a row with none it knows, a repeated entry."""
+    entries = [(i, f"k{(i * j) % 7}", float(1 + (i + j) % 3)) for i in range(30) for j in (1, 2, 5)] + [(4, "new", 2.0), (99, "new", 1.0)]
+    long = spark.createDataFrame(entries, "id long, kmer string, value double")
+    rows = spark.createDataFrame([(i, f"l{i % (2 + i % 3)}", i % 3) for i in range(30)], "id long, label string, cluster long")
+    model = classify.NaiveBayes.fit(long.where("kmer <> 'new'"), rows, 7)
+    found = {}
+    monkeypatch.setattr(classify.NaiveBayes, "BLOCK", 2)
+    for sent in (0, 1 << 20):
+        monkeypatch.setattr(classify.NaiveBayes, "SENT", sent)
+        found[sent] = [{tuple(r)[:-1]: r["p"] for r in df.collect()} for df in (model.predict(long), model.ensemble(long, 3))]
+    for got, want in zip(*found.values(), strict=True):
+        assert got.keys() == want.keys()
+        assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    plan = model.ensemble(long, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
