@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seeded_hash
@@ -43,10 +43,10 @@ def tour(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
 
 
 def _watched(paths: DataFrame) -> tuple[DataFrame, int]:
-    """The paths as a table, and how many of them still grow, counted as they are written."""
-    seen = Observation()
-    table = cut(paths.observe(seen, F.count_if(F.col("far").isNotNull()).alias("growing")))
-    return table, seen.get["growing"]
+    """The paths as a table, and how many of them still grow, counted from the table. An ``Observation`` would stay in the
+    session, which could then not send Spark's two-class models to the tasks any more: their summary holds the session."""
+    table = cut(paths)
+    return table, table.where("far is not null").count()
 
 
 def _doubled(paths: DataFrame) -> DataFrame:

@@ -484,3 +484,15 @@ def test_naive_bayes_sent_to_tasks_equals_the_joined_model(spark, monkeypatch):
         assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
     plan = model.ensemble(long, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_models_of_two_classes_are_sent_after_a_tour(spark):
+    """A tour leaves nothing in the session that models with a training summary cannot be sent with."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    taxonomy.tour(spark.createDataFrame([(1, 0, 1, "no rank", "root"), (2, 1, 1, "a", "x"), (3, 2, 2, "b", "y")], "id int, depth int, parent int, rank string, name string")).count()
+    vectors = spark.range(60).select("id", array_to_vector(F.array((F.col("id") % 7).cast("double"), F.lit(1.0))).alias("features"), (F.col("id") % 7 > 3).cast("double").alias("label"))
+    found = classify.linear_svm(vectors, rounds=5).transform(vectors)
+    assert found.where("label = prediction").count() > 40
+    assert classify.search(vectors.select("features", "label"), LogisticRegression(maxIter=3), {"regParam": [0.0, 0.1]})[1].count() == 2
