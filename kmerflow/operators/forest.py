@@ -1,7 +1,8 @@
 """Random forests over long profiles (M8c): trees grow level by level from histograms of the entries that are there.
 
-A level is one aggregate over (tree, node, feature, bin, class). Absent entries are zeros: their counts are what a node
-holds less what its entries hold. Each node looks at its own random share of the features, and each tree at its own
+A level is one aggregate over (tree, node, feature, bin, class). The entries of a row are packed into one row once; a level
+reads them, follows the splits found so far from the root, and shuffles sums alone. Absent entries are zeros: their counts
+are what a node holds less what its entries hold. Each node looks at its own random share of the features, and each tree at its own
 bootstrap of the rows; both come from hashes of names, so the forest does not depend on how the rows are dealt.
 """
 
@@ -26,14 +27,15 @@ def unit(*cols):
 
 
 def binned(long: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
-    """``id, kmer, bin`` of the entries, and ``kmer, zero, bins``: the bin of absent entries and how many there are.
+    """``id, kmers, bins``: the entries of each row, and ``kmer, zero, bins``: the bin of absent entries and how many there are.
 
     Limits are zero and quantiles of a feature's entries; a value's bin is how many limits lie below it.
     """
     limits = F.array_sort(F.array_distinct(F.array_append(F.percentile_approx("value", [k / bins for k in range(1, bins)], 10_000), F.lit(0.0))))
     points = cut(long.groupBy("kmer").agg(limits.alias("limits")))
     below = lambda x: F.size(F.filter("limits", lambda t: t < x))
-    rows = cut(long.join(points, "kmer").select("id", "kmer", below(F.col("value")).alias("bin")))
+    entries = long.join(points, "kmer").select("id", F.struct("kmer", below(F.col("value")).cast("short").alias("bin")).alias("e"))
+    rows = entries.groupBy("id").agg(F.collect_list("e").alias("e")).select("id", F.col("e.kmer").alias("kmers"), F.col("e.bin").alias("bins"))  # the entries of one row
     return rows, cut(points.select("kmer", below(F.lit(0.0)).alias("zero"), (F.size("limits") + 1).alias("bins")))
 
 
@@ -66,27 +68,29 @@ def importances(long: DataFrame, classes: DataFrame, trees: int = 20, depth: int
     rows, features = binned(long.select("id", "kmer", "value"), bins)
     wide = features.count()
     part = share if share is not None else (wide**0.5 / wide if wide else 1.0)
-    u = unit("id", "tree", F.lit(seed))
-    often = sum(F.when(u > limit, 1).otherwise(0) for limit in POISSON) if bootstrap else F.lit(1)
-    at = classes.select("id", "idx", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("w", often.cast("double"))
-    at = cut(at.where("w > 0").withColumn("node", F.lit(1)))
-    weight, found = cut(at.groupBy("tree").agg(F.sum("w").alias("all"))), []
+    often = lambda tree: (sum(F.when(unit("id", tree, F.lit(seed)) > limit, 1).otherwise(0) for limit in POISSON) if bootstrap else F.lit(1)).cast("double")
+    every = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), often(t).alias("w")))
+    drawn = classes.select("id", "idx", F.filter(every, lambda t: t["w"] > 0).alias("drawn"))
+    packed = cut(drawn.join(rows, "id", "left"))  # rows without entries hold zeros
+    weight = cut(packed.select(F.explode("drawn").alias("t")).groupBy("t.tree").agg(F.sum("t.w").alias("all")))
+    at, found = packed.select("idx", "kmers", "bins", F.inline("drawn")).withColumn("node", F.lit(1)), []
     for _ in range(depth):
         held = at.groupBy("tree", "node", "idx").agg(F.sum("w").alias("w")).groupBy("tree", "node").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("held"))  # an entry for each class
-        seen = at.join(rows, "id").where(unit("tree", "node", "kmer", F.lit(seed + 1)) < part)
-        cells = seen.groupBy("tree", "node", "kmer", "bin", "idx").agg(F.sum("w").alias("w")).groupBy("tree", "node", "kmer").agg(F.collect_list(F.struct("bin", "idx", "w")).alias("cells"))  # bins times classes at most
+        seen = at.select("tree", "node", "idx", "w", "bins", F.posexplode("kmers").alias("pos", "kmer")).where(unit("tree", "node", "kmer", F.lit(seed + 1)) < part)
+        sums = seen.groupBy("tree", "node", "kmer", F.get("bins", F.col("pos")).cast("int").alias("bin"), "idx").agg(F.sum("w").alias("w"))
+        cells = sums.groupBy("tree", "node", "kmer").agg(F.collect_list(F.struct("bin", "idx", "w")).alias("cells"))  # bins times classes at most
         tried = cells.join(held, ["tree", "node"]).join(features, "kmer").select("tree", "node", "kmer", "cells", "held", "zero", "bins")
         tried = tried.mapInArrow(gains, "tree int, node int, kmer string, gain double, split int")
         best = tried.groupBy("tree", "node").agg(F.max_by(F.struct("kmer", "gain", "split"), F.struct("gain", "kmer")).alias("b")).select("tree", "node", "b.*")
-        best = cut(best.where("gain > 1e-9"))
+        best = cut(best.where("gain > 1e-9").join(features.select("kmer", "zero"), "kmer"))
         if best.isEmpty():
             break
         found.append(best.select("tree", "kmer", "gain"))
-        moved = at.join(best.select("tree", "node", "kmer", "split"), ["tree", "node"]).join(features.select("kmer", "zero"), "kmer").join(rows, ["id", "kmer"], "left")
-        child = F.col("node") * 2 + F.when(F.coalesce("bin", "zero") > F.col("split"), 1).otherwise(0)
-        now = cut(moved.select("id", "idx", "tree", "w", child.alias("node")))
-        dropped(at)
-        at = now
+        place = F.array_position("kmers", F.col("_kmer"))
+        bin_ = F.when(place > 0, F.get("bins", place - 1)).otherwise(F.col("zero"))  # no entries at all: null, and so the bin of zeros
+        moved = at.join(F.broadcast(best.select("tree", "node", F.col("kmer").alias("_kmer"), "split", "zero")), ["tree", "node"])  # a row for each node
+        at = moved.select("idx", "kmers", "bins", "tree", "w", (F.col("node") * 2 + F.when(bin_ > F.col("split"), 1).otherwise(0)).alias("node"))
+    dropped(packed)
     if not found:
         return features.select("kmer", F.lit(0.0).alias("importance")).where("false")
     every = found[0]

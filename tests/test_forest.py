@@ -68,3 +68,29 @@ def test_forest_finds_the_features(spark):
 def test_nothing_to_split(spark):
     long, classes = frames(spark, np.ones((5, 2)), np.zeros(5))
     assert forest.importances(long, classes, 2, 2).count() == 0
+
+
+def shuffled(spark, run):
+    """What ``run`` returns, and how many rows its stages wrote for shuffles, with no join of tables by size alone."""
+    sc, size = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    total = lambda seq: sum(seq.apply(k).shuffleWriteRecords() for k in range(seq.size()))
+    before, held = total(stages()), spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        out = run()
+    finally:
+        spark.conf.set(size, held)
+    return out, total(stages()) - before
+
+
+def test_levels_shuffle_no_entries(spark):
+    """Entries are packed by row once; levels follow the splits where the rows are and shuffle sums."""
+    rng = np.random.default_rng(5)
+    y, x = np.arange(3000) % 3, rng.poisson(3.0, (3000, 7)).astype(float)
+    x[:, 2] += 3 * (y == 1)
+    long, classes = frames(spark, x, y)
+    long, classes = long.coalesce(2).cache(), classes.coalesce(1).cache()
+    entries = long.count()
+    found, rows = shuffled(spark, lambda: forest.importances(long, classes, 4, 3, bins=4, share=0.6).count())
+    assert found and rows < 2 * entries
