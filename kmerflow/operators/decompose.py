@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut, dropped
+from .linear import packed_rows, spread_out
+
+#: The products of up to so many pairs of features (512 features) are summed as one matrix.
+SQUARE = 1 << 18
 
 
 def _products(rows: DataFrame, key: str, left: list[str], right: list[str]) -> np.ndarray:
@@ -41,14 +45,43 @@ def _turned(m: DataFrame, key: str, columns: list[str], matrix: np.ndarray, name
     return m.select(key, *columns).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} double" for c in names))
 
 
+def _gram(long: DataFrame, names: list[str]) -> np.ndarray:
+    """The sums over rows of the products of all pairs of the features ``names``: rows are packed once and added up in the tasks."""
+    width, most = len(names), max(1, (1 << 20) // max(1, len(names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((width, width))
+        for batch in batches:
+            for k in range(0, len(batch), most):
+                at, value = batch.slice(k, most).columns
+                x = spread_out(at, value.flatten().to_numpy(), width)
+                out += x.T @ x
+        i, j = np.nonzero(np.triu(out))
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(out[i, j])], names=["i", "j", "v"])
+
+    rows = packed_rows(long.select("id", "kmer", F.col("value").cast("double").alias("value")), names, ["id"]).select("at", "value")
+    sums = rows.mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()  # at most ``SQUARE`` cells
+    out = np.zeros((width, width))
+    out[sums.column("i").to_numpy(), sums.column("j").to_numpy()] = sums.column("v").to_numpy()
+    return out + np.triu(out, 1).T
+
+
 def svd(long: DataFrame, vocab: DataFrame, n: int, more: int = 16, rounds: int = 60, tol: float = 1e-10, seed: int = 1) -> tuple[list[float], DataFrame]:
     """The ``n`` largest singular values, and ``component, kmer, weight`` of their right vectors (M9).
 
     Subspace iteration with ``2 n + more`` columns: a table (kmer, weights) is multiplied by the profile and by its
     transpose, each a join and a sum, and made orthonormal by the small matrix of its products. The driver sees matrices of
     columns by columns, never a vocabulary. Ends when no value changes by more than ``tol``; raises after ``rounds``.
+
+    Where all pairs of features are at most ``SQUARE``, their products are summed in one pass, and that matrix has the vectors.
     """
     width = vocab.count()
+    if width and width * width <= SQUARE:
+        names = sorted(r["kmer"] for r in vocab.select("kmer").collect())  # at most as many as ``SQUARE`` has pairs of
+        values, vectors = np.linalg.eigh(_gram(long, names))
+        columns = [f"w{k}" for k in range(min(n, width))]
+        parts = pa.table([pa.array(names), *(pa.array(vectors[:, -1 - k]) for k in range(len(columns)))], names=["kmer", *columns])
+        return np.sqrt(np.maximum(values[::-1][:n], 0)).tolist(), _signed(long.sparkSession.createDataFrame(parts), columns)
     size = min(width, 2 * n + more)
     w, z = [f"w{k}" for k in range(size)], [f"z{k}" for k in range(size)]
     unit = lambda k: (F.pmod(F.xxhash64("kmer", F.lit(k), F.lit(seed)), F.lit(1 << 20)) + 0.5) / (1 << 19) - 1.0

@@ -5,6 +5,8 @@ import pytest
 
 from kmerflow.operators import decompose
 
+from .test_forest import shuffled
+
 
 def long_of(spark, x):
     rows = [(int(i), f"k{j:04d}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)]
@@ -57,3 +59,26 @@ def test_dictionary_equals_the_dense_one(spark):
         left = 0.5 * ((x - c @ d) ** 2).sum() + alpha * c.sum()
         assert before is None or left <= before + 1e-9
         before = left
+
+
+def test_svd_of_few_features_packs_rows_once(spark):
+    """The products of few features come from one pass over the rows, and the vectors are those of dense algebra to the last digits."""
+    rng = np.random.default_rng(11)
+    x = rng.poisson(2.0, (2000, 9)) * 1.0 @ np.diag(np.linspace(3, 0.5, 9))
+    long, vocab = long_of(spark, x)
+    long = long.coalesce(2).cache()
+    entries = long.count()
+    (values, parts), rows = shuffled(spark, lambda: decompose.svd(long, vocab, 3))
+    assert rows < 2 * entries
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    got = np.zeros((3, 9))
+    for r in parts.collect():
+        got[r["component"], int(r["kmer"][1:])] = r["weight"]
+    want = vt[:3] * np.sign(vt[np.arange(3), np.abs(vt[:3]).argmax(axis=1)])[:, None]
+    assert np.allclose(values, s[:3], rtol=1e-11) and np.allclose(got, want, atol=1e-9)
+
+
+def test_svd_of_more_features_equals_numpy(spark, monkeypatch):
+    """Subspace iteration, which wide vocabularies take."""
+    monkeypatch.setattr(decompose, "SQUARE", 0)
+    test_svd_equals_numpy(spark, (40, 12), 3)

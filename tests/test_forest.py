@@ -70,13 +70,13 @@ def test_nothing_to_split(spark):
     assert forest.importances(long, classes, 2, 2).count() == 0
 
 
-def shuffled(spark, run):
-    """What ``run`` returns, and how many rows its stages wrote for shuffles, with no join of tables by size alone."""
+def shuffled(spark, run, sent="-1"):
+    """What ``run`` returns, and how many rows its stages wrote for shuffles; tables of up to ``sent`` bytes are sent, of no size by default."""
     sc, size = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
     stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
     total = lambda seq: sum(seq.apply(k).shuffleWriteRecords() for k in range(seq.size()))
     before, held = total(stages()), spark.conf.get(size)
-    spark.conf.set(size, "-1")
+    spark.conf.set(size, sent)
     try:
         out = run()
     finally:
