@@ -496,3 +496,23 @@ def test_models_of_two_classes_are_sent_after_a_tour(spark):
     found = classify.linear_svm(vectors, rounds=5).transform(vectors)
     assert found.where("label = prediction").count() > 40
     assert classify.search(vectors.select("features", "label"), LogisticRegression(maxIter=3), {"regParam": [0.0, 0.1]})[1].count() == 2
+
+
+def test_reduction_weighs_once(spark):
+    """As the three selections one after the other, over entries that are shuffled once; ids without, and with two labels."""
+    from kmerflow.operators.transform import TfIdf
+
+    from .test_forest import shuffled
+
+    rng, n = np.random.default_rng(2), 2400
+    x = rng.poisson(rng.uniform(0.1, 2.0, 24), (n, 24))
+    long = spark.createDataFrame([(int(i), f"k{j:02d}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "id long, kmer string, value double").coalesce(2).cache()
+    labels = [(i, f"s{i % 5}" if i % 11 else None) for i in range(n)] + [(i, "twice") for i in range(0, n, 9)]
+    classes, entries = spark.createDataFrame(labels, "id long, label string").coalesce(1).cache(), long.count()
+    classes.count()
+    kept, moved = shuffled(spark, lambda: [r[0] for r in select.reduce_features(long, classes, n, 0.2, 0.2, 0.5).select("kmer").distinct().collect()], "60000")
+    one = TfIdf.fit(long, n).transform(long)
+    one = profile.select_features(one, select.by_occurrence(one, n, 0.2))
+    one = profile.select_features(one, select.by_variance(one, n, 0.2))
+    assert sorted(kept) == sorted(r[0] for r in select.by_chi_square(one, classes, 0.5).collect()) and 0 < len(kept) < 16
+    assert moved < 2 * entries
