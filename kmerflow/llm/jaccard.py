@@ -1,25 +1,28 @@
 """N-gram Jaccard join: documents whose sets of word 5-grams have a Jaccard similarity of at least 3/4, and their groups.
 
-1. Count: every text's distinct shingles (64-bit hashes) are counted over the corpus, packed by hash range, each chunk
-   pre-aggregated. Those that repeat set bits in a bitmap of fixed size that goes to all tasks; it only decides the
-   global order (repeated shingles last), so neither its size nor bits set by chance cost results.
-2. Prefixes: two sets that qualify share one of their first ``n - ceil(3n/4) + 1`` shingles in any global order. Documents
-   that share such a shingle with another one are flagged; chunks pre-aggregate, so a shingle that a third of all texts
-   hold is sent once for each chunk.
-3. Flagged documents: equal sets become one class. Their shingles are ordered by exact frequency, rarest first; prefixes
-   in that order give candidate groups, which hold every pair that could qualify.
+1. Sets: one scan gives each row the size and a hash of its set. Equal sets are one class, and only the document of its
+   smallest id is looked at further, so copies cost nothing but that scan.
+2. Count: the distinct shingles (64-bit hashes) of these documents are counted, packed by hash range, each chunk
+   pre-aggregated. A bitmap of all that repeat and a map of how often, both of bounded size, go to all tasks. They make
+   the global order, rarest first: a bit set by chance costs a little order, never a result. Were the bitmap full, every
+   shingle would count as repeated, and only more candidates would be looked at.
+3. Prefixes: two sets that qualify share one of their first ``n - ceil(3n/4) + 1`` shingles in any global order. What is
+   not in the bitmap is in no other set, so only prefix shingles that repeat are sent; most documents have none. Those
+   that share one are candidate groups, which hold every pair that could qualify; only their sets are stored.
 4. Trie join within candidate groups, in blocks of bounded size: sets are stored in a trie of globally ordered shingles
    (most frequent first, so that near copies share their paths); a probe walks it once, sharing partial overlaps, and
    leaves a subtree when the lengths that remain cannot reach the threshold. Groups of more than one block are dealt
    anew at random a few times and joined. Then only prefix shingles that sets of different parts share can hide a link:
    the sets that have one form new groups, in which all outside the largest part are compared with the whole group.
 
+Tables of a step are deleted as soon as nothing reads them.
+
 Joins on a key that much of the rows may share (a shingle, a group, a set of copies) deal hot keys over many tasks.
 
 No pairs within a group are emitted: only links that join two parts not joined before. Shingle hashes are taken as the
-shingles. Defined results: fewer than five words: the whole sequence is one shingle; no words, or null or empty text:
-an empty set, linked with nothing; a null id keeps its row, with no component; rows of equal id are one node; an
-empty table gives an empty table; further columns are not looked at.
+shingles, 60 bits of them for the prefixes. Defined results: fewer than five words: the whole sequence is one shingle; no
+words, or null or empty text: an empty set, linked with nothing; a null id keeps its row, with no component; rows of
+equal id are one node; an empty table gives an empty table; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHARE, components, cut, hot_join, parallelism, texts_of, utf8_buffer
+from .common import SHARE, components, cut, dropped, hot_join, parallelism, texts_of, utf8_buffer
 
 WORDS, CHUNK_BYTES = 5, 2 << 20
-BITMAP_BITS, COMMON = 27, 1 << 26
-BLOCK, DEALS, BROADCAST_IDS = 64, 3, 1_000_000
+BITMAP_BITS = 27
+LEAST_BITS, MOST_BITS, OFTEN_BITS, LEVEL = 24, 29, 24, 60
+BLOCK, CELL, DEALS, BROADCAST_IDS = 64, 1 << 19, 3, 1_000_000
 
 _tables: dict = {}
 
@@ -151,17 +155,50 @@ def _unsqueezed(packed: bytes):
     return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def common_shingles(df: DataFrame, shard_bits: int, most: int = COMMON) -> bytearray:
-    """A bitmap of ``2 ** BITMAP_BITS`` bits over the hash range: set where a shingle occurs in several texts.
+def named_sets(df: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, node`` of every row: the size of its set and a 64-bit hash of it, null if it is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, hashes, bounds in chunks(batches):
+            own = sets_of(hashes, bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array([_node(x) if len(x) else None for x in own], pa.int64())], names=["doc_id", "n_shingles", "node"])
+
+    return texts_of(df).mapInArrow(run, "doc_id long, n_shingles long, node long")
+
+
+def _node(own) -> int:
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _of_ids(batches: Iterator[pa.RecordBatch], ids: bytearray) -> Iterator[pa.RecordBatch]:
+    """The rows whose id has its bit in ``ids``; a bit set for another id only adds a row."""
+    import numpy as np
+
+    bits = np.frombuffer(ids, np.uint8)
+    for batch in batches:
+        batch = batch.filter(batch.column(0).is_valid())
+        slot = _slot(batch.column(0).to_numpy())
+        batch = batch.filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+        if batch.num_rows:
+            yield batch
+
+
+def frequencies(df: DataFrame, ids: bytearray, shard_bits: int) -> tuple[bytes, bytes]:
+    """Which shingles repeat, and how often, of the documents whose bit is set in ``ids``.
 
-    If more than ``most`` shingles repeat, those of the highest document frequency count, so the map never fills up. The
-    map has the same size for every corpus. It only tells which shingles come late in the order: a bit set by chance
-    costs nothing but a little order.
+    The first map has a bit for each range of hashes, set where a shingle occurs in several texts: none is left out. It has
+    about four times as many bits as there are such shingles, ``2 ** MOST_BITS`` (64 MB) at most. The second has a byte for
+    each of 2 ** OFTEN_BITS ranges (16 MB): the whole binary logarithm of the document frequency, from 4 on or, so that it
+    does not fill up, from where half as many shingles are left.
     """
     import numpy as np
 
+    shared = df.sparkSession.sparkContext.broadcast(ids)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes, bounds in chunks(batches):
+        for _, hashes, bounds in chunks(_of_ids(batches, shared.value)):
             keys, n = np.unique(np.concatenate([*sets_of(hashes, bounds), np.zeros(0, np.uint64)]), return_counts=True)
             low, n = _within(keys, shard_bits), np.minimum(n, 255).astype(np.uint8)
             parts = [(k, _squeezed(low[s:e]), n[s:e].tobytes()) for k, s, e in _by_shard(keys, shard_bits)]
@@ -174,98 +211,91 @@ def common_shingles(df: DataFrame, shard_bits: int, most: int = COMMON) -> bytea
         order = np.argsort(low, kind="stable")
         low, n = low[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        n = np.minimum(np.add.reduceat(n, first), 65535)
+        n = np.minimum(np.add.reduceat(n, first), 4096)
         keep = n > 1
         return pa.table({"shard": pa.array([part["shard"][0].as_py()], pa.int32()), "low": pa.array([low[first][keep].tobytes()], pa.binary()), "n": pa.array([n[keep].astype(np.uint16).tobytes()], pa.binary())})
 
     spread = cut(texts_of(df).mapInArrow(count, "shard int, low binary, n binary").groupBy("shard").applyInArrow(total, "shard int, low binary, n binary"))
+    shared.destroy()  # the table has what it was for
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_n = np.zeros(4097, np.int64)
         for batch in batches:
             for x in batch.column(2):
-                all_n += np.bincount(np.minimum(np.frombuffer(x.as_py(), np.uint16), 4096), minlength=4097)
+                all_n += np.bincount(np.frombuffer(x.as_py(), np.uint16), minlength=4097)
         at = np.flatnonzero(all_n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(all_n[at])], names=["df", "n"])
 
     found = {r["df"]: r["n"] for r in spread.mapInArrow(histogram, "df int, n long").groupBy("df").agg(F.sum("n").alias("n")).collect()}  # at most 4097 rows
+    bits = max(LEAST_BITS, min(MOST_BITS, (4 * sum(found.values())).bit_length()))
     least, kept = 4097, 0
-    for v in sorted(found, reverse=True):
-        if kept + found[v] > most:
+    for v in sorted((v for v in found if v >= 4), reverse=True):
+        if kept + found[v] > 1 << (OFTEN_BITS - 1):
             break
         least, kept = v, kept + found[v]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, low, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.zeros(1 << (BITMAP_BITS - shard_bits), bool)
-                keep = np.minimum(np.frombuffer(n, np.uint16), 4096) >= least
-                own[np.frombuffer(low, np.uint32)[keep] >> np.uint32(32 - BITMAP_BITS + shard_bits)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["shard", "bits"])
-
-    size = 1 << (BITMAP_BITS - shard_bits - 3)
-    out = bytearray(1 << (BITMAP_BITS - 3))  # 16 MB
-    for r in spread.mapInArrow(mapped, "shard int, bits binary").toLocalIterator():  # the bitmap's size in all
-        out[r["shard"] * size : (r["shard"] + 1) * size] = r["bits"]
-    return out
-
-
-def in_bitmap(bitmap, h):
+                low, n = np.frombuffer(low, np.uint32), np.frombuffer(n, np.uint16)
+                own, levels = np.zeros(1 << (bits - shard_bits), bool), np.zeros(1 << (OFTEN_BITS - shard_bits), np.uint8)
+                own[low >> np.uint32(32 - bits + shard_bits)] = True
+                low, n = low[n >= least], n[n >= least]
+                np.maximum.at(levels, low >> np.uint32(32 - OFTEN_BITS + shard_bits), (np.frexp(n.astype(np.float64))[1] - 1).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary())], names=["shard", "bits", "levels"])
+
+    size, wide = 1 << (bits - shard_bits - 3), 1 << (OFTEN_BITS - shard_bits)
+    common, often = bytearray(1 << (bits - 3)), bytearray(1 << OFTEN_BITS)
+    for r in spread.mapInArrow(mapped, "shard int, bits binary, levels binary").toLocalIterator():  # the maps' size in all
+        common[r["shard"] * size : (r["shard"] + 1) * size] = r["bits"]
+        often[r["shard"] * wide : (r["shard"] + 1) * wide] = r["levels"]
+    dropped(spread)
+    return bytes(common), bytes(often)
+
+
+def ordered(hashes, common, often):
+    """Shingle hashes below their level: 0 for those in one text only, else 1 or the logarithm of their frequency."""
     import numpy as np
 
-    slot = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-    return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+    bits, wide = (8 * len(common) - 1).bit_length(), (len(often) - 1).bit_length()
+    slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    late = (common[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+    level = np.zeros(len(hashes), np.uint64)
+    level[late] = np.maximum(often[(hashes[late] >> np.uint64(64 - wide)).astype(np.int64)], 1)
+    return (level << np.uint64(LEVEL)) | (hashes >> np.uint64(64 - LEVEL))
 
 
 def prefix_length(n):
     return n - -(-3 * n // 4) + 1
 
 
-def flagged(df: DataFrame, common: bytearray, shard_bits: int) -> DataFrame:
-    """Distinct ``doc_id`` of the documents that share a prefix shingle with another row."""
+def repeated_prefixes(df: DataFrame, ids: bytearray, maps: tuple[bytes, bytes]) -> DataFrame:
+    """``token, doc_id``: the prefix shingles, rarest first, that other sets may hold too; ``doc_id`` is the set's hash.
+
+    Of the documents whose bit is set in ``ids``. A row that another one's bit brings in is a copy, under the same hash.
+    """
     import numpy as np
 
-    shared = df.sparkSession.sparkContext.broadcast(common)  # of the same size for every corpus
+    shared = df.sparkSession.sparkContext.broadcast((bytes(ids), *maps))
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(shared.value, np.uint8)
-        for ids, hashes, bounds in chunks(batches):
-            late = in_bitmap(bitmap, hashes)
-            ordered = (hashes >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
-            tokens, owner = [], []
-            for k, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                if s < e and ids[k] is not None:
-                    own = np.unique(ordered[s:e])
-                    own = own[: prefix_length(len(own))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_ids, common, often = shared.value
+        common, often, single = np.frombuffer(common, np.uint8), np.frombuffer(often, np.uint8), np.uint64(1 << LEVEL)
+        for _, hashes, bounds in chunks(_of_ids(batches, own_ids)):
+            keys, tokens, owner = ordered(hashes, common, often), [], []
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                own = np.unique(keys[s:e])
+                own = own[: prefix_length(len(own))] if s < e else own
+                own = own[np.searchsorted(own, single) :]
+                if len(own):
                     tokens.append(own)
-                    owner.append(np.full(len(own), ids[k], np.int64))
-            if not tokens:
-                continue
-            tokens, owner = _mix(np.concatenate(tokens)), np.concatenate(owner)
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            again = np.r_[False, tokens[1:] == tokens[:-1]]
-            shared_here = np.unique(owner[again | np.r_[again[1:], False]])
-            tokens, owner = tokens[~again], owner[~again]
-            low = _within(tokens, shard_bits)
-            parts = [(k, _squeezed(low[s:e]), owner[s:e].tobytes(), b"") for k, s, e in _by_shard(tokens, shard_bits)]
-            parts.append((parts[0][0], b"", b"", shared_here.tobytes()))
-            names = ["shard", "low", "doc", "flag"]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), *(pa.array([p[k] for p in parts], pa.binary()) for k in (1, 2, 3))], names=names)
-
-    def shared_by_two(part: pa.Table) -> pa.Table:
-        low = np.concatenate([_unsqueezed(x.as_py()) for x in part["low"]])
-        doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in part["doc"]])
-        order = np.argsort(low, kind="stable")
-        low, doc = low[order], doc[order]
-        again = np.r_[False, low[1:] == low[:-1]][: len(low)]
-        own = doc[again | np.r_[again[1:], False][: len(low)]]
-        return pa.table({"doc_id": pa.array(np.unique(np.concatenate([own, *(np.frombuffer(x.as_py(), np.int64) for x in part["flag"])])))})
-
-    rows = texts_of(df).mapInArrow(postings, "shard int, low binary, doc binary, flag binary")
-    found = cut(rows.groupBy("shard").applyInArrow(shared_by_two, "doc_id long").distinct())
-    shared.destroy()  # the checkpoint has what it was for
-    return found
+                    owner.append(np.full(len(own), _node(np.unique(hashes[s:e])), np.int64))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owner))], names=["token", "doc_id"])
+
+    out = cut(texts_of(df).mapInArrow(run, "token long, doc_id long"))
+    shared.destroy()  # the table has what it was for
+    return out
 
 
 def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -305,53 +335,29 @@ def id_bitmap(ids: DataFrame) -> bytearray:
     return out
 
 
-def shingle_sets(df: DataFrame, ids: bytearray) -> DataFrame:
-    """``doc_id, n, node, tokens``: distinct shingle hashes as packed 64-bit integers, and a 64-bit hash of the set.
+def members_of(df: DataFrame, groups: DataFrame, repeated: bool) -> DataFrame:
+    """``doc_id, n, cand, blocks, tokens``: the sets of ``groups(node, doc_id, n, cand, blocks)`` as packed 64-bit integers.
 
-    Of the documents whose bit is set in ``ids``; a bit set for another id only adds a document. Empty sets are left out.
+    ``doc_id`` is the set's hash. ``repeated``: rows of equal id and text may occur.
     """
-    import hashlib
-
-    shared = df.sparkSession.sparkContext.broadcast(ids)
+    shared = df.sparkSession.sparkContext.broadcast(id_bitmap(groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            slot = _slot(batch.column(0).to_numpy())
-            batch = batch.filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
-            for doc, hashes, bounds in chunks([batch] if batch.num_rows else []):
-                rows = [(i, len(own), int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True), own.tobytes()) for i, own in zip(doc, sets_of(hashes, bounds), strict=True) if len(own)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n", "node", "tokens"])
-
-    out = cut(texts_of(df).mapInArrow(run, "doc_id long, n long, node long, tokens binary"))
-    shared.destroy()  # the checkpoint has what it was for
+        for ids, hashes, bounds in chunks(_of_ids(batches, shared.value)):
+            rows = [(i, _node(own), own.tobytes()) for i, own in zip(ids, sets_of(hashes, bounds), strict=True) if len(own)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "node", "tokens"])
+
+    few = groups.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    sets = texts_of(df).mapInArrow(run, "doc_id long, node long, tokens binary")
+    sets = sets.join(F.broadcast(groups) if few else groups, ["node", "doc_id"])
+    if repeated:
+        sets = sets.dropDuplicates(["node"])
+    out = cut(sets.select(F.col("node").alias("doc_id"), "n", "cand", "blocks", "tokens"))
+    shared.destroy()  # the table has what it was for
     return out
 
 
-def rare_prefixes(sets: DataFrame, documents: int) -> DataFrame:
-    """``token, doc_id``: prefixes in the order of exact frequency, without shingles that only one set holds."""
-    import numpy as np
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                ids, n, tokens = (batch.column(c).slice(k, 64).to_pylist() for c in range(3))
-                own = [np.frombuffer(t, np.int64) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.repeat(np.array(n, np.int64), n)), pa.array(np.concatenate(own))], names=["doc_id", "n", "token"])
-
-    held = sets.select("doc_id", "n", "tokens").mapInArrow(explode, "doc_id long, n long, token long")
-    often = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumn("held", F.col("df"))
-    # tokens of more than documents / SHARE sets: at most SHARE times the mean size of a set
-    ranked = hot_join(held, often, "token", "held", "doc_id", limit=max(1000, documents // SHARE))
-    ranked = ranked.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))  # bounded by the document
-    ranked = ranked.withColumn("take", F.expr("n - cast(ceil(3 * n / 4) as long) + 1 - (n - size(own))").cast("int")).where("take > 0")
-    return ranked.select("doc_id", F.explode(F.slice("own", F.lit(1), F.col("take"))).alias("x")).select("doc_id", "x.token")
-
-
 def candidate_groups(prefixes: DataFrame, documents: int) -> DataFrame:
     """``doc_id, cand, blocks`` of the documents that share a token with another: components over shared tokens."""
     firsts = prefixes.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("held")).where("held > 1")
@@ -472,21 +478,23 @@ def rest_links(prefixes: DataFrame, members: DataFrame, labels: DataFrame, docum
 
     Two sets that qualify share a prefix token. So only tokens whose sets, in groups of several blocks, have different labels
     are left: their sets form new, smaller groups. In each, all outside the group's largest label are compared with the
-    whole group, in cells of about ``BLOCK`` by ``BLOCK`` sets.
+    whole group, in cells of sets of about ``CELL`` by ``CELL`` shingles (4 MB): a set goes to each cell of its row or
+    column, so that small cells would multiply what is shuffled.
     """
     import numpy as np
 
-    own = cut(members.where("blocks > 1").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")))
+    own = cut(members.where("blocks > 1").select("doc_id", "n").join(labels, "doc_id", "left").select("doc_id", "n", F.coalesce("label", "doc_id").alias("label")))
     placed = prefixes.join(own, "doc_id")
     mixed = placed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("held")).where("x <> y").select("token", "held")
     left = cut(hot_join(prefixes, mixed, "token", "held", "doc_id", limit=max(1000, documents // SHARE)).join(own.select("doc_id"), "doc_id", "left_semi"))
     if left.isEmpty():
+        dropped(own)
         return left.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     groups = cut(candidate_groups(left, documents).select("doc_id", "cand").join(own, "doc_id"))
-    labelled = groups.groupBy("cand", "label").agg(F.count("*").alias("size"))
-    per = labelled.groupBy("cand").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("held"))
-    count = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
-    per = per.where("held > most").select("cand", "main", "held", count(F.col("held")).alias("blocks"), count(F.col("held") - F.col("most")).alias("parts"))
+    labelled = groups.groupBy("cand", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    per = labelled.groupBy("cand").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("size").alias("held"))
+    count = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
+    per = per.where("n > most").select("cand", "main", "held", count(F.col("n")).alias("blocks"), count(F.col("n") - F.col("most")).alias("parts"))
     dealt = cut(hot_join(groups, per, "cand", "held", "doc_id").join(members.select("doc_id", "tokens"), "doc_id"))
     part, block = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.col("blocks")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -502,59 +510,63 @@ def rest_links(prefixes: DataFrame, members: DataFrame, labels: DataFrame, docum
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     n = parallelism(members.sparkSession)
-    return held.unionByName(probes).repartition(n, "cand", "part", "block").sortWithinPartitions("cand", "part", "block", "probe", "doc_id").mapInArrow(run, "a long, b long")
-
-
-def near_groups(df: DataFrame) -> DataFrame:
-    """``node, component`` of every document whose group has a smaller id; component = the group's smallest id."""
-    shard_bits = min(16, (4 * parallelism(df.sparkSession) - 1).bit_length())
-    sets = shingle_sets(df, id_bitmap(flagged(df, common_shingles(df, shard_bits), shard_bits)))
-    named = sets.groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
-    first = cut(named.groupBy("node").agg(F.min(F.struct("doc_id", "rows")).alias("x"), F.sum("rows").alias("held")).select("node", "x.*", "held"))
-    documents = first.count()
-    reps = by_ids(sets, first.select("node", "doc_id"), "left_semi")
-    if not first.where("rows > 1").isEmpty():  # repeated rows
-        reps = reps.dropDuplicates(["node", "doc_id"])
-    reps = reps.select(F.col("node").alias("doc_id"), "n", "tokens")
-    prefixes = cut(rare_prefixes(reps, documents))
-    members = cut(reps.join(candidate_groups(prefixes, documents), "doc_id").select("doc_id", "cand", "blocks", "tokens"))
-    links = block_links(members, 0)
-    for deal in range(1, DEALS):
-        links = links.unionByName(block_links(members.where("blocks > 1"), deal))
+    found = cut(held.unionByName(probes).repartition(n, "cand", "part", "block").sortWithinPartitions("cand", "part", "block", "probe", "doc_id").mapInArrow(run, "a long, b long"))
+    dropped(own, left, groups, dealt)
+    return found
+
+
+def near_groups(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """``node, component`` of every document whose group has a smaller id; component = the group's smallest id.
+
+    ``rows``: what ``named_sets`` gives for ``df``.
+    """
+    named = rows.where("doc_id is not null and node is not null")
+    first = named.groupBy("node", "doc_id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
+    first = cut(first.groupBy("node").agg(F.min(F.struct("doc_id", "rows", "n")).alias("x"), F.sum("rows").alias("held")).select("node", "x.*", "held"))
+    seen = first.agg(F.sum("n"), F.max("rows")).first()
+    # about a million shingles a shard, however few the partitions
+    shard_bits = min(16, max(2 * parallelism(df.sparkSession) - 1, (seen[0] or 0) >> 20).bit_length())
+    ids = id_bitmap(first)
+    prefixes = repeated_prefixes(df, ids, frequencies(df, ids, shard_bits))
+    documents = prefixes.select("doc_id").distinct().count()
+    groups = cut(candidate_groups(prefixes, documents).withColumnRenamed("doc_id", "node").join(first.select("node", "doc_id", "n"), "node"))
+    members = members_of(df, groups, (seen[1] or 0) > 1)
+    links = cut(block_links(members, 0))
+    if not groups.where("blocks > 1").isEmpty():
+        for deal in range(1, DEALS):  # one after the other: the disk holds one deal's shuffle
+            links = links.unionByName(cut(block_links(members.where("blocks > 1"), deal)))
     links = cut(links.distinct())
     labels = cut(components(links)).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    more = cut(rest_links(prefixes, members, labels, documents))
+    more = rest_links(prefixes, members, labels, documents)
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more))).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    per_node = first.select("node", "held").join(labels.withColumnRenamed("doc_id", "node"), "node", "left").select("node", "held", F.coalesce("label", "node").alias("label"))
-    named = cut(hot_join(sets.select("doc_id", "node"), per_node, "node", "held", "doc_id").select("doc_id", "label"))
+    dropped(prefixes, groups, members)
+    labels = labels.withColumnRenamed("doc_id", "node")
+    labels = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())  # a group's smallest node too
+    per_node = first.select("node", "held").join(labels, "node", "left").where("held > 1 or label is not null")
+    per_node = per_node.select("node", "held", F.coalesce("label", "node").alias("label"))
+    named = cut(hot_join(named.select("doc_id", "node"), per_node, "node", "held", "doc_id").select("doc_id", "label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("b"), F.count("*").alias("held"))
     stars = cut(hot_join(named, least, "label", "held", "doc_id").select(F.col("doc_id").alias("node"), F.col("b").alias("component")).distinct())
+    dropped(first, named)
     if stars.groupBy("node").count().where("count > 1").isEmpty():
         return stars.where("node <> component")
     return components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))  # an id of several rows joins groups
 
 
-def sizes(df: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles`` of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, hashes, bounds in chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets_of(hashes, bounds)], pa.int64())], names=["doc_id", "n_shingles"])
-
-    return texts_of(df).mapInArrow(run, "doc_id long, n_shingles long")
-
-
 def join_groups(df: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
-    groups = near_groups(df).withColumnRenamed("node", "doc_id")
-    return sizes(df).join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = cut(named_sets(df))
+    groups = near_groups(df, rows).withColumnRenamed("node", "doc_id")
+    return rows.select("doc_id", "n_shingles").join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(df: DataFrame) -> DataFrame:
     """The rows of ``df``, all columns, without those whose group has a smaller id; of rows of equal id one stays."""
-    kept = by_ids(df, near_groups(df).select(F.col("node").alias("doc_id")), "left_anti")
-    repeated = cut(df.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    rows = cut(named_sets(df))
+    kept = by_ids(df, near_groups(df, rows).select(F.col("node").alias("doc_id")), "left_anti")
+    repeated = cut(rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    dropped(rows)
     if repeated.isEmpty():
         return kept
     return by_ids(kept, repeated, "left_anti").unionByName(by_ids(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))

@@ -177,6 +177,40 @@ def test_no_rows(spark):
     assert jaccard.join_groups(df).count() == 0 and jaccard.keep_one(df).count() == 0
 
 
+@pytest.mark.parametrize("bits", [10, 29])
+def test_groups_of_full_maps_and_small_cells(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "CELL", 300)
+    if bits == 10:  # the maps fill up
+        monkeypatch.setattr(jaccard, "LEAST_BITS", bits)
+        monkeypatch.setattr(jaccard, "MOST_BITS", bits)
+        monkeypatch.setattr(jaccard, "OFTEN_BITS", bits)
+    rows = near_rows(bits)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in jaccard.join_groups(df).collect()), key=str) == brute_groups(rows)
+
+
+def test_sets_of_copies_are_not_stored(spark, monkeypatch):
+    """Only sets with a near copy are written, however many documents have equal sets or share some shingles."""
+    rng, stored, cut = random.Random(11), [], jaccard.cut
+    words = [f"w{k}" for k in range(5000)]
+    passages = [" ".join(rng.choices(words, k=30)) for _ in range(10)]
+    texts = [" ".join([*rng.choices(words, k=100), passages[i % 10]]) for i in range(60)]
+    near = texts[0].split() + ["other"]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts, *texts, " ".join(near)])]
+
+    def seen(df):
+        out = cut(df)
+        stored.append((out.count() if "tokens" in out.columns else 0, out.count() if "token" in out.columns else 0))
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", seen)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 60 for i in range(180)} | {180: 0}
+    assert max(n for n, _ in stored) == 2  # before: all 181
+    assert max(n for _, n in stored) < 100  # prefix shingles of the two alone
+
+
 def test_trie_equals_all_pairs():
     rng = random.Random(6)
     for _ in range(60):
