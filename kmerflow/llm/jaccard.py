@@ -488,8 +488,8 @@ def rest_links(prefixes: DataFrame, members: DataFrame, labels: DataFrame, docum
     mixed = placed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("held")).where("x <> y").select("token", "held")
     left = cut(hot_join(prefixes, mixed, "token", "held", "doc_id", limit=max(1000, documents // SHARE)).join(own.select("doc_id"), "doc_id", "left_semi"))
     if left.isEmpty():
-        dropped(own)
-        return left.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+        dropped(own, left)
+        return members.sparkSession.createDataFrame([], "a long, b long")
     groups = cut(candidate_groups(left, documents).select("doc_id", "cand").join(own, "doc_id"))
     labelled = groups.groupBy("cand", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
     per = labelled.groupBy("cand").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("size").alias("held"))

@@ -1,6 +1,7 @@
 """Fingerprints, Jaccard join, embedding links: against brute force."""
 
 import math
+import os
 import random
 import re
 
@@ -211,6 +212,27 @@ def test_sets_of_copies_are_not_stored(spark, monkeypatch):
     assert max(n for _, n in stored) < 100  # prefix shingles of the two alone
 
 
+def test_near_duplicates_leave_no_sets_behind(spark, monkeypatch):
+    """The second stage of the pipeline: what later steps do not read is deleted, sets and shingles first of all."""
+    from kmerflow.llm import stages
+
+    written, cut = [], jaccard.cut
+
+    def seen(df):
+        out = cut(df)
+        written.append((set(out.columns), out._steps[0].removeprefix("file:")))
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", seen)
+    rows = near_rows(5, 20)
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    kept = stages.near_duplicates(spark, df, "")
+    large = [p for c, p in written if c & {"tokens", "token", "low", "n_shingles"}]
+    assert len(large) >= 4 and not any(os.path.exists(p) for p in large)
+    want = {c for i, _, c in brute_groups(rows) if i is not None}
+    assert {r["doc_id"] for r in kept.collect()} - {None} == want
+
+
 def test_trie_equals_all_pairs():
     rng = random.Random(6)
     for _ in range(60):
